@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from verdigris.llm.common import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    from verdigris.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded and decoded with the word-level vocabulary."""
     import public_tokenizers
@@ -19,6 +26,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op3_bpe": op3_bpe,
 }
 
