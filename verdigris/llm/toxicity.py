@@ -7,8 +7,8 @@ separator, or one more of a repeated letter) and, where letters stand alone, acr
 between them. Viterbi finds the cheapest letters under channel plus character model.
 
 The words of the text and the words restored are then scored: logistic regression on which of the
-learned words occur anywhere in the text. The learned words are those whose presence depends most
-on the label (log-likelihood ratio). Words and weights are fitted on a bounded sample of labelled
+learned words and word beginnings occur anywhere in the text. Learned are those whose presence
+depends most on the label (log-likelihood ratio). Words and weights are fitted on a bounded sample of labelled
 rows: at most SAMPLE of each label, drawn by a hash of the key.
 """
 
@@ -29,6 +29,8 @@ from verdigris.llm.common import delete, remainder, scratch, texts, tune
 
 #: Labelled rows of each label, and words, that the classifier is fitted on at most.
 SAMPLE, VOCABULARY = 6000, 2000
+#: Lengths of the word beginnings that are features besides whole words; least log-likelihood ratio of a feature.
+BEGINNINGS, RATIO = (4, 5, 6, 7, 8), 20.0
 #: Length of a character n-gram, symbols of its alphabet (0 boundary, 1-26 a-z, 27 any other letter).
 ORDER, SYMBOLS = 4, 28
 #: What a character may stand for besides itself.
@@ -134,6 +136,14 @@ def decode(seen: str, costs: np.ndarray) -> str:
     return min(((cost + float(costs[past * SYMBOLS]), word) for (past, _), (cost, word) in states.items()), default=(0.0, ""))[1]
 
 
+def features(words: set[str]) -> set[str]:
+    """The words, and their beginnings with a star."""
+    found = set(words)
+    for n in BEGINNINGS:
+        found.update([x + "*" for x in {w[:n] for w in words} if len(x) == n])
+    return found
+
+
 def disguised(text: str) -> list[tuple[int, int]]:
     """Where a lower-case text has words that look disguised: spans, left to right, without overlaps."""
     spans = [m.span() for m in _SPACED.finditer(text)]
@@ -230,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
         for b in batches:
-            words = [sorted(restorer.words(t)) for t in texts(b)]
+            words = [sorted(features(restorer.words(t))) for t in texts(b)]
             yield pa.RecordBatch.from_pydict({"y": b.column("y"), "words": pa.array(words, pa.list_(pa.string()))})
 
     at = scratch(spark, "toxicity")
@@ -247,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         ratio = 2 * (part(a, share * n1) + part(b, share * n0) + part(n1 - a, (1 - share) * n1) + part(n0 - b, (1 - share) * n0))
         best = (
             seen.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-            .withColumn("g", ratio).filter((F.col("g") >= 12.0) & (a / n1 > b / n0)).orderBy(F.desc("g"), "word").limit(vocabulary)
+            .withColumn("g", ratio).filter((F.col("g") >= RATIO) & (a / n1 > b / n0)).orderBy(F.desc("g"), "word").limit(vocabulary)
         )
         words = [r["word"] for r in best.collect()]
         where = {w: i for i, w in enumerate(words)}
@@ -297,7 +307,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         m = shared.value
         restorer = Restorer(m.costs)
         for b in batches:
-            s = [m.score(restorer.words(t)) for t in texts(b)]
+            s = [m.score(features(restorer.words(t))) for t in texts(b)]
             out = {"key": b.column("key"), "held_out": b.column("held_out"), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], pa.int32())}
             if restored:
                 out["restored"] = pa.array([restorer.text(t) for t in texts(b)], pa.string())
@@ -321,6 +331,6 @@ def keep(df: DataFrame, model: Model, text: str = "text", below: float = 0.5) ->
         m = shared.value
         restorer = Restorer(m.costs)
         for b in batches:
-            yield b.filter(pa.array([m.score(restorer.words(t)) < below for t in texts(b, text)], pa.bool_()))
+            yield b.filter(pa.array([m.score(features(restorer.words(t))) < below for t in texts(b, text)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
