@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdigris.llm.common import table
 
@@ -16,6 +17,14 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    from verdigris.llm import warc
+
+    got = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
+    return got.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded and decoded with the word-level vocabulary."""
     import public_tokenizers
@@ -25,6 +34,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of the permitted lengths."""
+    from verdigris.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labels."""
     from verdigris.llm import toxicity
@@ -34,7 +50,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op7_packing": op7_packing,
     "op10_toxicity": op10_toxicity,
 }
 
