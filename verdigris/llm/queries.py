@@ -41,6 +41,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    from verdigris.llm import imatch
+
+    return imatch.against_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labels."""
     from verdigris.llm import toxicity
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op7_packing": op7_packing,
+    "op9_imatch": op9_imatch,
     "op10_toxicity": op10_toxicity,
 }
 
