@@ -34,6 +34,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    from verdigris.llm import minhash
+
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of the permitted lengths."""
     from verdigris.llm import packing
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op5_minhash": op5_minhash,
     "op7_packing": op7_packing,
     "op9_imatch": op9_imatch,
     "op10_toxicity": op10_toxicity,
