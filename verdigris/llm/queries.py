@@ -48,6 +48,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a backoff model of six sevenths of them."""
+    from verdigris.llm import katz
+
+    return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     from verdigris.llm import imatch
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_minhash": op5_minhash,
     "op7_packing": op7_packing,
+    "op8_katz": op8_katz,
     "op9_imatch": op9_imatch,
     "op10_toxicity": op10_toxicity,
 }
