@@ -34,6 +34,8 @@ from verdigris.llm.common import scratch, staged, tune
 
 #: Bytes of a block's part in one record; of an archive; of an HTTP chunk.
 SEGMENT, ARCHIVE, CHUNK = 16 << 10, 16 << 20, 4096
+#: Compressed bytes that are decompressed at a time.
+PIECE = 8 << 10
 #: Revisits whose keys are broadcast at most; more are joined by a shuffle.
 FEW = 100_000
 _DATE = "2024-01-01T00:00:00Z"
@@ -124,14 +126,16 @@ def members(archive: bytes) -> Iterator[bytes]:
     if not archive.startswith(b"\x1f\x8b"):
         yield archive
         return
-    while archive:
-        d = zlib.decompressobj(31)
-        out = d.decompress(archive)
-        if not d.eof:
-            raise ValueError("gzip member is cut short")
-        yield out
-        rest = d.unused_data
-        archive = rest if rest.startswith(b"\x1f\x8b") else b""
+    view, at, out, d = memoryview(archive), 0, [], zlib.decompressobj(31)
+    while at < len(view):
+        piece = view[at : at + PIECE]
+        out.append(d.decompress(piece))
+        at += len(piece) - len(d.unused_data)
+        if d.eof:
+            yield b"".join(out)
+            out, d = [], zlib.decompressobj(31)
+    if out:
+        raise ValueError("gzip member is cut short")
 
 
 def file_system(folder: str):
