@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,13 +36,17 @@ ORDER, SYMBOLS = 4, 28
 #: What a character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "aeiou"}
 #: Channel costs, in nats: a stand-in letter, a wildcard letter, a dropped repeat, a dropped separator.
-STAND_IN, WILD, REPEAT, SEPARATOR = 0.5, 2.0, 0.3, 0.2
+STAND_IN, WILD, REPEAT, SEPARATOR = 0.5, 2.0, 2.5, 0.2
 #: Longest disguised word that is decoded at once; longer ones are decoded piece by piece.
 LONGEST = 64
+#: States kept after each character.
+BEAM = 32
 SLICE = 1 << 15
+#: Characters counted at a time; what stands between texts.
+PIECE, EDGE = 1 << 20, " " * (ORDER - 1)
 
 _WORD = re.compile(r"[^\W\d_]+")
-_REPEATED = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+_REPEATED = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|+*](?:[ .\-_*~]{1,2}[\w@$!|+]){2,}(?![^\W_])")
 _LETTER_AND_MARK = re.compile(r"[^\W\d_].*[\d@$!|+€(*#.\-_~]|[\d@$!|+€(*#.\-_~].*[^\W\d_]")
 _table: list[np.ndarray] = []
@@ -51,7 +55,7 @@ _table: list[np.ndarray] = []
 def symbols() -> np.ndarray:
     """Symbol of each code point."""
     if not _table:
-        t = np.fromiter((27 if chr(c).isalpha() else 0 for c in range(0x110000)), np.int64, 0x110000)
+        t = np.fromiter((27 if chr(c).isalpha() else 0 for c in range(0x110000)), np.int32, 0x110000)
         t[ord("a") : ord("z") + 1] = np.arange(1, 27)
         _table.append(t)
     return _table[0]
@@ -61,18 +65,25 @@ def character_counts(df: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of the character n-grams of every row, added up in each task and then by slice."""
     size = SYMBOLS**ORDER
 
+    def count(text: str) -> np.ndarray:
+        s = symbols()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        gram = s[: len(s) - ORDER + 1]
+        for n in range(1, ORDER):
+            gram = gram * np.int32(SYMBOLS) + s[n : len(s) - ORDER + 1 + n]
+        return np.bincount(gram, minlength=size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, waiting, chars = np.zeros(size, np.int64), [], 0
         for b in batches:
             for t in texts(b):
-                for start in range(0, len(t), 1 << 20):
-                    raw = t[start : start + (1 << 20)].lower().encode("utf-32-le", "surrogatepass")
-                    s = symbols()[np.frombuffer(raw, np.uint32)]
-                    s = np.concatenate([np.zeros(ORDER - 1, np.int64), s, np.zeros(1, np.int64)])
-                    gram = s[: len(s) - ORDER + 1].copy()
-                    for n in range(1, ORDER):
-                        gram = gram * SYMBOLS + s[n : len(s) - ORDER + 1 + n]
-                    total += np.bincount(gram, minlength=size)
+                for start in range(0, len(t), PIECE):
+                    waiting.append(t[start : start + PIECE])
+                    chars += len(waiting[-1])
+                    if chars >= PIECE:
+                        total += count(EDGE + EDGE.join(waiting) + EDGE)
+                        waiting, chars = [], 0
+        if waiting:
+            total += count(EDGE + EDGE.join(waiting) + EDGE)
         parts = [total[i : i + SLICE].tobytes() for i in range(0, size, SLICE)]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(len(parts)), pa.int32()), "counts": pa.array(parts, pa.binary())})
 
@@ -102,38 +113,38 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-def decode(seen: str, costs: np.ndarray) -> str:
+def decode(seen: str, costs: list[float]) -> str:
     """The likeliest word behind a disguised one, by Viterbi over its lattice; '' if nothing is left of it.
 
-    A state is the last three symbols and the last letter; ties go to the letters met first.
+    A state is the last three symbols and the last letter; of equal costs the first met stays. Of the states after a
+    character the BEAM cheapest go on.
     """
     size = SYMBOLS ** (ORDER - 1)
     states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
     for c in seen:
-        arcs: list[tuple[str, float]] = []
-        if c.isalpha():
-            arcs.append((c, 0.0))
         options = LEET.get(c, "")
-        arcs += [(x, WILD if len(options) > 2 else STAND_IN) for x in options]
-        free = not c.isalnum()
+        wild = WILD if len(options) > 2 else STAND_IN
+        arcs = [(x, symbol(x), wild) for x in options]
+        if c.isalpha():
+            arcs.append((c, symbol(c), 0.0))
+        drop = SEPARATOR if not c.isalnum() else None if arcs else WILD
         after: dict[tuple[int, str], tuple[float, str]] = {}
-
-        def offer(state: tuple[int, str], cost: float, word: str) -> None:
-            if state not in after or cost < after[state][0]:
-                after[state] = (cost, word)
-
-        for (past, last), (cost, word) in states.items():
-            for x, extra in arcs:
-                if x == last:
-                    offer((past, last), cost + extra + REPEAT, word)
-                n = past * SYMBOLS + symbol(x)
-                offer((n % size, x), cost + extra + float(costs[n]), word + x)
-            if free:
-                offer((past, last), cost + SEPARATOR, word)
-            elif not arcs:
-                offer((past, last), cost + WILD, word)
-        states = after if len(after) <= 48 else dict(sorted(after.items(), key=lambda s: s[1][0])[:48])
-    return min(((cost + float(costs[past * SYMBOLS]), word) for (past, _), (cost, word) in states.items()), default=(0.0, ""))[1]
+        for state, (cost, word) in states.items():
+            past, last = state
+            past *= SYMBOLS
+            for x, n, extra in arcs:
+                extra += cost
+                if x == last and (state not in after or extra + REPEAT < after[state][0]):
+                    after[state] = (extra + REPEAT, word)
+                n += past
+                extra += costs[n]
+                to = (n % size, x)
+                if to not in after or extra < after[to][0]:
+                    after[to] = (extra, word + x)
+            if drop is not None and (state not in after or cost + drop < after[state][0]):
+                after[state] = (cost + drop, word)
+        states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda s: s[1][0])[:BEAM])
+    return min(((cost + costs[past * SYMBOLS], word) for (past, _), (cost, word) in states.items()), default=(0.0, ""))[1]
 
 
 def features(words: set[str]) -> set[str]:
@@ -165,8 +176,8 @@ def disguised(text: str) -> list[tuple[int, int]]:
 class Restorer:
     """Restores disguised words under a character model; keeps what it has decoded, up to a number of words."""
 
-    def __init__(self, costs: np.ndarray, most: int = 100_000):
-        self.costs, self.most, self.known = costs, most, {}
+    def __init__(self, costs: np.ndarray, most: int = 200_000):
+        self.costs, self.most, self.known = costs.tolist(), most, {}
 
     def word(self, seen: str) -> str:
         got = self.known.get(seen)
@@ -206,12 +217,17 @@ class Model:
     bias: float
     costs: np.ndarray
     index: dict[str, int] = field(default_factory=dict)
+    stems: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         self.index = {w: i for i, w in enumerate(self.words)}
+        self.stems = {w[: BEGINNINGS[0]] for w in self.words if w.endswith("*")}
 
-    def score(self, words: Iterable[str]) -> float:
-        z = self.bias + sum(float(self.weights[i]) for i in sorted(self.index[w] for w in words if w in self.index))
+    def score(self, words: set[str]) -> float:
+        found = {self.index[w] for w in words & self.index.keys()}
+        for w in [w for w in words if w[: BEGINNINGS[0]] in self.stems]:
+            found.update(self.index[f] for f in features({w}) if f in self.index)
+        z = self.bias + sum(float(self.weights[i]) for i in sorted(found))
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -307,7 +323,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         m = shared.value
         restorer = Restorer(m.costs)
         for b in batches:
-            s = [m.score(features(restorer.words(t))) for t in texts(b)]
+            s = [m.score(restorer.words(t)) for t in texts(b)]
             out = {"key": b.column("key"), "held_out": b.column("held_out"), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], pa.int32())}
             if restored:
                 out["restored"] = pa.array([restorer.text(t) for t in texts(b)], pa.string())
@@ -331,6 +347,6 @@ def keep(df: DataFrame, model: Model, text: str = "text", below: float = 0.5) ->
         m = shared.value
         restorer = Restorer(m.costs)
         for b in batches:
-            yield b.filter(pa.array([m.score(features(restorer.words(t))) < below for t in texts(b, text)], pa.bool_()))
+            yield b.filter(pa.array([m.score(restorer.words(t)) < below for t in texts(b, text)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
