@@ -34,6 +34,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours found of every twentieth vector."""
+    from verdigris.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of every document."""
     from verdigris.llm import minhash
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op4_ann": op4_ann,
     "op5_minhash": op5_minhash,
     "op7_packing": op7_packing,
     "op8_katz": op8_katz,
