@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.llm import licenses
 from verdigris.llm.common import table
 
 
@@ -48,6 +49,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses named or quoted in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of the permitted lengths."""
     from verdigris.llm import packing
@@ -82,10 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_ann": op4_ann,
     "op5_minhash": op5_minhash,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_katz": op8_katz,
     "op9_imatch": op9_imatch,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle()}
