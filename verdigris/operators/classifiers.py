@@ -66,7 +66,12 @@ def first_best(options: list, score: Callable[[object], float]) -> object:
 
 
 class Method:
-    """classes from text vectors T [classes, d]."""
+    """Scores of classes from text vectors [classes, d].
+
+    pick: trained methods keep the checked epoch of best validation macro-F1 instead of the last.
+    """
+
+    pick = False
 
     def __init__(self, text: np.ndarray):
         self.text = text
@@ -120,8 +125,18 @@ class Cache(Method):
         return SCALE * x @ self.text.T + self.weight * self.affinity(x, self.keys, self.sharpness) @ self.values
 
 
-def adam(params: list[np.ndarray], loss: Callable, steps: int, rate: float, decay: float = 0.01) -> list[np.ndarray]:
-    """Parameters after AdamW steps with a cosine schedule; loss(params) gives the gradients too."""
+def checked_epochs(epochs: int) -> set[int]:
+    """Ten evenly spaced epochs, and the last."""
+    every = max(1, epochs // 10)
+    return {*range(every, epochs + 1, every), epochs}
+
+
+def adam(params: list[np.ndarray], loss: Callable, steps: int, rate: float, decay: float = 0.01, score: Callable | None = None) -> list[np.ndarray]:
+    """Parameters after AdamW steps with a cosine schedule; loss(params) gives the gradients too.
+
+    With score, those of the checked epoch that scores best, the first of equal ones.
+    """
+    best, looks = None, checked_epochs(steps) if score else set()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
         _, grads = loss(params)
@@ -129,7 +144,9 @@ def adam(params: list[np.ndarray], loss: Callable, steps: int, rate: float, deca
         for i, g in enumerate(grads):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             params[i] = params[i] * (1 - now * decay) - now * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return params
+        if t in looks and (best is None or score(params) > best[0]):
+            best = (score(params), [p.copy() for p in params])
+    return best[1] if best else params
 
 
 def cross_entropy(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -160,7 +177,12 @@ class TrainedCache(Cache):
 
     def fit(self, support, validation):
         self.keys, self.values = unit(support.x), per_class(one_hot(support.y, len(self.text)))
-        self.keys = adam([self.keys], lambda p: self.loss(p, support.x, support.y), self.epochs, self.rate)[0]
+
+        def score(p: list[np.ndarray]) -> float:
+            self.keys = p[0]
+            return self.tune(validation).f1(validation)
+
+        self.keys = adam([self.keys], lambda p: self.loss(p, support.x, support.y), self.epochs, self.rate, score=score if self.pick and len(validation) else None)[0]
         return self.tune(validation)
 
 
@@ -180,8 +202,16 @@ class TwoCaches(Method):
 
     def fit(self, support, validation):
         self.values = per_class(one_hot(support.y, len(self.text)))
-        self.keys = adam([unit(support.x), unit(support.x2)], lambda p: self.loss(p, support.x, support.x2, support.y), self.epochs, self.rate)
         self.weights = (1.0, 1.0, 5.0)
+
+        def score(p: list[np.ndarray]) -> float:
+            self.keys = p
+            return self.tune(validation).f1(validation)
+
+        self.keys = adam([unit(support.x), unit(support.x2)], lambda p: self.loss(p, support.x, support.x2, support.y), self.epochs, self.rate, score=score if self.pick and len(validation) else None)
+        return self.tune(validation)
+
+    def tune(self, validation: Batch) -> TwoCaches:
         if len(validation):
             z = SCALE * validation.x @ self.text.T
             votes = {b: [a @ self.values for a in self.parts(validation.x, validation.x2, *self.keys, b)] for b in TWO_SHARPNESS}
@@ -206,16 +236,22 @@ class Adapter(Method):
         raise NotImplementedError
 
     def train(self, params: list[np.ndarray], support: Batch, option: float) -> list[np.ndarray]:
-        return adam(params, lambda p: self.loss(p, support.x, support.y, option), self.epochs, self.rate)
+        return adam(params, lambda p: self.loss(p, support.x, support.y, option), self.epochs, self.rate, score=self.look)
 
     def fit(self, support, validation):
-        best = None
+        def score(p: list[np.ndarray]) -> float:
+            self.params = p
+            return self.f1(validation)
+
+        best, self.look = None, score if self.pick and len(validation) else None
         for option in self.grid:
+            self.option = option
             self.params, self.option = self.train(self.start(support, option), support, option), option
             score = self.f1(validation)
             if best is None or score > best[0]:
                 best = (score, self.params, option)
         _, self.params, self.option = best
+        self.look = None
         return self
 
 
@@ -278,10 +314,13 @@ class ClassAdaptiveProbe(Adapter):
         return loss + float((self.pull[:, None] * off * off).sum() / len(w)), [through_unit(w, SCALE * dz.T @ x) + 2 * self.pull[:, None] * off / len(w)]
 
     def train(self, params, support, option):
+        best = None
         for t in range(self.epochs):
             g = self.loss(params, support.x, support.y, option)[1][0]
             params = [params[0] - option * 0.5 * (1 + np.cos(np.pi * t / self.epochs)) * g / max(1.0, np.linalg.norm(g))]
-        return params
+            if self.look and t + 1 in checked_epochs(self.epochs) and (best is None or self.look(params) > best[0]):
+                best = (self.look(params), params)
+        return best[1] if best else params
 
     def logits(self, x, x2=None):
         return SCALE * x @ unit(self.params[0]).T

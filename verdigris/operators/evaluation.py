@@ -73,9 +73,10 @@ def calibration_bins(df: DataFrame, bins: int = 10, conf: str = "conf", right: s
 
 def ece(df: DataFrame, bins: int = 10, conf: str = "conf", right: str = "right") -> DataFrame:
     """ece: the bins' gaps between accuracy and confidence, weighted by their share of all rows."""
-    b = calibration_bins(df, bins, conf, right)
-    total = df.agg(F.count("*").alias("all"))
-    return b.agg(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("mean_conf"))).alias("x")).join(F.broadcast(total)).select(F.coalesce(F.col("x") / F.nullif(F.col("all"), F.lit(0)), F.lit(0e0)).alias("ece"))
+    none = F.when(F.col(conf) > 0, F.ceil(F.col(conf) * bins))
+    b = df.groupBy(none.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(right).cast("double")).alias("acc"), F.avg(conf).alias("mean"))
+    gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("acc") - F.col("mean"))).otherwise(0e0)
+    return b.agg(F.coalesce(F.sum(gap) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0e0)).alias("ece"))
 
 
 def unsure_below(df: DataFrame, target: float = 0.9, least: int = 10, conf: str = "conf", right: str = "right") -> DataFrame:

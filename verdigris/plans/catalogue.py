@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import vec
-from verdigris.operators import classifiers, curation, evaluation, graphnet, graphs, regions, reports, similarity, splits
+from verdigris.operators import classifiers, curation, evaluation, graphmethods, graphnet, graphs, regions, reports, similarity, splits
 from verdigris.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,6 +454,63 @@ def gated_graph_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, norm double")
 
 
+def parts(pdf: pd.DataFrame) -> graphmethods.Parts:
+    """Items with four regions: their vectors' quarters, at places and of kinds cut from the vector."""
+    x = np.stack(pdf["embedding"].to_list()).astype(float)
+    nodes = np.zeros((len(x), 4, DIM))
+    for i in range(4):
+        nodes[:, i, i * 16 : i * 16 + 16] = x[:, i * 16 : i * 16 + 16]
+    box = np.abs(x[:, :20]).reshape(-1, 4, 5)
+    kinds = np.broadcast_to(np.array([1.0, 2, 3, 2])[:, None], (len(x), 4, 1))
+    return graphmethods.Parts(x, pdf["label"].to_numpy(int), classifiers.unit(nodes), np.ones((len(x), 4)), np.concatenate([box, kinds], -1), x[:, ::-1])
+
+
+def graph_method(name: str, make: Callable[[np.ndarray], graphmethods.RegionGraph | graphmethods.PatchGraph]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, s = texts(spark, sf_dir).sort_values("class"), support(spark, sf_dir)
+        valid = pool(spark, sf_dir).join(s.select("vec_id"), "vec_id", "left_anti")
+        small = lambda df: parts(similarity.held(df, "vec_id", "embedding", "label").sort_values("vec_id"))
+        method = spark.sparkContext.broadcast(make(np.stack(t["vec"].to_list())).fit(small(s), small(valid)))
+
+        def predict(pdfs):
+            for pdf in pdfs:
+                p = graphmethods.probabilities(method.value, parts(pdf))
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "pred": p.argmax(1), "conf": p.max(1).round(6)})
+
+        return tests(spark, sf_dir).select("vec_id", "embedding", "label").mapInPandas(predict, "vec_id bigint, pred int, conf double")
+
+    run.__name__ = f"method_{name}"
+    query()(run)
+
+
+graph_method("region_graph", lambda t: graphmethods.RegionGraph(t, epochs=20))
+graph_method("region_graph_two_caches", lambda t: graphmethods.RegionGraph(t, epochs=20, second=True))
+graph_method("patch_graph", lambda t: graphmethods.PatchGraph(t, epochs=5))
+
+
+@query("WITH " + ITEMS + ", m AS (SELECT t.vec_id, t.label < 5 pos, max(list_inner_product(t.e, p.e)) FILTER (p.label < 5) - max(list_inner_product(t.e, p.e)) FILTER (p.label >= 5) m FROM test t, pool p GROUP BY ALL), g AS (SELECT unnest(quantile_cont(m, [0.1, 0.3, 0.5, 0.7, 0.9])) t, unnest([10, 30, 50, 70, 90]) pct FROM m), s AS (SELECT pct, t, count(*) FILTER (pos AND m >= t) tp, count(*) FILTER (NOT pos AND m >= t) fp, count(*) FILTER (pos AND m < t) fn, count(*) FILTER (NOT pos AND m < t) tn FROM m, g GROUP BY ALL) SELECT pct, round(t, 6) threshold, round((2 * tp / (2 * tp + fp + fn)::DOUBLE + 2 * tn / (2 * tn + fp + fn)::DOUBLE) / 2, 6) macro_f1 FROM s")
+def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro-F1 of calling margins from a quantile on positive."""
+    t, p = tests(spark, sf_dir), pool(spark, sf_dir)
+    pos, neg = similarity.nearest(t, p.filter("label < 5")), similarity.nearest(t, p.filter("label >= 5")).withColumnRenamed("cos", "neg")
+    m = labelled(pos.join(neg.select("vec_id", "neg"), "vec_id"), spark, sf_dir).select((F.col("label") < 5).alias("pos"), (F.col("cos") - F.col("neg")).alias("m"))
+    shares = (10, 30, 50, 70, 90)
+    levels = m.agg(F.percentile("m", [x / 100 for x in shares])).first()[0]
+    options = m.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("pct"), F.lit(v).alias("t")) for i, v in zip(shares, levels)])))
+    hit = F.col("m") >= F.col("o.t")
+    s = options.groupBy("o.pct", "o.t").agg(F.count_if(F.col("pos") & hit).alias("tp"), F.count_if(~F.col("pos") & hit).alias("fp"), F.count_if(F.col("pos") & ~hit).alias("fn"), F.count_if(~F.col("pos") & ~hit).alias("tn"))
+    f1 = lambda a: 2 * F.col(a) / (2 * F.col(a) + F.col("fp") + F.col("fn"))
+    return s.select("pct", r6("t", "threshold"), F.round((f1("tp") + f1("tn")) / 2, 6).alias("macro_f1"))
+
+
+@query("WITH " + PRED + ", o AS (SELECT vec_id // 10 photo, pred, conf FROM pr) SELECT photo, pred, count(*) n, count(*) FILTER (conf < 0.5e0) unsure, round(count(*) / sum(count(*)) OVER (PARTITION BY photo)::DOUBLE, 6) share FROM o GROUP BY photo, pred")
+def crowded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of one picture (ten neighbouring items) counted by predicted class."""
+    o = zero_shot_predictions(spark, sf_dir).withColumn("photo", F.floor(F.col("vec_id") / 10))
+    c = o.groupBy("photo", "pred").agg(F.count("*").alias("n"), F.count_if(F.col("conf") < 0.5).alias("unsure"))
+    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("photo")), 6))
+
+
 # ---- evaluation
 @query("WITH " + CELLS + " SELECT truth, pred, n, round(n / nullif(sum(n) OVER (PARTITION BY truth), 0)::DOUBLE, 6) share FROM cells")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

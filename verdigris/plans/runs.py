@@ -14,8 +14,9 @@ from verdigris.sources import readers
 SIZES, SEEDS = (1, 2, 4, 8, 16), (1, 2, 3)
 
 
-def plan(spark: SparkSession, methods: Iterable[str], sizes: Iterable[int] = SIZES, seeds: Iterable[int] = SEEDS) -> DataFrame:
-    return spark.createDataFrame([(m, str(k), s) for m in methods for k in sizes for s in seeds], "method string, K string, seed int")
+def plan(spark: SparkSession, methods: Iterable[str], sizes: Iterable[int] = SIZES, seeds: Iterable[int] = SEEDS, variants: Iterable[str] = ("last-epoch",)) -> DataFrame:
+    """One row for each run. Variants are last-epoch and best-epoch: which of a trained method's epochs stays."""
+    return spark.createDataFrame([(m, v, str(k), s) for m in methods for v in variants for k in sizes for s in seeds], "method string, variant string, K string, seed int")
 
 
 def run(todo: DataFrame, log: str, make: Callable[[str], classifiers.Method], draw: Callable[[int, int], tuple[DataFrame, DataFrame]], test: DataFrame, classes: int, second: str | None = None, failed: Callable[[str, Exception], None] | None = None) -> int:
@@ -27,13 +28,15 @@ def run(todo: DataFrame, log: str, make: Callable[[str], classifiers.Method], dr
     spark = todo.sparkSession
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        todo = reports.pending(todo, readers.run_log(spark, log), ["method", "K", "seed"])
+        todo = reports.pending(todo, readers.run_log(spark, log), ["method", "variant", "K", "seed"])
     done = 0
-    for r in todo.orderBy("method", reports.size_rank(), "seed").collect():  # a plan is small: methods x sizes x seeds
+    for r in todo.orderBy("method", "variant", reports.size_rank(), "seed").collect():  # a plan is small: methods x sizes x seeds
         try:
             support, validation = draw(int(r["K"]), r["seed"])
             began = time.time()
-            method = make(r["method"]).fit(classifiers.batch(support, second=second), classifiers.batch(validation, second=second))
+            method = make(r["method"])
+            method.pick = r["variant"] == "best-epoch"
+            method.fit(classifiers.batch(support, second=second), classifiers.batch(validation, second=second))
             took = time.time() - began
             got = classifiers.predict(test, method, second=second).join(test.select("vec_id", "label"), "vec_id")
             m = evaluation.summary(evaluation.confusion(got, classes)).first()
@@ -42,7 +45,7 @@ def run(todo: DataFrame, log: str, make: Callable[[str], classifiers.Method], dr
                 raise
             failed(f"{r['method']} {r['K']} {r['seed']}", e)
             continue
-        row = (r["method"], r["K"], r["seed"], support.count(), round(took, 1), round(m["acc"], 4), round(m["macro_f1"], 4))
-        readers.append_runs(spark.createDataFrame([row], "method string, K string, seed int, n_support int, fit_s double, acc double, macro_f1 double"), log)
+        row = (r["method"], r["variant"], r["K"], r["seed"], support.count(), round(took, 1), round(m["acc"], 4), round(m["macro_f1"], 4))
+        readers.append_runs(spark.createDataFrame([row], "method string, variant string, K string, seed int, n_support int, fit_s double, acc double, macro_f1 double"), log)
         done += 1
     return done

@@ -15,7 +15,7 @@ from verdigris.sources.readers import RUN_LOG
 def tail(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
     """Runs appended to a folder of JSON lines, the first of each (method, K, seed) within the watermark; a run's time is its file's."""
     rows = spark.readStream.schema(RUN_LOG).json(path).withColumn("seen", F.col("_metadata.file_modification_time"))
-    return rows.withWatermark("seen", late).dropDuplicatesWithinWatermark(["method", "K", "seed"])
+    return rows.withWatermark("seen", late).dropDuplicatesWithinWatermark(["method", "variant", "K", "seed"])
 
 
 def running_means(runs: DataFrame) -> DataFrame:
