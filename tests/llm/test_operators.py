@@ -300,15 +300,19 @@ def test_licenses_brute_force_and_odd(spark, odd, none):
     for i, text in rows:
         w = licenses.words(text)
         s = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
-        want = {}
+        found = []
         for name, t in licenses.TEMPLATES:
             tw = licenses.words(t)
             ts = {tuple(tw[j : j + 5]) for j in range(len(tw) - 4)}
             size = licenses.size_class(len(ts))
             for at in range(0, len(s), size):
                 c = len(ts & set(s[at : at + 2 * size])) / len(ts)
-                if c >= 0.8 - 1e-9 and (c, -at) > want.get(name, (0, 0)):
-                    want[name] = (c, -at)
+                if c >= 0.8 - 1e-9:
+                    found.append((name, c, at, at + 2 * size))
+        want = {}
+        for name, c, at, to in found:
+            if not any(n != name and d > c and x < to and at < y for n, d, x, y in found) and (c, -at) > want.get(name, (0, 0)):
+                want[name] = (c, -at)
         assert got[i] == {(n, round(c, 9), -a) for n, (c, a) in want.items()}
     assert [(r["doc_id"], r["license"]) for r in licenses.scan(odd).collect()] == [(9, "MIT")]
     assert licenses.scan(none).count() == 0 and licenses.scan(odd, ()).count() == 0

@@ -123,7 +123,7 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: s
     """key, license, containment, start_word: licenses found in the rows of df, each once for a key.
 
     containment is the largest share of one of the license's templates in a window, start_word the first word
-    (from 0) of the first window with that share. Null, empty and short texts match nothing; repeated rows and keys
+    (from 0) of the first window with that share. Where windows overlap, a license gives way to one that matches better. Null, empty and short texts match nothing; repeated rows and keys
     give one row together; null keys count as one. Without templates nothing is found. Other columns are not read.
     """
     spark = df.sparkSession
@@ -134,20 +134,26 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: s
     # at most MOST templates' shingles
     known = F.broadcast(table.select(F.explode("shingles").alias("shingle"), "class").distinct())
     held = rows.select("key", once(split_words("text")).alias("w")).filter(F.arrays_overlap("w", F.array(*map(F.lit, anchors(templates, threshold)))))
-    hashed = held.select("key", once(shingle_hashes(F.col("w"))).alias("h"))
-    hits = hashed.select("key", "h", F.posexplode("h").alias("place", "shingle")).join(known, "shingle")
+    hashed = held.select("key", once(shingle_hashes(F.col("w"))).alias("h")).withColumn("row", F.xxhash64("h"))
+    hits = hashed.select("key", "row", "h", F.posexplode("h").alias("place", "shingle")).join(known, "shingle")
     # a place is in two windows: number place / L and the one before
     block = F.floor(F.col("place") / F.col("class")).cast("int")
-    numbered = hits.select("key", "h", "class", F.explode(F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0))))).alias("number"))
+    numbered = hits.select("key", "row", "h", "class", F.explode(F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0))))).alias("number"))
     start = F.col("number") * F.col("class")
-    cut = numbered.select("key", "class", start.alias("start"), F.array_sort(F.array_distinct(F.slice("h", start + 1, F.col("class") * 2))).alias("window"))
+    cut = numbered.select("key", "row", "class", start.alias("start"), F.array_sort(F.array_distinct(F.slice("h", start + 1, F.col("class") * 2))).alias("window"))
     windows = cut.distinct()
     banded = windows.select("*", F.posexplode(band_minima(F.col("window"))).alias("band", "low"))
     # a row for each template and band: at most MOST x BANDS
     wanted = F.broadcast(table.select("template", "class", F.posexplode(band_minima(F.col("shingles"))).alias("band", "low")))
-    retrieved = banded.join(wanted, ["class", "band", "low"]).select("key", "template", "start", "window").distinct()
+    retrieved = banded.join(wanted, ["class", "band", "low"]).select("key", "row", "template", "class", "start", "window").distinct()
     verified = retrieved.join(F.broadcast(table.select("template", "license", "shingles")), "template").withColumn("containment", F.size(F.array_intersect("window", "shingles")) / F.size("shingles"))
-    found = verified.filter(F.col("containment") >= threshold - 1e-9)
+    matches = verified.filter(F.col("containment") >= threshold - 1e-9).groupBy("key", "row").agg(F.collect_list(F.struct("license", "containment", "start", "class")).alias("m"))
+
+    def beaten(x: Column) -> Column:
+        """Whether another license matches better in a window that overlaps x's."""
+        return F.exists("m", lambda y: (y["license"] != x["license"]) & (y["containment"] > x["containment"]) & (y["start"] < x["start"] + x["class"] * 2) & (x["start"] < y["start"] + y["class"] * 2))
+
+    found = matches.select("key", F.explode(F.filter("m", lambda x: ~beaten(x))).alias("x")).select("key", "x.*")
     best = found.groupBy("key", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("key").alias(key), "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("int").alias("start_word"))
 
@@ -165,6 +171,8 @@ ds AS (SELECT doc_id, unnest({each}) s, unnest(range(0, len(w) - 4)) i FROM d WH
 m AS (SELECT doc_id, template, license, s, n, l, i // l k FROM ds JOIN ts USING (s) JOIN tn USING (template)),
 wins AS (SELECT * FROM m UNION ALL SELECT doc_id, template, license, s, n, l, greatest(k - 1, 0) FROM m),
 c AS (SELECT doc_id, license, template, k * l start_at, count(DISTINCT s) / CAST(any_value(n) AS DOUBLE) containment FROM wins GROUP BY ALL),
-b AS (SELECT doc_id, license, max(containment) containment FROM c WHERE containment >= {THRESHOLD} - 1e-9 GROUP BY ALL)
-SELECT doc_id, license, b.containment, CAST(min(start_at) AS INT) start_word FROM b JOIN c USING (doc_id, license, containment) GROUP BY ALL
+f AS (SELECT c.*, l FROM c JOIN tn USING (template) WHERE containment >= {THRESHOLD} - 1e-9),
+g AS (SELECT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.license <> x.license AND y.containment > x.containment AND y.start_at < x.start_at + 2 * x.l AND x.start_at < y.start_at + 2 * y.l)),
+b AS (SELECT doc_id, license, max(containment) containment FROM g GROUP BY ALL)
+SELECT doc_id, license, b.containment, CAST(min(start_at) AS INT) start_word FROM b JOIN g USING (doc_id, license, containment) GROUP BY ALL
 """
