@@ -149,8 +149,10 @@ def test_components_and_independent_set(spark):
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b] + [(i, i + 1) for i in range(60, 75)]
     edges = spark.createDataFrame(pairs, "a bigint, b bigint")
     nodes = spark.range(80).withColumnRenamed("id", "node")
-    got = {r["node"]: r["root"] for r in graphs.components(edges, nodes).collect()}
-    assert [got[i] for i in range(80)] == brute_components(80, pairs)
+    for few in (0, 10**6):
+        got = {r["node"]: r["root"] for r in graphs.components(edges, nodes, few).collect()}
+        assert [got[i] for i in range(80)] == brute_components(80, pairs)
+        assert graphs.components(edges, few=few).count() == len({x for p in pairs for x in p})
     near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(80)}
     kept = []
     for i in range(80):

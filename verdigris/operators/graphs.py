@@ -24,14 +24,44 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+#: Edges that one task ties together at once; more are contracted in rounds.
+FEW = 500_000
+
+
+def tied(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the pairs [n, 2] and their roots: the least node of each component."""
+    names, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return names, names[root]
+        root = new
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """node, root: the smallest node that each can reach; nodes (column node) without edges are their own root.
 
-    Alternating star contraction: every node is tied to the least of its neighbourhood until all edges are stars.
+    Up to few edges go through one task. More are contracted to stars in alternating rounds: every node is tied to the
+    least of its neighbourhood until all edges are stars.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
-    while True:
+    small = now.count() <= few
+
+    def at_once(pdfs):
+        rows = [pdf[["a", "b"]].to_numpy(np.int64) for pdf in pdfs]
+        node, root = tied(np.concatenate(rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pd.DataFrame({"a": node[node != root], "b": root[node != root]})
+
+    if small:
+        now = now.coalesce(1).mapInPandas(at_once, "a bigint, b bigint")
+    while not small:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == before or not mark[0]:
             break
