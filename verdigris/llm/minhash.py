@@ -308,7 +308,7 @@ def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
     counts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
     top = counts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
     open_buckets = top.filter("kinds > 1 and total > 2").select("band", F.col("top.root").alias("main"), F.col("top.n").alias("n_core"), (F.col("total") - F.col("top.n")).alias("n_rest"))
-    rows = labelled.join(open_buckets, "band").withColumn("core", F.col("root") == F.col("main"))
+    rows = labelled.join(small(staged(open_buckets, "open")), "band").withColumn("core", F.col("root") == F.col("main"))
     p, q = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_rest", "n_core"))
     rows = rows.withColumns({"p": p, "q": q})
     own = F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("q")).otherwise(F.col("p")).cast("bigint")).cast("int")
@@ -332,7 +332,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = staged(banded.join(hubs.select("band", "hub", "n"), "band"), "members")
+    # written first, so that a bucket of many rows can be split in the join, or the join needs no shuffle
+    members = staged(banded.join(small(staged(hubs, "hubs")), "band"), "members")
     pairs = staged(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     involved = members.select("node").distinct().join(nodes.select("node", "rep", "same"), "node")
     sets = staged(sets_of(df, involved, key, text).dropDuplicates(["node"]) if repeated(df, key) else sets_of(df, involved, key, text), "sets")
