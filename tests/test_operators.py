@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import vec
 from verdigris.operators import classifiers as cl
-from verdigris.operators import curation, evaluation, graphnet, graphs, regions, reports, similarity, splits
+from verdigris.operators import curation, evaluation, graphnet, graphs, ordering, regions, reports, similarity, splits
 from verdigris.plans import runs
 from verdigris.sources import readers
 from verdigris.streaming import logs
@@ -293,3 +293,23 @@ def test_event_windows(spark, tmp_path):
 def test_half_even(spark):
     r = one(spark, reports.cell(F.lit(0.8125), F.lit(0.0255)).alias("c"))
     assert r["c"] == "0.812 ± 0.026" or r["c"].startswith("0.812")
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 400)), min_size=1, max_size=60, unique=True), st.sampled_from([0.0, 0.2, 0.5, 1.0]))
+def test_stratified_is_the_plain_window(spark, rows, share):
+    import hashlib
+
+    df = spark.createDataFrame(rows, "label int, vec_id bigint")
+    got = {(r["label"], r["vec_id"]) for r in splits.stratified(df, share, "s").filter("split = 'pool'").collect()}
+    want = set()
+    for label in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == label), key=lambda r: (hashlib.md5(f"s|{r[1]}".encode()).hexdigest(), r[1]))
+        want |= set(mine[: int(share * len(mine))])
+    assert got == want
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 10007).alias("x")).repartition(5)
+    got = ordering.numbered(df, "x", "n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1000)) and [r["x"] for r in got] == sorted(r["x"] for r in got)

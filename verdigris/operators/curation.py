@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators.ordering import numbered
+
 
 def exact_copies(df: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
     """md5, n, first_key of contents that several rows have; null contents are no copies of each other."""
@@ -43,11 +45,7 @@ def removals(df: DataFrame, near: DataFrame | None = None, key: str = "doc_id",
 
 
 def cleaned(df: DataFrame, removed: DataFrame, group: str, key: str = "doc_id") -> DataFrame:
-    """The rows that stay, with new_group: groups numbered from 0 in the order of their first rows.
-
-    Only one row for each group is sorted; numbering groups needs their order, not that of all rows.
-    """
+    """The rows that stay, with new_group: groups numbered from 0 in the order of their first rows."""
     kept = df.join(removed.select(key), key, "left_anti")
     firsts = kept.groupBy(group).agg(F.min(key).alias("_first"))
-    numbered = firsts.withColumn("new_group", (F.row_number().over(Window.orderBy("_first")) - 1).cast("int")).drop("_first")
-    return kept.join(numbered, group)
+    return kept.join(numbered(firsts, "_first", "new_group").drop("_first"), group)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.ordering import first_by_hash
 from verdigris.operators.similarity import linked
 
 
@@ -29,17 +30,14 @@ def support(df: DataFrame, k: int, seed: int, key: str = "vec_id", label: str =
 
 def stratified(df: DataFrame, share: float, seed: str, key: str = "vec_id", label: str = "label") -> DataFrame:
     """df with split: 'pool' for the first floor(share * n) rows of each class in the order of draw(), 'test' for the rest."""
-    w = Window.partitionBy(label)
-    n = F.row_number().over(w.orderBy(draw(seed, key), key))
-    return df.withColumns({"_n": n, "_all": F.count("*").over(w)}).withColumn("split", F.when(F.col("_n") <= F.floor(F.lit(share) * F.col("_all")), "pool").otherwise("test")).drop("_n", "_all")
+    marked = first_by_hash(df, [label], draw(seed, key), key, lambda n: F.floor(F.lit(share) * n), "_pool")
+    return marked.withColumn("split", F.when(F.col("_pool"), "pool").otherwise("test")).drop("_pool")
 
 
 def hold_out_groups(df: DataFrame, parts: int, seed: str, group: str) -> DataFrame:
     """df with held: whether its group is among the first floor(groups / parts) in the order of draw()."""
-    groups = df.select(group).distinct()
-    n = groups.count()
-    chosen = groups.orderBy(draw(seed, group), group).limit(n // parts).withColumn("_held", F.lit(True))
-    return df.join(chosen, group, "left").withColumn("held", F.coalesce("_held", F.lit(False))).drop("_held")
+    groups = first_by_hash(df.select(group).distinct(), [], draw(seed, group), group, lambda n: F.floor(n / parts), "held")
+    return df.join(groups, group)
 
 
 def without_links(rows: DataFrame, to: DataFrame, edges: DataFrame | None, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
