@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import vec
 from verdigris.operators import classifiers as cl
-from verdigris.operators import curation, evaluation, graphnet, graphs, ordering, regions, reports, similarity, splits
+from verdigris.operators import curation, evaluation, graphnet, graphs, ordering, regions, reports, sampling, similarity, splits
 from verdigris.plans import runs
 from verdigris.sources import readers
 from verdigris.streaming import logs
@@ -313,3 +313,8 @@ def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 10007).alias("x")).repartition(5)
     got = ordering.numbered(df, "x", "n").orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(1000)) and [r["x"] for r in got] == sorted(r["x"] for r in got)
+
+
+def test_balanced_draws():
+    labels = np.array([0] * 90 + [1] * 10)
+    assert labels[sampling.balanced_draws(labels, 4000)].mean() == pytest.approx(0.5, abs=0.05)

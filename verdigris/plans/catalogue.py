@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import vec
-from verdigris.operators import classifiers, curation, evaluation, graphmethods, graphnet, graphs, regions, reports, similarity, splits
+from verdigris.operators import classifiers, curation, evaluation, graphmethods, graphnet, graphs, regions, reports, sampling, similarity, splits
 from verdigris.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -757,6 +757,27 @@ def lineitem_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("std"), F.round(F.avg((F.col("l_discount") >= 0.05).cast("double")), 6).alias("share"))
 
 
+@query("WITH b AS (SELECT value, CASE WHEN value >= 0 AND value < 10 THEN 0 WHEN value >= 10 AND value < 50 THEN 1 WHEN value >= 50 AND value < 200 THEN 2 END band FROM events) SELECT band, count(*) n, round(avg(value), 6) mean FROM b WHERE band IS NOT NULL GROUP BY 1")
+def value_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "events").select("value", sampling.band(F.col("value"), [0, 10, 50, 200]).alias("band"))
+    return b.filter("band is not null").groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(concat_ws('|', 'look', event_id::VARCHAR)), event_id) <= 5")
+def sample_per_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five events of each type to look at."""
+    return sampling.per_stratum(table(spark, sf_dir, "events"), 5, "look", "event_id", ["event_type"]).select("event_id", "event_type")
+
+
+@query("WITH " + BOXES + ", s AS (SELECT vec_id, bool_or(score >= 0.1e0) found, count(*) FILTER (k >= 3 AND score >= 0.05e0) spots FROM ba GROUP BY 1) SELECT label, count(*) n, round(avg(found::INT), 6) object_found, round(avg(spots), 6) spots FROM s JOIN embeddings USING (vec_id) GROUP BY 1")
+def region_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each class how often an object is found, and how many spots."""
+    found = F.exists("boxes", lambda b: b["score"] >= 0.1).cast("double")
+    spots = F.size(F.filter(F.slice("boxes", 4, 3), lambda b: b["score"] >= 0.05))
+    rows = labelled(boxes(spark, sf_dir).select("vec_id", found.alias("found"), spots.alias("spots")), spark, sf_dir)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("found"), 6).alias("object_found"), F.round(F.avg("spots"), 6).alias("spots"))
+
+
 # ---- parsing
 @query(r"SELECT page_id, regexp_extract(url, '^(\w+)://([^/]+)/(.*)$', 1) scheme, regexp_extract(url, '^(\w+)://([^/]+)/(.*)$', 2) host, concat_ws('#', regexp_extract(url, '^(\w+)://([^/]+)/(.*)$', 2), regexp_extract(url, '^(\w+)://([^/]+)/(.*)$', 3)) track FROM pages WHERE regexp_matches(url, '^(\w+)://([^/]+)/(.*)$')")
 def parse_structured_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -797,3 +818,10 @@ def ground_truth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(" ", F.concat(F.lit("p"), F.col("l_orderkey").cast("string")), F.lit("1"), F.col("l_quantity").cast("string"), F.lit("0"), F.lit("1"), F.lit("1"))
     got = readers.ground_truth(table(spark, sf_dir, "lineitem").select(line.alias("value")))
     return got.select("path", F.size("boxes").cast("bigint").alias("n"), F.round(F.aggregate("boxes", F.lit(0e0), lambda s, b: s + b[0]), 6).alias("total"))
+
+
+@query(r"SELECT doc_id, len(x)::INT n, coalesce(list_sum(list_transform(x, lambda v: len(v))), 0)::BIGINT digits FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') x FROM documents)")
+def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numbers of a free-form line."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("([0-9]+)")).alias("x"))
+    return x.select("doc_id", F.size("x").alias("n"), F.aggregate("x", F.lit(0).cast("bigint"), lambda s, v: s + F.length(v)).alias("digits"))
