@@ -22,6 +22,8 @@ Words are 64-bit hashes throughout. How the work is dealt:
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import mix64, remainder, scratch, staged, texts, tune
@@ -39,7 +41,7 @@ from verdigris.llm.common import mix64, remainder, scratch, staged, texts, tune
 #: Highest count that Good-Turing discounts; what a bigram seen more often gives up of its count.
 K, RESERVE = 5, 0.1
 #: Most hot words; parts at least, and tokens of a part about; tokens and documents of a block at most.
-HOT, PARTS, PART_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 1024, 64, 2_500_000, 1_500_000, 30_000
+HOT, PARTS, PART_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 1024, 108, 1_300_000, 900_000, 30_000
 #: Hashes of what stands before a text and of its end.
 BEGIN, END = (xxhash.xxh3_64_intdigest(x) for x in (b"\n<begin>\n", b"\n<end>\n"))
 
@@ -52,12 +54,27 @@ def unpacked(b: bytes, kind: type | str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b)), kind)
 
 
+def packed_words(w: np.ndarray, u: Unigrams) -> bytes:
+    """Hashes of words as bytes: hot words as their numbers, which pack well, and the others' hashes after them."""
+    at = u.place(w)
+    head = packed(np.where(at >= 0, at, 0xFFFF).astype(np.uint16))
+    return len(head).to_bytes(8, "little") + head + packed(w[at < 0])
+
+
+def unpacked_words(b: bytes, u: Unigrams) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    at = unpacked(b[8 : 8 + size], np.uint16)
+    out = u.hot[np.minimum(at, len(u.hot) - 1)]
+    out[at == 0xFFFF] = unpacked(b[8 + size :], np.uint64)
+    return out
+
+
 class Words(dict):
     """Hashes of words; stops growing at a size."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -113,7 +130,7 @@ class Unigrams:
     def place(self, w: np.ndarray) -> np.ndarray:
         """Index among the hot words, or -1."""
         at = np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)
-        return np.where(self.hot[at] == w, at, -1)
+        return np.where(self.hot[at] == w, at, -1).astype(np.int32)
 
 
 def parts_for(tokens: int) -> int:
@@ -190,7 +207,7 @@ def count_hot_pairs(train: DataFrame, u: Unigrams) -> np.ndarray:
             before = np.r_[first, at[:-1]]
             before[starts] = first
             both = (at >= 0) & (before >= 0)
-            np.add(total, np.bincount(before[both] * size + at[both], minlength=size * size), out=total)
+            np.add(total, np.bincount(before[both] * np.int32(size) + at[both], minlength=size * size), out=total)
 
         for b in batches:
             for t in texts(b):
@@ -210,6 +227,17 @@ def count_hot_pairs(train: DataFrame, u: Unigrams) -> np.ndarray:
     return np.concatenate([got[i] for i in sorted(got)]).reshape(size, size) if got else np.zeros((size, size), np.int64)
 
 
+def packed_blocks(names: np.ndarray, at: np.ndarray) -> bytes:
+    """Blocks of uses as bytes: the blocks' names, and each use's place among them."""
+    head = packed(names)
+    return len(head).to_bytes(8, "little") + head + packed(at.astype(np.uint32))
+
+
+def unpacked_blocks(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(b[:8], "little")
+    return unpacked(b[8 : 8 + size], np.int64), unpacked(b[8 + size :], np.uint32)
+
+
 #: Columns of a stored part (part >= 0), and of a block of documents with its hot pairs (part = -1).
 TABLE = "part int, block bigint, v binary, w binary, c binary, cw binary, uses binary, use_block binary, use_doc binary, use_n binary, often array<bigint>, hot binary, keys binary, sizes binary"
 _NAMES = [x.split()[0] for x in TABLE.split(", ")]
@@ -250,22 +278,25 @@ def blocks(docs: DataFrame, u: Unigrams, parts: int) -> DataFrame:
     def block(name: int, keys: list, held: list, seen: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array(list(map(len, seen)))
         w = np.concatenate(seen)
+        seen.clear()
         v = np.r_[np.uint64(BEGIN), w[:-1]]
         v[np.cumsum(np.r_[0, sizes[:-1]])] = BEGIN
-        doc, mark = np.repeat(np.arange(len(keys)), sizes), np.array(held, np.int64)
+        doc, mark = np.repeat(np.arange(len(keys), dtype=np.int32), sizes), np.array(held, np.int32)
         pv, pw = u.place(v), u.place(w)
         both = (pv >= 0) & (pw >= 0)
         rows = []
-        at, uses, use_doc, use_n = grouped((pv[both] * len(u.hot) + pw[both]), doc[both], mark) if both.any() else (np.zeros(0, np.int64), *[np.zeros(0, np.uint32)] * 3)
+        at, uses, use_doc, use_n = grouped(pv[both] * np.int32(len(u.hot)) + pw[both], doc[both], mark) if both.any() else (np.zeros(0, np.int64), *[np.zeros(0, np.uint32)] * 3)
         null = np.array([k is None for k in keys])
         ids = np.array([0 if k is None else k for k in keys], np.int64)
         rows.append((-1, name, packed(pv[both][at].astype(np.uint32)), packed(pw[both][at].astype(np.uint32)), packed(uses), packed(use_doc), packed(use_n), packed(np.r_[ids, null.astype(np.int64)]), packed(sizes.astype(np.int64) * 2 + mark)))
         v, w, doc, pw = v[~both], w[~both], doc[~both], pw[~both]
+        del pv, both, at, uses, use_doc, use_n
         if len(w):
             h = pair_hash(v, w)
-            part = (np.where(pw >= 0, mix64(h), mix64(w)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            part = (np.where(pw >= 0, mix64(h), mix64(w)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable").astype(np.int32)
             edges = np.searchsorted(part[order], np.arange(parts + 1))
+            del part, pw
             for p in range(parts):
                 i = order[edges[p] : edges[p + 1]]
                 if len(i):
@@ -273,7 +304,7 @@ def blocks(docs: DataFrame, u: Unigrams, parts: int) -> DataFrame:
                     by_word = np.lexsort((v[i][at], w[i][at]))  # equal words side by side pack better
                     bounds = np.r_[0, np.cumsum(uses)]
                     flat = _spread(bounds, by_word)
-                    rows.append((p, name, packed(v[i][at][by_word]), packed(w[i][at][by_word]), packed(uses[by_word]), packed(use_doc[flat]), packed(use_n[flat]), None, None))
+                    rows.append((p, name, packed_words(v[i][at][by_word], u), packed_words(w[i][at][by_word], u), packed(uses[by_word]), packed(use_doc[flat]), packed(use_n[flat]), None, None))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
         return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows))})
 
@@ -295,37 +326,35 @@ def tables(dealt: DataFrame, u: Unigrams) -> DataFrame:
             r = pdf.iloc[0]
             row = {"part": -1, "block": r["block"], "v": r["v"], "w": r["w"], "uses": r["uses"], "use_doc": r["use_doc"], "use_n": r["use_n"], "keys": r["keys"], "sizes": r["sizes"]}
             return pd.DataFrame([dict.fromkeys(_NAMES) | row])[_NAMES]
-        v, w, uses, doc, n, home = [], [], [], [], [], []
-        for r in pdf.itertuples():
-            v.append(unpacked(r.v, np.uint64))
-            w.append(unpacked(r.w, np.uint64))
-            uses.append(unpacked(r.uses, np.uint32))
-            doc.append(unpacked(r.use_doc, np.uint32))
-            n.append(unpacked(r.use_n, np.uint32))
-            home.append(np.full(len(doc[-1]), r.block, np.int64))
-        v, w, uses, doc, n, home = (np.concatenate(x) for x in (v, w, uses, doc, n, home))
+        homes, home = np.unique(pdf["block"].to_numpy(np.int64), return_inverse=True)
+        v = np.concatenate([unpacked_words(x, u) for x in pdf["v"]])
+        w = np.concatenate([unpacked_words(x, u) for x in pdf["w"]])
+        uses, doc, n = (np.concatenate([unpacked(x, np.uint32) for x in pdf[c]]) for c in ("uses", "use_doc", "use_n"))
+        home = np.repeat(home.astype(np.uint16 if len(homes) < 1 << 16 else np.uint32), [len(unpacked(x, np.uint32)) for x in pdf["use_doc"]])
+        del pdf
         _, first, at = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-        of = np.repeat(at, uses)  # the bigram of each use
-        train = np.where(doc & 1, 0, n).astype(np.float64)
-        v, w, c = v[first], w[first], np.bincount(of, weights=train, minlength=len(first)).astype(np.int64)
-        names, word = np.unique(w, return_inverse=True)
-        cw = np.bincount(word, weights=c, minlength=len(names)).astype(np.int64)
-        hot = u.place(names)
-        cw = np.where(hot >= 0, u.hot_counts[hot], cw)[word]
+        v, w = v[first], w[first]
         order = np.lexsort((v, w))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        of = rank[of]
-        v, w, c, cw = v[order], w[order], c[order], cw[order]
+        v, w = v[order], w[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        of = np.repeat(rank[at], uses)  # the bigram of each use
+        del first, at, order, rank, uses
+        c = np.bincount(of, weights=np.where(doc & 1, np.uint32(0), n), minlength=len(v)).astype(np.int64)
+        start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        cw = np.add.reduceat(c, start)
+        hot = u.place(w[start])
+        cw = np.repeat(np.where(hot >= 0, u.hot_counts[hot], cw), np.diff(np.r_[start, len(w)]))
         by = np.argsort(of, kind="stable")
         number = np.bincount(of, minlength=len(v)).astype(np.uint32)
+        del of
         context, seen = u.place(v), c > 0
         mine = seen & (context >= 0)
         level = np.minimum(c[mine], K + 1) - 1
-        hot_kinds = np.bincount(context[mine] * (K + 1) + level, minlength=len(u.hot) * (K + 1)).astype(np.float64)
+        hot_kinds = np.bincount(context[mine].astype(np.int64) * (K + 1) + level, minlength=len(u.hot) * (K + 1)).astype(np.float64)
         hot_mass = np.bincount(context[mine], weights=u.share(cw[mine]), minlength=len(u.hot))
         often = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-        row = {"part": key[0], "block": 0, "v": packed(v), "w": packed(w), "c": packed(c.astype(np.uint32)), "cw": packed(cw.astype(np.uint32)), "uses": packed(number), "use_block": packed(home[by]), "use_doc": packed(doc[by]), "use_n": packed(n[by]), "often": often, "hot": packed(np.r_[hot_kinds, hot_mass]), "keys": None, "sizes": None}
+        row = {"part": key[0], "block": 0, "v": packed_words(v, u), "w": packed_words(w, u), "c": packed(c.astype(np.uint32)), "cw": packed(cw.astype(np.uint32)), "uses": packed(number), "use_block": packed_blocks(homes, home[by]), "use_doc": packed(doc[by]), "use_n": packed(n[by]), "often": often, "hot": packed(np.r_[hot_kinds, hot_mass]), "keys": None, "sizes": None}
         return pd.DataFrame([dict.fromkeys(_NAMES) | row])[_NAMES]
 
     alone = F.when(F.col("part") < 0, F.col("block")).otherwise(F.lit(0))
@@ -395,24 +424,27 @@ def contexts(table: DataFrame, m: Model, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                v, c, cw = unpacked(r["v"], np.uint64), unpacked(r["c"], np.uint32).astype(np.int64), unpacked(r["cw"], np.uint32)
+            for i in range(b.num_rows):
+                r = {name: x[i].as_py() for name, x in zip(b.schema.names, b.columns)}
+                v, c, cw = unpacked_words(r["v"], u), unpacked(r["c"], np.uint32).astype(np.int64), unpacked(r["cw"], np.uint32)
                 cold = u.place(v) < 0
                 seen = cold & (c > 0)
                 names_v, at = np.unique(v[seen], return_inverse=True)
                 left = np.bincount(at, weights=c[seen] - m.count(c[seen]), minlength=len(names_v))
                 mass = np.bincount(at, weights=u.share(cw[seen]), minlength=len(names_v))
-                of = np.repeat(np.arange(len(v)), unpacked(r["uses"], np.uint32))
+                of = np.repeat(np.arange(len(v), dtype=np.int32), unpacked(r["uses"], np.uint32))
                 use = (cold & (c == 0))[of]
-                uv, ub, ud, un = v[of[use]], unpacked(r["use_block"], np.int64)[use], unpacked(r["use_doc"], np.uint32)[use], unpacked(r["use_n"], np.uint32)[use]
+                names_b, at_b = unpacked_blocks(r["use_block"])
+                uv, ub, ud, un = v[of[use]], names_b[at_b[use]], unpacked(r["use_doc"], np.uint32)[use], unpacked(r["use_n"], np.uint32)[use]
                 p, q = (mix64(names_v) % np.uint64(parts)).astype(np.int64), (mix64(uv) % np.uint64(parts)).astype(np.int64)
                 po, qo = np.argsort(p, kind="stable"), np.argsort(q, kind="stable")
                 pe, qe = np.searchsorted(p[po], np.arange(parts + 1)), np.searchsorted(q[qo], np.arange(parts + 1))
+                del v, c, cw, of, use, at_b, p, q
                 rows = []
-                for i in range(parts):
-                    a, z = po[pe[i] : pe[i + 1]], qo[qe[i] : qe[i + 1]]
+                for j in range(parts):
+                    a, z = po[pe[j] : pe[j + 1]], qo[qe[j] : qe[j + 1]]
                     if len(a) or len(z):
-                        rows.append((i, packed(names_v[a]), packed(left[a]), packed(mass[a]), packed(uv[z]), packed(ub[z]), packed(ud[z]), packed(un[z])))
+                        rows.append((j, packed(names_v[a]), packed(left[a]), packed(mass[a]), packed(uv[z]), packed(ub[z]), packed(ud[z]), packed(un[z])))
                 if rows:
                     yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int32() if n == "part" else pa.binary()) for n, x in zip(names, zip(*rows))})
 
@@ -425,7 +457,7 @@ def contexts(table: DataFrame, m: Model, parts: int) -> DataFrame:
             value = np.where(known[place] == uv, cost[place], 0.0) * un
         else:
             value = np.zeros(len(uv))
-        return sums_of(ub, ud, value, np.zeros(len(uv)), np.zeros(len(uv)))
+        return sums_of(*np.unique(ub, return_inverse=True), ud, value, None, None)
 
     return table.filter("part >= 0").select("v", "c", "cw", "uses", "use_block", "use_doc", "use_n").mapInArrow(run, schema).groupBy("part").applyInPandas(lambda pdf: meet(pdf), SUMS)
 
@@ -434,14 +466,17 @@ def contexts(table: DataFrame, m: Model, parts: int) -> DataFrame:
 SUMS = "block bigint, docs binary, score binary, base binary, known binary"
 
 
-def sums_of(home: np.ndarray, doc: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> pd.DataFrame:
-    """A row of sums for each block; doc is twice the document's number, plus 1 if held out."""
-    rows = []
-    order = np.argsort(home, kind="stable")
-    names, start = np.unique(home[order], return_index=True)
-    for name, i in zip(names, np.split(order, start[1:])):
-        docs, at = np.unique(doc[i] >> 1, return_inverse=True)
-        rows.append((int(name), packed(docs.astype(np.uint32)), *(packed(np.bincount(at, weights=x[i], minlength=len(docs))) for x in (score, base, known))))
+def sums_of(names: np.ndarray, at: np.ndarray, doc: np.ndarray, *each: np.ndarray | None) -> pd.DataFrame:
+    """A row of sums for each block: at gives each use's place among the blocks' names, doc twice its document's number
+    (plus 1 if held out), each what the uses add (None: nothing)."""
+    number = doc >> 1
+    stride = int(number.max()) + 1 if len(number) else 1
+    cell = at.astype(np.int64) * stride + number
+    used = np.flatnonzero(np.bincount(cell, minlength=len(names) * stride))
+    totals = [np.zeros(len(used)) if x is None else np.bincount(cell, weights=x, minlength=len(names) * stride)[used] for x in each]
+    block, docs = used // stride, (used % stride).astype(np.uint32)
+    edges = np.searchsorted(block, np.arange(len(names) + 1))
+    rows = [(int(n), packed(docs[i:j]), *(packed(t[i:j]) for t in totals)) for n, i, j in zip(names, edges, edges[1:]) if i < j]
     return pd.DataFrame(rows, columns=["block", "docs", "score", "base", "known"])
 
 
@@ -453,34 +488,47 @@ def documents(table: DataFrame, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                uses, doc, n = unpacked(r["uses"], np.uint32), unpacked(r["use_doc"], np.uint32), unpacked(r["use_n"], np.uint32).astype(np.float64)
-                of = np.repeat(np.arange(len(uses)), uses)
-                if r["part"] < 0:
-                    v, w = unpacked(r["v"], np.uint32).astype(np.int64), unpacked(r["w"], np.uint32).astype(np.int64)
-                    c, cw, context, last = m.pairs[v, w], u.hot_counts[w], v, w == end
-                    home = np.full(len(doc), r["block"], np.int64)
-                else:
-                    v, w = unpacked(r["v"], np.uint64), unpacked(r["w"], np.uint64)
-                    c, cw = unpacked(r["c"], np.uint32).astype(np.int64), unpacked(r["cw"], np.uint32).astype(np.int64)
-                    context, last, home = u.place(v), w == np.uint64(END), unpacked(r["use_block"], np.int64)
-                unseen = np.log10(u.share(cw)) + np.where(context >= 0, m.hot_cost[context], 0.0)
-                each = np.where(c > 0, np.log10(np.maximum(m.count(c), 1e-300)), unseen)
-                # every word is the context of the token after it: its count is divided by once, seen or not
-                each = each - np.where(last | (cw == 0), 0.0, np.log10(np.maximum(cw, 1)))
-                if r["part"] < 0:
-                    # the count of texts, for the context before each text's first word
-                    m0 = len(unpacked(r["sizes"], np.int64))
-                    extra = -np.log10(max(1, int(u.hot_counts[start])))
-                    of, doc, n, home = np.r_[of, np.full(m0, len(each))], np.r_[doc, np.arange(m0, dtype=np.uint32) * 2], np.r_[n, np.ones(m0)], np.r_[home, np.full(m0, r["block"], np.int64)]
-                    each, cw = np.r_[each, extra], np.r_[cw, -1]
-                base = np.where(cw >= 0, np.log10(np.maximum(cw + 1, 1)), 0.0)
-                out = sums_of(home, doc, each[of] * n, base[of] * n, (cw > 0)[of] * n)
+            for i in range(b.num_rows):
+                out = sums({name: x[i].as_py() for name, x in zip(b.schema.names, b.columns)})
                 yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
+    def sums(r: dict) -> pd.DataFrame:
+        hot = r["part"] < 0
+        if hot:
+            v, w = unpacked(r["v"], np.uint32), unpacked(r["w"], np.uint32)
+            c, cw, context, last = m.pairs[v, w], u.hot_counts[w], v.astype(np.int64), w == end
+        else:
+            v, w = unpacked_words(r["v"], u), unpacked_words(r["w"], u)
+            c, cw = unpacked(r["c"], np.uint32).astype(np.int64), unpacked(r["cw"], np.uint32).astype(np.int64)
+            context, last = u.place(v), w == np.uint64(END)
+        del v, w
+        unseen = np.log10(u.share(cw)) + np.where(context >= 0, m.hot_cost[context], 0.0)
+        each = np.where(c > 0, np.log10(np.maximum(m.count(c), 1e-300)), unseen)
+        # every word is the context of the token after it: its count is divided by once, seen or not
+        each -= np.where(last | (cw == 0), 0.0, np.log10(np.maximum(cw, 1)))
+        base = np.log10(cw + 1)
+        uses, doc, n = unpacked(r["uses"], np.uint32), unpacked(r["use_doc"], np.uint32), unpacked(r["use_n"], np.uint32)
+        names, at = (np.array([r["block"]]), np.zeros(len(doc), np.uint32)) if hot else unpacked_blocks(r["use_block"])
+        each, base, known = np.repeat(each, uses) * n, np.repeat(base, uses) * n, np.repeat(cw > 0, uses) * n
+        if hot:
+            # the count of texts, for the context before each text's first word
+            texts_here = len(unpacked(r["sizes"], np.int64))
+            first = np.full(texts_here, -np.log10(max(1, int(u.hot_counts[start]))))
+            doc, at = np.r_[doc, np.arange(texts_here, dtype=np.uint32) * 2], np.zeros(len(doc) + texts_here, np.uint32)
+            each, base, known = np.r_[each, first], np.r_[base, np.zeros(texts_here)], np.r_[known, np.zeros(texts_here)]
+        return sums_of(names, at, doc, each, base, known)
+
     return table.select("part", "block", "v", "w", "c", "cw", "uses", "use_block", "use_doc", "use_n", "sizes").mapInArrow(run, SUMS)
 
 
+def released(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of what was written, rather than when the driver next collects its garbage."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
@@ -497,9 +545,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mod: int = 7
     u = count_words(train, max(16, min(2048, about)))
     parts = parts_for(u.tokens)
     pairs = count_hot_pairs(train, u)
+    released(spark)
     at = scratch(spark, "bigrams")
-    tables(blocks(rows, u, parts), u).write.parquet(at)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing needs any more
+    # rows are large and packed already: small row groups, or a writer would gather many of them in memory
+    packed_rows = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false", "compression": "none"}
+    tables(blocks(rows, u, parts), u).write.options(**packed_rows).parquet(at)
+    released(spark)
     table = spark.read.schema(TABLE).parquet(at)
     model = finish(u, pairs, table)
     sums = documents(table, model).unionByName(contexts(table, model, parts)).withColumns({"keys": F.lit(None).cast("binary"), "sizes": F.lit(None).cast("binary")})
