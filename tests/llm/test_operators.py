@@ -320,6 +320,19 @@ def test_licenses_brute_force_and_odd(spark, odd, none):
         licenses.scan(odd, [("X", "too short")])
 
 
+def test_licenses_short_notices(spark):
+    texts = ["All rights reserved.", "one two. all RIGHTS, reserved; three", "all rights are reserved", "one two three four five Licensed under the MIT License. Copyright X. All rights reserved.", "reserved rights", licenses.TEMPLATES[-1][1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = licenses.scan(df, notices=licenses.NOTICES)
+    assert {(r["doc_id"], r["license"], r["containment"]) for r in got.collect()} == {(0, "Proprietary", 1.0), (1, "Proprietary", 1.0), (3, "MIT", 1.0), (3, "Proprietary", 1.0), (5, "Proprietary", 1.0)}
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", got._jdf.queryExecution().executedPlan().toString())
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = {r["doc_id"] for r in documents.collect() if "all rights reserved" in " ".join(licenses.words(r["text"] or ""))}
+    assert want and {r["doc_id"] for r in licenses.scan(documents, notices=licenses.NOTICES).filter("license = 'Proprietary'").collect()} == want
+    with pytest.raises(ValueError):
+        licenses.scan(df, notices=[("X", "a notice of five words")])
+
+
 def test_licenses_use_no_python(spark):
     plan = licenses.scan(spark.read.parquet(f"{DATA}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)

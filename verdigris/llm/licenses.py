@@ -11,6 +11,8 @@ the window must hold THRESHOLD of the template's shingles.
 Two exact tests come before, because most texts hold no license: a text that lacks so many of every
 template's words that THRESHOLD cannot be reached, and a window without any template's shingle, are
 not worth any MinHash.
+
+Notices of fewer than five words are one shingle of their own length, sought among the texts' shingles of that length.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher."),
 )
+# Notices of fewer than WORDS words. oracle() does not know them.
+NOTICES = (("Proprietary", "All rights reserved."),)
 
 
 def words(text: str) -> list[str]:
@@ -70,7 +74,8 @@ def anchors(templates: Sequence[tuple[str, str]], threshold: float = THRESHOLD)
     found: set[str] = set()
     for _, text in templates:
         w = words(text)
-        shingles = {tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)}
+        n = min(WORDS, len(w))
+        shingles = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
         left, mine = set(shingles), set()
         for x in sorted(set(w), key=lambda x: (x not in found, -len(x), x)):
             if len(shingles) - len(left) > (1 - threshold) * len(shingles) + 1e-9:
@@ -81,10 +86,10 @@ def anchors(templates: Sequence[tuple[str, str]], threshold: float = THRESHOLD)
     return sorted(found)
 
 
-def shingle_hashes(w: Column) -> Column:
-    """Hashes of the shingles of an array of words, in order; none for fewer words than a shingle has."""
-    at = F.sequence(F.lit(1), F.size(w) - (WORDS - 1))
-    return F.when(F.size(w) >= WORDS, F.transform(at, lambda i: F.xxhash64(*[F.element_at(w, i + n) for n in range(WORDS)]))).otherwise(F.array().cast("array<bigint>"))
+def shingle_hashes(w: Column, length: int = WORDS) -> Column:
+    """Hashes of the shingles of length words of an array of words, in order; none for fewer words than a shingle has."""
+    at = F.sequence(F.lit(1), F.size(w) - (length - 1))
+    return F.when(F.size(w) >= length, F.transform(at, lambda i: F.xxhash64(*[F.element_at(w, i + n) for n in range(length)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def split_words(text: str | Column) -> Column:
@@ -109,17 +114,23 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """template (number), license, shingles (distinct hashes), class. Templates of fewer than five words are refused."""
-    if len(templates) > MOST or any(len(words(t)) < WORDS for _, t in templates):
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] = TEMPLATES, notices: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """template (number), license, shingles (distinct hashes), class. Templates of fewer than five words are refused, as are notices of more."""
+    if len(templates) + len(notices) > MOST or any(len(words(t)) < WORDS for _, t in templates):
         raise ValueError(f"at most {MOST} templates, each of {WORDS} words or more")
-    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates)])
+    if any(not 0 < len(words(t)) < WORDS for _, t in notices):
+        raise ValueError(f"notices have 1 to {WORDS - 1} words")
+    both = [*templates, *notices]
+    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(both)])
     table = spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
-    sizes = F.element_at(F.array(*[F.lit(size_class(len({tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)}))) for w in (words(t) for _, t in templates)]), F.col("template") + 1)
-    return table.withColumn("w", split_words("text")).select("template", "license", F.array_distinct(shingle_hashes(F.col("w"))).alias("shingles"), sizes.alias("class"))
+    sizes = F.element_at(F.array(*[F.lit(size_class(max(1, len({tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)})))) for w in (words(t) for _, t in both)]), F.col("template") + 1)
+    hashes = shingle_hashes(F.col("w"))
+    for n in {len(words(t)) for _, t in notices}:
+        hashes = F.when(F.size("w") == n, shingle_hashes(F.col("w"), n)).otherwise(hashes)
+    return table.withColumn("w", split_words("text")).select("template", "license", F.array_distinct(hashes).alias("shingles"), sizes.alias("class"))
 
 
-def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, notices: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """key, license, containment, start_word: licenses found in the rows of df, each once for a key.
 
     containment is the largest share of one of the license's templates in a window, start_word the first word
@@ -128,13 +139,14 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: s
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    if not templates:
+    if not templates and not notices:
         return rows.filter("false").select(F.col("key").alias(key), F.lit("").alias("license"), F.lit(0e0).alias("containment"), F.lit(0).alias("start_word"))
-    table = template_table(spark, templates)
+    table = template_table(spark, templates, notices)
     # at most MOST templates' shingles
     known = F.broadcast(table.select(F.explode("shingles").alias("shingle"), "class").distinct())
-    held = rows.select("key", once(split_words("text")).alias("w")).filter(F.arrays_overlap("w", F.array(*map(F.lit, anchors(templates, threshold)))))
-    hashed = held.select("key", once(shingle_hashes(F.col("w"))).alias("h")).withColumn("row", F.xxhash64("h"))
+    held = rows.select("key", once(split_words("text")).alias("w")).filter(F.arrays_overlap("w", F.array(*map(F.lit, anchors([*templates, *notices], threshold)))))
+    lengths = sorted({min(WORDS, len(words(t))) for _, t in [*templates, *notices]})
+    hashed = held.select("key", F.xxhash64("w").alias("row"), F.explode(F.array(*[shingle_hashes(F.col("w"), n) for n in lengths])).alias("h"))
     hits = hashed.select("key", "row", "h", F.posexplode("h").alias("place", "shingle")).join(known, "shingle")
     # a place is in two windows: number place / L and the one before
     block = F.floor(F.col("place") / F.col("class")).cast("int")
