@@ -333,6 +333,18 @@ def test_licenses_short_notices(spark):
         licenses.scan(df, notices=[("X", "a notice of five words")])
 
 
+def test_licenses_side_by_side(spark):
+    mit = licenses.TEMPLATES[2][1].replace("restriction", "changed")
+    fill = " ".join(f"f{i}" for i in range(100))
+    gpl = "This work is licensed under the GNU General Public License, version"
+    texts = [f"{mit} {fill} Licensed under CC BY 4.0.", f"Licensed under CC BY 4.0. {mit}", f"{gpl} 3.", f"{mit} {gpl} 2. {fill}"]
+    got = collections.defaultdict(dict)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        got[r["doc_id"]][r["license"]] = r["containment"]
+    assert {k: set(v) for k, v in got.items()} == {0: {"MIT", "CC-BY-4.0"}, 1: {"MIT", "CC-BY-4.0"}, 2: {"GPL-3.0"}, 3: {"MIT", "GPL-2.0"}}
+    assert 0.9 < got[0]["MIT"] < 1 and got[0]["CC-BY-4.0"] == 1
+
+
 def test_licenses_use_no_python(spark):
     plan = licenses.scan(spark.read.parquet(f"{DATA}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)

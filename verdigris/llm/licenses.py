@@ -134,7 +134,8 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: s
     """key, license, containment, start_word: licenses found in the rows of df, each once for a key.
 
     containment is the largest share of one of the license's templates in a window, start_word the first word
-    (from 0) of the first window with that share. Where windows overlap, a license gives way to one that matches better. Null, empty and short texts match nothing; repeated rows and keys
+    (from 0) of the first window with that share. A match gives way to a better one of another license that itself stays,
+    if most of the places in the text that it rests on are the other's too. Null, empty and short texts match nothing; repeated rows and keys
     give one row together; null keys count as one. Without templates nothing is found. Other columns are not read.
     """
     spark = df.sparkSession
@@ -152,20 +153,25 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: s
     block = F.floor(F.col("place") / F.col("class")).cast("int")
     numbered = hits.select("key", "row", "h", "class", F.explode(F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0))))).alias("number"))
     start = F.col("number") * F.col("class")
-    cut = numbered.select("key", "row", "class", start.alias("start"), F.array_sort(F.array_distinct(F.slice("h", start + 1, F.col("class") * 2))).alias("window"))
+    cut = numbered.select("key", "row", "class", start.alias("start"), F.slice("h", start + 1, F.col("class") * 2).alias("window"))
     windows = cut.distinct()
     banded = windows.select("*", F.posexplode(band_minima(F.col("window"))).alias("band", "low"))
     # a row for each template and band: at most MOST x BANDS
     wanted = F.broadcast(table.select("template", "class", F.posexplode(band_minima(F.col("shingles"))).alias("band", "low")))
     retrieved = banded.join(wanted, ["class", "band", "low"]).select("key", "row", "template", "class", "start", "window").distinct()
     verified = retrieved.join(F.broadcast(table.select("template", "license", "shingles")), "template").withColumn("containment", F.size(F.array_intersect("window", "shingles")) / F.size("shingles"))
-    matches = verified.filter(F.col("containment") >= threshold - 1e-9).groupBy("key", "row").agg(F.collect_list(F.struct("license", "containment", "start", "class")).alias("m"))
-
-    def beaten(x: Column) -> Column:
-        """Whether another license matches better in a window that overlaps x's."""
-        return F.exists("m", lambda y: (y["license"] != x["license"]) & (y["containment"] > x["containment"]) & (y["start"] < x["start"] + x["class"] * 2) & (x["start"] < y["start"] + y["class"] * 2))
-
-    found = matches.select("key", F.explode(F.filter("m", lambda x: ~beaten(x))).alias("x")).select("key", "x.*")
+    # places in the text of the window's shingles that are the template's
+    places = F.filter(F.transform("window", lambda x, i: F.when(F.array_contains("shingles", x), F.col("start") + i)), lambda x: x.isNotNull())
+    matches = verified.filter(F.col("containment") >= threshold - 1e-9).withColumn("places", places).groupBy("key", "row").agg(F.collect_list(F.struct((-F.col("containment")).alias("rank"), "license", "containment", "start", "class", "places")).alias("m"))
+
+    def beats(y: Column, x: Column) -> Column:
+        """Whether y, of another license, matches better than x on most of x's places."""
+        apart = (y["start"] >= x["start"] + x["class"] * 2) | (x["start"] >= y["start"] + y["class"] * 2)
+        return (y["license"] != x["license"]) & (y["containment"] > x["containment"]) & ~apart & (F.size(F.array_intersect(x["places"], y["places"])) * 2 > F.size(x["places"]))
+
+    # best first, so that only matches that stay can beat others
+    stay = F.aggregate(F.array_sort("m"), F.filter("m", lambda x: F.lit(False)), lambda kept, x: F.when(F.exists(kept, lambda y: beats(y, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    found = matches.select("key", F.explode(stay).alias("x")).select("key", "x.*")
     best = found.groupBy("key", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("key").alias(key), "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("int").alias("start_word"))
 
