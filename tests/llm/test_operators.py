@@ -465,6 +465,20 @@ def test_fingerprints(spark, docs):
     assert (got.near_edited > got.near_next).mean() > 0.85
 
 
+@pytest.mark.parametrize("n", [60, 800, 3000, 20_000, 150_000])
+def test_likeness_at_every_length(n):
+    f = imatch.Fingerprinter(np.zeros(0, np.uint64))
+    like = {"cut": [], "half": [], "other": []}
+    for seed in range(6):
+        w = [f"{seed}x{i}" for i in range(2 * n)]
+        own, *rest = (f.hashes(" ".join(x)) for x in (w[:n], w[: n - n // 20], w[: n // 2] + w[n : n + n // 2], w[n:]))
+        prints = [imatch.encoded(s, len(h)) for s, h in zip(f.sketches([own, *rest]), [own, *rest])]
+        for kind, other in zip(like, prints[1:]):
+            like[kind].append(imatch.compare(prints[0], other))
+    cut, half, other = (np.mean(x) for x in like.values())
+    assert cut > 0.8 and 0.1 < half < 0.5 and other < 0.05
+
+
 def test_lexicon_is_the_band(spark, docs):
     df = collections.Counter(w for t in docs.text for w in imatch.terms(t))
     n = len(docs)

@@ -5,12 +5,13 @@ LEAST and MOST of them (idf between -ln MOST and -ln LEAST). Its size has a boun
 grow with the data: terms in at least a share LEAST of the rows number at most (mean distinct terms
 of a row) / LEAST.
 
-Each of LEVELS levels deals the lexicon at random into 2^level sub-lexicons, of which up to GROUPS
-are used. A document's distinct terms in a sub-lexicon are sorted and hashed together; the
-fingerprint lists those hashes. Two documents agree in a sub-lexicon only if all their terms there
-are the same, so coarse levels tell equality and fine ones likeness: it is the share of agreeing
+Each level deals the lexicon at random into 2^level sub-lexicons, of which up to GROUPS are used.
+A document's distinct terms in a sub-lexicon are sorted and hashed together; the fingerprint lists
+those hashes of level 0 and of all levels from the document's own on, where it has about one term in
+each or fewer, so that few hold any. Two documents agree in a sub-lexicon only if all their terms
+there are the same, so level 0 tells equality and fine ones likeness: it is the share of agreeing
 sub-lexicons among those that hold a term of either document, at the levels where the larger of
-the two has about one term in each.
+the two has about one term in each. Levels end at LEVELS, beyond any document's number of terms.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from verdigris.llm.common import mix64, texts, tune
 #: Shares of the rows that a term of the lexicon occurs in.
 LEAST, MOST = 0.0005, 0.1
 #: Levels of sub-lexicons; sub-lexicons used of a level; levels that likeness looks at, from the fitting one on.
-LEVELS, GROUPS, FINER = 10, 16, 2
+LEVELS, GROUPS, FINER = 60, 16, 2
 #: Fewer terms than this in the band, and all the document's terms are used instead.
 FEW = 2
 #: Rows of a range of keys, and most ranges.
@@ -124,51 +125,71 @@ class Fingerprinter:
             found = set(map(self.all.__getitem__, words))
         return np.sort(np.fromiter(found, np.uint64, len(found)))
 
-    def sketches(self, documents: list[np.ndarray]) -> np.ndarray:
-        """[document, LEVELS * GROUPS] hashes of the sub-lexicons, 0 where a document has no term."""
-        out = np.zeros((len(documents), LEVELS * GROUPS), np.uint32)
-        sizes = [len(x) for x in documents]
-        if not sum(sizes):
-            return out
+    def sketches(self, documents: list[np.ndarray]) -> list[np.ndarray]:
+        """For each document the sorted entries of its sub-lexicons with terms: level, group (4 bits) and hash (24 bits)."""
+        sizes = np.array([len(x) for x in documents], np.int64)
+        if not sizes.sum():
+            return [np.zeros(0, np.int64) for _ in documents]
         h = np.concatenate(documents)
         doc = np.repeat(np.arange(len(documents)), sizes)
-        for level in range(LEVELS):
-            group = (mix64(h ^ np.uint64(0x5851F42D4C957F2D + level)) >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(h), np.int64)
-            use = group < GROUPS
-            cell = doc[use] * GROUPS + group[use]
-            order = np.argsort(cell, kind="stable")  # terms stay sorted within a cell
-            cell, term = cell[order], h[use][order]
-            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-            rank = np.arange(len(cell)) - np.repeat(start, np.diff(np.r_[start, len(cell)]))
-            with np.errstate(over="ignore"):
-                total = np.add.reduceat(mix64(term + mix64(rank.astype(np.uint64) + np.uint64(level))), start) if len(cell) else np.zeros(0, np.uint64)
-            value = ((mix64(total) >> np.uint64(64 - 4 * _WIDTH)).astype(np.uint32)) | np.uint32(1)
-            out[cell[start] // GROUPS, level * GROUPS + cell[start] % GROUPS] = value
-        return out
+        own = np.array([own_level(int(n)) for n in sizes])
+        found = [_entries(0, doc, np.zeros(len(h), np.int64), h)]
+        # neighbouring levels are dealt independently; every other one goes on with the terms of the groups used so far
+        for first in range(1, 1 + FINER):
+            term, of, deal = h, doc, mix64(h ^ np.uint64(0x5851F42D4C957F2D + first))
+            for level in range(first, LEVELS, FINER):
+                group = deal >> np.uint64(64 - level)
+                use = group < GROUPS
+                term, of, deal, group = term[use], of[use], deal[use], group[use].astype(np.int64)
+                if not len(term):
+                    break
+                fits = own[of] <= level
+                if fits.any():
+                    found.append(_entries(level, of[fits], group[fits], term[fits]))
+        of, entry = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((entry, of))
+        return np.split(entry[order], np.cumsum(np.bincount(of, minlength=len(documents)))[:-1])
+
+
+def own_level(size: int) -> int:
+    """The level at which a document of so many terms has about one in each sub-lexicon."""
+    return min(LEVELS - FINER, max(0, (size - 1).bit_length()))
+
+
+def _entries(level: int, doc: np.ndarray, group: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and entries of a level's sub-lexicons; terms are sorted within a document, and one at least."""
+    cell = doc * GROUPS + group
+    order = np.argsort(cell, kind="stable")  # terms stay sorted within a cell
+    cell, term = cell[order], term[order]
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    rank = np.arange(len(cell)) - np.repeat(start, np.diff(np.r_[start, len(cell)]))
+    with np.errstate(over="ignore"):
+        total = np.add.reduceat(mix64(term + mix64(rank.astype(np.uint64) + np.uint64(level))), start)
+    value = (mix64(total) >> np.uint64(64 - 4 * _WIDTH)).astype(np.int64)
+    return cell[start] // GROUPS, (level * GROUPS + cell[start] % GROUPS) << 4 * _WIDTH | value
 
 
 def likeness(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> float:
     """Likeness of two sketches with the numbers of terms behind them; of two empty ones 1."""
-    size = max(size_a, size_b)
     if not size_a or not size_b:
         return float(size_a == size_b)
     if size_a == size_b and np.array_equal(a, b):
         return 1.0
-    level = min(LEVELS - FINER, max(0, int(np.ceil(np.log2(size)))))
-    part = slice(level * GROUPS, min(LEVELS, level + FINER) * GROUPS)
-    x, y = a[part], b[part]
-    some = (x != 0) | (y != 0)
-    return float(((x == y) & some).sum() / some.sum()) if some.any() else 0.0
+    level = own_level(max(size_a, size_b))
+    ends = np.array([level, level + FINER]) * GROUPS << 4 * _WIDTH
+    x, y = (set(e[slice(*np.searchsorted(e, ends))].tolist()) for e in (a, b))
+    some = len({e >> 4 * _WIDTH for e in x | y})
+    return len(x & y) / some if some else 0.0
 
 
 def encoded(sketch: np.ndarray, size: int) -> str:
-    """A fingerprint as text: the number of terms, then the hashes of each level."""
-    return f"{size:x}:" + sketch.astype(">u4").tobytes().hex()
+    """A fingerprint as text: the number of terms, then the entries, each a level (2 digits), a group and a hash."""
+    return f"{size:x}:" + "".join([f"{e:0{3 + _WIDTH}x}" for e in sketch.tolist()])
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, int]:
     size, _, rest = fingerprint.partition(":")
-    return np.frombuffer(bytes.fromhex(rest), ">u4").astype(np.uint32), int(size, 16)
+    return np.array([int(rest[i : i + 3 + _WIDTH], 16) for i in range(0, len(rest), 3 + _WIDTH)], np.int64), int(size, 16)
 
 
 def compare(one: str, other: str) -> float:
