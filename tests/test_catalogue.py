@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from tests.conftest import DATA
+from verdigris.operators import similarity
 from verdigris.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,6 +35,16 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["nn_cosine", "one_nn_classify", "leakage_experiment", "prototype_margin", "purged_test", "balanced_vs_onehot_cache"])
+def test_query_with_a_large_side(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(similarity, "SIDE", 10)
+    monkeypatch.setattr(similarity.held, "__kwdefaults__", {"most": 10})
+    blocks = [similarity.nearest_in_blocks, similarity.cache_scores_in_blocks]
+    for f in blocks:
+        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], 64))
+    assert rows(catalogue.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(catalogue.ORACLES[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -85,17 +85,79 @@ def held(df: DataFrame, *columns: str, most: int = SIDE) -> pd.DataFrame:
     """A reference side that every task gets: collected only if it has no more than most rows."""
     pdf = df.select(*columns).limit(most + 1).toPandas()
     if len(pdf) > most:
-        raise ValueError(f"the reference side has more than {most} rows; use similar_pairs or nearest_in_blocks")
+        raise ValueError(f"the reference side has more than {most} rows; use similar_pairs, nearest_in_blocks or cache_scores_in_blocks")
     return pdf
 
 
+def fits(side: DataFrame) -> bool:
+    """Whether every task may hold side."""
+    return side.limit(SIDE + 1).count() <= SIDE
+
+
+def _dealt(queries: DataFrame, side: DataFrame, block: int) -> DataFrame:
+    """x, y, id, v, h, extra, asks: rows of queries (columns id, v, h) and side (id, v, extra), dealt to pairs of their blocks."""
+    nx, ny = (max(1, -(-df.count() // block)) for df in (queries, side))
+    own = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = queries.select("id", F.col("v").cast("array<double>").alias("v"), "h", F.lit(None).cast("int").alias("extra"), F.lit(True).alias("asks"), own(nx, "id", "h").alias("x"), all_of(ny).alias("y"))
+    held_ = side.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(0).cast("bigint").alias("h"), F.col("extra").cast("int").alias("extra"), F.lit(False).alias("asks"), all_of(nx).alias("x"), own(ny, "id").alias("y"))
+    return asks.union(held_)
+
+
+def _questions(queries: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, v, h: h tells different vectors of one key apart."""
+    return queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.xxhash64(F.col(vector).cast("array<double>")).alias("h"))
+
+
+def nearest_in_blocks(queries: DataFrame, side: DataFrame, key: str = "vec_id", vector: str = "embedding", carry: str | None = None, block: int = BLOCK) -> DataFrame:
+    """The same as nearest(), for a side of any size: the best of each pair of blocks, then the best of those."""
+    asked = _questions(queries, key, vector)
+    rows = _dealt(asked.dropDuplicates(["id", "h"]), side.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(carry) if carry else F.lit(None)).alias("extra")), block)
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, r = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
+        # of equal vectors the smallest key, so that rounding cannot choose between them
+        r = r[~r["v"].map(lambda v: np.asarray(v, np.float64).tobytes()).duplicated()]
+        if not len(q) or not len(r):
+            return pd.DataFrame(columns=["id", "h", "near_id", "cos", "carry"])
+        v, m = _matrix(q["v"]), _matrix(r["v"])
+        at = (v @ m.T).argmax(1)
+        return pd.DataFrame({"id": q["id"].to_numpy(), "h": q["h"].to_numpy(), "near_id": r["id"].to_numpy()[at], "cos": np.einsum("ij,ij->i", v, m[at]), "carry": r["extra"].array[at]})
+
+    found = rows.groupBy("x", "y").applyInPandas(best, "id bigint, h bigint, near_id bigint, cos double, carry int")
+    top = found.groupBy("id", "h").agg(F.max(F.struct("cos", (-F.col("near_id")).alias("back"), "carry")).alias("top")).select(F.col("id").alias("i2"), F.col("h").alias("h2"), "top")
+    got = asked.join(top, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left")
+    return got.select(F.col("id").alias(key), (-F.col("top.back")).alias("near_id"), F.col("top.cos").alias("cos"), *([F.col("top.carry").alias(f"near_{carry}")] if carry else []))
+
+
+def cache_scores_in_blocks(queries: DataFrame, support: DataFrame, beta: float = 5.0, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
+    """key, class, summed, balanced: cache_scores() of both kinds, for a support set of any size and unique keys of queries."""
+    rows = _dealt(_questions(queries, key, vector), support.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).alias("extra")), block)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, r = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(q) or not len(r):
+            return pd.DataFrame(columns=["id", "class", "part"])
+        classes, of = np.unique(r["extra"].to_numpy(int), return_inverse=True)
+        z = np.exp(-beta * (1 - _matrix(q["v"]) @ _matrix(r["v"]).T)) @ (of[:, None] == np.arange(len(classes))).astype(np.float64)
+        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(classes)), "class": np.tile(classes, len(q)), "part": z.reshape(-1)})
+
+    parts = rows.groupBy("x", "y").applyInPandas(add, "id bigint, class int, part double")
+    counts = support.groupBy(F.col(label).cast("int").alias("class")).agg(F.count("*").alias("n"))
+    summed = parts.groupBy("id", "class").agg(F.sum("part").alias("summed")).join(counts, "class")
+    return summed.select(F.col("id").alias(key), "class", "summed", (F.col("summed") / F.col("n")).alias("balanced"))
+
+
 def nearest(queries: DataFrame, side: DataFrame, key: str = "vec_id", vector: str = "embedding", carry: str | None = None) -> DataFrame:
     """key, near_id, cos (and near_<carry>): the row of side with the largest inner product, ties to the smaller key.
 
-    side is a bounded reference set, held by every task; queries stream through. An empty side gives nulls.
+    A side of at most SIDE rows is held by every task and queries stream through; a larger one is worked through in
+    blocks. An empty side gives nulls.
     """
+    if not fits(side):
+        return nearest_in_blocks(queries, side, key, vector, carry)
     names = [key, vector, *([carry] if carry else [])]
-    ref = held(side, *names).sort_values(key)
+    ref = held(side, *names, most=SIDE).sort_values(key)
     m, ids, extra = _matrix(ref[vector]), ref[key].to_numpy(), ref[carry].to_numpy() if carry else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

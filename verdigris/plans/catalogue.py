@@ -398,8 +398,10 @@ def leakage_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + ITEMS + ", s AS (SELECT * FROM pool), cn AS (SELECT label class, count(*) n FROM s GROUP BY 1), z AS (SELECT q.vec_id, s.label class, sum(exp(-5e0 * (1 - list_inner_product(q.e, s.e)))) z FROM test q, s GROUP BY ALL) SELECT vec_id, class, round(z, 6) summed, round(z / n, 6) balanced FROM z JOIN cn USING (class)")
 def balanced_vs_onehot_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = similarity.held(pool(spark, sf_dir).select("vec_id", "label", F.col("embedding").alias("vec")), "vec_id", "label", "vec")
-    t = tests(spark, sf_dir)
+    p, t = pool(spark, sf_dir), tests(spark, sf_dir)
+    if not similarity.fits(p):
+        return similarity.cache_scores_in_blocks(t, p).select("vec_id", "class", r6("summed"), r6("balanced"))
+    rows = similarity.held(p.select("vec_id", "label", F.col("embedding").alias("vec")), "vec_id", "label", "vec")
     both = similarity.cache_scores(t, rows, balanced=False, name="summed").join(similarity.cache_scores(t, rows, name="balanced"), ["vec_id", "class"])
     return both.select("vec_id", "class", r6("summed"), r6("balanced"))
 
