@@ -259,6 +259,13 @@ def test_classes_odd(spark, odd, none):
     assert kept.columns == odd.columns and sorted(x for x in (r["doc_id"] for r in kept.collect()) if x) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10] or kept.count() >= 10
 
 
+def test_keep_of_repeated_keys(spark):
+    one, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, one), (2, one + " more"), (2, other), (3, other), (4, "something else that is quite different"), (4, "something else that is quite different"), (2, None)]
+    kept = minhash.keep(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, one), (2, ""), (2, other), (4, rows[4][1])]
+
+
 def test_signatures_agree_like_weighted_jaccard():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 40).astype(np.uint64)

@@ -325,6 +325,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     rows without a word (null, empty, or nothing but marks) are each a class of their own. Repeated rows and keys are
     rows of one class. Null keys keep null. Other columns are not read.
     """
+    return classed(df, key, text, threshold).select(F.col("key").alias(key), "class_id")
+
+
+def classed(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """key, same, class_id of every row of df: classes() with the identity of the row's words."""
     spark = df.sparkSession
     tune(spark)
     rows = staged(sketch(df, key, text), "sketches")
@@ -352,7 +357,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     of = nodes.select("node", "rep", "same").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = of.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = of.join(ids, "root").select("same", "class_id")
-    return rows.select("key", "same").join(named, "same", "left").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"))
+    return rows.select("key", "same").join(named, "same", "left").select("key", "same", F.coalesce("class_id", "key").alias("class_id"))
 
 
 def repeated(df: DataFrame, key: str) -> bool:
@@ -360,10 +365,29 @@ def repeated(df: DataFrame, key: str) -> bool:
     return not df.groupBy(F.col(key)).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
+def identities(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, told, same: hash of the text and identity of the words of every row of df."""
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("told"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "told": b.column("told"), "same": pa.array([identity(tokens(t, known)) for t in texts(b)], pa.binary())})
+
+    return rows.mapInArrow(run, "key " + rows.schema["key"].dataType.simpleString() + ", told bigint, same binary")
+
+
 def keep(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all columns as they are, that are their class's: those of its smallest key, one of equal rows."""
-    drop = classes(df, key, text, threshold).filter(F.col("class_id") != F.col(key)).select(F.col(key).alias("__drop")).distinct()
-    drop = staged(drop, "drop")
-    kept = df.join(small(drop), F.col(key).eqNullSafe(F.col("__drop")), "left_anti")
-    return kept.dropDuplicates([key, text]) if repeated(df, key) else kept
+    """The rows of df, all columns as they are, that are their class's: those of its smallest key, one of equal rows.
 
+    Where a key has several texts, each is kept or dropped on its own.
+    """
+    drop = classed(df, key, text, threshold).filter("class_id <> key")
+    if not repeated(df, key):
+        drop = staged(drop.select(F.col("key").alias("__drop")).distinct(), "drop")
+        return df.join(small(drop), F.col(key).eqNullSafe(F.col("__drop")), "left_anti")
+    drop = staged(drop.select("key", "same").distinct(), "drop")
+    some = df.join(small(drop.select(F.col("key").alias("__drop")).distinct()), F.col(key) == F.col("__drop"), "left_semi")
+    told = identities(some, key, text).join(drop, ["key", "same"]).select(F.col("key").alias("__drop"), F.col("told").alias("__told")).distinct()
+    told = staged(told, "told")
+    return df.join(small(told), (F.col(key) == F.col("__drop")) & (F.xxhash64(F.col(text)) == F.col("__told")), "left_anti").dropDuplicates([key, text])
