@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tests.conftest import DATA
-from verdigris.operators import similarity
+from verdigris.operators import graphmethods, similarity
 from verdigris.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,6 +45,17 @@ def test_query_with_a_large_side(spark, duck, name, monkeypatch):
     assert rows(catalogue.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(catalogue.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name, epochs", [("region_graph", 60), ("region_graph_two_caches", 60), ("patch_graph", 20)])
+def test_graph_methods_train_in_full(spark, name, epochs, monkeypatch):
+    def fit(self, *_):
+        raise InterruptedError(self.epochs)
+
+    for cls in (graphmethods.RegionGraph, graphmethods.PatchGraph):
+        monkeypatch.setattr(cls, "fit", fit)
+    with pytest.raises(InterruptedError, match=f"^{epochs}$"):
+        catalogue.QUERIES[f"method_{name}"](spark, DATA)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -485,9 +485,9 @@ def graph_method(name: str, make: Callable[[np.ndarray], graphmethods.RegionGrap
     query()(run)
 
 
-graph_method("region_graph", lambda t: graphmethods.RegionGraph(t, epochs=20))
-graph_method("region_graph_two_caches", lambda t: graphmethods.RegionGraph(t, epochs=20, second=True))
-graph_method("patch_graph", lambda t: graphmethods.PatchGraph(t, epochs=5))
+graph_method("region_graph", lambda t: graphmethods.RegionGraph(t))
+graph_method("region_graph_two_caches", lambda t: graphmethods.RegionGraph(t, second=True))
+graph_method("patch_graph", lambda t: graphmethods.PatchGraph(t))
 
 
 @query("WITH " + ITEMS + ", m AS (SELECT t.vec_id, t.label < 5 pos, max(list_inner_product(t.e, p.e)) FILTER (p.label < 5) - max(list_inner_product(t.e, p.e)) FILTER (p.label >= 5) m FROM test t, pool p GROUP BY ALL), g AS (SELECT unnest(quantile_cont(m, [0.1, 0.3, 0.5, 0.7, 0.9])) t, unnest([10, 30, 50, 70, 90]) pct FROM m), s AS (SELECT pct, t, count(*) FILTER (pos AND m >= t) tp, count(*) FILTER (NOT pos AND m >= t) fp, count(*) FILTER (pos AND m < t) fn, count(*) FILTER (NOT pos AND m < t) tn FROM m, g GROUP BY ALL) SELECT pct, round(t, 6) threshold, round((2 * tp / (2 * tp + fp + fn)::DOUBLE + 2 * tn / (2 * tn + fp + fn)::DOUBLE) / 2, 6) macro_f1 FROM s")
