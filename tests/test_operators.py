@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import vec
 from verdigris.operators import classifiers as cl
-from verdigris.operators import curation, evaluation, graphnet, graphs, ordering, regions, reports, sampling, similarity, splits
+from verdigris.operators import curation, evaluation, graphmethods, graphnet, graphs, ordering, regions, reports, sampling, similarity, splits
+from verdigris.operators.gradients import Var
 from verdigris.plans import runs
 from verdigris.sources import readers
 from verdigris.streaming import logs
@@ -126,14 +127,34 @@ def test_calibration_keeps_what_is_right():
     assert tau > 1 and nll((z + b) / tau) < nll(z)
 
 
+def test_calibration_of_a_table_is_that_of_arrays(spark):
+    """The summed Newton steps against the array's, and against a fine search around the result."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 300)
+    z = 6 * rng.normal(size=(300, 3)) + 4 * cl.one_hot(y, 3) + [1.0, 0, -1]
+    df = spark.createDataFrame([(i, int(y[i]), c, float(z[i, c])) for i in range(300) for c in range(3)], "vec_id int, label int, class int, z double").repartition(3)
+    for bias in (True, False):
+        tau, b = evaluation.fit_temperature(z, y, bias)
+        got = evaluation.fit_calibration(df, 3, with_bias=bias)
+        assert got[0] == pytest.approx(tau, rel=1e-6) and np.allclose(got[1], b, atol=1e-6)
+        loss = lambda t, b: -np.log(cl.softmax((z + b) / t)[np.arange(300), y]).mean() + 1e-3 * (b @ b)  # noqa: B023, E731
+        here = loss(tau, b)
+        assert all(loss(tau * t, b) >= here - 1e-9 for t in (0.97, 1.03)) and (not bias or all(loss(tau, b + s * e) >= here - 1e-9 for e in np.eye(3) for s in (0.05, -0.05)))
+    p = {(r["vec_id"], r["class"]): r["p"] for r in evaluation.calibrated(df, 2.0, np.array([0.5, 0.0, -0.5])).collect()}
+    assert np.allclose([[p[i, c] for c in range(3)] for i in range(300)], cl.softmax((z + [0.5, 0, -0.5]) / 2))
+    assert evaluation.fit_calibration(df.filter("false"), 3)[0] == 1.0
+
+
 def test_attention_ignores_masked_nodes():
-    layer, rng = graphnet.random_layer(8, 2, 4, 0), np.random.default_rng(0)
-    h, e, mask = rng.normal(size=(2, 5, 8)), rng.normal(size=(2, 5, 5, 4)), np.array([[1.0, 1, 1, 0, 0]] * 2)
-    a, _ = layer.weights(h, e, mask)
+    rng = np.random.default_rng(0)
+    net = graphnet.Network(8, hidden=8, rounds=1, heads=2)
+    p = graphmethods.leaves(net.start(rng))
+    nodes = graphnet.Nodes(rng.normal(size=(2, 5, 8)), np.ones((2, 5), int), rng.uniform(size=(2, 5, 5)), np.array([[True] * 3 + [False] * 2] * 2))
+    a = net.attention(p, "0.0", Var(rng.normal(size=(2, 5, 4))), Var(graphnet.relations(nodes)), nodes.live).value
     assert np.allclose(a.sum(-1), 1) and np.all(a[..., 3:] == 0)
-    changed = h.copy()
-    changed[:, 3:] += 9
-    assert np.allclose(layer(h, e, mask)[:, :3], layer(changed, e, mask)[:, :3])
+    changed = graphnet.Nodes(nodes.vector + 9 * ~nodes.live[..., None], nodes.kind, nodes.place, nodes.live)
+    one, other = (net.states(p, x) for x in (nodes, changed))
+    assert np.allclose(one.value[:, :3], other.value[:, :3]) and np.allclose(graphnet.pooled(one, nodes.live, p["ask"]).value, graphnet.pooled(other, nodes.live, p["ask"]).value)
 
 
 def brute_components(n, pairs):
@@ -246,7 +267,10 @@ def test_ground_truth_and_labels(spark):
     got = {r["path"]: r["boxes"] for r in readers.ground_truth(lines).collect()}
     assert sorted(got["a.png"]) == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 9, 9, 9]] and got["b.png"] == []
     paths = spark.createDataFrame([("d/rust/scratch_1.png",), ("d/rust/z.png",), ("d/none/z.png",)], "p string")
-    assert [r[0] for r in paths.select(readers.label_of(F.col("p"), ["rust", "scratch"])).collect()] == ["scratch", "rust", None]
+    paths = paths.withColumnRenamed("p", "path").union(spark.createDataFrame([("Scratch Deep/c1500-x.png",), ("rust/deep/scratch/q.png",), ("rustic.png",), (None,)], "path string"))
+    classes = spark.createDataFrame([(f"c{i}",) for i in range(2000)] + [("Rust",), ("scratch",), ("scratch deep",), ("",), (None,)], "class string")
+    got = {r["path"]: r["label"] for r in readers.labels_of(paths, classes).collect()}
+    assert got == {"d/rust/scratch_1.png": "scratch", "d/rust/z.png": "rust", "d/none/z.png": None, "Scratch Deep/c1500-x.png": "c1500", "rust/deep/scratch/q.png": "scratch", "rustic.png": "rust", None: None}
 
 
 def test_store_and_log(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,37 +96,121 @@ def temperature_grid(df: DataFrame, taus: list[float], key: str = "vec_id", trut
     return each.groupBy("tau").agg(F.avg(F.log(total) - (F.col("own") - F.col("top")) / F.col("tau")).alias("nll"))
 
 
-def fit_temperature(z: np.ndarray, y: np.ndarray, with_bias: bool = True, steps: int = 200, rate: float = 0.05) -> tuple[float, np.ndarray]:
-    """tau and class biases that make softmax((z + b) / tau) likeliest for y, by grid and then Adam on ln tau and b.
+#: Bounds of ln tau, and the weight of the biases' squares in the loss.
+LN_TAU, RIDGE = 3.0, 1e-3
 
-    Unchanged (1, 0) if every row is right already; the grid's tau and no bias if the steps end worse.
+
+def calibration_loss(z: np.ndarray, y: np.ndarray, s: float, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sum over rows of -ln softmax((z + b) e^s)[y], with its gradient and Hessian in (s, b); s is -ln tau.
+
+    With u = z + b and p the probabilities: d/ds = e^s (E u - u_y), d/db = e^s (p - 1_y), and the second derivatives
+    are e^2s (co)variances of u and of the classes under p, plus d/ds once more for s.
+    """
+    u, e, n = z + b, np.exp(s), len(z)
+    w = u * e - (u * e).max(1, keepdims=True)
+    p = np.exp(w)
+    norm = p.sum(1, keepdims=True)
+    p /= norm
+    loss = float((np.log(norm[:, 0]) - w[np.arange(n), y]).sum())
+    mean, hit = (p * u).sum(1), np.zeros_like(p)
+    hit[np.arange(n), y] = 1
+    g = np.r_[e * (mean - u[np.arange(n), y]).sum(), e * (p - hit).sum(0)]
+    h = np.zeros((len(g), len(g)))
+    h[0, 0] = e * e * ((p * u * u).sum(1) - mean**2).sum() + g[0]
+    h[0, 1:] = h[1:, 0] = e * e * (p * (u - mean[:, None])).sum(0) + g[1:]
+    h[1:, 1:] = e * e * (np.diag(p.sum(0)) - p.T @ p)
+    return loss, g, h
+
+
+def newton(step, size: int, rounds: int = 60) -> np.ndarray:
+    """Minimum of a smooth function by damped Newton steps from 0; step(x) gives value, gradient and Hessian.
+
+    Directions of negative curvature are turned round; a step that does not lower the value is halved.
+    """
+    x = np.zeros(size)
+    value, g, h = step(x)
+    for _ in range(rounds):
+        curve, axes = np.linalg.eigh(h)
+        move = -axes @ ((axes.T @ g) / np.maximum(np.abs(curve), 1e-9))
+        if -(g @ move) < 1e-10:
+            break
+        for halving in range(40):
+            new = x + move * 0.5**halving
+            found = step(new)
+            if np.isfinite(found[0]) and found[0] < value:
+                break
+        else:
+            break
+        x, (value, g, h) = new, found
+    return x
+
+
+def fit_temperature(z: np.ndarray, y: np.ndarray, with_bias: bool = True) -> tuple[float, np.ndarray]:
+    """tau and class biases that make softmax((z + b) / tau) likeliest for y, biases held back by RIDGE.
+
+    (1, 0) if every row is right already. The same numbers come from fit_calibration, for tables.
     """
     n, c = z.shape
-    zero = np.zeros(c)
     if not n or (z.argmax(1) == y).all():
-        return 1.0, zero
-
-    def parts(tau: float, b: np.ndarray) -> tuple[float, np.ndarray]:
-        s = (z + b) / tau
-        s = s - s.max(1, keepdims=True)
-        p = np.exp(s)
-        p /= p.sum(1, keepdims=True)
-        return float(-np.log(np.maximum(p[np.arange(n), y], 1e-300)).mean()), p
-
-    grid = np.logspace(-1.3, 1.3, 53)
-    start = float(min(grid, key=lambda t: parts(t, zero)[0]))
-    x, m, v = np.r_[np.log(start), zero], np.zeros(c + 1), np.zeros(c + 1)
-    for i in range(1, steps + 1):
-        tau, b = float(np.exp(np.clip(x[0], -3, 3))), x[1:]
-        p = parts(tau, b)[1]
-        p[np.arange(n), y] -= 1
-        g = np.r_[-(p * (z + b)).sum() / n / tau, p.sum(0) / n / tau + 2e-3 * b if with_bias else zero]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        x = x - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
-    tau, b = float(np.exp(np.clip(x[0], -3, 3))), x[1:]
-    if not np.isfinite(x).all() or parts(tau, b)[0] > parts(start, zero)[0]:
-        tau, b = start, zero
-    return (tau, b) if np.isfinite(parts(tau, b)[0]) else (1.0, zero)
+        return 1.0, np.zeros(c)
+    return _calibrated(lambda s, b: calibration_loss(z, y, s, b), n, c, with_bias)
+
+
+def _calibrated(summed, n: int, c: int, with_bias: bool) -> tuple[float, np.ndarray]:
+    """The fit on sums over n rows: summed(s, b) gives loss, gradient and Hessian."""
+    free = 1 + c * with_bias
+
+    def step(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        b = x[1:] if with_bias else np.zeros(c)
+        if abs(x[0]) > LN_TAU:
+            return np.inf, x, np.eye(free)
+        loss, g, h = summed(x[0], b)
+        g, h = g[:free] / n, h[:free, :free] / n
+        g[1:] += 2 * RIDGE * x[1:]
+        h[1:, 1:] += 2 * RIDGE * np.eye(free - 1)
+        return loss / n + RIDGE * float(x[1:] @ x[1:]), g, h
+
+    x = newton(step, free)
+    return float(np.exp(-x[0])), x[1:] if with_bias else np.zeros(c)
+
+
+def fit_calibration(df: DataFrame, classes: int, key: str = "vec_id", truth: str = "label", z: str = "z", with_bias: bool = True) -> tuple[float, np.ndarray]:
+    """fit_temperature over a table of scores (key, class, z, truth) of any size: each Newton step is one pass over Arrow
+    batches that gives a task's sums. (1, 0) if all rows are right already, or there are none. Rows that lack a class's
+    score count it as impossible."""
+    wide = df.groupBy(key, truth).agg(F.map_from_entries(F.collect_list(F.struct(F.col("class").cast("int"), F.col(z).cast("double")))).alias("zs"))
+    wide = wide.select(F.col(truth).cast("int").alias("y"), F.array(*[F.coalesce(F.element_at("zs", c), F.lit(-1e30)) for c in range(classes)]).alias("zs"))
+    kept = wide.persist()
+
+    def sums(s: float, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int, int]:
+        def run(batches):
+            total, rows, right = np.zeros(1 + (classes + 1) + (classes + 1) ** 2), 0, 0
+            for batch in batches:
+                if batch.num_rows:
+                    y = batch.column("y").to_numpy(zero_copy_only=False)
+                    m = np.stack(batch.column("zs").to_numpy(zero_copy_only=False))
+                    loss, g, h = calibration_loss(m, y, s, b)
+                    total += np.r_[loss, g, h.ravel()]
+                    rows, right = rows + len(y), right + int((m.argmax(1) == y).sum())
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(total) + 2, dtype=np.int32)), "v": pa.array(np.r_[total, rows, right])})
+
+        got = kept.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        v = np.array([r["v"] for r in sorted(got)]) if got else np.zeros(3 + (classes + 1) + (classes + 1) ** 2)
+        return float(v[0]), v[1 : classes + 2], v[classes + 2 : -2].reshape(classes + 1, classes + 1), int(v[-2]), int(v[-1])
+
+    try:
+        *_, n, right = sums(0.0, np.zeros(classes))
+        if right == n:
+            return 1.0, np.zeros(classes)
+        return _calibrated(lambda s, b: sums(s, b)[:3], n, classes, with_bias)
+    finally:
+        kept.unpersist()
+
+
+def calibrated(df: DataFrame, tau: float, bias: np.ndarray, key: str = "vec_id", z: str = "z", name: str = "p") -> DataFrame:
+    """df with softmax((z + bias of the class) / tau) for each class of a key."""
+    with_bias = df.withColumn("_z", F.col(z) + F.element_at(F.array(*[F.lit(float(x)) for x in bias]), F.col("class").cast("int") + 1))
+    return softmax(with_bias, key, "_z", name, tau).drop("_z")
 
 
 def agreement(runs: list[tuple[str, DataFrame]], truth: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:

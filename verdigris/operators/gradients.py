@@ -79,6 +79,12 @@ class Var:
         s = 1 / (1 + np.exp(-np.clip(self.value, -60, 60)))
         return self._map(s, s * (1 - s))
 
+    def gelu(self) -> Var:
+        """x times about the share of a standard normal below x (by tanh)."""
+        x = self.value
+        t = np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3))
+        return self._map(x * (1 + t) / 2, (1 + t) / 2 + x * (1 - t * t) / 2 * np.sqrt(2 / np.pi) * (1 + 0.134145 * x * x))
+
     def sum(self, axis: int = -1, keep: bool = True) -> Var:
         back = lambda g: np.broadcast_to(g if keep else np.expand_dims(g, axis), self.shape)
         return Var(self.value.sum(axis, keepdims=keep), ((self, back),))

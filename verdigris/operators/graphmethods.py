@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
 from verdigris.operators.classifiers import SCALE, SHARPNESS, WEIGHTS, first_best, macro_f1, one_hot, per_class, softmax, unit
-from verdigris.operators.gradients import Adam, Var, cross_entropy, joined
-from verdigris.operators.graphnet import box_relations
+from verdigris.operators.gradients import Adam, Var, cross_entropy
+from verdigris.operators.graphnet import OBJECT, TEXT, WHOLE, Network, Nodes, pooled
+
+# The grid of the second cache's weight and sharpness, the share of label smoothing, the epochs of the second keys.
+SECOND_WEIGHTS, SECOND_SHARPNESS = (0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0), (1.0, 3.0, 5.0, 7.0, 9.0)
+SMOOTHING, SECOND_EPOCHS = 0.1, 20
 
 
 @dataclass
 class Parts:
-    """Items x [n, d] with labels y, their nodes [n, k, d], mask [n, k] and geometry [n, k, 6] (centre, size, score, kind), and a second backbone."""
+    """Items x [n, d] with labels y, their nodes [n, k, d], mask [n, k] and geometry [n, k, 6] (centre, size, score, kind);
+    a second backbone's vectors, and further views of each item [n, v, d] to train with."""
 
     x: np.ndarray
     y: np.ndarray
@@ -22,145 +27,208 @@ class Parts:
     mask: np.ndarray
     geometry: np.ndarray
     x2: np.ndarray | None = None
+    views: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.y)
 
-    def only(self, kinds: tuple[int, ...] | None = None, most: int | None = None) -> Parts:
-        """With nodes of other kinds masked (objects, kind 1, always stay), and the first nodes only."""
-        mask = self.mask if kinds is None else self.mask * np.isin(self.geometry[..., 5], (1, *kinds))
-        k = self.nodes.shape[1] if most is None else 1 + most
-        return Parts(self.x, self.y, self.nodes[:, :k], mask[:, :k], self.geometry[:, :k], self.x2)
+    def cut(self, rows: int = 512) -> list[Parts]:
+        """In slices, one at least, so that a pass holds the graphs of a slice only."""
+        part = lambda x, i: None if x is None else x[i : i + rows]
+        return [Parts(*(part(x, i) for x in (self.x, self.y, self.nodes, self.mask, self.geometry, self.x2, self.views))) for i in range(0, max(1, len(self)), rows)]
 
+    def seen(self, rng: np.random.Generator, drop: float) -> Parts:
+        """As an epoch of training sees them: one view of each item at random, a share of the nodes left out."""
+        x = self.x if self.views is None else self.views[np.arange(len(self)), rng.integers(0, self.views.shape[1], len(self))]
+        return replace(self, x=x, mask=self.mask * (rng.random(self.mask.shape) >= drop))
 
-class RegionGraph:
-    """Zero-shot, cache and prototype scores, where a graph over the item's regions and the class texts refines the cache
-    keys and makes prototypes of its own for each item. query_graph: whether queries are refined as well; second: a cache of
-    the second backbone's support rows besides."""
 
-    def __init__(self, text: np.ndarray, hidden: int = 32, layers: int = 2, heads: int = 4, epochs: int = 60, rate: float = 1e-3, drop: float = 0.2, query_graph: bool = False, texts: bool = True, gate: bool = True, places: bool = True, second: bool = False, seed: int = 0):
-        self.text, self.hidden, self.layers, self.heads, self.epochs, self.rate, self.drop = text, hidden, layers, heads, epochs, rate, drop
-        self.query_graph, self.texts, self.gate, self.places, self.second, self.seed = query_graph, texts, gate, places, second, seed
+@dataclass
+class RegionGraph:
+    """An item's regions and the class texts as one graph. It moves the item's vector and, item by item, the texts.
+
+    Scores are the sum of: text (SCALE cos with the class texts), cache (weight times the votes of the support set's
+    moved vectors), prototype (a learned share of SCALE cos with the moved texts) and, with second, the votes of a
+    second backbone's support vectors. moved_queries: whether the moved vector asks, or the plain one; texts: whether
+    class texts are nodes; kinds: the regions that are looked at besides the object; most: how many nodes of an item.
+    """
+
+    text: np.ndarray
+    hidden: int = 256
+    rounds: int = 2
+    heads: int = 4
+    epochs: int = 60
+    rate: float = 1e-3
+    drop: float = 0.2
+    moved_queries: bool = True
+    texts: bool = True
+    gated: bool = True
+    placed: bool = True
+    kinds: tuple[int, ...] | None = None
+    most: int | None = None
+    second: bool = False
+    seed: int = 0
+    params: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self) -> None:
+        self.network = Network(self.text.shape[1], self.hidden, self.rounds, self.heads, self.gated, self.placed)
 
     def start(self) -> dict[str, np.ndarray]:
-        d, h, rng = self.text.shape[1], self.hidden, np.random.default_rng(self.seed)
-        draw = lambda *s: rng.uniform(-1, 1, s) / np.sqrt(s[0])
-        p = {"in": draw(d, h), "kind": 0.1 * rng.normal(size=(5, h)), "place": draw(5, h), "place2": draw(h, h), "query": draw(h, 1), "out": 0.1 * draw(3 * h, d), "text_out": 0.1 * draw(h, d), "weight": np.array([5.0]), "sharp": np.array([5.0]), "share": np.array([0.5])}
-        for i in range(self.layers):
-            p |= {f"w{i}": draw(h, h), f"from{i}": 0.1 * rng.normal(size=(self.heads, h // self.heads)), f"to{i}": 0.1 * rng.normal(size=(self.heads, h // self.heads)), f"edge{i}": draw(4, self.heads), f"gate{i}": draw(2 * h, h), f"bias{i}": np.zeros(h), f"gain{i}": np.ones(h), f"shift{i}": np.zeros(h)}
-        return p
-
-    def refine(self, p: dict[str, Var], b: Parts, rng: np.random.Generator | None = None) -> tuple[Var, Var | None]:
-        """Refined vectors [n, d] and prototypes [n, classes, d]; with rng, nodes are dropped at random."""
-        n, c = len(b.x), len(self.text)
-        items = np.concatenate([b.x[:, None], b.nodes], 1)
-        mask = np.concatenate([np.ones((n, 1)), b.mask], 1)
-        if rng is not None:
-            mask = mask * np.concatenate([np.ones((n, 1)), rng.random(b.mask.shape) > self.drop], 1)
-        geometry = np.concatenate([np.broadcast_to([0.5, 0.5, 1.0, 1.0, 1.0, 0.0], (n, 1, 6)), b.geometry], 1)
-        kinds = np.eye(5)[geometry[..., 5].astype(int).clip(0, 3)]
-        h = Var(items) @ p["in"] + Var(kinds) @ p["kind"]
-        if self.places:
-            h = h + (Var(geometry[..., :5]) @ p["place"]).leaky() @ p["place2"]
-        cos = items @ items.transpose(0, 2, 1)
-        edges = np.stack([*(x * self.places for x in box_relations(geometry)), cos], -1)
-        k = items.shape[1]
+        rng, d = np.random.default_rng(self.seed), self.text.shape[1]
+        small = lambda rows: rng.normal(0, 0.1 / np.sqrt(rows), (rows, d))
+        p = self.network.start(rng) | {"move": small(3 * self.hidden), "weight": np.array([5.0]), "sharp": np.array([5.0])}
+        return p | ({"move_text": small(self.hidden), "share": np.array([0.5])} if self.texts else {})
+
+    @property
+    def size(self) -> int:
+        """The number of trained values."""
+        return sum(v.size for v in (self.params or self.start()).values())
+
+    def graph(self, b: Parts) -> tuple[Nodes, int]:
+        """The items' node tables, and how many of the nodes, from the first, are of the picture."""
+        k = b.nodes.shape[1] if self.most is None else min(b.nodes.shape[1], self.most)
+        kind = b.geometry[:, :k, 5].astype(int).clip(WHOLE, TEXT - 1)
+        live = b.mask[:, :k] > 0
+        if self.kinds is not None:
+            live = live & np.isin(kind, (OBJECT, *self.kinds))
+        tables = [Nodes.alike(b.x[:, None], WHOLE, (0.5, 0.5, 1.0, 1.0, 1.0)), Nodes(b.nodes[:, :k], kind, b.geometry[:, :k, :5], live)]
         if self.texts:
-            h = joined([h, Var(np.broadcast_to(self.text, (n, *self.text.shape))) @ p["in"] + p["kind"][4:5]], 1)
-            wide = np.zeros((n, k + c, k + c, 4))
-            wide[:, :k, :k] = edges
-            wide[:, :k, k:, 3] = items @ self.text.T
-            wide[:, k:, :k, 3] = wide[:, :k, k:, 3].transpose(0, 2, 1)
-            wide[:, k:, k:, 3] = self.text @ self.text.T
-            edges, all_mask = wide, np.concatenate([mask, np.ones((n, c))], 1)
-        else:
-            all_mask = mask
-        size = h.shape[1]
-        for i in range(self.layers):
-            v = (h @ p[f"w{i}"]).reshape(n, size, self.heads, -1)
-            s = (v * p[f"from{i}"]).sum(-1, False).transpose(0, 2, 1).reshape(n, self.heads, size, 1) + (v * p[f"to{i}"]).sum(-1, False).transpose(0, 2, 1).reshape(n, self.heads, 1, size)
-            s = (s + (Var(edges) @ p[f"edge{i}"]).transpose(0, 3, 1, 2)).leaky(0.2).softmax(np.broadcast_to(all_mask[:, None, None, :], s.shape))
-            m = (s @ v.transpose(0, 2, 1, 3)).transpose(0, 2, 1, 3).reshape(n, size, self.hidden)
-            if self.gate:
-                z = (joined([h, m], 2) @ p[f"gate{i}"] + p[f"bias{i}"]).sigmoid()
-                h = (z * m + (1.0 - z) * h).normed(p[f"gain{i}"], p[f"shift{i}"])
-            else:
-                h = (m + h).normed(p[f"gain{i}"], p[f"shift{i}"])
-        image = h[:, :k]
-        live = mask[..., None]
-        mean = (image * live).sum(1, False) * (1.0 / np.maximum(1, mask.sum(1))[:, None])
-        top = (image + np.where(live > 0, 0.0, -1e4)).max(1)
-        a = (image @ p["query"]).reshape(n, k).softmax(mask).reshape(n, k, 1)
-        pooled = joined([mean, top, (a * image).sum(1, False)], 1)
-        refined = (Var(b.x) + pooled @ p["out"]).unit()
-        return refined, (Var(np.broadcast_to(self.text, (n, *self.text.shape))) + h[:, k:] @ p["text_out"]).unit() if self.texts else None
-
-    def scores(self, p: dict[str, Var], b: Parts, refined: Var, prototypes: Var | None, keys: Var, keys2: Var | None) -> Var:
-        query = refined if self.query_graph else Var(b.x)
-        z = Var(SCALE * b.x @ self.text.T) + p["weight"] * (((query @ keys.transpose(1, 0)) - 1.0) * p["sharp"]).exp() @ self.values
-        if self.second:
-            z = z + 2.5 * (((Var(b.x2) @ keys2.transpose(1, 0)) - 1.0) * p["sharp"]).exp() @ self.values
-        if prototypes is not None:
-            n, c, d = prototypes.shape
-            z = z + p["share"] * SCALE * (query.reshape(n, 1, d) * prototypes).sum(-1, False)
-        return z
+            tables.append(Nodes.alike(np.broadcast_to(self.text, (len(b), *self.text.shape)), TEXT))
+        return Nodes.side_by_side(tables), 1 + k
+
+    def moved(self, p: dict[str, Var], b: Parts) -> tuple[Var, Var | None]:
+        """The items' vectors [n, d] and, if texts are nodes, their own class texts [n, classes, d]."""
+        nodes, pictured = self.graph(b)
+        h = self.network.states(p, nodes)
+        item = (Var(b.x) + pooled(h[:, :pictured], nodes.live[:, :pictured], p["ask"]) @ p["move"]).unit()
+        return item, (Var(nodes.vector[:, pictured:]) + h[:, pictured:] @ p["move_text"]).unit() if self.texts else None
+
+    def terms(self, p: dict[str, Var], b: Parts, keys: Var) -> dict[str, Var]:
+        """[n, classes] parts of the scores, by name."""
+        item, own_texts = self.moved(p, b) if self.texts or self.moved_queries else (None, None)
+        asks = item if self.moved_queries else Var(b.x)
+        out = {"text": Var(SCALE * b.x @ self.text.T), "cache": p["weight"] * votes(asks, keys, p["sharp"], self.values)}
+        if own_texts is not None:
+            n, c, d = own_texts.shape
+            out["prototype"] = p["share"] * SCALE * (own_texts @ asks.reshape(n, d, 1)).reshape(n, c)
+        return out
 
     def fit(self, support: Parts, validation: Parts) -> RegionGraph:
+        """Trained to tell the support set; of every fifth epoch the best on validation, then weight and sharpness by grid."""
         self.values = per_class(one_hot(support.y, len(self.text)))
-        params, rng = self.start(), np.random.default_rng(self.seed)
-        if self.second:
-            params["keys2"] = unit(support.x2)
-        opt = Adam(params, self.rate, self.epochs)
+        self.second_keys, self.second_option = None, (0.0, 1.0)
+        rng, opt = np.random.default_rng(self.seed + 1), Adam(self.start(), self.rate, self.epochs)
 
         def loss(p: dict[str, Var]) -> Var:
-            keys, _ = self.refine(p, support, rng)
-            refined, prototypes = self.refine(p, support, rng)
-            return cross_entropy(self.scores(p, support, refined, prototypes, keys, p.get("keys2")), support.y, 0.1)
+            keys = self.moved(p, support.seen(rng, self.drop))[0]
+            return cross_entropy(total(self.terms(p, support.seen(rng, self.drop), keys)), support.y, SMOOTHING)
 
-        best = None
-        for epoch in range(1, self.epochs + 1):
+        kept: tuple[float, dict[str, np.ndarray]] = (-1.0, opt.params)
+        for epoch in range(self.epochs):
             opt.step(loss)
-            if len(validation) and (epoch % 5 == 0 or epoch == self.epochs):
-                self.freeze(opt.params, support)
-                score = self.f1(validation)
-                if best is None or score > best[0]:
-                    best = (score, {k: v.copy() for k, v in opt.params.items()})
-        self.freeze(best[1] if best else opt.params, support)
+            if len(validation) and (epoch % 5 == 4 or epoch == self.epochs - 1):
+                self.settle(opt.params, support)
+                kept = max(kept, (self.f1(validation), {k: v.copy() for k, v in opt.params.items()}), key=lambda x: x[0])
+        self.settle(kept[1] if len(validation) else opt.params, support)
+        if self.second:
+            self.second_keys = self.train_second(support)
         if len(validation):
-            def score(o: tuple) -> float:
-                self.params |= {"weight": np.array([float(o[0])]), "sharp": np.array([float(o[1])])}
-                return self.f1(validation)
-
-            o = first_best(list(itertools.product(WEIGHTS, SHARPNESS)), score)
-            self.params |= {"weight": np.array([float(o[0])]), "sharp": np.array([float(o[1])])}
+            self.tune(validation)
         return self
 
-    def freeze(self, params: dict[str, np.ndarray], support: Parts) -> None:
+    def settle(self, params: dict[str, np.ndarray], support: Parts) -> None:
+        """Take parameters over, and the support set's vectors as they move it."""
         self.params = dict(params)
-        self.keys = self.refine({k: Var(v) for k, v in self.params.items()}, support)[0].value
+        self.keys = self.moved(leaves(self.params), support)[0].value
+
+    def train_second(self, support: Parts) -> np.ndarray:
+        """The second backbone's support vectors, trained as keys against the scores of all else."""
+        base, opt = self.logits(replace(support, x2=None)), Adam({"keys": unit(support.x2)}, self.rate, SECOND_EPOCHS)
+        for _ in range(SECOND_EPOCHS):
+            opt.step(lambda p: cross_entropy(Var(base) + 5.0 * votes(Var(unit(support.x2)), p["keys"].unit(), 5.0, self.values), support.y, SMOOTHING))
+        return unit(opt.params["keys"])
+
+    def tune(self, validation: Parts) -> None:
+        """Weight and sharpness of the cache, then of the second one, by macro-F1 on validation; the first of equal ones."""
+        p, right = leaves(self.params), lambda z: macro_f1(z.argmax(1), validation.y, len(self.text))
+        parts = self.explained(replace(validation, x2=None))
+        rest = sum(v for k, v in parts.items() if k != "cache")
+        asks = Var(np.concatenate([self.moved(p, x)[0].value for x in validation.cut()]) if self.moved_queries else validation.x)
+        said = {s: votes(asks, Var(self.keys), s, self.values).value for s in SHARPNESS}
+        weight, sharp = first_best(list(itertools.product(WEIGHTS, SHARPNESS)), lambda o: right(rest + o[0] * said[o[1]]))
+        self.params |= {"weight": np.array([float(weight)]), "sharp": np.array([float(sharp)])}
+        if self.second:
+            base = rest + weight * said[sharp]
+            other = {s: votes(Var(unit(validation.x2)), Var(self.second_keys), s, self.values).value for s in SECOND_SHARPNESS}
+            self.second_option = first_best(list(itertools.product(SECOND_WEIGHTS, SECOND_SHARPNESS)), lambda o: right(base + o[0] * other[o[1]]))
+
+    def explained(self, b: Parts) -> dict[str, np.ndarray]:
+        """The parts of the scores by name; they add up to the logits."""
+        p, keys = leaves(self.params), Var(self.keys)
+        slices = [{k: v.value for k, v in self.terms(p, x, keys).items()} for x in b.cut()]
+        out = {k: np.concatenate([x[k] for x in slices]) for k in slices[0]}
+        if self.second_keys is not None and b.x2 is not None:
+            weight, sharp = self.second_option
+            out["second"] = weight * votes(Var(unit(b.x2)), Var(self.second_keys), sharp, self.values).value
+        return out
 
     def logits(self, b: Parts) -> np.ndarray:
-        p = {k: Var(v) for k, v in self.params.items()}
-        refined, prototypes = self.refine(p, b)
-        return self.scores(p, b, refined, prototypes, Var(self.keys), p.get("keys2")).value
+        return sum(self.explained(b).values())
 
     def f1(self, b: Parts) -> float:
         return macro_f1(self.logits(b).argmax(1), b.y, len(self.text)) if len(b) else 0.0
 
     def importance(self, b: Parts) -> np.ndarray:
         """[n, k]: how much the predicted class's margin falls without a node; 0 for nodes that are masked already."""
+        n, k = b.mask.shape
         pred = self.logits(b).argmax(1)
-
-        def margin(mask: np.ndarray) -> np.ndarray:
-            z = self.logits(Parts(b.x, b.y, b.nodes, mask, b.geometry, b.x2))
-            own = z[np.arange(len(z)), pred]
-            z[np.arange(len(z)), pred] = -np.inf
-            return own - z.max(1)
-
-        whole, out = margin(b.mask), np.zeros(b.mask.shape)
-        for j in range(b.mask.shape[1]):
-            out[:, j] = np.where(b.mask[:, j] > 0, whole - margin(b.mask * (np.arange(b.mask.shape[1]) != j)), 0.0)
-        return out
+        # every item once whole and once without each of its nodes
+        each = lambda x: None if x is None else np.repeat(x, k + 1, 0)
+        without = (each(b.mask).reshape(n, k + 1, k) * (1 - np.eye(k + 1, k, -1))).reshape(-1, k)
+        z = self.logits(Parts(each(b.x), each(b.y), each(b.nodes), without, each(b.geometry), each(b.x2))).reshape(n, k + 1, -1)
+        chosen = np.arange(z.shape[2]) == pred[:, None, None]
+        margin = np.where(chosen, z, -np.inf).max(2) - np.where(chosen, -np.inf, z).max(2)
+        return np.where(b.mask > 0, margin[:, :1] - margin[:, 1:], 0.0)
+
+
+def leaves(params: dict[str, np.ndarray]) -> dict[str, Var]:
+    return {k: Var(v) for k, v in params.items()}
+
+
+def total(parts: dict[str, Var]) -> Var:
+    first, *rest = parts.values()
+    for x in rest:
+        first = first + x
+    return first
+
+
+def votes(asks: Var, keys: Var, sharp: Var | float, values: np.ndarray) -> Var:
+    """[n, classes]: exp(-sharp (1 - cos)) of each key, shared out to its class."""
+    return ((asks @ keys.transpose(1, 0) - 1.0) * sharp).exp() @ values
+
+
+# What each ablation and each candidate of the selection changes in RegionGraph.
+ABLATIONS: dict[str, dict] = {
+    "full": {},
+    "no-text-nodes": {"texts": False},
+    "no-gate": {"gated": False},
+    "no-geometry": {"placed": False},
+    "object-only": {"most": 1},
+    "instances-only": {"kinds": (2,)},
+    "spots-only": {"kinds": (3,)},
+    "train-only-graph": {"moved_queries": False},
+}
+CANDIDATES: dict[str, dict] = {
+    "full": {},
+    "train-only-graph": {"moved_queries": False},
+    "no-geometry": {"placed": False},
+    "spots-only": {"kinds": (3,)},
+    "train-only+no-geometry": {"moved_queries": False, "placed": False},
+    "full-H128": {"hidden": 128},
+    "train-only-graph-H128": {"moved_queries": False, "hidden": 128},
+    "full+second-cache": {"second": True},
+    "train-only-graph+second-cache": {"moved_queries": False, "second": True},
+}
 
 
 class PatchGraph:
@@ -203,9 +271,6 @@ class PatchGraph:
         c = h - h.mean(1)
         return ((c * c).sum(1, False) * (1.0 / max(1, h.shape[1] - 1)) + 1e-12).power(0.5)
 
-    def votes(self, q: Var, keys: Var, sharp: float) -> Var:
-        return ((q @ keys.transpose(1, 0) - 1.0) * sharp).exp() @ self.values
-
     def fit(self, support: Parts, validation: Parts) -> PatchGraph:
         """The epoch of best validation macro-F1 stays, 0 included; then weight and sharpness by grid."""
         self.values = per_class(one_hot(support.y, len(self.text)))
@@ -213,7 +278,7 @@ class PatchGraph:
 
         def loss(p: dict[str, Var]) -> Var:
             q = self.refined(p, support.nodes) if self.graph else Var(support.x)
-            return cross_entropy(SCALE * (q @ self.text.T) + self.weight * self.votes(q, p["keys"], self.sharp), support.y)
+            return cross_entropy(SCALE * (q @ self.text.T) + self.weight * votes(q, p["keys"], self.sharp, self.values), support.y)
 
         best = None
         for epoch in range(self.epochs + 1):
@@ -240,5 +305,25 @@ class PatchGraph:
         return macro_f1(self.logits(b).argmax(1), b.y, len(self.text)) if len(b) else 0.0
 
 
+# The configurations of the patch graph that are compared, and the weights and sharpnesses trained with.
+CONFIGURATIONS: dict[str, dict] = {
+    "exact": {},
+    "additive": {"mode": "additive"},
+    "multiplicative": {"mode": "multiplicative"},
+    "no-edges": {"mode": "no_edges"},
+    "min-max-softmax": {"pools": ("min", "max", "softmax")},
+    "last-identity": {"last": "identity"},
+    "no-graph": {"graph": False},
+}
+TRAINED_WITH = ((1.0, 1.0), (10.0, 1.0), (10.0, 5.0))
+
+
+def select_patch_graph(text: np.ndarray, support: Parts, validation: Parts, epochs: int = 20, **options) -> tuple[PatchGraph, list[dict]]:
+    """The patch graph of best validation macro-F1 over one and two layers and TRAINED_WITH, the first of equal ones; and all of them as rows."""
+    tried = [PatchGraph(text, layers=n, weight=a, sharp=b, epochs=epochs, **options).fit(support, validation) for n in (1, 2) for a, b in TRAINED_WITH]
+    rows = [{"layers": m.layers, "weight": m.weight, "sharp": m.sharp, "best_epoch": m.best_epoch, "val_f1": m.f1(validation)} for m in tried]
+    return first_best(tried, lambda m: m.f1(validation)), rows
+
+
 def probabilities(method: RegionGraph | PatchGraph, b: Parts) -> np.ndarray:
     return softmax(method.logits(b))

@@ -440,20 +440,32 @@ for _name in ("linear_probe", "trained_cache", "two_caches", "task_residual", "f
     method_query(_name)
 
 
-@query()
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), n AS (SELECT vec_id, i, e[i * 16 - 15:i * 16] v FROM v, range(1, 5) t(i) UNION ALL SELECT vec_id, 0, list_transform(range(1, 17), lambda k: (e[k] + e[k + 16] + e[k + 32] + e[k + 48]) / 4) FROM v), r AS (SELECT a.vec_id, a.i, b.v, list_inner_product(a.v, b.v) d FROM n a JOIN n b USING (vec_id)), x AS (SELECT vec_id, i, v, exp(CASE WHEN d > 0 THEN d ELSE 0.2e0 * d END) x FROM r), w AS (SELECT vec_id, i, v, x / sum(x) OVER (PARTITION BY vec_id, i) a FROM x), m AS (SELECT vec_id, i, k, sum(a * v[k]) m FROM w, range(1, 17) t(k) GROUP BY ALL), z AS (SELECT vec_id, i, k, m + v[k] z FROM m JOIN n USING (vec_id, i)), h AS (SELECT vec_id, i, k, (z - avg(z) OVER p) / sqrt(var_pop(z) OVER p + 1e-5) h FROM z WINDOW p AS (PARTITION BY vec_id, i)), q AS (SELECT vec_id, i, exp(h) q FROM h WHERE k = 1), s AS (SELECT vec_id, i, q / sum(q) OVER (PARTITION BY vec_id) s FROM q), o AS (SELECT vec_id, k, avg(h) a, max(h) b, sum(s * h) c FROM h JOIN s USING (vec_id, i) GROUP BY ALL) SELECT vec_id, round(sqrt(sum(a * a)), 6) mean_norm, round(sqrt(sum(b * b)), 6) max_norm, round(sqrt(sum(c * c)), 6) asked_norm FROM o GROUP BY 1")
 def gated_graph_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item as a graph of its whole and four regions (its vector's quarters), through one attention layer."""
-    layer = graphnet.random_layer(16, 4, 4, 3)
+    """Each item as a graph of its whole and four regions (its vector's quarters) through one round of attention by
+    cosine, then pooled: the network's own code with plain parameters, so that SQL can say the same."""
+    net = graphnet.Network(16, hidden=16, rounds=1, heads=1, gated=False, placed=False)
+    plain = {k: np.zeros_like(v) for k, v in net.start(np.random.default_rng(0)).items()}
+    plain |= {"enter": np.eye(16), "0.0.value": np.eye(16), "0.0.relation": np.eye(4)[:, 3:], "0.gain": np.ones(16), "ask": np.eye(16)[:, :1]}
 
     def run(pdfs):
+        p = graphmethods.leaves(plain)
         for pdf in pdfs:
             v = np.stack(pdf["embedding"].to_list()).astype(float).reshape(-1, 4, 16)
-            box = np.abs(v[..., :5])
-            h, e, mask = graphnet.image_graph(v.mean(1), v, np.ones(v.shape[:2]), box)
-            out = graphnet.pooled(layer(h, e, mask), mask, np.ones(16))
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "norm": np.round(np.linalg.norm(out, axis=1), 6)})
+            nodes = graphnet.Nodes.side_by_side([graphnet.Nodes.alike(v.mean(1, keepdims=True), graphnet.WHOLE), graphnet.Nodes.alike(v, graphnet.INSTANCE)])
+            out = graphnet.pooled(net.states(p, nodes), nodes.live, p["ask"]).value.reshape(len(v), 3, 16)
+            norms = np.linalg.norm(out, axis=2).round(6)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "mean_norm": norms[:, 0], "max_norm": norms[:, 1], "asked_norm": norms[:, 2]})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, mean_norm double, max_norm double, asked_norm double")
+
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, norm double")
+@query("WITH v(variant, hidden, texts, gated, placed) AS (VALUES " + ", ".join(f"('{n}', {o.get('hidden', 256)}, {int(o.get('texts', True))}, {int(o.get('gated', True))}, {int(o.get('placed', True))})" for n, o in (graphmethods.ABLATIONS | graphmethods.CANDIDATES).items()) + f") SELECT variant, ({DIM} * hidden + 5 * hidden + hidden + placed * (5 * hidden + hidden * hidden) + 2 * (hidden * hidden + 2 * hidden + 16 + gated * (2 * hidden * hidden + hidden) + 2 * hidden) + 3 * hidden * {DIM} + 2 + texts * (hidden * {DIM} + 1))::BIGINT params FROM v")
+def variant_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablations and candidates of the region graph, and how many values each trains."""
+    text = np.zeros((10, DIM))
+    rows = [(n, graphmethods.RegionGraph(text, **o).size) for n, o in (graphmethods.ABLATIONS | graphmethods.CANDIDATES).items()]
+    return spark.createDataFrame(rows, "variant string, params bigint")
 
 
 def parts(pdf: pd.DataFrame) -> graphmethods.Parts:
@@ -562,8 +574,7 @@ def temperature_grid_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temperature and class biases fitted on the pool."""
     z = labelled(zero_shot_scores(spark, sf_dir, pool(spark, sf_dir)), spark, sf_dir)
-    wide = z.groupBy("vec_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "z"))), lambda x: x["z"]).alias("z")).orderBy("vec_id").toPandas()
-    tau, bias = evaluation.fit_temperature(np.stack(wide["z"].to_list()), wide["label"].to_numpy(int))
+    tau, bias = evaluation.fit_calibration(z, 10)
     return spark.createDataFrame(pd.DataFrame({"class": np.arange(len(bias)), "tau": tau, "bias": bias}))
 
 
@@ -799,9 +810,9 @@ def parse_boxes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of a file from its name or nearest folder; parts play files in folders named by brand."""
     df = table(spark, sf_dir, "part")
-    known = sorted(r[0] for r in df.select("p_brand").distinct().limit(1000).collect())
     path = F.concat_ws("/", F.lit("data"), F.col("p_brand"), F.concat(F.lit("x-"), F.col("p_partkey").cast("string")))
-    return df.select("p_partkey", readers.label_of(path, known).alias("label"))
+    labels = readers.labels_of(df.select("p_partkey", path.alias("path")), df.select(F.col("p_brand").alias("class")))
+    return labels.select("p_partkey", "label")
 
 
 @query("SELECT event_id, len(props)::INT size, md5(props) md5 FROM events")

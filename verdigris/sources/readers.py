@@ -22,15 +22,22 @@ def class_of(folder: Column) -> Column:
     return F.lower(F.regexp_replace(folder, r"^\d+\.\s*", ""))
 
 
-def label_of(path: Column, classes: list[str]) -> Column:
-    """The class that the file's name begins with, else the nearest folder's that is one, else null."""
-    parts = F.split(path, "/")
-    name = F.lower(F.element_at(parts, -1))
-    known = F.array(*map(F.lit, classes))
-    by_name = F.element_at(F.filter(known, lambda c: F.startswith(name, F.lower(c))), 1)
-    folders = F.filter(F.reverse(F.slice(parts, 1, F.size(parts) - 1)), lambda p: F.array_contains(F.transform(known, F.lower), F.lower(p)))
-    by_folder = F.lower(F.get(folders, 0))
-    return F.coalesce(F.when(F.size(F.filter(known, lambda c: F.startswith(name, F.lower(c)))) > 0, by_name), by_folder)
+def labels_of(files: DataFrame, classes: DataFrame, path: str = "path") -> DataFrame:
+    """files with label: the class (lower case) that the file's name begins with, else the nearest folder's that is one, else null.
+
+    classes has a column class, of any number of rows. A name is looked up by each of its beginnings of a class's
+    length, so both ways are joins by equality; of several classes the longest beginning wins.
+    """
+    known = classes.select(F.lower("class").alias("__class")).filter("__class <> ''").distinct()
+    lengths = [r[0] for r in known.select(F.length("__class").alias("n")).distinct().orderBy("n").collect()] or [0]
+    parts = F.split(F.lower(path), "/")
+    name, depth = F.element_at(parts, -1), F.size(parts)
+    # places from best to worst: beginnings of the name, longest first, then folders from the nearest
+    begun = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.struct((-n).alias("place"), F.substring(name, F.lit(1), n).alias("__class")))
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))), lambda i: F.struct(i.cast("int").alias("place"), F.when(i < depth, F.get(parts, depth - 1 - i)).alias("__class")))
+    looked = files.select(path).distinct().select(path, F.inline(F.concat(begun, folders)))
+    found = looked.join(known, "__class").groupBy(path).agg(F.min_by("__class", "place").alias("label"))
+    return files.join(found, path, "left")
 
 
 def boxes_of(numbers: Column) -> Column:
