@@ -24,14 +24,18 @@ def tune(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests) is a folder of this machine set.
+    Where that setting is absent, a folder of this machine is set, but only in local mode (tests): on a cluster other
+    machines would not see it, so it is refused there.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        kept = context._jsc.sc().getCheckpointDir()
         if kept.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+            kept = context._jsc.sc().getCheckpointDir()
         top = kept.get()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -40,7 +44,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to a scratch folder and read again: lineage is cut, a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing will read any more."""
+    for df in dfs:
+        delete(df.sparkSession, df.staged_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -49,6 +61,22 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, common: DataFrame) -> DataFrame:
+    """left with the columns of right (one row for each value of on, null where there is none).
+
+    common has the values of on that so many rows of left share that one task should not have them all; there must be
+    a proven bound of their number, as their rows of right are broadcast. Rows of other values are dealt by value.
+    """
+    values = [c for c in right.columns if c != on]
+    top = right.join(F.broadcast(common), on, "left_semi").select(on, F.struct(*values).alias("_top"))
+    marked = left.join(F.broadcast(common.withColumn("_common", F.lit(True))), on, "left").join(F.broadcast(top), on, "left")
+    # a null meets nothing, and the number beside it spreads the rows that have one
+    marked = marked.withColumn("_on", F.when(F.col("_common").isNull(), F.col(on))).withColumn("_deal", F.when(F.col("_on").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(9973))).otherwise(0).cast("int"))
+    rest = right.join(F.broadcast(common), on, "left_anti").select(F.col(on).alias("_on"), F.struct(*values).alias("_rest"), F.lit(0).alias("_deal"))
+    both = F.coalesce("_top", "_rest")
+    return marked.join(rest, ["_on", "_deal"], "left").select(*left.columns, *[both[c].alias(c) for c in values])
+
+
 def remainder(col: str, mod: int) -> Column:
     """crc32 of a column's text form, modulo mod; null counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod).cast("int")

@@ -5,18 +5,21 @@ Two are near duplicates if the weighted Jaccard similarity is THRESHOLD or more,
 connected component of such links.
 
 1. Equal word sequences are one node, however many copies there are. Each node gets a signature,
-   cut into bands; nodes that share a band are a bucket.
+   cut into bands; nodes that share a band are a bucket. Buckets of the same nodes are one bucket.
 2. Every member of a bucket is verified against the bucket's smallest node: as many pairs as rows.
    Links are gathered into components.
 3. Buckets of three nodes or more that still hold several components are worked through whole:
    a pair of different components is first estimated from the signatures, and verified exactly
    unless the estimate lies DEVIATIONS standard deviations below the threshold. Pairs are not
    written out: a task holds the nodes of a bucket and gives only the links that join components.
-   A pair that shares several bands is looked at in the first. Large buckets are dealt in blocks,
-   the nodes of the largest component only against the others, so that a bucket which is one
-   component but for a few nodes costs its rows times those few.
-
-So every pair that shares a band is verified, or known to be in one class, or estimated too far off.
+   A pair that shares several open buckets is looked at in the first. Large buckets are dealt in
+   blocks bounded by nodes and by bytes of their sets, the nodes of the largest component only
+   against the others, so that a bucket which is one component but for a few nodes costs its rows
+   times those few.
+
+So every pair that shares a band is verified, or known to be in one class, or estimated too far off
+(by an error of fewer than one pair in ten million at the threshold; the bands themselves miss one in
+ten thousand).
 """
 
 from __future__ import annotations
@@ -31,18 +34,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import delete, mix64, scratch, staged, texts, tune, uniform
+from verdigris.llm.common import mix64, release, staged, texts, tune, uniform
+from verdigris.operators.graphs import components
 
 #: Words of a shingle; rows of a band and bands: 1 - (1 - .8^5)^25 > 0.9999 of pairs at similarity 0.8 share one.
 WORDS, ROWS, BANDS = 5, 5, 25
 #: Least weighted Jaccard similarity of near duplicates.
 THRESHOLD = 0.8
-#: Documents that a block of a large bucket holds at most; bytes of shingles that a block pair holds about at most.
-BLOCK = 256
-#: Rows that are broadcast at most; more are joined by a shuffle.
-FEW = 200_000
+#: Nodes of a block of an open bucket, and bytes of their sets, at most about.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Rows that are broadcast at most; more are joined by a shuffle. Pairs of a hub that meet its set in one task at most.
+FEW, FAN = 200_000, 2_000
+#: A text with a share of 1 / COMMON of all rows or more is common: there are COMMON such at most, and they are broadcast.
+COMMON = 1000
 #: Standard deviations that an estimated similarity may lie below the threshold before a pair is dropped unverified.
-DEVIATIONS = 4.0
+DEVIATIONS = 5.5
 _WORD = re.compile(r"\w+")
 _K = ROWS * BANDS
 
@@ -52,7 +58,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 400_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -163,37 +169,35 @@ def identity(words: np.ndarray) -> bytes | None:
 
 
 def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, same (identity of the words, null without any), bands (array<bigint>), signature (its coordinates' low bytes)."""
+    """key, told (hash of the text), same (identity of the words, null without any), size (shingles), bands (array<bigint>), signature (its coordinates' low bytes)."""
     tune(df.sparkSession)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("told"), F.col(text).alias("text"))
 
-    def some(keys: list, words: list[np.ndarray]) -> pa.RecordBatch:
+    def some(keys: list[pa.Array], told: list[pa.Array], words: list[np.ndarray]) -> pa.RecordBatch:
         sets = [shingles(w) for w in words]
         sizes = [len(s) for s, _ in sets]
         sig = dart_signatures(np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets]), np.repeat(np.arange(len(sets)), sizes), len(sets))
         low = (sig >> np.uint32(1)).astype(np.uint8)
         return pa.RecordBatch.from_pydict({
-            "key": pa.array(keys, kind), "same": pa.array([identity(w) for w in words], pa.binary()),
+            "key": pa.concat_arrays(keys), "told": pa.concat_arrays(told), "same": pa.array([identity(w) for w in words], pa.binary()), "size": pa.array(sizes, pa.int32()),
             "bands": pa.array(list(band_keys(sig)), pa.list_(pa.int64())), "signature": pa.array([x.tobytes() for x in low], pa.binary()),
         })
 
-    kind = pa.int64() if rows.schema["key"].dataType.typeName() == "long" else pa.int32() if rows.schema["key"].dataType.typeName() == "integer" else pa.string()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keys, words, size = Words(), [], [], 0
+        known, keys, told, words, size = Words(), [], [], [], 0
         for b in batches:
-            for k, t in zip(b.column("key").to_pylist(), texts(b)):
-                w = tokens(t, known)
-                keys.append(k)
-                words.append(w)
-                size += len(w)
-                if size >= 200_000 or len(words) >= 500:
-                    yield some(keys, words)
-                    keys, words, size = [], [], 0
+            for n, t in enumerate(texts(b)):
+                keys.append(b.column("key").slice(n, 1))
+                told.append(b.column("told").slice(n, 1))
+                words.append(tokens(t, known))
+                size += len(words[-1])
+                if size >= 100_000 or len(words) >= 500:
+                    yield some(keys, told, words)
+                    keys, told, words, size = [], [], [], 0
         if words:
-            yield some(keys, words)
+            yield some(keys, told, words)
 
-    return rows.mapInArrow(run, "key " + rows.schema["key"].dataType.simpleString() + ", same binary, bands array<bigint>, signature binary")
+    return rows.mapInArrow(run, "key " + rows.schema["key"].dataType.simpleString() + ", told bigint, same binary, size int, bands array<bigint>, signature binary")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -202,77 +206,50 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def sets_of(df: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """node, elements, weights of the nodes (node, rep, same): the shingles of their representatives' texts."""
-    rows = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(small(nodes), "rep")
+    """node, elements, weights of the nodes (node, rep, told): the shingles of the text of the row that stands for each.
+
+    Where that row is repeated, so is the node.
+    """
+    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("text"))
+    rows = rows.join(small(nodes), F.col("__key").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("told")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
-            out: list[tuple[int, bytes, bytes]] = []
-            for n, same, t in zip(b.column("node").to_pylist(), b.column("same"), texts(b)):
-                w = tokens(t, known)
-                if identity(w) == same.as_py():
-                    out.append((n, *packed(*shingles(w))))
-            yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in out], pa.int64()), "elements": pa.array([x[1] for x in out], pa.binary()), "weights": pa.array([x[2] for x in out], pa.binary())})
+            out = [packed(*shingles(tokens(t, known))) for t in texts(b)]
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "elements": pa.array([x[0] for x in out], pa.binary()), "weights": pa.array([x[1] for x in out], pa.binary())})
 
-    return rows.select("node", "same", "text").mapInArrow(run, "node bigint, elements binary, weights binary")
+    return rows.select("node", "text").mapInArrow(run, "node bigint, elements binary, weights binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose similarity is threshold or more."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
+    """The pairs (a, b) whose similarity is threshold or more. a may recur in any number of pairs: its set goes to as
+    many places as hold FAN of them each."""
+    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
+    left = sets.join(fans, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
+    wide = small(staged(fans.filter("fans > 1"), "fans"))
+    dealt = pairs.join(wide, "a", "left").withColumn("fan", F.coalesce(F.pmod(F.xxhash64("b"), F.col("fans")).cast("int"), F.lit(0))).drop("fans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [similarity(*unpacked(p.as_py(), q.as_py()), *unpacked(r.as_py(), s.as_py())) >= threshold for p, q, r, s in zip(*(b.column(c) for c in ("ea", "wa", "eb", "wb")))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a bigint, b bigint")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the component's smallest node) of every node of the edges (a, b).
-
-    Alternating large-star and small-star steps, each written to the scratch folder, until nothing changes: the
-    number of steps grows with the logarithm of the nodes.
-    """
-    spark = edges.sparkSession
-    at = scratch(spark, "components")
-    step = 0
-
-    def written(df: DataFrame) -> DataFrame:
-        nonlocal step
-        step += 1
-        df.write.parquet(f"{at}/{step}")
-        return spark.read.schema("a bigint, b bigint").parquet(f"{at}/{step}")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while (found := mark(now)) != seen:
-        seen = found
-        if not found[0]:
-            break
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        large = written(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        under = large.join(low, "a")
-        now = written(under.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
-        if step > 2:
-            delete(spark, f"{at}/{step - 2}")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return dealt.join(right, "b").join(left, ["a", "fan"]).select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
 def links_in_block(pdf: pd.DataFrame, threshold: float = THRESHOLD, deviations: float = DEVIATIONS) -> list[tuple[int, int]]:
-    """Verified links that join components among the nodes of a block pair; see blocks() for the columns."""
-    k, bands = ROWS * BANDS, np.stack(pdf["bands"].to_list())
+    """Verified links that join components among the nodes of a block pair; see unresolved() for the columns."""
+    k = ROWS * BANDS
     sig = np.stack([np.frombuffer(x, np.uint8) for x in pdf["signature"]])
     side, node, here = pdf["side"].to_numpy(), pdf["node"].to_numpy(), pdf["band"].iloc[0]
+    # [node, band] keys of the open buckets; a closed one holds a number of the row's own
+    held, opened = np.zeros((len(node), BANDS), np.int64), np.zeros((len(node), BANDS), bool)
+    for i, buckets in enumerate(pdf["open"]):
+        for x in buckets:
+            held[i, x["pos"]], opened[i, x["pos"]] = x["band"], True
+    at_here = (opened & (held == here)).argmax(1)
     sets = [unpacked(e, w) for e, w in zip(pdf["elements"], pdf["weights"])]
     label = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
     alone = pdf["x"].iloc[0] == pdf["y"].iloc[0]
@@ -288,9 +265,9 @@ def links_in_block(pdf: pd.DataFrame, threshold: float = THRESHOLD, deviations:
         at, close = at[close >= least], close[close >= least]
         if not len(at):
             continue
-        shared = bands[at] == bands[i]
-        first = bands[i][shared.argmax(1)]
-        at = at[(first == here) & shared.any(1)][np.argsort(-close[(first == here) & shared.any(1)], kind="stable")]
+        shared = (held[at] == held[i]) & opened[at] & opened[i]
+        first = shared.argmax(1) == at_here[i]
+        at = at[first][np.argsort(-close[first], kind="stable")]
         for j in at:
             if label[i] != label[j] and similarity(*sets[i], *sets[j]) >= threshold:
                 out.append((int(node[i]), int(node[j])))
@@ -299,23 +276,28 @@ def links_in_block(pdf: pd.DataFrame, threshold: float = THRESHOLD, deviations:
 
 
 def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, node, root, core, x, y, side: members of buckets with several components, dealt to block pairs.
+    """band, node, root, open, x, y, side: members (band, pos, node, size) of buckets with several components, dealt to block pairs.
 
     The largest component of a bucket is its core. The other nodes are in blocks 0 to p - 1, the core in blocks from p
-    on. Block pairs are those of two blocks of others and those of a block of others and one of the core.
+    on. Block pairs are those of two blocks of others and those of a block of others and one of the core. open: place
+    and key of every bucket of the node that is dealt.
     """
+    bytes_ = F.lit(400) + F.col("size") * 12
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-    top = counts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    open_buckets = top.filter("kinds > 1 and total > 2").select("band", F.col("top.root").alias("main"), F.col("top.n").alias("n_core"), (F.col("total") - F.col("top.n")).alias("n_rest"))
-    rows = labelled.join(small(staged(open_buckets, "open")), "band").withColumn("core", F.col("root") == F.col("main"))
-    p, q = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_rest", "n_core"))
-    rows = rows.withColumns({"p": p, "q": q})
+    counts = labelled.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum(bytes_).alias("bytes"))
+    top = counts.groupBy("band").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("total"), F.sum("bytes").alias("bytes"), F.count("*").alias("kinds"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    p, q = blocks(F.col("total") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")), blocks(F.col("top.n"), F.col("top.bytes"))
+    open_buckets = staged(top.filter("kinds > 1 and total > 2").select("band", F.col("top.root").alias("main"), p.alias("p"), q.alias("q")), "open")
+    rows = staged(labelled.join(small(open_buckets), "band").withColumn("core", F.col("root") == F.col("main")), "rest")
+    opened = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "band"))).alias("open"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("q")).otherwise(F.col("p")).cast("bigint")).cast("int")
     rows = rows.withColumn("own", own + F.when(F.col("core"), F.col("p")).otherwise(0))
-    others = F.when(F.col("core"), F.sequence(F.lit(0), F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
-    dealt = rows.withColumn("other", F.explode(others))
-    return dealt.select("band", "node", "root", "core", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    # two blocks that fit into one task are one block
+    one = F.col("p") + F.col("q") == 2
+    others = F.when(one, F.array(F.lit(0))).when(F.col("core"), F.sequence(F.lit(0), F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
+    dealt = rows.join(opened, "node").withColumn("own", F.when(one, 0).otherwise(F.col("own"))).withColumn("other", F.explode(others))
+    return dealt.select("band", "node", "root", "open", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -323,71 +305,79 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
     Rows of equal words are of one class. Texts of fewer than five words are one shingle, so only equal words match;
     rows without a word (null, empty, or nothing but marks) are each a class of their own. Repeated rows and keys are
-    rows of one class. Null keys keep null. Other columns are not read.
+    rows of one class. Rows with a null key are linked like others; class_id is null only where all keys of a class
+    are. Other columns are not read.
     """
     return classed(df, key, text, threshold).select(F.col("key").alias(key), "class_id")
 
 
-def classed(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """key, same, class_id of every row of df: classes() with the identity of the row's words."""
-    spark = df.sparkSession
-    tune(spark)
-    rows = staged(sketch(df, key, text), "sketches")
-    nodes = rows.filter("same is not null").groupBy("same").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+def links(df: DataFrame, nodes: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """node and root of the nodes (node, rep, told, size, bands, signature) that are linked to another."""
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("pos", "band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("n > 1")
+    hubs = staged(hubs.groupBy("hub", "n", "mark").agg(F.min("band").alias("band")).drop("mark"), "hubs")
     # written first, so that a bucket of many rows can be split in the join, or the join needs no shuffle
-    members = staged(banded.join(small(staged(hubs, "hubs")), "band"), "members")
+    members = staged(banded.join(small(hubs), "band"), "members")
     pairs = staged(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    involved = members.select("node").distinct().join(nodes.select("node", "rep", "same"), "node")
-    sets = staged(sets_of(df, involved, key, text).dropDuplicates(["node"]) if repeated(df, key) else sets_of(df, involved, key, text), "sets")
+    involved = staged(members.select("node").distinct().join(nodes.select("node", "rep", "told"), "node"), "involved")
+    sets = sets_of(df, involved, key, text)
+    sets = staged(sets.dropDuplicates(["node"]) if repeated(df.select(key)) else sets, "sets")
     first = staged(verified(pairs, sets, threshold), "links")
     roots = staged(components(first), "roots")
+    release(hubs, pairs, involved)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(links_in_block(pdf, threshold), columns=["a", "b"]).astype("int64")
 
-    rest = unresolved(members.filter("n > 2").select("band", "node"), roots)
-    whole = rest.join(nodes.select("node", F.col("bands"), "signature"), "node").join(sets, "node")
-    more = whole.groupBy("band", "x", "y").applyInPandas(run, "a bigint, b bigint")
-    more = staged(more, "links")
+    rest = unresolved(members.filter("n > 2").select("band", "pos", "node", "size"), roots)
+    whole = rest.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    more = staged(whole.groupBy("band", "x", "y").applyInPandas(run, "a bigint, b bigint"), "links")
     if not more.isEmpty():
         roots = staged(components(first.union(more)), "roots")
-    of = nodes.select("node", "rep", "same").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = of.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = of.join(ids, "root").select("same", "class_id")
-    return rows.select("key", "same").join(named, "same", "left").select("key", "same", F.coalesce("class_id", "key").alias("class_id"))
+    release(members, sets, first, more)
+    return roots
 
 
-def repeated(df: DataFrame, key: str) -> bool:
+def classed(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """key, told, same, class_id, class_told of every row of df: classes() with the hash of the text, the identity of its
+    words, and the hash of the text of the row that stands for the class."""
+    spark = df.sparkSession
+    tune(spark)
+    rows = staged(sketch(df, key, text), "sketches")
+    # the row that stands for a node: the smallest key, null last
+    order = F.struct(F.col("key").isNull(), F.col("key"), F.col("told"))
+    nodes = rows.filter("same is not null").groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "bands", "signature")])
+    nodes = staged(nodes.select("same", F.col("first.key").alias("rep"), F.col("first.told").alias("told"), "copies", "size", "bands", "signature").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = links(df, nodes, key, text, threshold)
+    of = nodes.select("node", "same", "rep", "told", "copies").join(roots, "node", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
+    ids = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("told"))).alias("first"))
+    named = staged(of.join(ids, "root").select("same", "copies", F.col("first.rep").alias("class_id"), F.col("first.told").alias("class_told")), "named")
+    # rows without a word and texts that occur once need no join; common texts meet no shuffle
+    least = max(2, -(-rows.count() // COMMON))
+    common = F.broadcast(named.filter(F.col("copies") >= least).drop("copies"))
+    rare = named.filter(F.col("copies") < least).drop("copies")
+    some = rows.select("key", "told", "same")
+    hot = some.join(common, "same").select("key", "told", "same", "class_id", "class_told")
+    cool = some.filter("same is not null").join(common.select("same"), "same", "left_anti").join(small(rare), "same", "left")
+    found = F.col("class_told").isNotNull()
+    cool = cool.select("key", "told", "same", F.when(found, F.col("class_id")).otherwise(F.col("key")).alias("class_id"), F.coalesce("class_told", "told").alias("class_told"))
+    none = some.filter("same is null").select("key", "told", "same", F.col("key").alias("class_id"), F.col("told").alias("class_told"))
+    return hot.unionByName(cool).unionByName(none)
+
+
+def repeated(keys: DataFrame) -> bool:
     """Whether a key occurs in several rows."""
-    return not df.groupBy(F.col(key)).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-
-
-def identities(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, told, same: hash of the text and identity of the words of every row of df."""
-    rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("told"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "told": b.column("told"), "same": pa.array([identity(tokens(t, known)) for t in texts(b)], pa.binary())})
-
-    return rows.mapInArrow(run, "key " + rows.schema["key"].dataType.simpleString() + ", told bigint, same binary")
+    return not keys.groupBy(keys[0]).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
 def keep(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all columns as they are, that are their class's: those of its smallest key, one of equal rows.
+    """The rows of df, all columns as they are, that stand for their class: those of its smallest key (null last), one of
+    equal rows.
 
-    Where a key has several texts, each is kept or dropped on its own.
+    Where a key has several texts, each is kept or dropped on its own. Rows without a word are all kept, but one of
+    those of equal key and text. An empty table stays empty; extra columns are kept, whatever their names.
     """
-    drop = classed(df, key, text, threshold).filter("class_id <> key")
-    if not repeated(df, key):
-        drop = staged(drop.select(F.col("key").alias("__drop")).distinct(), "drop")
-        return df.join(small(drop), F.col(key).eqNullSafe(F.col("__drop")), "left_anti")
-    drop = staged(drop.select("key", "same").distinct(), "drop")
-    some = df.join(small(drop.select(F.col("key").alias("__drop")).distinct()), F.col(key) == F.col("__drop"), "left_semi")
-    told = identities(some, key, text).join(drop, ["key", "same"]).select(F.col("key").alias("__drop"), F.col("told").alias("__told")).distinct()
-    told = staged(told, "told")
-    return df.join(small(told), (F.col(key) == F.col("__drop")) & (F.xxhash64(F.col(text)) == F.col("__told")), "left_anti").dropDuplicates([key, text])
+    of = classed(df, key, text, threshold)
+    drop = staged(of.filter("same is not null and not (key <=> class_id and told = class_told)").select(F.col("key").alias("__drop"), F.col("told").alias("__told")).distinct(), "drop")
+    kept = df.join(small(drop), F.col(key).eqNullSafe(F.col("__drop")) & (F.xxhash64(F.col(text)) == F.col("__told")), "left_anti")
+    return kept.dropDuplicates([key, text]) if repeated(df.select(key)) else kept
