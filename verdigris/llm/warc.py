@@ -4,15 +4,21 @@ Writing: a response is an HTTP message whose body is framed in chunks. Where its
 than segment bytes, the first part stays in the response record (WARC-Segment-Number: 1) and the
 rest goes to continuation records that name their origin, their number and, the last, the total
 length. Of equal payloads of at least least_bytes, the one with the largest key is a response and the others
-are revisit records that refer to it.
+are revisit records that refer to it by its key and the payload's digest.
 
 Reading: records are parsed out of the archives; continuations are grouped by their origin, put in
 order of their segment numbers, checked against the total length, and the chunked framing is
 decoded. Only segmented records go through a shuffle.
 
 Archives are .warc.gz files, a gzip member per record, of at most archive bytes (one record at
-least), written by tasks to a folder that all executors share: under a name of the attempt first, renamed when whole, so that
-a lost executor or a second attempt leaves no half-written archive.
+least), in a folder that all executors share. Every attempt of a task writes archives of its own; the
+manifest beside them, a table that Spark commits, names those of the attempts that counted, and the
+reader follows it. So neither a lost executor nor a second attempt leaves half an archive or a record
+twice. A folder without a manifest is read whole.
+
+Repeated rows and null keys: a record is named by the task and its place there, not by its key, so each
+row gives a record and a row back. Null keys are smaller than all others. Of equal payloads with the
+same largest key (or only null keys) all are responses.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -30,14 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import scratch, staged, tune
+from verdigris.llm.common import delete, scratch, spread_join, staged, tune
 
 #: Bytes of a block's part in one record; of an archive; of an HTTP chunk.
 SEGMENT, ARCHIVE, CHUNK = 16 << 10, 16 << 20, 4096
 #: Compressed bytes that are decompressed at a time.
 PIECE = 8 << 10
-#: Revisits whose keys are broadcast at most; more are joined by a shuffle.
-FEW = 100_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -46,9 +51,14 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: object, segment: int = 1) -> str:
-    """The record's identifier, the same on every attempt."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}:{segment}')}>"
+def record_id(name: object, segment: int = 1) -> str:
+    """A record's identifier, from what names it in its folder."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{name}:{segment}')}>"
+
+
+def header(key: object) -> str | None:
+    """A key as the value of a header."""
+    return None if key is None else quote(str(key), safe=" !#$&'()*+,/:;=?@[]~")
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -79,20 +89,20 @@ def record(kind: str, headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records(key: object, uri: str, payload: bytes, sha: str, refers_to: object = None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page."""
+def records(name: object, key: object, uri: str | None, payload: bytes, sha: str, refers_to: object = None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page; name tells it from all others of its folder."""
     uri = re.sub(r"[\r\n]+", " ", uri or "")
-    named = [("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("X-Key", key)]
+    named = [("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("X-Key", header(key))]
     if refers_to is not None:
-        yield record("revisit", [("WARC-Record-ID", record_id(key)), *named, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Key", refers_to), ("WARC-Payload-Digest", f"sha1:{sha}")], b"HTTP/1.1 200 OK\r\n\r\n")
+        yield record("revisit", [("WARC-Record-ID", record_id(name)), *named, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Key", header(refers_to)), ("WARC-Payload-Digest", f"sha1:{sha}")], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
-    first = [("WARC-Record-ID", record_id(key)), *named, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha}")]
+    first = [("WARC-Record-ID", record_id(name)), *named, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha}")]
     yield record("response", first + ([("WARC-Segment-Number", 1)] if len(parts) > 1 else []), parts[0])
     for n, x in enumerate(parts[1:], 2):
         last = n == len(parts)
-        yield record("continuation", [("WARC-Record-ID", record_id(key, n)), *named, ("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", record_id(key)), ("WARC-Segment-Total-Length", len(block) if last else None)], x)
+        yield record("continuation", [("WARC-Record-ID", record_id(name, n)), *named, ("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", record_id(name)), ("WARC-Segment-Total-Length", len(block) if last else None)], x)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -147,27 +157,30 @@ def file_system(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
+def common(digests: DataFrame) -> DataFrame:
+    """sha of the payloads that a thousandth of the rows or more have: a thousand at most."""
+    rows = digests.agg(F.sum("n")).first()[0] or 0
+    return digests.filter((F.col("n") > 1) & (F.col("n") * 1000 >= rows)).select("sha")
+
+
 def plan(pages: DataFrame, key: str, uri: str, payload: str, least_bytes: int) -> DataFrame:
     """key, uri, payload, sha and refers_to (null: a response) of each page.
 
-    Equal payloads are found on digests alone. Only where revisits are many are payloads shuffled.
+    The largest key of equal payloads is found on digests alone, added up before the shuffle; payloads that are
+    common are joined without a shuffle.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    keys = pages.select(F.col(key).alias("of"), F.unhex(F.sha1(body)).alias("sha"), F.length(body).alias("n"))
-    long = keys.filter((F.col("n") >= least_bytes) & F.col("of").isNotNull()).drop("n")
-    firsts = long.groupBy("sha").agg(F.max("of").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = staged(long.join(firsts, "sha").filter("of <> first").select("of", "first").distinct(), "revisits")
-    if revisits.count() <= FEW:
-        revisits = F.broadcast(revisits)
+    keys = pages.select(F.col(key).alias("of"), F.unhex(F.sha1(body)).alias("sha"), F.length(body).alias("bytes"))
+    digests = keys.filter(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max("of").alias("first"), F.count("*").alias("n"))
+    digests = staged(digests, "digests")
+    firsts = digests.filter("n > 1 and first is not null").select("sha", "first")
     rows = pages.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("uri"), body.alias("payload"), F.unhex(F.sha1(body)).alias("sha"))
-    return rows.join(revisits, F.col("key") == F.col("of"), "left").withColumnRenamed("first", "refers_to")
+    return spread_join(rows, firsts, "sha", common(digests)).withColumn("refers_to", F.expr("if(key <=> first, null, first)")).drop("first")
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = 0, segment: int = SEGMENT, archive: int = ARCHIVE) -> int:
-    """Write a record per page below folder; the number of pages. Null payloads are empty, text is UTF-8.
-
-    Keys should be unique and not null: of repeated rows each gives a record of the same name.
-    """
+    """Write a record per page below folder, and the manifest of its archives; the number of pages. Null payloads are
+    empty, text is UTF-8. Extra columns are not read."""
     spark = pages.sparkSession
     tune(spark)
     files, path = file_system(folder)
@@ -177,32 +190,53 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url",
         files, path = file_system(folder)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        open_file, size, number, pages_done, names = None, 0, 0, 0, []
-
-        def close() -> None:
-            open_file.close()
+        open_file, size, place, names, counts = None, 0, 0, [], []
+        try:
+            for b in batches:
+                for k, u, p, s, r in zip(*(b.column(c) for c in ("key", "uri", "payload", "sha", "refers_to"))):
+                    for x in records(f"{folder}:{part}:{place}", k.as_py(), u.as_py(), p.as_py(), base64.b32encode(s.as_py()).decode(), r.as_py(), segment):
+                        x = gzipped(x)
+                        if open_file is None or size + len(x) > archive and size:
+                            if open_file is not None:
+                                open_file.close()
+                            names.append(f"part-{part:05}-{len(names):04}-{attempt}.warc.gz")
+                            counts.append(0)
+                            open_file, size = files.open_output_stream(f"{path}/{names[-1]}", compression=None), 0
+                        open_file.write(x)
+                        size += len(x)
+                    counts[-1] += 1
+                    place += 1
+        finally:
+            if open_file is not None:
+                open_file.close()
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "pages": pa.array(counts, pa.int64())})
+
+    plan(pages, key, uri, payload, least_bytes).select("key", "uri", "payload", "sha", "refers_to").mapInArrow(run, "name string, pages bigint").write.parquet(f"{folder}/manifest")
+    return manifest(spark, folder).agg(F.sum("pages")).first()[0] or 0
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """name and pages of the archives that count, or None if the folder has no manifest."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema("name string, pages bigint").parquet(f"{folder}/manifest")
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """content of the archives of a folder: those of its manifest, opened by the tasks, or all of them."""
+    named = manifest(spark, folder)
+    if named is None:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("content")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = file_system(folder)
         for b in batches:
-            for k, u, p, s, r in zip(*(b.column(c) for c in ("key", "uri", "payload", "sha", "refers_to"))):
-                for x in records(k.as_py(), u.as_py(), p.as_py(), base64.b32encode(s.as_py()).decode(), r.as_py(), segment):
-                    x = gzipped(x)
-                    if open_file is None or size + len(x) > archive and size:
-                        if open_file is not None:
-                            close()
-                        temporary = f"{path}/.writing-{part}-{number}-{attempt}"
-                        names.append((temporary, f"{path}/part-{part:05}-{number:04}.warc.gz"))
-                        open_file, size, number = files.open_output_stream(temporary), 0, number + 1
-                    open_file.write(x)
-                    size += len(x)
-                pages_done += 1
-        if open_file is not None:
-            close()
-        for temporary, name in names:
-            files.move(temporary, name)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([pages_done], pa.int64())})
-
-    got = plan(pages, key, uri, payload, least_bytes).select("key", "uri", "payload", "sha", "refers_to").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0]
-    return got or 0
+            for name in b.column("name"):
+                with files.open_input_stream(f"{path}/{name.as_py()}", compression=None) as f:
+                    yield pa.RecordBatch.from_pydict({"content": pa.array([f.read()], pa.binary())})
+
+    return named.select("name").repartition(max(1, min(100_000, named.count()))).mapInArrow(run, "content binary")
 
 
 def assemble(number: list[int], total: list[int | None], block: list[bytes]) -> bytes:
@@ -226,21 +260,46 @@ def payload_of(block: bytes) -> bytes:
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """key (string), uri, record_type, refers_to (string key), payload, payload_bytes, payload_digest, error of each record.
 
-    Revisits have no payload of their own: payload is null, length and digest are those of the response that they
-    name. Segments missing, double or of another total length, and broken framing, give null payload columns and
-    what is wrong in error; so does a revisit whose response is missing. payloads=False leaves the payloads out.
+    Revisits have no payload of their own: payload is null, length and digest are those of the response of the digest
+    that they name. Segments missing, double or of another total length, and broken framing, give null payload columns
+    and what is wrong in error; so does a revisit whose response is missing. payloads=False leaves the payloads out.
+    A continuation whose first segment is missing gives a row of its own.
     """
     tune(spark)
-    schema = "id string, origin string, number int, total bigint, kind string, key string, uri string, refers string, refers_key string, sha string, block binary"
+    done = "kind string, key string, uri string, refers_key string, sha string, payload binary, payload_bytes bigint, payload_digest string, error string"
+    schema = "origin string, number int, total bigint, " + done
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.int64(), pa.string(), pa.string()]
+
+    def finish(block: bytes | None, claimed: str | None, error: str | None) -> tuple:
+        """payload, payload_bytes, payload_digest, error of a whole block."""
+        payload = sha = None
+        if error is None:
+            try:
+                payload = payload_of(block)
+                sha = digest(payload)
+                if claimed and claimed != sha:
+                    error = f"digest {sha}, not {claimed}"
+            except ValueError as e:
+                error = str(e)
+        return (payload if payloads else None, None if payload is None else len(payload), sha, error)
+
+    def parsed(h: dict[str, str], block: bytes) -> tuple:
+        claimed = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        about = (h.get("warc-type"), unquote(h["x-key"]) if "x-key" in h else None, h.get("warc-target-uri"), unquote(h["x-refers-to-key"]) if "x-refers-to-key" in h else None, claimed)
+        if "warc-segment-number" in h:
+            total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
+            return (h.get("warc-segment-origin-id", h.get("warc-record-id")), int(h["warc-segment-number"]), total, *about, block, None, None, None)
+        if about[0] == "revisit":
+            return (None, None, None, *about, None, None, None, None)
+        return (None, None, None, *about, *finish(block, claimed, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column("content"):
                 rows, size = [], 0
                 for h, block in (r for m in members(x.as_py()) for r in parse(m)):
-                    number = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
-                    total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
-                    rows.append((h.get("warc-record-id"), h.get("warc-segment-origin-id"), number, total, h.get("warc-type"), h.get("x-key"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("x-refers-to-key"), h.get("warc-payload-digest"), block))
+                    rows.append(parsed(h, block))
                     size += len(block)
                     if size > 4 << 20:
                         yield batch(rows)
@@ -248,56 +307,40 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 6, pa.binary()]
-    names = [x.split()[0] for x in schema.split(", ")]
-
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows))})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
-    found = files.select("content").mapInArrow(run, schema)
-    result = "id string, kind string, key string, uri string, refers string, refers_key string, payload binary, payload_bytes bigint, payload_digest string, error string"
-
-    def finish(r: object, block: bytes | None, error: str | None) -> tuple:
-        payload = None
-        if error is None and r.kind != "revisit":
-            try:
-                payload = payload_of(block)
-            except ValueError as e:
-                error = str(e)
-        sha = digest(payload) if payload is not None else None
-        claimed = (r.sha or "").removeprefix("sha1:")
-        if sha is not None and claimed and claimed != sha:
-            error = f"digest {sha}, not {claimed}"
-        return (r.id, r.kind, r.key, r.uri, r.refers, r.refers_key, payload if payloads else None, None if payload is None else len(payload), sha, error)
-
-    columns = [x.split()[0] for x in result.split(", ")]
-
-    def whole(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            if len(pdf):
-                yield pd.DataFrame([finish(r, r.block, None) for r in pdf.itertuples()], columns=columns)
-
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         first = next((r for r in pdf.itertuples() if r.number == 1), next(pdf.itertuples()))
         try:
-            block, error = assemble(pdf["number"].astype(int).tolist(), [None if pd.isna(x) else int(x) for x in pdf["total"]], pdf["block"].tolist()), None
+            block, error = assemble(pdf["number"].astype(int).tolist(), [None if pd.isna(x) else int(x) for x in pdf["total"]], pdf["payload"].tolist()), None
         except ValueError as e:
             block, error = None, str(e)
-        return pd.DataFrame([finish(first, block, error)], columns=columns)
-
-    single = found.filter("number is null").mapInPandas(whole, result)
-    segments = found.filter("number is not null").withColumn("group", F.coalesce("origin", "id")).groupBy("group").applyInPandas(joined, result)
-    records = staged(single.unionByName(segments), "records")
-    responses = records.filter("kind <> 'revisit'").select(*columns[1:4], "refers_key", *columns[6:])
-    target = records.filter("kind <> 'revisit'").select(F.col("id").alias("of"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    revisits = records.filter("kind = 'revisit'").select("kind", "key", "uri", "refers", "refers_key").join(target, F.col("refers") == F.col("of"), "left")
-    revisits = revisits.select("kind", "key", "uri", "refers_key", F.lit(None).cast("binary").alias("payload"), F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.when(F.col("of").isNull(), F.lit("no such response")).alias("error"))
+        return pd.DataFrame([(first.kind, first.key, first.uri, first.refers_key, first.sha, *finish(block, first.sha, error))], columns=names[3:])
+
+    records = staged(archives(spark, folder).mapInArrow(run, schema), "records")
+    whole = records.filter("number is null").drop("origin", "number", "total")
+    segments = staged(records.filter("number is not null").groupBy("origin").applyInPandas(joined, done), "segments")
+    responses = whole.filter("kind <> 'revisit'").unionByName(segments)
+    target = responses.groupBy(F.col("payload_digest").alias("sha")).agg(F.first("payload_bytes").alias("n")).filter("sha is not null")
+    revisits = whole.filter("kind = 'revisit'").select("kind", "key", "uri", "refers_key", "sha")
+    revisits = spread_join(revisits, target, "sha", common(revisits.groupBy("sha").agg(F.count("*").alias("n"))))
+    missing = F.col("n").isNull()
+    revisits = revisits.select("kind", "key", "uri", "refers_key", "sha", F.lit(None).cast("binary").alias("payload"), F.col("n").alias("payload_bytes"), F.when(~missing, F.col("sha")).alias("payload_digest"), F.when(missing, F.lit("no such response")).alias("error"))
     return responses.unionByName(revisits).select("key", "uri", F.col("kind").alias("record_type"), F.col("refers_key").alias("refers_to"), "payload", "payload_bytes", "payload_digest", "error")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = 0, payloads: bool = True, **limits: int) -> DataFrame:
-    """What reading gives of the pages just written to a scratch folder."""
-    folder = scratch(pages.sparkSession, "warc")
+    """What reading gives of the pages just written to a scratch folder, which is deleted again."""
+    spark = pages.sparkSession
+    folder = scratch(spark, "warc")
     write(pages, folder, key, uri, payload, least_bytes, **limits)
-    return read(pages.sparkSession, folder, payloads)
+    got = read(spark, folder, payloads)
+    delete(spark, folder)
+    return got
+
+
+def oracle(pages: str = "pages", key: str = "page_id", payload: str = "html") -> str:
+    """SQL (DuckDB) for the columns of op2: lengths, digests in base32, and which page of equal payloads is the response."""
+    base32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + (i // 4)::BIGINT * 5, 5))::INT >> (15 - 5 * (i % 4)::INT)) & 31), 1)), '')"
+    return f"WITH p AS (SELECT {key}, octet_length(encode(coalesce({payload}, ''))) n, sha1(coalesce({payload}, '')) h FROM {pages}), f AS (SELECT *, max({key}) OVER (PARTITION BY h) top FROM p) SELECT {key}, n::BIGINT payload_bytes, {base32} payload_digest, CASE WHEN {key} IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END record_type, CASE WHEN {key} IS DISTINCT FROM top THEN top END refers_to, NULL::VARCHAR error FROM f"
