@@ -14,6 +14,7 @@ decoding joins the token strings by one space.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import texts, tune
 
-#: Entries of the cache of chunks and words, in each worker.
-KNOWN = 500_000
+#: Entries of the cache of chunks and words, in each worker, and the longest that are kept.
+KNOWN, KEPT = 500_000, 128
+#: Bytes from which a fragment's pairs are kept in a heap instead of being searched.
+LONG = 100
 #: Beyond every rank.
 FAR = 1 << 60
 #: White space of the vocabulary's pattern (Unicode White_Space).
@@ -57,7 +60,7 @@ class _Cache(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.most:
+        if len(self) < self.most and len(key) <= KEPT:
             self[key] = value
         return value
 
@@ -111,6 +114,8 @@ class Codec:
         ids = list(map(self.byte.__getitem__, fragment))
         if last:
             ids[-1] = self.last[fragment[-1]]
+        if len(ids) >= LONG:
+            return self._merge_long(ids)
         best = self.merges.get
         ranks = [best(a << 24 | b, FAR) for a, b in zip(ids, ids[1:])]
         while ranks:
@@ -126,6 +131,36 @@ class Codec:
                 ranks[i] = best(ids[i] << 24 | ids[i + 1], FAR)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges in n log n: a heap of (rank, place), the places linked. An entry holds as long as the pair at
+        its place still has that rank; one that does not was pushed for a pair that is gone."""
+        best, n = self.merges.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i, r in enumerate(best(a << 24 | b, FAR) >> 24 for a, b in zip(ids, ids[1:])) if r < FAR >> 24]
+        heapq.heapify(heap)
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n:
+                continue
+            found = best(ids[i] << 24 | ids[j], FAR)
+            if found >> 24 != entry >> 32:
+                continue
+            ids[i], ids[j] = found & 0xFFFFFF, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                r = best(ids[i] << 24 | ids[k], FAR) >> 24
+                if r < FAR >> 24:
+                    heapq.heappush(heap, r << 32 | i)
+            k = before[i]
+            if k >= 0:
+                r = best(ids[k] << 24 | ids[i], FAR) >> 24
+                if r < FAR >> 24:
+                    heapq.heappush(heap, r << 32 | k)
+        return [x for x in ids if x >= 0]
+
     def _word(self, word: bytes) -> bytes:
         if self.joined.issuperset(zip(word, word[1:])):
             return pack(self._merge(word, True))
