@@ -6,6 +6,8 @@ import hashlib
 import itertools
 import math
 import re
+import shutil
+import time
 import zlib
 
 import duckdb
@@ -102,11 +104,52 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_query(spark):
+    """All columns against SQL, and lengths and digests against hashlib."""
     pages = pq.read_table(f"{DATA}/pages.parquet").to_pandas()
-    got = queries.op2_warc(spark, DATA).toPandas().set_index("page_id")
-    assert len(got) == len(pages)
+    got = queries.op2_warc(spark, DATA).toPandas().set_index("page_id").sort_index()
+    want = duckdb.sql(queries.ORACLES["op2_warc"].replace("FROM pages", f"FROM '{DATA}/pages.parquet'")).df().set_index("page_id").sort_index()
+    assert len(got) == len(pages) and got[want.columns].astype(object).where(got.notna(), None).equals(want.astype(object).where(want.notna(), None))
     for r in pages.itertuples():
-        assert got.loc[r.page_id].payload_digest == base64.b32encode(hashlib.sha1((r.html or "").encode()).digest()).decode()
+        raw = (r.html or "").encode()
+        assert tuple(got.loc[r.page_id][["payload_bytes", "payload_digest"]]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+
+
+def test_warc_repeated_and_null_keys(spark):
+    """Every row in gives a row back: repeated rows, repeated keys with other payloads, null keys, all in segments."""
+    long = ["x%d " % i * 3000 for i in range(4)]
+    rows = [(1, "u", long[0]), (1, "u", long[0]), (2, "u", long[1]), (2, "u", "short"), (None, "u", long[2]), (None, "u", long[2]), (None, "u", long[3]), (3, "u", long[3]), (4, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = warc.round_trip(df, segment=2000, archive=9000).collect()
+    assert len(got) == len(rows) and all(r["error"] is None for r in got)
+    seen = collections.Counter((r["key"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got)
+    sha = lambda x: base64.b32encode(hashlib.sha1((x or "").encode()).digest()).decode()
+    assert seen == {("1", sha(long[0]), "response", None): 2, ("2", sha(long[1]), "response", None): 1, ("2", sha("short"), "response", None): 1, (None, sha(long[2]), "response", None): 2, (None, sha(long[3]), "revisit", "3"): 1, ("3", sha(long[3]), "response", None): 1, ("4", sha(""), "response", None): 1, (None, sha(""), "revisit", "4"): 1}
+    strings = spark.createDataFrame([("a\r\nX-Key: b%", "u", "h"), ("é", "u", "h")], "page_id string, url string, html string")
+    assert {(r["key"], r["refers_to"]) for r in warc.round_trip(strings).collect()} == {("é", None), ("a\r\nX-Key: b%", "é")}
+
+
+def test_warc_left_overs_of_attempts_are_not_read(spark, tmp_path):
+    """Archives of an attempt that died are not in the manifest; a folder without one is read whole."""
+    folder = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id bigint, url string, html string")
+    assert warc.write(df, folder) == 20
+    names = [r["name"] for r in warc.manifest(spark, folder).collect()]
+    (tmp_path / "w" / "part-00000-0000-999.warc.gz").write_bytes((tmp_path / "w" / names[0]).read_bytes()[:-7])
+    assert warc.read(spark, folder).count() == 20
+    (tmp_path / "w" / "part-00000-0000-999.warc.gz").write_bytes(b"".join(warc.gzipped(x) for x in warc.records("z", 99, "u", b"more", warc.digest(b"more"))))
+    assert warc.read(spark, folder).count() == 20
+    shutil.rmtree(tmp_path / "w" / "manifest")
+    assert warc.read(spark, folder).count() == 21
+
+
+def test_warc_common_payloads(spark):
+    """Payloads that many pages share are joined apart from the rest, with the same result."""
+    rows = [(i, "u", "same" if i % 3 else f"own {i % 40}") for i in range(400)]
+    got = {int(r["key"]): (r["record_type"], r["refers_to"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    top = {}
+    for i, _, h in rows:
+        top[h] = i
+    assert got == {i: ("response", None) if top[h] == i else ("revisit", str(top[h])) for i, _, h in rows}
 
 
 def test_warc_faults():
@@ -149,6 +192,19 @@ def test_bpe_on_many_characters():
         assert codec.decode(ids) == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_very_long_words():
+    """Long fragments are merged through a heap: the same ids as the library's, near-linear in time."""
+    library, codec, rng = Tokenizer.from_file(VOCABULARY), bpe.Codec(VOCABULARY), np.random.default_rng(2)
+    words = ["".join(map(chr, rng.choice(list(range(97, 123)), n))) for n in (99, 100, 101, 500, 5000)] + ["a" * 3000, "ab" * 2000 + "c", "theing" * 700, "q" * 101, "é" * 400]
+    for w in words:
+        assert np.frombuffer(codec.encode(w), "<u4").tolist() == library.encode(w, add_special_tokens=False).ids
+    assert all(len(k) <= bpe.KEPT for k in codec.known)
+    began = time.time()
+    million = "".join(map(chr, rng.choice(list(range(97, 123)), 1_000_000)))
+    ids = np.frombuffer(codec.encode(million), "<u4").tolist()
+    assert time.time() - began < 60 and codec.decode(np.array(ids, "<u4").tobytes()).replace(" ", "").replace("</w>", "") == million
+
+
 def test_forced_boundaries_never_lie_inside_tokens():
     codec = bpe.Codec(VOCABULARY)
     word = "straßenqxzvkâ€œ".encode()
@@ -230,9 +286,11 @@ def test_classes_are_those_of_brute_force(spark, docs):
     assert [got[i] for i in docs.doc_id] == [docs.doc_id[r] for r in want]
 
 
-def test_large_groups_and_chains(spark, monkeypatch):
-    """A group whose members are near only some others, in blocks far smaller than it."""
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 8, "FAN": 5, "COMMON": 10}, {"BLOCK_BYTES": 9_000, "FEW": 0, "COMMON": 2}])
+def test_large_groups_and_chains(spark, monkeypatch, limits):
+    """A group whose members are near only some others, in blocks far smaller than it or in one, joined by shuffles or not."""
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash, name, value)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -247,6 +305,40 @@ def test_large_groups_and_chains(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_null_keys_are_linked(spark):
+    w = [f"w{i}" for i in range(60)]
+    near, other = [*w[:59], "x"], [f"z{i}" for i in range(40)]
+    rows = [(None, " ".join(near)), (7, " ".join(w)), (9, " ".join(near)), (None, " ".join(other)), (None, " ".join([*other, "end"])), (3, "  ".join(w)), (3, " ".join(w))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["class_id"]) for r in minhash.classes(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3), (7, 3), (9, 3), (None, None), (None, None), (3, 3), (3, 3)], key=str)
+    kept = minhash.keep(df).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "None"]
+
+
+def test_near_copies_in_thousands(spark):
+    """Joins make no more rows than the bands have, however large the group: 3,000 near copies against brute force."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(40)], []
+    for _ in range(3000):
+        w = base.copy()
+        for at in rng.choice(40, int(rng.integers(0, 5)), replace=False):
+            w[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = []
+    whole = minhash.unresolved
+    minhash.unresolved = lambda *a: made.append(whole(*a)) or made[0]
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()}
+    finally:
+        minhash.unresolved = whole
+    want = brute_classes(texts)
+    assert np.mean([got[i] == want[i] for i in range(len(texts))]) > 0.999
+    # each member of an open bucket is once in each of its few block pairs
+    assert made[0].count() <= 3 * minhash.BANDS * len(set(texts))
+
+
 def test_classes_odd(spark, odd, none):
     got = minhash.classes(odd).collect()
     assert len(got) == odd.count()
