@@ -53,10 +53,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed into sequences of the permitted lengths."""
+    """Every document encoded and packed into sequences of the permitted lengths."""
+    import public_tokenizers
+
     from verdigris.llm import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
