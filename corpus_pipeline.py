@@ -25,8 +25,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in training sequences."""
-    return packing.pack(docs)
+    """The documents encoded and packed into training sequences; see packing.pack."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("language_id", identified), ("toxicity", harmless), ("near_duplicates", distinct), ("packing", sequences)]
