@@ -4,10 +4,11 @@ A character model (4-grams over a-z, the word boundary and one class for all oth
 counted over every document. Words that look disguised are decoded with it: each observed character
 is a node of a lattice, with arcs to the letters it may stand for (leetspeak), to nothing (a
 separator, or one more of a repeated letter) and, where letters stand alone, across the white space
-between them. Viterbi finds the cheapest letters under channel plus character model.
+between them. Viterbi finds the cheapest letters under channel plus character model; it keeps every
+state, so nothing is cut off, however long the word.
 
-The words of the text and the words restored are then scored: logistic regression on which of the
-learned words and word beginnings occur anywhere in the text. Learned are those whose presence
+The restored text is then scored: logistic regression on which of the learned words and word
+beginnings occur anywhere in it. Learned are those whose presence
 depends most on the label (log-likelihood ratio). Words and weights are fitted on a bounded sample of labelled
 rows: at most SAMPLE of each label, drawn by a hash of the key.
 """
@@ -37,18 +38,16 @@ ORDER, SYMBOLS = 4, 28
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "aeiou"}
 #: Channel costs, in nats: a stand-in letter, a wildcard letter, a dropped repeat, a dropped separator.
 STAND_IN, WILD, REPEAT, SEPARATOR = 0.5, 2.0, 2.5, 0.2
-#: Longest disguised word that is decoded at once; longer ones are decoded piece by piece.
-LONGEST = 64
-#: States kept after each character.
-BEAM = 32
 SLICE = 1 << 15
-#: Characters counted at a time; what stands between texts.
-PIECE, EDGE = 1 << 20, " " * (ORDER - 1)
+#: Characters counted at a time; what stands between texts. Longest disguised word that is kept decoded.
+PIECE, EDGE, KEPT = 1 << 20, " " * (ORDER - 1), 128
 
 _WORD = re.compile(r"[^\W\d_]+")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|+*](?:[ .\-_*~]{1,2}[\w@$!|+]){2,}(?![^\W_])")
 _LETTER_AND_MARK = re.compile(r"[^\W\d_].*[\d@$!|+€(*#.\-_~]|[\d@$!|+€(*#.\-_~].*[^\W\d_]")
+_MARKS = ".,;:?\"')([]{}-_~&%"
+_BETWEEN, _ODD = re.compile(r"(\s+)"), re.compile(r"[\d@$!|+€(*#.\-_~]|([^\W\d_])\1\1")
 _table: list[np.ndarray] = []
 
 
@@ -66,7 +65,7 @@ def character_counts(df: DataFrame, text: str = "text") -> np.ndarray:
     size = SYMBOLS**ORDER
 
     def count(text: str) -> np.ndarray:
-        s = symbols()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        s = symbols()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         gram = s[: len(s) - ORDER + 1]
         for n in range(1, ORDER):
             gram = gram * np.int32(SYMBOLS) + s[n : len(s) - ORDER + 1 + n]
@@ -76,12 +75,17 @@ def character_counts(df: DataFrame, text: str = "text") -> np.ndarray:
         total, waiting, chars = np.zeros(size, np.int64), [], 0
         for b in batches:
             for t in texts(b):
-                for start in range(0, len(t), PIECE):
-                    waiting.append(t[start : start + PIECE])
-                    chars += len(waiting[-1])
-                    if chars >= PIECE:
-                        total += count(EDGE + EDGE.join(waiting) + EDGE)
-                        waiting, chars = [], 0
+                low = t.lower()
+                if len(low) > PIECE:  # windows that overlap by all but one of an n-gram's characters: each n-gram once
+                    whole = EDGE + low + EDGE
+                    for start in range(0, len(whole) - ORDER + 1, PIECE):
+                        total += count(whole[start : start + PIECE + ORDER - 1])
+                    continue
+                waiting.append(low)
+                chars += len(low)
+                if chars >= PIECE:
+                    total += count(EDGE + EDGE.join(waiting) + EDGE)
+                    waiting, chars = [], 0
         if waiting:
             total += count(EDGE + EDGE.join(waiting) + EDGE)
         parts = [total[i : i + SLICE].tobytes() for i in range(0, size, SLICE)]
@@ -113,22 +117,26 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
+def lattice(c: str) -> tuple[list[tuple[str, int, float]], float | None]:
+    """What an observed character may stand for (letter, symbol, cost), and the cost of leaving it out, if it may be."""
+    options = LEET.get(c, "")
+    arcs = [(x, symbol(x), WILD if len(options) > 2 else STAND_IN) for x in options]
+    if c.isalpha():
+        arcs.append((c, symbol(c), 0.0))
+    return arcs, SEPARATOR if not c.isalnum() else None if arcs else WILD
+
+
 def decode(seen: str, costs: list[float]) -> str:
     """The likeliest word behind a disguised one, by Viterbi over its lattice; '' if nothing is left of it.
 
-    A state is the last three symbols and the last letter; of equal costs the first met stays. Of the states after a
-    character the BEAM cheapest go on.
+    A state is the last three symbols and the last letter; of equal costs the first met stays. The letters so far are
+    a chain that states share, so a long word costs as much for each character as a short one.
     """
     size = SYMBOLS ** (ORDER - 1)
-    states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
+    states: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
     for c in seen:
-        options = LEET.get(c, "")
-        wild = WILD if len(options) > 2 else STAND_IN
-        arcs = [(x, symbol(x), wild) for x in options]
-        if c.isalpha():
-            arcs.append((c, symbol(c), 0.0))
-        drop = SEPARATOR if not c.isalnum() else None if arcs else WILD
-        after: dict[tuple[int, str], tuple[float, str]] = {}
+        arcs, drop = lattice(c)
+        after: dict[tuple[int, str], tuple[float, tuple | None]] = {}
         for state, (cost, word) in states.items():
             past, last = state
             past *= SYMBOLS
@@ -140,11 +148,15 @@ def decode(seen: str, costs: list[float]) -> str:
                 extra += costs[n]
                 to = (n % size, x)
                 if to not in after or extra < after[to][0]:
-                    after[to] = (extra, word + x)
+                    after[to] = (extra, (word, x))
             if drop is not None and (state not in after or cost + drop < after[state][0]):
                 after[state] = (cost + drop, word)
-        states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda s: s[1][0])[:BEAM])
-    return min(((cost + costs[past * SYMBOLS], word) for (past, _), (cost, word) in states.items()), default=(0.0, ""))[1]
+        states = after
+    word, letters = min(((cost + costs[past * SYMBOLS], n, word) for n, ((past, _), (cost, word)) in enumerate(states.items())), default=(0.0, 0, None))[2], []
+    while word is not None:
+        word, x = word
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 def features(words: set[str]) -> set[str]:
@@ -155,57 +167,62 @@ def features(words: set[str]) -> set[str]:
     return found
 
 
-def disguised(text: str) -> list[tuple[int, int]]:
-    """Where a lower-case text has words that look disguised: spans, left to right, without overlaps."""
-    spans = [m.span() for m in _SPACED.finditer(text)]
-    n = 0
-    out: list[tuple[int, int]] = []
-    for m in re.finditer(r"\S+", text):
-        while n < len(spans) and spans[n][1] <= m.start():
-            out.append(spans[n])
-            n += 1
-        if n < len(spans) and spans[n][0] < m.end():
-            continue
-        chunk = m.group().strip(".,;:?\"')([]{}-_~&%")
-        if chunk and not (chunk.isalpha() and not _REPEATED.search(chunk)) and (_LETTER_AND_MARK.search(chunk) or _REPEATED.search(chunk)):
-            at = m.start() + m.group().index(chunk)
-            out.append((at, at + len(chunk)))
-    return out + spans[n:]
+def disguise(chunk: str) -> tuple[str, str, str] | None:
+    """What stands before, in and after the disguised word of a chunk between white space; None if it looks plain."""
+    inside = chunk.strip(_MARKS)
+    if not inside or not (_REPEATED.search(inside) or not inside.isalpha() and _LETTER_AND_MARK.search(inside)):
+        return None
+    at = chunk.index(inside)
+    return chunk[:at], inside, chunk[at + len(inside) :]
 
 
 class Restorer:
-    """Restores disguised words under a character model; keeps what it has decoded, up to a number of words."""
+    """Restores disguised words under a character model; keeps what it has restored, up to a number of words.
+
+    One finder serves the text and its words: letters spaced out are a disguised word, and so is what `disguise` finds
+    in a chunk between white space.
+    """
 
     def __init__(self, costs: np.ndarray, most: int = 200_000):
         self.costs, self.most, self.known = costs.tolist(), most, {}
 
     def word(self, seen: str) -> str:
+        """A disguised word, decoded."""
         got = self.known.get(seen)
         if got is None:
-            got = "".join(decode(seen[i : i + LONGEST], self.costs) for i in range(0, len(seen), LONGEST))
-            if len(self.known) < self.most:
+            got = decode(seen, self.costs)
+            if len(self.known) < self.most and len(seen) <= KEPT:
                 self.known[seen] = got
         return got
 
+    def chunk(self, chunk: str) -> str:
+        """A chunk between white space, restored."""
+        if chunk.isalpha() and not _REPEATED.search(chunk):
+            return chunk
+        parts = disguise(chunk)
+        return chunk if parts is None else parts[0] + self.word(parts[1]) + parts[2]
+
+    def plain(self, low: str) -> tuple[str, list[str]]:
+        """A lower-case text with a gap where letters are spaced out, and what is found in the gaps, restored."""
+        spaced: list[str] = []
+
+        def gap(m: re.Match) -> str:
+            spaced.append(self.word(m.group()))
+            return "\n\0 "
+
+        return _SPACED.sub(gap, low), spaced
+
     def text(self, text: str) -> str:
         """The whole text in lower case with every disguised word restored."""
-        low, out, done = text.lower(), [], 0
-        for a, b in disguised(low):
-            out += [low[done:a], self.word(low[a:b])]
-            done = b
-        return "".join([*out, low[done:]])
+        rest, spaced = self.plain(text.lower().replace("\0", " "))
+        whole = "".join(self.chunk(x) if x and not x.isspace() else x for x in _BETWEEN.split(rest)) if spaced or _ODD.search(rest) else rest
+        parts = whole.split("\n\0 ")
+        return parts[0] + "".join(w + p for w, p in zip(spaced, parts[1:]))
 
     def words(self, text: str) -> set[str]:
-        """The words of a text as it stands, and those that restoring adds."""
-        low = text.lower()
-        found = set(_WORD.findall(low))
-        chunks = {x.strip(".,;:?\"')([]{}-_~&%") for x in set(low.split()) if not x.isalpha()}
-        odd = {x for x in chunks if x and not x.isalpha() and _LETTER_AND_MARK.search(x)}
-        odd |= {x for x in found if _REPEATED.search(x)}
-        odd |= {m.group() for m in _SPACED.finditer(low)}
-        for x in odd:
-            found.update(_WORD.findall(self.word(x)))
-        return found
+        """The words of the restored text."""
+        rest, spaced = self.plain(text.lower().replace("\0", " "))
+        return set(_WORD.findall(" ".join([*map(self.chunk, set(rest.split())), *spaced])))
 
 
 @dataclass
@@ -248,9 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         share = counts.get(1, 0) / total if total else 0.0
         return Model([], np.zeros(0), math.log(max(share, 1e-9) / max(1 - share, 1e-9)), costs)
     spread = 1 << 30
-    most = F.when(F.col("y") == 1, F.lit(min(spread, spread * sample // counts[1]))).otherwise(F.lit(min(spread, spread * sample // counts[0])))
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity")), F.lit(spread))
-    picked = marks.filter(draw < most)  # about 2 x sample keys, a bound that does not grow with the data
+    most = F.when(F.col("y") == 1, F.lit(min(spread, spread * 5 // 4 * (sample + 100) // counts[1]))).otherwise(F.lit(min(spread, spread * 5 // 4 * (sample + 100) // counts[0])))
+    marks = marks.withColumn("draw", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity")), F.lit(spread)))
+    # the first of each label in the order of the draw, of a few more than are wanted: 2 x sample keys at most
+    of = lambda y: marks.filter((F.col("y") == y) & (F.col("draw") < most)).orderBy("draw", "key").limit(sample).drop("draw")
+    picked = of(0).unionByName(of(1))
     shared = spark.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +358,11 @@ def assess(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def keep(df: DataFrame, model: Model, text: str = "text", below: float = 0.5) -> DataFrame:
-    """The rows of df, all columns as they are, that score less than below."""
+    """The rows of df, all columns as they are, that score less than below.
+
+    Each row is judged by its text alone: equal texts fare equally, null and empty ones score what the bias gives,
+    repeated rows and keys stay as they are, an empty table stays empty.
+    """
     tune(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
