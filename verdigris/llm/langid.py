@@ -31,6 +31,7 @@ SLICE = 1 << 12
 #: Characters taken at a time, whatever the text's length.
 PIECE = 1 << 20
 UNKNOWN = "und"
+_EDGE = np.array([32], np.uint32)
 _letter: list[np.ndarray] = []
 
 
@@ -42,25 +43,27 @@ def letters() -> np.ndarray:
 
 
 def gram_counts(text: str) -> np.ndarray | None:
-    """Counts of the hashed n-grams of a whole text, or None if it has no letter."""
-    total, any_letter = np.zeros(DIM, np.int64), False
-    for start in range(0, len(text), PIECE):
-        piece = text[max(0, start - ORDER + 1) : start + PIECE].lower()
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Counts of the hashed n-grams of a whole text, or None if it has no letter.
+
+    A long text is taken PIECE characters at a time; what a piece leaves (whether it ended in a letter, and its last
+    symbols) goes on to the next, so that the counts are those of the text as one.
+    """
+    low, any_letter, before = text.lower(), False, True
+    total, carry = np.zeros(DIM, np.int64), np.zeros(0, np.uint32)
+    for start in range(0, max(1, len(low)), PIECE):
+        codes = np.frombuffer(low[start : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letters()[codes]
-        if not is_letter.any():
-            continue
-        any_letter = True
-        codes = np.where(is_letter, codes, np.uint32(32))
-        first = np.ones(len(codes), bool)
-        first[1:] = is_letter[:-1]
-        codes = np.concatenate([[np.uint32(32)], codes[is_letter | first], [np.uint32(32)]])
-        part = np.zeros(len(codes), np.uint32)
+        any_letter = any_letter or bool(is_letter.any())
+        # of a run of other characters the first stays, as a space
+        kept = is_letter | np.r_[before, is_letter[:-1]][: len(codes)]
+        seq = np.concatenate([carry if start else _EDGE, np.where(is_letter, codes, np.uint32(32))[kept], _EDGE if start + PIECE >= len(low) else _EDGE[:0]])
+        part, found = np.zeros(len(seq), np.uint32), []
         for n in range(1, ORDER + 1):
-            part = part[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :]
-            h = (part + np.uint32(n)) * np.uint32(0x9E3779B1)
-            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            total += np.bincount(h >> np.uint32(16), minlength=DIM)
+            part = part[: max(0, len(seq) - n + 1)] * np.uint32(0x01000193) ^ seq[n - 1 :]
+            h = (part[max(0, len(carry) - n + 1) :] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            found.append((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(16))
+        total += np.bincount(np.concatenate(found), minlength=DIM)
+        carry, before = seq[len(seq) - min(len(seq), ORDER - 1) :], bool(is_letter[-1]) if len(codes) else True
     return total if any_letter else None
 
 
@@ -232,7 +235,9 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def keep(df: DataFrame, model: Model, text: str = "text", least: float = 0.4, among: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of df, all columns as they are, whose language is known with a score of least or more (and is in among).
 
-    Rows without a letter are rejected; if the model knows no language, every row with a letter stays.
+    Rows without a letter (null and empty texts too) are rejected; if the model knows no language, every row with a
+    letter stays. Each row is judged by its text alone, so equal texts fare equally; repeated rows and keys stay as
+    they are, an empty table stays empty.
     """
     tune(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
