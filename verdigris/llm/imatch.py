@@ -33,7 +33,7 @@ from verdigris.llm.common import mix64, texts, tune
 LEAST, MOST = 0.0005, 0.1
 #: Levels of sub-lexicons; sub-lexicons used of a level; levels that likeness looks at, from the fitting one on.
 LEVELS, GROUPS, FINER = 60, 16, 2
-#: Fewer terms than this in the band, and all the document's terms are used instead.
+#: Fewer terms than this in the band tell nothing: such a document is fingerprinted by all its terms instead.
 FEW = 2
 #: Rows of a range of keys, and most ranges.
 RANGE, RANGES = 4096, 10_000
@@ -63,14 +63,15 @@ def terms(text: str) -> set[str]:
 def lexicon(df: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> np.ndarray:
     """Sorted hashes of the terms in the band, from all rows. Counted in every task, then added up by range of hashes.
 
-    A term must occur in two rows at least; with few rows the band is not narrower than 2 rows to half of them.
+    A term must occur in two rows at least, and terms in two rows are in the band however few rows there are.
     """
     spark = df.sparkSession
     tune(spark)
     rows = df.select(F.col(text).alias("text"))
     parts = max(16, min(4096, rows.rdd.getNumPartitions() * 2))
     n = rows.count()
-    low, high = max(2, int(np.ceil(least * n))), max(2, int(most * n), min(n // 2, 50))
+    low = max(2, int(np.ceil(least * n)))
+    high = max(low, int(most * n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, size = _Hashes(), [], 0
