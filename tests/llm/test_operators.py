@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from tests.conftest import DATA
 from verdigris.llm import ann, bpe, imatch, katz, langid, licenses, minhash, packing, queries, toxicity, warc
 
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+VOCABULARY, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -63,12 +63,64 @@ def test_language_accuracy_and_odd(spark, docs, odd, none):
     assert langid.identify(blank).first()["lang_pred"] == "und"
 
 
+def naive_gram_counts(text):
+    """n-gram by n-gram, over the text's letters and single spaces."""
+    seq, inside = [32], True
+    for c in text.lower():
+        if c.isalpha() or inside:
+            seq.append(ord(c) if c.isalpha() else 32)
+        inside = c.isalpha()
+    seq.append(32)
+    out = np.zeros(langid.DIM, np.int64)
+    for n in (1, 2, 3):
+        for i in range(len(seq) - n + 1):
+            h = 0
+            for c in seq[i : i + n]:
+                h = h * 0x01000193 % 2**32 ^ c
+            h = (h + n) * 0x9E3779B1 % 2**32
+            out[(h ^ h >> 15) * 0x85EBCA6B % 2**32 >> 16] += 1
+    return out
+
+
 def test_language_counts_in_pieces(monkeypatch):
-    text = "Ein längerer Text, der in Stücke zerfällt 12 und weitergeht. " * 40
-    whole = langid.gram_counts(text)
-    assert whole.sum() > 0 and langid.gram_counts("12 !") is None
-    one = collections.Counter(re.sub(r"[\W\d_]+", " ", " a b "))
-    assert langid.gram_counts("a b").sum() == sum(one.values()) + 4 + 3
+    """Cut anywhere, the counts are those of the text as one."""
+    texts = ["Ein längerer Text, der in Stücke zerfällt 12 und weitergeht. " * 5, "12 a", "a", "..ab", "ΟΔΟΣ İstanbul 😀x", "a b"]
+    for piece in (1, 2, 3, 7, 100, 1 << 20):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for t in texts:
+            assert (langid.gram_counts(t) == naive_gram_counts(t)).all()
+        assert langid.gram_counts("12 !") is None and langid.gram_counts("") is None
+
+
+def test_ftrl_against_a_plain_table():
+    """The leader's weights against dense tables updated coordinate by coordinate, row by row, from the definition."""
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(30, 4, replace=False)), rng.uniform(0.2, 1, 4), int(rng.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.7, 1.3, 0.02, 0.05
+    w, b = langid.ftrl(rows, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=5)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= l1:
+            return 0.0
+        return -(z[i, c] - math.copysign(l1, z[i, c])) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            at, x, y = rows[r]
+            at, x = [*at.tolist(), langid.DIM], [*x.tolist(), 1.0]
+            old = {(i, c): weight(i, c) for i in at for c in range(3)}
+            s = [sum(old[i, c] * v for i, v in zip(at, x)) for c in range(3)]
+            e = [math.exp(v - max(s)) for v in s]
+            for i, v in zip(at, x):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    sigma = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha
+                    z[i, c] += g - sigma * old[i, c]
+                    n[i, c] += g * g
+    assert np.allclose(w[:30], [[weight(i, c) for c in range(3)] for i in range(30)]) and np.allclose(b, [weight(langid.DIM, c) for c in range(3)])
+    assert not w[30:].any()
 
 
 def test_elastic_net_is_sparse_and_temperature_calibrates():
@@ -450,40 +502,82 @@ def test_licenses_use_no_python(spark):
 
 
 # ---- 7
-def check_packing(rows, sizes, lengths):
-    pieces = collections.defaultdict(list)
-    bins = collections.defaultdict(list)
+def naive_best_fit(sizes, lengths, fixed):
+    """Piece by piece, longest first, every open bin looked at: [(pieces, final length)]."""
+    bins, left = [], sum(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        left -= sizes[i]
+        fits = [(cap - sum(sizes[j] for j in own), n) for n, (own, cap) in enumerate(bins) if cap - sum(sizes[j] for j in own) >= sizes[i]]
+        if fits:
+            bins[min(fits)[1]][0].append(i)
+        else:
+            options = [x for x in lengths if x >= sizes[i]]
+            bins.append(([i], min(options, key=lambda x: (packing.cost(x, fixed) / min(x, sizes[i] + left), -x))))
+    return [(own, min((x for x in lengths if x >= sum(sizes[j] for j in own)), key=lambda x: packing.cost(x, fixed))) for own, _ in bins]
+
+
+@pytest.mark.parametrize("lengths, fixed", [((4, 16, 64), 2), ((512, 1024, 8192), 512), ((7,), 0)])
+def test_best_fit_is_that_of_a_naive_packer(lengths, fixed):
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 30, 200):
+        sizes = np.minimum(rng.geometric(3 / max(lengths), n), max(lengths)).tolist()
+        bins, offset, final = packing.best_fit(sizes, lengths, fixed)
+        got = [([], x) for x in final]
+        for i in sorted(range(n), key=lambda i: (bins[i], offset[i])):
+            assert offset[i] == sum(sizes[j] for j in got[bins[i]][0])
+            got[bins[i]][0].append(i)
+        assert got == naive_best_fit(sizes, sorted(lengths), fixed)
+
+
+def check_packing(rows, documents, lengths, most):
+    """Every document's tokens are in the sequences, whole and once; sequences are full of what they list."""
+    encoder = packing.encoder(RANKS, public_tokenizers.PATTERN)
+    seen = collections.Counter()
+    parts = collections.defaultdict(dict)
     for r in rows:
-        pieces[r["doc_id"]].append(r)
-        if r["bin_id"] is not None:
-            bins[r["bin_id"]].append(r)
-    for key, own in pieces.items():
-        assert sum(r["n_tokens"] for r in own) == sizes[key]
-    for own in bins.values():
-        own.sort(key=lambda r: r["bin_offset"])
-        at = 0
-        for r in own:
-            assert r["bin_offset"] == at
-            at += r["n_tokens"]
-        assert at == own[0]["bin_used"] <= own[0]["bin_length"]
-        assert own[0]["bin_length"] == min((x for x in lengths if x >= at), key=packing.cost)
+        if not r["length"]:
+            assert r["ids"] is None and all(d["n_tokens"] == 0 for d in r["documents"])
+            seen.update((d["doc_id"], b"") for d in r["documents"])
+            continue
+        ids, at = np.frombuffer(r["ids"], encoder.kind), 0
+        assert r["doc_ids"] == [d["doc_id"] for d in r["documents"]] and len(ids) == r["used"] <= r["length"]
+        assert r["length"] == min((x for x in lengths if x >= r["used"]), key=packing.cost)
+        for d in r["documents"]:
+            assert d["at"] == at and d["start"] == d["piece"] * most
+            part, at = ids[at : at + d["n_tokens"]].tobytes(), at + d["n_tokens"]
+            if d["piece"] == 0 and d["n_tokens"] < most:
+                seen[d["doc_id"], part] += 1
+            else:
+                parts[d["doc_id"]].setdefault(d["piece"], []).append(part)
+    for key, own in parts.items():
+        assert all(len(x) == 1 for x in own.values()), "the tests have one long text to a key"
+        seen[key, b"".join(own[i][0] for i in range(len(own)))] += 1
+    assert seen == collections.Counter((k, encoder.encode(t or "").tobytes()) for k, t in documents)
+    assert all(encoder.decode(x) == t for t in {t for _, t in documents if t} for x in [encoder.encode(t).tobytes()])
 
 
 def test_packing(spark, docs, odd, none):
-    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     rows = queries.op7_packing(spark, DATA).collect()
-    check_packing(rows, {r.doc_id: count(r.text) for r in docs.itertuples()}, packing.LENGTHS)
-    used = {r["bin_id"]: (r["bin_used"], r["bin_length"]) for r in rows if r["bin_id"] is not None}
-    assert packing.waste([u for u, _ in used.values()], [x for _, x in used.values()]) < 0.05
-    sizes = collections.Counter()
-    for r in odd.collect():
-        sizes[r["doc_id"]] += count(r["text"])
-    small = packing.pack(odd, lengths=(4, 16, 64), fixed=2, shard=4).collect()
-    check_packing(small, sizes, (4, 16, 64))
-    assert [r["bin_id"] for r in small if r["doc_id"] in (3, 4, 5)] == [None] * 3
-    assert packing.pack(none).count() == 0
+    check_packing(rows, [(r.doc_id, r.text) for r in docs.itertuples()], packing.LENGTHS, max(packing.LENGTHS))
+    assert packing.waste([r["used"] for r in rows], [r["length"] for r in rows]) < 0.05
+    pack = lambda df, **o: packing.pack(df, RANKS, public_tokenizers.PATTERN, **o)
+    short = odd.filter("doc_id is null or doc_id <> 6")
+    check_packing(pack(short, lengths=(4, 16, 64), fixed=2, shard=4).collect(), [(r["doc_id"], r["text"]) for r in short.collect() if not (r["text"] or "").startswith("The quick")] + [(r["doc_id"], r["text"]) for r in short.collect() if (r["text"] or "").startswith("The quick")], (4, 16, 64), 64)
+    assert pack(odd).count() > 0 and pack(none).count() == 0
     with pytest.raises(ValueError):
-        packing.pack(odd, lengths=())
+        pack(odd, lengths=())
+
+
+def test_packing_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(packing, "RUN", 100)
+    found = [sorted((r["length"], tuple(map(tuple, r["documents"])), bytes(r["ids"] or b"")) for r in packing.pack(x, RANKS, public_tokenizers.PATTERN, shard=256).collect()) for x in (df, df.repartition(7), df.coalesce(1))]
+    assert found[0] == found[1] == found[2]
+    monkeypatch.setattr(packing, "HOT", 3)
+    hot = df.limit(20).union(df.limit(1).crossJoin(spark.range(30)).drop("id"))
+    got = packing.pack(hot, RANKS, public_tokenizers.PATTERN, shard=4).collect()
+    want = collections.Counter(r["doc_id"] for r in hot.collect())
+    assert collections.Counter(d["doc_id"] for r in got for d in r["documents"] if d["piece"] == 0) == want
 
 
 # ---- 8
@@ -564,6 +658,45 @@ def test_fingerprints(spark, docs):
     assert (got.near_edited > got.near_next).mean() > 0.85
 
 
+def naive_sketch(terms):
+    """Sub-lexicon by sub-lexicon, as a dictionary of (level, group) to hash, in plain integers."""
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    own = min(imatch.LEVELS - imatch.FINER, max(0, (len(terms) - 1).bit_length()))
+    out = {}
+    for level in [0, *range(max(1, own), imatch.LEVELS)]:
+        groups = collections.defaultdict(list)
+        for t in sorted(terms):
+            group = mix(t ^ (0x5851F42D4C957F2D + 1 + (level - 1) % imatch.FINER)) >> (64 - level) if level else 0
+            if group < imatch.GROUPS:
+                groups[group].append(t)
+        for g, own_terms in groups.items():
+            out[level, g] = mix(sum(mix((t + mix(i + level)) % 2**64) for i, t in enumerate(own_terms)) % 2**64) >> 40
+    return out
+
+
+def test_sketches_and_likeness_are_those_of_plain_loops(docs):
+    f = imatch.Fingerprinter(np.zeros(0, np.uint64))
+    hashes = [f.hashes(t or "") for t in [*docs.text.head(30), "", "one", "one two", None]]
+    prints = [naive_sketch(set(h.tolist())) if len(h) else {} for h in hashes]
+    for h, got, want in zip(hashes, f.sketches(hashes), prints):
+        assert [(e >> 28, e >> 24 & 15, e & 0xFFFFFF) for e in got.tolist()] == [(*k, v) for k, v in sorted(want.items())]
+    for (h, a), (g, b) in itertools.product(zip(hashes[::3], prints[::3]), repeat=2):
+        if not len(h) or not len(g):
+            want = float(len(h) == len(g))
+        elif set(h) == set(g):
+            want = 1.0
+        else:
+            level = min(imatch.LEVELS - imatch.FINER, (max(len(h), len(g)) - 1).bit_length())
+            cells = {k for k in a.keys() | b.keys() if level <= k[0] < level + imatch.FINER}
+            want = sum(a.get(k) == b.get(k) for k in cells) / len(cells) if cells else 0.0
+        text = [imatch.encoded(*f.sketches([x]), len(x)) for x in (h, g)]
+        assert imatch.compare(*text) == want
+
+
 @pytest.mark.parametrize("n", [60, 800, 3000, 20_000, 150_000])
 def test_likeness_at_every_length(n):
     f = imatch.Fingerprinter(np.zeros(0, np.uint64))
@@ -581,7 +714,7 @@ def test_likeness_at_every_length(n):
 def test_lexicon_is_the_band(spark, docs):
     df = collections.Counter(w for t in docs.text for w in imatch.terms(t))
     n = len(docs)
-    low, high = max(2, math.ceil(imatch.LEAST * n)), max(2, int(imatch.MOST * n), min(n // 2, 50))
+    low, high = max(2, math.ceil(imatch.LEAST * n)), max(2, math.ceil(imatch.LEAST * n), int(imatch.MOST * n))
     want = sorted(imatch.term_hash(w) for w, c in df.items() if low <= c <= high)
     assert imatch.lexicon(spark.read.parquet(f"{DATA}/documents.parquet")).tolist() == want
 
@@ -628,6 +761,49 @@ def test_deobfuscation(docs):
         assert r.word(seen) == want
     assert "idiot" in r.words("you 1d10t!") and r.text("You l o s e r, go") == "you loser, go"
     assert r.text("") == "" and r.words("") == set()
+    for t in [*docs.text.head(80), "A 1d10t, a l o s e r; (m0r0n) and an idiiiiot -- x_y \0 ok", "s t u p i d!! 2+2=4 ,,, a.b.c"]:
+        assert r.words(t) == set(toxicity._WORD.findall(r.text(t)))
+
+    def paths(seen, i=0, past=0, last="", word="", cost=0.0):
+        """Every path through the lattice: (word, cost)."""
+        if i == len(seen):
+            yield word, cost + float(costs[past * 28])
+            return
+        arcs, drop = toxicity.lattice(seen[i])
+        for x, n, extra in arcs:
+            if x == last:
+                yield from paths(seen, i + 1, past, last, word, cost + extra + toxicity.REPEAT)
+            yield from paths(seen, i + 1, (past * 28 + n) % 28**3, x, word + x, cost + extra + float(costs[past * 28 + n]))
+        if drop is not None:
+            yield from paths(seen, i + 1, past, last, word, cost + drop)
+
+    for seen in ["1d10t", "$tup1d", "***", "a**b", "!!!", "#(*", "iiii1i", "l o s e r", "b1**#1", "f#*k3r", "é1ß", "_-_"]:
+        best = {}
+        for w, c in paths(seen):
+            best[w] = min(c, best.get(w, np.inf))
+        assert best[toxicity.decode(seen, costs.tolist())] == pytest.approx(min(best.values()), abs=1e-4)
+    # a long word goes through whole: as its parts do where nothing joins them
+    long = "1d10t" * 5000
+    began = time.time()
+    assert r.word(long).startswith("idiotidiot") and len(r.word(long)) > 20_000 and time.time() - began < 20
+    assert all(len(k) <= toxicity.KEPT for k in r.known)
+
+
+def test_character_counts_in_windows(spark, monkeypatch):
+    """Every n-gram of every text once, however the texts are cut."""
+    rng = np.random.default_rng(0)
+    rows = ["".join(rng.choice(list("abc d,É1"), n)) for n in (0, 1, 3, 99, 100, 101, 1234)] + [None, "ΟΔΟΣ İ"]
+    want = np.zeros(28**4, np.int64)
+    for t in rows:
+        s = toxicity.symbols()[[ord(c) for c in "   " + (t or "").lower() + "   "]]
+        for i in range(len(s) - 3):
+            want[((s[i] * 28 + s[i + 1]) * 28 + s[i + 2]) * 28 + s[i + 3]] += 1
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    for piece in (7, 100, 1 << 20):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        got = toxicity.character_counts(df)
+        got[0] = want[0] = 0  # empty texts side by side leave only blanks
+        assert (got == want).all()
 
 
 # ---- the pipeline
