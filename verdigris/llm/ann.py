@@ -29,7 +29,7 @@ from verdigris.llm.common import staged, tune
 #: Vectors that centroids are fitted on at most; lists at most; lists of a boundary vector at most.
 SAMPLE, LISTS, REPLICAS = 20_000, 8192, 3
 #: How many times as far as the nearest a vector's other centroids, and a query's, may be.
-REPLICATE, RATIO = 1.08, 1.16
+REPLICATE, RATIO = 1.08, 1.13
 #: Vectors in the lists of a query at least; entries of a bundle, bundles at least, queries of a block.
 LEAST, BUNDLE, BUNDLES, QUERIES = 400, 200_000, 12, 50_000
 #: Neighbours of a centroid in the graph, and random ones besides.
@@ -92,14 +92,22 @@ class Index:
         use = d <= d[:, :1] * REPLICATE**2 + 1e-12
         return np.nonzero(use)[0], near[use]
 
-    def probe(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and lists that the queries look into."""
+    def probe(self, q: np.ndarray, first: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and lists that the queries look into. The graph is searched for the first nearest lists, and again for
+        twice as many only where those do not reach the ratio and hold LEAST vectors yet."""
         norm = np.maximum(np.linalg.norm(q, axis=1), 1e-300)
         x = np.hstack([q * (self.largest / norm)[:, None], np.zeros((len(q), 1))])
-        near, d = self.search(x, max(512, len(self.centroids) // 2))
-        held = np.cumsum(self.sizes[near], axis=1) - self.sizes[near]
-        use = np.isfinite(d) & ((d <= d[:, :1] * RATIO**2 + 1e-12) | (held < LEAST))
-        return np.nonzero(use)[0], near[use]
+        todo, wanted, rows, lists = np.arange(len(q)), first, [], []
+        while len(todo):
+            near, d = self.search(x[todo], wanted)
+            held = np.cumsum(self.sizes[near], axis=1) - self.sizes[near]
+            use = np.isfinite(d) & ((d <= d[:, :1] * RATIO**2 + 1e-12) | (held < LEAST))
+            done = ~use[:, -1] | (near.shape[1] == len(self.centroids))
+            at, to = np.nonzero(use & done[:, None])
+            rows.append(todo[at])
+            lists.append(near[at, to])
+            todo, wanted = todo[~done], wanted * 2
+        return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(lists or [np.zeros(0, np.int64)])
 
 
 def lifted(v: np.ndarray, largest: float) -> np.ndarray:
@@ -204,11 +212,9 @@ def search(df: DataFrame, k: int = 20, step: int = 20, key: str = "vec_id", embe
             if sizes[i] > room:
                 bundle, room = bundle + 1, each
             base[i], room = bundle, room - sizes[i]
-    n_queries = one.filter(F.col("id") % step == 0).count()
-    blocks = max(1, -(-n_queries // QUERIES))
     shared = spark.sparkContext.broadcast(index)
     places = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(sizes), dtype=np.int32), "base": base, "shards": shards})))  # a row for each list
-    placed = postings.join(places, "list").withColumn("bundle", F.col("base") + F.pmod(F.xxhash64("vec"), F.col("shards"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("bundle", "block", "list", "vec", "ids")
+    placed = postings.join(places, "list").withColumn("bundle", F.col("base") + F.pmod(F.xxhash64("vec"), F.col("shards"))).select("bundle", "list", "vec", "ids")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +228,12 @@ def search(df: DataFrame, k: int = 20, step: int = 20, key: str = "vec_id", embe
                 c = c.take(pa.array([r for r, _ in out]))
                 yield pa.RecordBatch.from_pydict({"bundle": pa.array([x for _, x in out], pa.int64()), "id": c.column("id"), "vec": c.column("vec"), "lists": pa.array(list(out.values()), pa.list_(pa.int32()))})
 
-    asked = one.filter(F.col("id") % step == 0).select("id", "vec").mapInArrow(probe, "bundle bigint, id bigint, vec binary, lists array<int>").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = one.filter(F.col("id") % step == 0).select("id", "vec").mapInArrow(probe, "bundle bigint, id bigint, vec binary, lists array<int>")
+    asked = staged(asked, "asked")
+    # a bundle goes only where it is asked for, and twice only where more ask than one task should hold
+    blocks = asked.groupBy("bundle").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    asked = asked.join(blocks, "bundle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    placed = placed.join(blocks, "bundle").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
