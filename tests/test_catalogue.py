@@ -6,7 +6,7 @@ import pytest
 
 from tests.conftest import DATA
 from verdigris.operators import graphmethods, similarity
-from verdigris.plans import catalogue
+from verdigris.plans import catalogue, extended  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -239,12 +239,17 @@ def test_quota_is_kept(groups):
         assert sum(dict(counts)[g][q] for g in taken) <= 0.21 * sum(c[q] for _, c in counts) + 1e-9
 
 
-def test_best_assignment():
-    counts = np.array([[4.0, 1], [1, 4], [5, 5], [10, 10], [20, 20]])
-    mask, error = splits.best_assignment(counts, 0.25, 2000)
-    assert error < 0.3 and not (mask @ counts > counts.sum(0) * 0.25 * 1.25).any()
-    mask, error = splits.best_assignment(np.array([[1.0]]), 0.01, 50)
-    assert not mask.any() and error == 1.0  # only the empty subset keeps within the target
+def test_best_assignment(spark):
+    counts = {"a": (4, 1), "b": (1, 4), "c": (5, 5), "d": (10, 10), "e": (20, 20)}
+    df = spark.createDataFrame([(g, c) for g, n in counts.items() for c in (0, 1) for _ in range(n[c])], "grp string, label int")
+    got = {r["grp"]: r for r in splits.best_assignment(df, 0.25, "grp", tries=300).collect()}
+    total = np.sum(list(counts.values()), 0)
+    best = (np.inf, None)
+    for t in range(300):
+        have = splits.chosen(t, sorted(counts)) @ np.array([counts[g] for g in sorted(counts)], float)
+        if not (have > total * 0.25 * 1.25).any():
+            best = min(best, (float(np.abs(have / (total * 0.25) - 1).max()), t))
+    assert [got[g]["in_pool"] for g in sorted(counts)] == splits.chosen(best[1], sorted(counts)).tolist() and {r["error"] for r in got.values()} == {best[0]} and best[0] < 0.3
 
 
 def test_removals(spark):

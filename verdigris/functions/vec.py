@@ -63,3 +63,7 @@ def hex_hamming(a: Column, b: Column) -> Column:
     """Differing bits of two hashes of 16 hexadecimal digits."""
     half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
     return hamming(half(a, 1), half(a, 9), half(b, 1), half(b, 9))
+
+
+def one_hot(label: Column, classes: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: (c == label).cast("int"))

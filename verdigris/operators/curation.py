@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions import vec
 from verdigris.operators.ordering import numbered
 
 
@@ -20,6 +21,15 @@ def label_conflicts(df: DataFrame, label: str, content: str = "text") -> DataFra
     return rows.agg(F.count("*").alias("n"), F.countDistinct(label).alias("labels")).filter("labels > 1")
 
 
+def near_pairs(pairs: DataFrame, df: DataFrame, near: float, bits: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """a, b, cos of candidate pairs that hold: the cosine is stored at four places, and a pair whose stored cosine is below
+    near must have signs that differ in bits components at most."""
+    side = lambda n: df.select(F.col(key).alias(n), vec.sign_bits(F.col(vector), 32).alias(f"h{n}"), vec.sign_bits(F.col(vector), 0).alias(f"l{n}"))
+    stored = pairs.select("a", "b", F.round("cos", 4).alias("cos"))
+    both = stored.join(side("a"), "a").join(side("b"), "b")
+    return both.filter((F.col("cos") >= near) | (vec.hamming(F.col("ha"), F.col("la"), F.col("hb"), F.col("lb")) <= bits)).select("a", "b", "cos")
+
+
 def removals(df: DataFrame, near: DataFrame | None = None, key: str = "doc_id", content: str = "text", label: str | None = None) -> DataFrame:
     """key, reason, kept_twin of rows to remove: unreadable, then exact copies, near copies (near: key, twin), label conflicts.
 

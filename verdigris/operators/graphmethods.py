@@ -191,6 +191,21 @@ class RegionGraph:
         return np.where(b.mask > 0, margin[:, :1] - margin[:, 1:], 0.0)
 
 
+def aggregated(h: Var, how: str, warmth: Var) -> Var:
+    """[n, d]: the patches' [n, k, d] mean, max, min, deviation of the sample, or mean weighted by softmax(warmth h), in each number."""
+    if how == "mean":
+        return h.mean(1, False)
+    if how == "max":
+        return h.max(1)
+    if how == "min":
+        return -(-h).max(1)
+    if how == "std":
+        apart = h - h.mean(1)
+        return ((apart * apart).sum(1, False) * (1.0 / max(1, h.shape[1] - 1)) + 1e-12).power(0.5)
+    weights = (h * warmth).transpose(0, 2, 1).softmax().transpose(0, 2, 1)
+    return (weights * h).sum(1, False)
+
+
 def leaves(params: dict[str, np.ndarray]) -> dict[str, Var]:
     return {k: Var(v) for k, v in params.items()}
 
@@ -260,16 +275,7 @@ class PatchGraph:
                 e = {"both": lambda: add * times, "additive": lambda: add, "multiplicative": lambda: times}[self.mode]()
                 w = e.leaky(0.2).softmax() @ w
             h = w if i == self.layers - 1 and self.last == "identity" else w.leaky()
-        parts = None
-        for m in self.pools:
-            x = {"mean": lambda: h.mean(1, False), "max": lambda: h.max(1), "min": lambda: -((-h).max(1)), "std": lambda: self._std(h), "softmax": lambda: ((h * p["warmth"]).transpose(0, 2, 1).softmax() * h.transpose(0, 2, 1)).sum(-1, False)}[m]() @ p[f"pool_{m}"]
-            parts = x if parts is None else parts + x
-        return parts.unit()
-
-    @staticmethod
-    def _std(h: Var) -> Var:
-        c = h - h.mean(1)
-        return ((c * c).sum(1, False) * (1.0 / max(1, h.shape[1] - 1)) + 1e-12).power(0.5)
+        return total({m: aggregated(h, m, p["warmth"]) @ p[f"pool_{m}"] for m in self.pools}).unit()
 
     def fit(self, support: Parts, validation: Parts) -> PatchGraph:
         """The epoch of best validation macro-F1 stays, 0 included; then weight and sharpness by grid."""

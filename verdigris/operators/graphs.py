@@ -12,20 +12,31 @@ from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="work-")
+    """A new folder that driver and executors share, below spark.checkpoint.dir. Where that is unset, a local one in local
+    mode (tests); on a cluster it is refused, as other machines would not see it."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="work-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a table in a shared folder: its lineage is cut and a lost executor costs nothing."""
+def written(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
+    """df as a table in a shared folder: its lineage is cut and a lost executor costs nothing.
+
+    With rows, about how many the table has, small partitions are put together, so that it is no more files than it needs.
+    """
     at = workspace(df.sparkSession, name)
-    df.write.parquet(at)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)))
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-#: Edges that one task ties together at once; more are contracted in rounds.
-FEW = 500_000
+#: Edges that one task ties together at once; more are contracted in rounds. Rows of a file of a written table.
+FEW, ROWS = 500_000, 1 << 18
 
 
 def tied(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +61,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, few: int = FEW)
     Up to few edges go through one task. More are contracted to stars in alternating rounds: every node is tied to the
     least of its neighbourhood until all edges are stars.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
-    small = now.count() <= few
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    now = written(edges, "edges").distinct()
+    before, n = None, now.count()
+    small = n <= few
 
     def at_once(pdfs):
         rows = [pdf[["a", "b"]].to_numpy(np.int64) for pdf in pdfs]
@@ -60,7 +72,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, few: int = FEW)
         yield pd.DataFrame({"a": node[node != root], "b": root[node != root]})
 
     if small:
-        now = now.coalesce(1).mapInPandas(at_once, "a bigint, b bigint")
+        now = written(now.coalesce(1).mapInPandas(at_once, "a bigint, b bigint"))
     while not small:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == before or not mark[0]:
@@ -71,7 +83,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, few: int = FEW)
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         ties = large.join(low, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = written(ties.union(low).distinct())
+        now = written(ties.union(low).distinct(), rows=n)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     if nodes is None:
         return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -103,6 +115,13 @@ def first_independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(lost, "node", "left").select("node", F.col("twin").isNull().alias("kept"), "twin")
 
 
+def lifted_edges(pairs: DataFrame, members: DataFrame, key: str, group: str, weight: str) -> DataFrame:
+    """one, other, n, weight: pairs of rows (a, b) as edges between the groups of their ends, added up; none within a group."""
+    of = lambda end, name: members.select(F.col(key).alias(end), F.col(group).alias(name))
+    ends = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").filter("x <> y")
+    return ends.groupBy(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("other")).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+
+
 def average_linkage(vectors: np.ndarray, least: float) -> np.ndarray:
     """Cluster numbers (in order of first member) by average linkage on cosine, merging while the mean cosine is least or more."""
     n = len(vectors)

@@ -65,3 +65,35 @@ def examples(df: DataFrame, right: int = 3, wrong: int = 1, by: str = "label", c
 def described(df: DataFrame, value: str) -> DataFrame:
     """n, mean, std, lo, q25, q50, q75, hi; quartiles exact, between neighbours linear."""
     return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lo"), F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.5).alias("q50"), F.percentile(value, 0.75).alias("q75"), F.max(value).alias("hi"))
+
+
+def winner(df: DataFrame, score: str, order: list[str]) -> DataFrame:
+    """The row of largest score, of equal ones the first in order."""
+    return df.orderBy(F.desc(score), *order).limit(1)
+
+
+def formatted(means: DataFrame, row: str, at: str, places: int = 3, sizes: tuple[str, ...] = SIZES) -> DataFrame:
+    """mean_std() as text: a 'mean ± std' column for each size, and place, the rows' order by their mean at one size (none last)."""
+    cells = means.select(row, "K", half_even(F.col("mean"), places).alias("m"), cell(F.col("mean"), F.col("std"), places).alias("cell"))
+    wide = by_size(cells, row, "cell", sizes=sizes)
+    keys = cells.groupBy(row).agg(F.max(F.when(F.col("K").cast("string") == at, F.col("m"))).alias("_at"))
+    # a row for each method
+    return wide.join(keys, row).withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("_at"), row))).drop("_at")
+
+
+def statistics(df: DataFrame, by: str, metrics: list[str], places: int = 4) -> DataFrame:
+    """by, and for each metric its mean, deviation of the sample and maximum, half to even."""
+    kinds = (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max))
+    return df.groupBy(by).agg(*[half_even(f(F.col(m).cast("double")), places).alias(f"{m}_{n}") for m in metrics for n, f in kinds])
+
+
+def differences(one: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """key, one, other, and place: the order of what the other has more, smallest first. A row for each class."""
+    both = one.select(key, F.col(value).alias("one")).join(other.select(key, F.col(value).alias("other")), key)
+    return both.withColumn("place", F.row_number().over(Window.orderBy(F.round(F.col("other") - F.col("one"), 9), key)))
+
+
+def bars(log: DataFrame, value: str) -> DataFrame:
+    """method, K, mean, gain over the size's mean of means, place within the size."""
+    m = mean_std(log, ["method", "K"], value).select("method", "K", "mean")
+    return m.withColumns({"gain": F.col("mean") - F.avg("mean").over(Window.partitionBy("K")), "place": F.row_number().over(Window.partitionBy("K").orderBy(F.desc("mean"), "method"))})

@@ -179,6 +179,16 @@ def nearest(queries: DataFrame, side: DataFrame, key: str = "vec_id", vector: st
     return got.withColumnRenamed("carry", f"near_{carry}") if carry else got
 
 
+def tile_margins(tiles: DataFrame, positives: DataFrame, negatives: DataFrame, key: str = "vec_id", vector: str = "embedding", most: int = 1024) -> DataFrame:
+    """key, margin, tile: of an item's tiles (numbered in column tile, fewer than most) the largest nearness to a positive
+    less that to a negative, and which tile has it (the first of equal ones)."""
+    each = tiles.withColumn("_t", F.col(key) * most + F.col("tile"))
+    near = lambda side, name: nearest(each, side.withColumn("_t", F.col(key)), "_t", vector).select("_t", F.col("cos").alias(name))
+    both = near(positives, "p").join(near(negatives, "n"), "_t").select(F.floor(F.col("_t") / most).cast("bigint").alias(key), (F.col("_t") % most).cast("int").alias("tile"), (F.col("p") - F.col("n")).alias("margin"))
+    top = both.groupBy(key).agg(F.max(F.struct("margin", (-F.col("tile")).alias("back"))).alias("top"))
+    return top.select(key, F.col("top.margin").alias("margin"), (-F.col("top.back")).alias("tile"))
+
+
 def linked(rows: DataFrame, to: DataFrame, edges: DataFrame | None, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The keys of rows with an edge (a, b) to a row of to, in either direction, or with a cosine of least or more to one."""
     close = nearest(rows, to, key, vector).filter(F.col("cos") >= least).select(key)
@@ -205,11 +215,26 @@ def cache_scores(queries: DataFrame, support: pd.DataFrame, beta: float = 5.0, b
     return _classwise(queries, key, vector, lambda v: np.exp(-beta * (1 - v @ keys.T)) @ weights, classes, name)
 
 
-def _classwise(queries: DataFrame, key: str, vector: str, fn, classes: np.ndarray, name: str) -> DataFrame:
+def score_parts(queries: DataFrame, classes: pd.DataFrame, support: pd.DataFrame, beta: float = 5.0, times: float = 100.0, balanced: bool = True, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key, class, text, cache: scores() and cache_scores() of the classes in one pass, without a join. A class without support has cache 0."""
+    ref = classes.sort_values("class")
+    names, text, keys = ref["class"].to_numpy(), _matrix(ref["vec"]), _matrix(support["vec"])
+    weights = (support["label"].to_numpy()[:, None] == names).astype(np.float64)
+    if balanced:
+        weights /= np.maximum(1, weights.sum(0))
+    both = lambda v: (times * v @ text.T, np.exp(-beta * (1 - v @ keys.T)) @ weights if len(keys) else np.zeros((len(v), len(names))))
+    return _classwise(queries, key, vector, both, names, "text", "cache")
+
+
+def _classwise(queries: DataFrame, key: str, vector: str, fn, classes: np.ndarray, *names: str) -> DataFrame:
+    """A row for each row and class; fn gives one matrix [rows, classes], or one for each of several names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 z = fn(np.stack(b.column("v").to_numpy(zero_copy_only=False)).astype(np.float64))
-                yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(np.repeat(np.arange(b.num_rows), len(classes)))), "class": pa.array(np.tile(classes, b.num_rows), pa.int32()), "z": pa.array(z.reshape(-1))})
+                z = z if isinstance(z, tuple) else (z,)
+                yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(np.repeat(np.arange(b.num_rows), len(classes)))), "class": pa.array(np.tile(classes, b.num_rows), pa.int32())} | {f"z{i}": pa.array(x.reshape(-1)) for i, x in enumerate(z)})
 
-    return queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id bigint, class int, z double").toDF(key, "class", name)
+    columns = ", ".join(f"z{i} double" for i in range(len(names)))
+    return queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(run, f"id bigint, class int, {columns}").toDF(key, "class", *names)

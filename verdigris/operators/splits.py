@@ -78,19 +78,41 @@ def quota(df: DataFrame, share: float, group: str, quantity: str, label: str = "
     return counts.groupBy("label").applyInPandas(run, "label string, grp string").withColumnRenamed("grp", group)
 
 
-def best_assignment(counts: np.ndarray, share: float, tries: int = 20_000, tolerance: float = 1.25, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Of random subsets of groups [group, class], that whose class totals come relatively nearest to share of all.
+def chosen(trial: int, groups: list, seed: str = "") -> np.ndarray:
+    """Which groups a trial draws: each with the trial's own share, by md5, so that any engine can repeat it."""
+    uniform = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2.0**32
+    share = uniform(f"{seed}share|{trial}") * 0.9 + 0.05
+    return np.array([uniform(f"{seed}in|{trial}|{g}") < share for g in groups], bool)
 
-    Subsets that exceed a class's target tolerance times are out. Returns the mask and its largest relative error
-    (inf, and no group, if every subset was out).
+
+def best_assignment(df: DataFrame, share: float, group: str, label: str = "label", tries: int = 20_000, tolerance: float = 1.25, seed: str = "", most: int = 100_000) -> DataFrame:
+    """group, in_pool, error: of drawn subsets of the groups, the one whose class totals come relatively nearest to a share of all.
+
+    Subsets that exceed a class's target tolerance times are out; the first of equal ones stays. error is its largest
+    relative error (null, and no group in the pool, if every subset was out). Trials are dealt over the tasks, which
+    hold a count for each group and class; more than most groups are refused.
     """
-    rng = np.random.default_rng(seed)
-    target = np.maximum(counts.sum(0) * share, 1e-9)
-    mask = rng.random((tries, len(counts))) < rng.uniform(0.05, 0.95, (tries, 1))
-    got = mask @ counts
-    error = np.where((got > target * tolerance).any(1), np.inf, np.abs(got / target - 1).max(1))
-    best = int(np.argmin(error))
-    return (mask[best], float(error[best])) if np.isfinite(error[best]) else (np.zeros(len(counts), bool), float("inf"))
+    spark = df.sparkSession
+    counts = df.groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count("*").alias("n")).limit(most * 100 + 1).toPandas()
+    wide = counts.pivot(index="g", columns="l", values="n").fillna(0).sort_index()
+    if len(wide) > most:
+        raise ValueError(f"more than {most} groups")
+    names, m = wide.index.tolist(), wide.to_numpy(float)
+    target = np.maximum(m.sum(0) * share, 1e-9)
+
+    def run(pdfs):
+        for pdf in pdfs:
+            rows = []
+            for t in pdf["id"]:
+                got = chosen(t, names, seed) @ m
+                if not (got > target * tolerance).any():
+                    rows.append((t, float(np.abs(got / target - 1).max())))
+            yield pd.DataFrame(rows, columns=["trial", "error"])
+
+    best = spark.range(tries).mapInPandas(run, "trial bigint, error double").orderBy("error", "trial").first()
+    mask = chosen(best["trial"], names, seed) if best else np.zeros(len(names), bool)
+    kind = df.schema[group].dataType.simpleString()
+    return spark.createDataFrame([(g, bool(x), best["error"] if best else None) for g, x in zip(names, mask)], f"{group} {kind}, in_pool boolean, error double")
 
 
 def violations(pool: DataFrame, test: DataFrame, group: str, label: str = "label") -> DataFrame:

@@ -210,12 +210,6 @@ def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("k") > 1).alias("mixed"))
 
 
-@query()
-def near_dup_lfmis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
-    return graphs.first_independent_set(nodes, edges(spark, sf_dir))
-
-
 REMOVED = "h AS (SELECT doc_id, source, md5(text) m FROM documents), f AS (SELECT m, min(doc_id) first, count(DISTINCT source) k FROM h WHERE m IS NOT NULL GROUP BY 1), rem AS (SELECT doc_id, 0 p, 'unreadable' reason, NULL::BIGINT twin FROM h WHERE m IS NULL UNION ALL SELECT doc_id, 1, 'exact duplicate', first FROM h JOIN f USING (m) WHERE doc_id <> first UNION ALL SELECT doc_id, 3, 'label conflict', NULL FROM h JOIN f USING (m) WHERE k > 1), removed AS (SELECT doc_id, arg_min(reason, p) reason, arg_min(twin, p) FILTER (twin IS NOT NULL) kept_twin FROM rem GROUP BY 1)"
 
 
@@ -312,19 +306,6 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.quota(table(spark, sf_dir, "customer"), 0.2, "c_nationkey", "c_mktsegment", "c_mktsegment")
-
-
-@query()
-def best_group_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups whose classes together come nearest a fifth of each class."""
-    counts = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % 37).alias("grp")).pivot("label", list(range(10))).count().na.fill(0).orderBy("grp").toPandas()
-    mask, error = splits.best_assignment(counts.drop(columns="grp").to_numpy(float), 0.2)
-    return spark.createDataFrame(pd.DataFrame({"grp": counts["grp"], "in_pool": mask, "error": error}))
-
-
 @query("WITH " + ITEMS + " SELECT vec_id, (row_number() OVER (ORDER BY md5(concat_ws('|', 'half', grp::VARCHAR)), grp) <= count(*) OVER () // 2) tune FROM (SELECT vec_id, vec_id grp FROM pool)")
 def validation_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.hold_out_groups(pool(spark, sf_dir), 2, "half", "vec_id").select("vec_id", F.col("held").alias("tune"))
@@ -665,14 +646,8 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + BOXES + ", j AS (SELECT a.vec_id, a.k i, b.k j, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) common, a.area aa, b.area ab FROM ba a JOIN ba b ON a.vec_id = b.vec_id AND a.k < b.k) SELECT vec_id, i::INT i, j::INT j, round(common / greatest(aa + ab - common, 1e-6), 6) iou FROM j")
 def pairwise_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), regions.overlap(F.col("boxes")[i], F.col("boxes")[j]).alias("iou")) for i in range(6) for j in range(i + 1, 6)])
-    return boxes(spark, sf_dir).select("vec_id", F.explode(pairs).alias("p")).select("vec_id", "p.i", "p.j", F.round("p.iou", 6).alias("iou"))
-
-
-@query()
-def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = boxes(spark, sf_dir).select("vec_id", regions.suppressed(F.col("boxes")).alias("kept"))
-    return kept.select("vec_id", F.size("kept").alias("n"), F.round(F.col("kept")[0]["score"], 6).alias("best"))
+    p = boxes(spark, sf_dir).select("vec_id", F.explode(regions.pairs(F.col("boxes"))).alias("p"))
+    return p.select("vec_id", "p.i", "p.j", F.round(regions.overlap(F.col("p.a"), F.col("p.b")), 6).alias("iou"))
 
 
 @query("WITH " + BOXES + ", f AS (SELECT vec_id, count(*) FILTER (area < 0.85 AND area > 0.002 AND score >= 0.06) a, count(*) FILTER (area < 0.98 AND area > 0.002 AND score >= 0.02) b FROM ba GROUP BY 1) SELECT vec_id, (CASE WHEN a > 0 THEN a ELSE b END)::INT n FROM f")

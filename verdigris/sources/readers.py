@@ -1,12 +1,18 @@
-"""Readers and writers: explicit schemas, image folders, ground-truth lines, run logs, the feature store, models."""
+"""Readers and writers: explicit schemas, image folders, ground-truth lines, run logs, the feature and prediction stores, small JSON files."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The fields of the run log.
 RUN_LOG = "method string, K string, seed int, n_support int, fit_s double, acc double, macro_f1 double, params bigint, layers int, ab_train array<double>, key_cos_to_start double, best_epoch int, alpha double, beta double, val_macro_f1 double, a2 double, b2 double, variant string, epochs int, hardware string"
 FEATURES = "path string, vec array<float>, backbone string, mode string"
+PREDICTIONS = "path string, probs array<float>, method string, K string, seed int"
 ITEMS = "path string, label int, class_name string, md5 string, group int"
 
 
@@ -98,3 +104,62 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
         raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows]) + "\n"
+
+
+def _file(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file(spark, path)
+    return files.exists(where)
+
+
+def text_of(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if it is not there."""
+    return "\n".join(r[0] for r in spark.read.text(path).coalesce(1).collect()) if exists(spark, path) else None
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small JSON file that is there whole or not at all: written beside, then renamed over the old one."""
+    files, where = _file(spark, path)
+    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1).encode()))
+    finally:
+        out.close()
+    files.delete(where, False)
+    if not files.rename(beside, where):
+        raise OSError(f"{path} cannot be written")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a JSON document (an object or a list of them), under a schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path if it is there whole, else made, written there and read again."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def save_predictions(df: DataFrame, path: str, method: str, k: str, seed: int, key: str = "path", probs: str = "probs") -> None:
+    """The probabilities of a run into the prediction store, replacing only that run's."""
+    rows = df.select(F.col(key).cast("string").alias("path"), F.col(probs).cast("array<float>").alias("probs"), F.lit(method).alias("method"), F.lit(k).alias("K"), F.lit(seed).alias("seed"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "K", "seed").parquet(path)
+
+
+def predictions(spark: SparkSession, path: str, method: str, k: str, seed: int) -> DataFrame:
+    """path, probs, pred (the first of the largest) of one run."""
+    rows = spark.read.schema(PREDICTIONS).parquet(path).filter((F.col("method") == method) & (F.col("K") == k) & (F.col("seed") == seed))
+    return rows.select("path", "probs", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("pred"))
+
+
+def splits(spark: SparkSession, path: str, split: str, k: str, seed: int) -> DataFrame:
+    """The rows of one split that save_splits wrote; only its partition is read."""
+    return spark.read.parquet(path).filter((F.col("split") == split) & (F.col("k") == k) & (F.col("seed") == seed)).drop("split", "k", "seed")
