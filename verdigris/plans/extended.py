@@ -408,7 +408,7 @@ def leakage_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("WITH " + BOXES + ", c AS (SELECT vec_id, k, least(1, greatest(0, x0)) a, least(1, greatest(0, x1)) b FROM ba WHERE score >= 0.1e0), p AS (SELECT c.vec_id, k, class, sum(x.e[i] * t.t[i]) z FROM c JOIN (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings) x USING (vec_id), texts t, range(1, 65) r(i) WHERE i > floor(a * 64) AND i <= greatest(floor(a * 64) + 8, floor(b * 64)) GROUP BY ALL), w AS (SELECT vec_id, k, class FROM p QUALIFY row_number() OVER (PARTITION BY vec_id, k ORDER BY round(z, 9) DESC, class) = 1) SELECT vec_id, class, count(*) n, round(count(*) / sum(count(*)) OVER (PARTITION BY vec_id)::DOUBLE, 6) share FROM w GROUP BY vec_id, class".replace("WITH ", "WITH " + TEXTS + ", ", 1))
+@query("WITH " + TEXTS + ", " + BOXES + ", c AS (SELECT vec_id, k, least(1, greatest(0, x0)) a, least(1, greatest(0, x1)) b FROM ba WHERE score >= 0.1e0), p AS (SELECT c.vec_id, k, class, sum(x.e[i] * t.t[i]) z FROM c JOIN (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings) x USING (vec_id), texts t, range(1, 65) r(i) WHERE i > floor(a * 64) AND i <= greatest(floor(a * 64) + 8, floor(b * 64)) GROUP BY ALL), w AS (SELECT vec_id, k, class FROM p QUALIFY row_number() OVER (PARTITION BY vec_id, k ORDER BY round(z, 9) DESC, class) = 1) SELECT vec_id, class, count(*) n, round(count(*) / sum(count(*)) OVER (PARTITION BY vec_id)::DOUBLE, 6) share FROM w GROUP BY vec_id, class")
 def crowded_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects found in an item, each cut out (the components that its box spans), classified and counted."""
     kept = boxes(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
