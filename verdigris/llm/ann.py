@@ -173,11 +173,12 @@ def search(df: DataFrame, k: int = 20, step: int = 20, key: str = "vec_id", embe
     spark = df.sparkSession
     tune(spark)
     rows, kind, dim = vectors(df, key, embedding)
-    one = staged(rows.groupBy("id").agg(F.min(F.struct("vec", "norm")).alias("x")).select("id", "x.vec", "x.norm"), "vectors")
+    n = df.count()
+    one = staged(rows.groupBy("id").agg(F.min(F.struct("vec", "norm")).alias("x")).select("id", "x.vec", "x.norm"), "vectors", n)
     w = Window.partitionBy("vec").orderBy("id")
     # more than the k + 1 smallest ids of one vector can never be among the k nearest
     few = one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1)
-    entries = staged(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("norm").alias("norm")), "entries")
+    entries = staged(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("norm").alias("norm")), "entries", n)
     total, largest = entries.agg(F.count("*"), F.max("norm")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not total:
@@ -195,7 +196,7 @@ def search(df: DataFrame, k: int = 20, step: int = 20, key: str = "vec_id", embe
                 c = c.take(pa.array(at))
                 yield pa.RecordBatch.from_pydict({"list": pa.array(to.astype(np.int32)), "vec": c.column("vec"), "ids": c.column("ids")})
 
-    postings = staged(entries.select("vec", "ids").mapInArrow(assign, "list int, vec binary, ids array<bigint>"), "postings")
+    postings = staged(entries.select("vec", "ids").mapInArrow(assign, "list int, vec binary, ids array<bigint>"), "postings", n)
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = r["n"]
@@ -229,7 +230,7 @@ def search(df: DataFrame, k: int = 20, step: int = 20, key: str = "vec_id", embe
                 yield pa.RecordBatch.from_pydict({"bundle": pa.array([x for _, x in out], pa.int64()), "id": c.column("id"), "vec": c.column("vec"), "lists": pa.array(list(out.values()), pa.list_(pa.int32()))})
 
     asked = one.filter(F.col("id") % step == 0).select("id", "vec").mapInArrow(probe, "bundle bigint, id bigint, vec binary, lists array<int>")
-    asked = staged(asked, "asked")
+    asked = staged(asked, "asked", n)
     # a bundle goes only where it is asked for, and twice only where more ask than one task should hold
     blocks = asked.groupBy("bundle").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     asked = asked.join(blocks, "bundle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.operators.graphs import workspace as scratch
+
 #: Bytes of one Arrow batch handed to Python; bounds what a worker holds, whatever the rows' lengths.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -21,29 +21,22 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+#: Rows that a file of a staged table holds about.
+FILE_ROWS = 1 << 16
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to a scratch folder and read again: lineage is cut, a lost executor costs nothing.
 
-    Where that setting is absent, a folder of this machine is set, but only in local mode (tests): on a cluster other
-    machines would not see it, so it is refused there.
+    With rows, about how many the table or what it comes from has, small partitions are put together: a file for
+    FILE_ROWS rows, but enough tasks to keep all cores busy. Else a small table would be as many files as there are
+    partitions.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        context = spark.sparkContext
-        kept = context._jsc.sc().getCheckpointDir()
-        if kept.isEmpty():
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            kept = context._jsc.sc().getCheckpointDir()
-        top = kept.get()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to a scratch folder and read again: lineage is cut, a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    # the usual codec keeps direct buffers for each column of each file until the heap is collected
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

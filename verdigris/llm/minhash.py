@@ -228,7 +228,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
     left = sets.join(fans, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
-    wide = small(staged(fans.filter("fans > 1"), "fans"))
+    wide = small(staged(fans.filter("fans > 1"), "fans", 0))
     dealt = pairs.join(wide, "a", "left").withColumn("fan", F.coalesce(F.pmod(F.xxhash64("b"), F.col("fans")).cast("int"), F.lit(0))).drop("fans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def links_in_block(pdf: pd.DataFrame, threshold: float = THRESHOLD, deviations:
     return out
 
 
-def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
+def unresolved(members: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     """band, node, root, open, x, y, side: members (band, pos, node, size) of buckets with several components, dealt to block pairs.
 
     The largest component of a bucket is its core. The other nodes are in blocks 0 to p - 1, the core in blocks from p
@@ -288,8 +288,8 @@ def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
     top = counts.groupBy("band").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("total"), F.sum("bytes").alias("bytes"), F.count("*").alias("kinds"))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
     p, q = blocks(F.col("total") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")), blocks(F.col("top.n"), F.col("top.bytes"))
-    open_buckets = staged(top.filter("kinds > 1 and total > 2").select("band", F.col("top.root").alias("main"), p.alias("p"), q.alias("q")), "open")
-    rows = staged(labelled.join(small(open_buckets), "band").withColumn("core", F.col("root") == F.col("main")), "rest")
+    open_buckets = staged(top.filter("kinds > 1 and total > 2").select("band", F.col("top.root").alias("main"), p.alias("p"), q.alias("q")), "open", n)
+    rows = staged(labelled.join(small(open_buckets), "band").withColumn("core", F.col("root") == F.col("main")), "rest", n)
     opened = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "band"))).alias("open"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("q")).otherwise(F.col("p")).cast("bigint")).cast("int")
     rows = rows.withColumn("own", own + F.when(F.col("core"), F.col("p")).otherwise(0))
@@ -311,29 +311,29 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     return classed(df, key, text, threshold).select(F.col("key").alias(key), "class_id")
 
 
-def links(df: DataFrame, nodes: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """node and root of the nodes (node, rep, told, size, bands, signature) that are linked to another."""
+def links(df: DataFrame, nodes: DataFrame, key: str, text: str, threshold: float, n: int) -> DataFrame:
+    """node and root of the nodes (node, rep, told, size, bands, signature) that are linked to another; n: the rows of df."""
     banded = nodes.select("node", "size", F.posexplode("bands").alias("pos", "band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("n > 1")
-    hubs = staged(hubs.groupBy("hub", "n", "mark").agg(F.min("band").alias("band")).drop("mark"), "hubs")
+    hubs = staged(hubs.groupBy("hub", "n", "mark").agg(F.min("band").alias("band")).drop("mark"), "hubs", n)
     # written first, so that a bucket of many rows can be split in the join, or the join needs no shuffle
-    members = staged(banded.join(small(hubs), "band"), "members")
-    pairs = staged(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    involved = staged(members.select("node").distinct().join(nodes.select("node", "rep", "told"), "node"), "involved")
+    members = staged(banded.join(small(hubs), "band"), "members", n)
+    pairs = staged(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs", n)
+    involved = staged(members.select("node").distinct().join(nodes.select("node", "rep", "told"), "node"), "involved", n)
     sets = sets_of(df, involved, key, text)
-    sets = staged(sets.dropDuplicates(["node"]) if repeated(df.select(key)) else sets, "sets")
-    first = staged(verified(pairs, sets, threshold), "links")
-    roots = staged(components(first), "roots")
+    sets = staged(sets.dropDuplicates(["node"]) if repeated(df.select(key)) else sets, "sets", n)
+    first = staged(verified(pairs, sets, threshold), "links", n)
+    roots = staged(components(first), "roots", n)
     release(hubs, pairs, involved)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(links_in_block(pdf, threshold), columns=["a", "b"]).astype("int64")
 
-    rest = unresolved(members.filter("n > 2").select("band", "pos", "node", "size"), roots)
+    rest = unresolved(members.filter("n > 2").select("band", "pos", "node", "size"), roots, n)
     whole = rest.join(nodes.select("node", "signature"), "node").join(sets, "node")
-    more = staged(whole.groupBy("band", "x", "y").applyInPandas(run, "a bigint, b bigint"), "links")
+    more = staged(whole.groupBy("band", "x", "y").applyInPandas(run, "a bigint, b bigint"), "links", n)
     if not more.isEmpty():
-        roots = staged(components(first.union(more)), "roots")
+        roots = staged(components(first.union(more)), "roots", n)
     release(members, sets, first, more)
     return roots
 
@@ -343,17 +343,18 @@ def classed(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     words, and the hash of the text of the row that stands for the class."""
     spark = df.sparkSession
     tune(spark)
-    rows = staged(sketch(df, key, text), "sketches")
+    n = df.count()
+    rows = staged(sketch(df, key, text), "sketches", n)
     # the row that stands for a node: the smallest key, null last
     order = F.struct(F.col("key").isNull(), F.col("key"), F.col("told"))
     nodes = rows.filter("same is not null").groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "bands", "signature")])
-    nodes = staged(nodes.select("same", F.col("first.key").alias("rep"), F.col("first.told").alias("told"), "copies", "size", "bands", "signature").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = links(df, nodes, key, text, threshold)
+    nodes = staged(nodes.select("same", F.col("first.key").alias("rep"), F.col("first.told").alias("told"), "copies", "size", "bands", "signature").withColumn("node", F.monotonically_increasing_id()), "nodes", n)
+    roots = links(df, nodes, key, text, threshold, n)
     of = nodes.select("node", "same", "rep", "told", "copies").join(roots, "node", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     ids = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("told"))).alias("first"))
-    named = staged(of.join(ids, "root").select("same", "copies", F.col("first.rep").alias("class_id"), F.col("first.told").alias("class_told")), "named")
+    named = staged(of.join(ids, "root").select("same", "copies", F.col("first.rep").alias("class_id"), F.col("first.told").alias("class_told")), "named", n)
     # rows without a word and texts that occur once need no join; common texts meet no shuffle
-    least = max(2, -(-rows.count() // COMMON))
+    least = max(2, -(-n // COMMON))
     common = F.broadcast(named.filter(F.col("copies") >= least).drop("copies"))
     rare = named.filter(F.col("copies") < least).drop("copies")
     some = rows.select("key", "told", "same")
@@ -378,6 +379,6 @@ def keep(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     those of equal key and text. An empty table stays empty; extra columns are kept, whatever their names.
     """
     of = classed(df, key, text, threshold)
-    drop = staged(of.filter("same is not null and not (key <=> class_id and told = class_told)").select(F.col("key").alias("__drop"), F.col("told").alias("__told")).distinct(), "drop")
+    drop = staged(of.filter("same is not null and not (key <=> class_id and told = class_told)").select(F.col("key").alias("__drop"), F.col("told").alias("__told")).distinct(), "drop", df.count())
     kept = df.join(small(drop), F.col(key).eqNullSafe(F.col("__drop")) & (F.xxhash64(F.col(text)) == F.col("__told")), "left_anti")
     return kept.dropDuplicates([key, text]) if repeated(df.select(key)) else kept

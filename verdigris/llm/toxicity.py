@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import delete, remainder, scratch, texts, tune
+from verdigris.llm.common import release, remainder, staged, texts, tune
 
 #: Labelled rows of each label, and words, that the classifier is fitted on at most.
 SAMPLE, VOCABULARY = 6000, 2000
@@ -278,9 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             words = [sorted(features(restorer.words(t))) for t in texts(b)]
             yield pa.RecordBatch.from_pydict({"y": b.column("y"), "words": pa.array(words, pa.list_(pa.string()))})
 
-    at = scratch(spark, "toxicity")
-    rows.join(F.broadcast(picked), "key").select("y", "text").mapInArrow(run, "y int, words array<string>").write.parquet(at)
-    seen = spark.read.parquet(at)
+    seen = staged(rows.join(F.broadcast(picked), "key").select("y", "text").mapInArrow(run, "y int, words array<string>"), "toxicity", docs.count())
     n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     model = Model([], np.zeros(0), math.log((n1 + 0.5) / (n0 + 0.5)), costs)
@@ -309,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 x[i, list(r["at"])] = 1.0
                 y[i], many[i] = r["y"], r["n"]
             model = Model(words, *weighted(x, y, many), costs)
-    delete(spark, at)
+    release(seen)
     return model
 
 

@@ -172,7 +172,7 @@ def plan(pages: DataFrame, key: str, uri: str, payload: str, least_bytes: int) -
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     keys = pages.select(F.col(key).alias("of"), F.unhex(F.sha1(body)).alias("sha"), F.length(body).alias("bytes"))
     digests = keys.filter(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max("of").alias("first"), F.count("*").alias("n"))
-    digests = staged(digests, "digests")
+    digests = staged(digests, "digests", pages.count())
     firsts = digests.filter("n > 1 and first is not null").select("sha", "first")
     rows = pages.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("uri"), body.alias("payload"), F.unhex(F.sha1(body)).alias("sha"))
     return spread_join(rows, firsts, "sha", common(digests)).withColumn("refers_to", F.expr("if(key <=> first, null, first)")).drop("first")
@@ -320,7 +320,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
     records = staged(archives(spark, folder).mapInArrow(run, schema), "records")
     whole = records.filter("number is null").drop("origin", "number", "total")
-    segments = staged(records.filter("number is not null").groupBy("origin").applyInPandas(joined, done), "segments")
+    segments = staged(records.filter("number is not null").groupBy("origin").applyInPandas(joined, done), "segments", records.count())
     responses = whole.filter("kind <> 'revisit'").unionByName(segments)
     target = responses.groupBy(F.col("payload_digest").alias("sha")).agg(F.first("payload_bytes").alias("n")).filter("sha is not null")
     revisits = whole.filter("kind = 'revisit'").select("kind", "key", "uri", "refers_key", "sha")
