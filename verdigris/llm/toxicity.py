@@ -222,7 +222,19 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         """The words of the restored text."""
         rest, spaced = self.plain(text.lower().replace("\0", " "))
-        return set(_WORD.findall(" ".join([*map(self.chunk, set(rest.split())), *spaced])))
+        found, odd = set(), spaced
+        for c in set(rest.split()):
+            # a chunk without its outer marks is a word, or something odd
+            if c.isalpha() or (c := c.strip(_MARKS)).isalpha():
+                found.add(c)
+            elif c:
+                odd.append(self.chunk(c))
+        if _REPEATED.search(" ".join(found)):
+            repeated = {c for c in found if _REPEATED.search(c)}
+            found -= repeated
+            odd += map(self.chunk, repeated)
+        found.update(_WORD.findall(" ".join(odd)))
+        return found
 
 
 @dataclass
