@@ -3,7 +3,7 @@
 Texts and templates are words (runs of letters and digits, lower case) and their shingles of five
 words. A template of more than L / 2 and up to L shingles, L a power of two, is of class L. Texts are
 cut into windows of 2 L shingles, one every L, so that any L neighbouring shingles lie in a window
-whole. Window and template share a band, one minimum of their shingles under one of BANDS masks, with
+whole. Window and template share a band, one minimum of their shingles under one of BANDS hashes, with
 the probability of their Jaccard similarity, which is 0.4 L / 2.1 L or more if the window holds 0.8
 of the template: at most one match in 20,000 is missed. Pairs that share a band are then verified:
 the window must hold THRESHOLD of the template's shingles.
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a shingle; MinHash masks; share of a template's shingles that a window must hold; most templates.
+#: Words of a shingle; MinHash bands; share of a template's shingles that a window must hold; most templates.
 WORDS, BANDS, THRESHOLD, MOST = 5, 48, 0.8, 5000
 
 # Public license notices.
@@ -52,7 +52,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher."),
 )
-# Notices of fewer than WORDS words. oracle() does not know them.
+# Notices of fewer than WORDS words.
 NOTICES = (("Proprietary", "All rights reserved."),)
 
 
@@ -96,17 +96,17 @@ def split_words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def masks(bands: int = BANDS) -> list[int]:
-    """One number for each band. An element's place in the band's order is its hash XOR that number."""
+def seeds(bands: int = BANDS) -> list[int]:
+    """One number for each band. An element's place in the band's order is the hash of it and that number."""
     draw = random.Random(5)
     return [draw.getrandbits(64) - (1 << 63) for _ in range(bands)]
 
 
 def band_minima(shingles: Column) -> Column:
-    def least(mask: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(mask))))
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(seed))))
 
-    return F.array(*map(least, masks()))
+    return F.array(*map(least, seeds()))
 
 
 def once(value: Column) -> Column:
@@ -176,21 +176,28 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, key: s
     return best.select(F.col("key").alias(key), "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("int").alias("start_word"))
 
 
-def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES) -> str:
-    """The same result in SQL, from all shingles of all texts."""
-    values = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(templates))
-    each = r"list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES, notices: Sequence[tuple[str, str]] = NOTICES) -> str:
+    """The same result in SQL, from all shingles of all texts; of the matches of a text, one is looked at in each step."""
+    both = [*templates, *notices]
+    values = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(both))
+    lengths = sorted({min(WORDS, len(words(t))) for _, t in both})
+    each = lambda n: rf"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+    of = " UNION ALL ".join(f"SELECT doc_id, unnest({each(n)}) s, unnest(range(0, len(w) - {n - 1})) i FROM d WHERE len(w) >= {n}" for n in lengths)
     return rf"""
-WITH t AS (SELECT *, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') w FROM (VALUES {values}) v(template, license, body)),
-ts AS (SELECT DISTINCT template, license, unnest({each}) s FROM t),
+WITH RECURSIVE t AS (SELECT *, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') w FROM (VALUES {values}) v(template, license, body)),
+ts AS (SELECT DISTINCT template, license, unnest(CASE WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE {each(WORDS)} END) s FROM t),
 tn AS (SELECT template, count(*) n, CAST(pow(2, ceil(log2(count(*)))) AS INT) l FROM ts GROUP BY template),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w FROM documents WHERE text IS NOT NULL),
-ds AS (SELECT doc_id, unnest({each}) s, unnest(range(0, len(w) - 4)) i FROM d WHERE len(w) >= 5),
-m AS (SELECT doc_id, template, license, s, n, l, i // l k FROM ds JOIN ts USING (s) JOIN tn USING (template)),
-wins AS (SELECT * FROM m UNION ALL SELECT doc_id, template, license, s, n, l, greatest(k - 1, 0) FROM m),
-c AS (SELECT doc_id, license, template, k * l start_at, count(DISTINCT s) / CAST(any_value(n) AS DOUBLE) containment FROM wins GROUP BY ALL),
-f AS (SELECT c.*, l FROM c JOIN tn USING (template) WHERE containment >= {THRESHOLD} - 1e-9),
-g AS (SELECT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.license <> x.license AND y.containment > x.containment AND y.start_at < x.start_at + 2 * x.l AND x.start_at < y.start_at + 2 * y.l)),
+ds AS ({of}),
+m AS (SELECT doc_id, template, license, s, i, n, l, i // l k FROM ds JOIN ts USING (s) JOIN tn USING (template)),
+wins AS (SELECT * FROM m UNION SELECT doc_id, template, license, s, i, n, l, greatest(k - 1, 0) FROM m),
+c AS (SELECT doc_id, license, template, l, k * l start_at, count(DISTINCT s) / CAST(any_value(n) AS DOUBLE) containment, list_sort(list(DISTINCT i)) places FROM wins GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY containment DESC, license, start_at, l, places) r FROM c WHERE containment >= {THRESHOLD} - 1e-9),
+o AS (SELECT x.doc_id, x.r, y.r better FROM f x JOIN f y ON y.doc_id = x.doc_id AND y.license <> x.license AND y.containment > x.containment AND y.start_at < x.start_at + 2 * x.l AND x.start_at < y.start_at + 2 * y.l AND len(list_intersect(x.places, y.places)) * 2 > len(x.places)),
+bl AS (SELECT f.doc_id, f.r, coalesce(list(better) FILTER (better IS NOT NULL), []) beaten_by FROM f LEFT JOIN o ON o.doc_id = f.doc_id AND o.r = f.r GROUP BY ALL),
+st AS (SELECT doc_id, 0::BIGINT r, []::BIGINT[] kept FROM f GROUP BY doc_id UNION ALL SELECT st.doc_id, bl.r, CASE WHEN list_has_any(st.kept, bl.beaten_by) THEN st.kept ELSE list_append(st.kept, bl.r) END FROM st JOIN bl ON bl.doc_id = st.doc_id AND bl.r = st.r + 1),
+e AS (SELECT doc_id, arg_max(kept, r) kept FROM st GROUP BY 1),
+g AS (SELECT f.* FROM f JOIN e ON e.doc_id = f.doc_id AND list_contains(e.kept, f.r)),
 b AS (SELECT doc_id, license, max(containment) containment FROM g GROUP BY ALL)
 SELECT doc_id, license, b.containment, CAST(min(start_at) AS INT) start_word FROM b JOIN g USING (doc_id, license, containment) GROUP BY ALL
 """

@@ -49,7 +49,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licenses named or quoted in every document."""
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), notices=licenses.NOTICES)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
