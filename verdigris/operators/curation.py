@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import vec
+from verdigris.operators.joins import common_values, spread_join
 from verdigris.operators.ordering import numbered
 
 
@@ -37,8 +38,9 @@ def removals(df: DataFrame, near: DataFrame | None = None, key: str = "doc_id",
     and the twin of the first that has one.
     """
     rows = df.select(F.col(key).alias("key"), F.md5(F.col(content).cast("binary")).alias("md5"), *([F.col(label).alias("l")] if label else []))
-    first = rows.filter("md5 is not null").groupBy("md5").agg(F.min("key").alias("first"), (F.countDistinct("l") if label else F.lit(1)).alias("labels"))
-    joined = rows.join(first, "md5")
+    readable = rows.filter("md5 is not null")
+    first = readable.groupBy("md5").agg(F.min("key").alias("first"), (F.countDistinct("l") if label else F.lit(1)).alias("labels"), F.count("*").alias("n"))
+    joined = spread_join(readable, first.filter("n > 1").drop("n"), "md5", common_values(first, "md5")).filter("first is not null")
     parts = [
         rows.filter("md5 is null").select("key", F.lit(0).alias("p"), F.lit("unreadable").alias("reason"), F.lit(None).cast("bigint").alias("twin")),
         joined.filter("key <> first").select("key", F.lit(1), F.lit("exact duplicate"), F.col("first").cast("bigint")),
@@ -58,4 +60,5 @@ def cleaned(df: DataFrame, removed: DataFrame, group: str, key: str = "doc_id")
     """The rows that stay, with new_group: groups numbered from 0 in the order of their first rows."""
     kept = df.join(removed.select(key), key, "left_anti")
     firsts = kept.groupBy(group).agg(F.min(key).alias("_first"))
-    return kept.join(numbered(firsts, "_first", "new_group").drop("_first"), group)
+    common = common_values(kept.groupBy(group).agg(F.count("*").alias("n")), group)
+    return spread_join(kept, numbered(firsts, "_first", "new_group").drop("_first"), group, common)

@@ -90,13 +90,22 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, few: int = FEW)
     return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def first_independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, kept, twin of nodes taken in order, each kept unless an earlier kept node is its neighbour (twin: the first such).
-
-    In rounds: a node is decided once all its earlier neighbours are, or one of them is kept. Each round decides every
-    node whose earlier neighbours are all decided, so there are as many rounds as the longest decreasing chain.
-    """
-    pairs = written(edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).filter("early <> late").distinct())
+def _in_order(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of pairs [n, 2] (early, late) that are lost, and the first kept neighbour of each, one node after the other."""
+    lost: dict[int, int] = {}
+    late = np.sort(np.unique(pairs[:, 1]))
+    order = np.lexsort((pairs[:, 0], pairs[:, 1]))
+    early, at = pairs[order, 0], np.searchsorted(pairs[order, 1], late)
+    for n, a, z in zip(late.tolist(), at, [*at[1:], len(pairs)]):
+        twin = next((e for e in early[a:z].tolist() if e not in lost), None)
+        if twin is not None:
+            lost[n] = twin
+    return np.array(list(lost), np.int64), np.array(list(lost.values()), np.int64)
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """node, twin of the nodes that are lost, of components of any size: each round decides every node whose earlier
+    neighbours are all decided, so there are as many rounds as the longest decreasing chain."""
     touched = pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct()
     kept = written(touched.join(pairs.select(F.col("late").alias("node")), "node", "left_anti").select("node"))
     gone = written(pairs.join(kept.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct())
@@ -108,10 +117,32 @@ def first_independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         waits = pairs.join(open_nodes.select(F.col("node").alias("late")), "late", "left_semi").join(gone.select(F.col("node").alias("early")), "early", "left_anti")
         more = written(open_nodes.join(waits.select(F.col("late").alias("node")), "node", "left_anti").select("node"))
         hit = pairs.join(more.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct()
-        gone = written(gone.union(hit.join(decided, "node", "left_anti")).distinct())
-        kept = written(kept.union(more))
+        gone = gone.union(written(hit.join(decided, "node", "left_anti")))
+        kept = kept.union(more)
     twins = pairs.join(kept.select(F.col("node").alias("early")), "early", "left_semi").groupBy(F.col("late").alias("node")).agg(F.min("early").alias("twin"))
-    lost = twins.join(gone, "node", "left_semi")
+    return twins.join(gone, "node", "left_semi")
+
+
+def first_independent_set(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """node, kept, twin of nodes taken in order, each kept unless an earlier kept node is its neighbour (twin: the first such).
+
+    Components of at most most edges are each decided in one task, in order; larger ones in rounds over all tasks.
+    """
+    pairs = written(edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).filter("early <> late").distinct())
+    roots = written(components(pairs.select(F.col("early").alias("a"), F.col("late").alias("b"))))
+    labelled = pairs.join(roots.select(F.col("node").alias("early"), "root"), "early")
+    large = labelled.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("root")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, twin = _in_order(pdf[["early", "late"]].to_numpy(np.int64))
+        return pd.DataFrame({"node": node, "twin": twin})
+
+    # many components share a task; none that is large
+    lost = labelled.join(large, "root", "left_anti").groupBy("root").applyInPandas(run, "node bigint, twin bigint")
+    rest = written(labelled.join(large, "root", "left_semi").select("early", "late"))
+    lost = written(lost)
+    if not rest.isEmpty():
+        lost = lost.unionByName(_in_rounds(rest))
     return nodes.select("node").join(lost, "node", "left").select("node", F.col("twin").isNull().alias("kept"), "twin")
 
 
@@ -123,37 +154,51 @@ def lifted_edges(pairs: DataFrame, members: DataFrame, key: str, group: str, wei
 
 
 def average_linkage(vectors: np.ndarray, least: float) -> np.ndarray:
-    """Cluster numbers (in order of first member) by average linkage on cosine, merging while the mean cosine is least or more."""
+    """Cluster numbers (in order of first member) by average linkage on cosine, merging while the mean cosine is least or more.
+
+    By the nearest-neighbour chain: from a cluster to its nearest and on, until two are each other's nearest; those merge.
+    The mean cosine never rises by merging, so the merges of least or more are those of the greedy order. Time and
+    memory are of the order of the square of the rows.
+    """
     n = len(vectors)
     s = vectors @ vectors.T
-    size, alive, member = np.ones(n), np.ones(n, bool), np.arange(n)
     np.fill_diagonal(s, -np.inf)
-    while n > 1:
-        i, j = divmod(int(np.argmax(s)), len(s))
-        if s[i, j] < least:
-            break
-        i, j = min(i, j), max(i, j)
+    size, alive, member, chain = np.ones(n), np.ones(n, bool), np.arange(n), []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            top = chain[-1]
+            near = int(np.argmax(s[top]))
+            if len(chain) > 1 and s[top, chain[-2]] >= s[top, near]:
+                break
+            chain.append(near)
+        j, i = chain.pop(), chain.pop()
+        if s[i, j] >= least:
+            member[member == member[j]] = member[i]
         mean = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
         s[i], s[:, i] = mean, mean
-        s[j], s[:, j] = -np.inf, -np.inf
-        s[i, i] = -np.inf
-        s[i, ~alive], s[~alive, i] = -np.inf, -np.inf
+        s[j], s[:, j], s[i, i] = -np.inf, -np.inf, -np.inf
         size[i] += size[j]
         alive[j] = False
-        member[member == j] = i
-    return np.unique(member, return_inverse=True)[1]
+    return np.unique([np.flatnonzero(member == m)[0] for m in member], return_inverse=True)[1] if n else np.zeros(0, int)
+
+
+def refused_above(counts: DataFrame, most: int, what: str) -> None:
+    """ValueError if a row of counts has n above most: said before any group is in a task's memory."""
+    if not counts.filter(F.col("n") > most).isEmpty():
+        raise ValueError(f"a class has more than {most} {what}")
 
 
 def linkage_clusters(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", label: str = "label", most: int = 20_000) -> DataFrame:
     """label, key, cluster: average-linkage clusters of each class. A class of more than most rows is refused: it needs the square in memory."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a class has more than {most} rows")
         pdf = pdf.sort_values("id").reset_index(drop=True)
         return pd.DataFrame({"label": pdf["label"], "id": pdf["id"], "cluster": average_linkage(np.stack(pdf["v"].to_list()).astype(np.float64), least)})
 
     rows = df.select(F.col(label).cast("int").alias("label"), F.col(key).alias("id"), F.col(vector).alias("v"))
+    refused_above(rows.groupBy("label").agg(F.count("*").alias("n")), most, "rows")
     return rows.groupBy("label").applyInPandas(run, "label int, id bigint, cluster int").withColumnRenamed("id", key)
 
 
@@ -207,14 +252,15 @@ def louvain(nodes: list, edges: list[tuple]) -> dict:
 
 
 def communities(nodes: DataFrame, edges: DataFrame, label: str = "label", most: int = 1_000_000) -> DataFrame:
-    """label, node, community: Louvain communities of each class; edges (label, a, b, weight) of one class only. At most most edges a class."""
+    """label, node, community: Louvain communities of each class; edges (label, a, b, weight) of one class only. A class of more than most nodes or edges is refused."""
     left = nodes.select(F.col(label).cast("int").alias("label"), F.col("node").cast("bigint").alias("node"))
     right = edges.select(F.col(label).cast("int").alias("label"), "a", "b", "weight").filter("a <> b")
     right = right.groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
 
+    for df, what in ((left, "nodes"), (right, "edges")):
+        refused_above(df.groupBy("label").agg(F.count("*").alias("n")), most, what)
+
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if len(e) > most:
-            raise ValueError(f"a class has more than {most} edges")
         names = sorted(n["node"])
         e = e.sort_values(["a", "b"])
         found = louvain(names, list(zip(e["a"], e["b"], e["weight"])))
@@ -224,22 +270,20 @@ def communities(nodes: DataFrame, edges: DataFrame, label: str = "label", most:
 
 
 def homography_inliers(p: np.ndarray, q: np.ndarray, within: float = 5.0, tries: int = 500, seed: int = 0) -> int:
-    """Most points p that one homography maps to within a distance of their q, over random minimal samples."""
-    if len(p) < 4:
+    """Most points p that one homography maps to within a distance of their q, over random minimal samples, all at once."""
+    n = len(p)
+    if n < 4:
         return 0
-    rng, best = np.random.default_rng(seed), 0
-    ones = np.ones((len(p), 1))
-    for _ in range(tries):
-        i = rng.choice(len(p), 4, replace=False)
-        rows = []
-        for (x, y), (u, v) in zip(p[i], q[i]):
-            rows += [[-x, -y, -1, 0, 0, 0, u * x, u * y, u], [0, 0, 0, -x, -y, -1, v * x, v * y, v]]
-        h = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
-        r = np.hstack([p, ones]) @ h.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.linalg.norm(r[:, :2] / r[:, 2:] - q, axis=1)
-        best = max(best, int((d <= within).sum()))
-    return best
+    at = np.argsort(np.random.default_rng(seed).random((tries, n)), axis=1)[:, :4]
+    (x, y), (u, v) = np.moveaxis(p[at], 2, 0), np.moveaxis(q[at], 2, 0)
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    across = np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 2)
+    down = np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 2)
+    h = np.linalg.svd(np.concatenate([across, down], 1))[2][:, -1].reshape(tries, 3, 3)
+    mapped = np.hstack([p, np.ones((n, 1))]) @ h.transpose(0, 2, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = np.linalg.norm(mapped[..., :2] / mapped[..., 2:] - q, axis=2)
+    return int((apart <= within).sum(1).max())
 
 
 def mutual_matches(a: np.ndarray, b: np.ndarray, ratio: float = 0.8) -> list[tuple[int, int]]:

@@ -7,7 +7,7 @@ exact, no task holds more than two blocks, and no pair below the threshold ever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,35 +23,41 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def similar_pairs(df: DataFrame, same: float, other: float | None = None, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
+def similar_pairs(df: DataFrame, same: float, other: float | None = None, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK, score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """a, b, cos, same_class of pairs a < b with a cosine of same or more in one class, other or more across (None: no such pairs).
 
-    Vectors are taken as unit vectors: cos is their inner product. Null vectors take no part.
+    Vectors are taken as unit vectors: cos is their inner product, or what score gives of two matrices of vectors (a
+    symmetric similarity of any kind). Null vectors take no part.
     """
+    score = score or (lambda a, b: a @ b.T)
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("l")).filter("id is not null and v is not null")
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
-    dealt = rows.withColumn("own", own).withColumn("at", F.explode(blocks)).select("id", "v", "l", "own", "at.x", "at.y")
+    if other is None:  # classes never meet: each has blocks of its own
+        sizes = rows.groupBy(F.col("l").alias("of")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+        rows = rows.join(F.broadcast(sizes) if sizes.limit(SIDE + 1).count() <= SIDE else sizes, F.col("l").eqNullSafe(F.col("of")))
+    else:
+        rows = rows.withColumns({"n": F.lit(max(1, -(-rows.count() // block))), "of": F.lit(None).cast("string")})
+    blocks = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
+    own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("at", F.explode(blocks)).select("id", "v", "l", "own", "at.x", "at.y", "of")
 
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        left = pdf[pdf["own"] == key[0]]
-        right = left if key[0] == key[1] else pdf[pdf["own"] == key[1]]
+        left = pdf[pdf["own"] == key[1]]
+        right = left if key[1] == key[2] else pdf[pdf["own"] == key[2]]
         out = pd.DataFrame(columns=["a", "b", "cos", "same_class"])
         if not len(left) or not len(right):
             return out
-        s = _matrix(left["v"]) @ _matrix(right["v"]).T
+        s = score(_matrix(left["v"]), _matrix(right["v"]))
         ids, jds = left["id"].to_numpy(), right["id"].to_numpy()
         equal = left["l"].to_numpy()[:, None] == right["l"].to_numpy()[None, :]
         hit = (s >= same) & equal
         if other is not None:
             hit |= (s >= other) & ~equal
-        hit &= (ids[:, None] < jds[None, :]) if key[0] == key[1] else (ids[:, None] != jds[None, :])
+        hit &= (ids[:, None] < jds[None, :]) if key[1] == key[2] else (ids[:, None] != jds[None, :])
         i, j = np.nonzero(hit)
         return pd.DataFrame({"a": np.minimum(ids[i], jds[j]), "b": np.maximum(ids[i], jds[j]), "cos": s[i, j], "same_class": equal[i, j]})
 
-    return dealt.groupBy("x", "y").applyInPandas(multiply, "a bigint, b bigint, cos double, same_class boolean")
+    return dealt.groupBy("of", "x", "y").applyInPandas(multiply, "a bigint, b bigint, cos double, same_class boolean")
 
 
 def close_hashes(df: DataFrame, most: int, key: str = "vec_id", high: str = "high", low: str = "low", label: str = "label", bands: int | None = None) -> DataFrame:

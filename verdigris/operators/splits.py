@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.joins import common_values, spread_join
 from verdigris.operators.ordering import first_by_hash
 from verdigris.operators.similarity import linked
 
@@ -37,7 +38,7 @@ def stratified(df: DataFrame, share: float, seed: str, key: str = "vec_id", labe
 def hold_out_groups(df: DataFrame, parts: int, seed: str, group: str) -> DataFrame:
     """df with held: whether its group is among the first floor(groups / parts) in the order of draw()."""
     groups = first_by_hash(df.select(group).distinct(), [], draw(seed, group), group, lambda n: F.floor(n / parts), "held")
-    return df.join(groups, group)
+    return spread_join(df.filter(F.col(group).isNotNull()), groups, group, common_values(df.groupBy(group).agg(F.count("*").alias("n")), group))
 
 
 def without_links(rows: DataFrame, to: DataFrame, edges: DataFrame | None, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -64,10 +65,14 @@ def fill_quota(counts: list[tuple], share: float, slack: float, seed: str) -> li
     return taken
 
 
-def quota(df: DataFrame, share: float, group: str, quantity: str, label: str = "label", slack: float = 1.05, seed: str = "quota") -> DataFrame:
-    """label, group of the groups that fill each class's quota; only counts of groups reach a task, one class each."""
+def quota(df: DataFrame, share: float, group: str, quantity: str, label: str = "label", slack: float = 1.05, seed: str = "quota", most: int = 1_000_000) -> DataFrame:
+    """label, group of the groups that fill each class's quota; only counts of groups reach a task, one class each, and a
+    class of more than most counts is refused before."""
     counts = df.groupBy(F.col(label).cast("string").alias("label"), F.col(group).cast("string").alias("grp"), F.col(quantity).cast("string").alias("q")).agg(F.count("*").alias("n"))
 
+    if not counts.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > most).isEmpty():
+        raise ValueError(f"a class has more than {most} counts of groups")
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by: dict = {}
         for r in pdf.sort_values(["grp", "q"]).itertuples():

@@ -38,9 +38,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: dict[tuple, object] = {}
+
+
+def once(fn: Callable) -> Callable:
+    """A loader that is worked out once for a session and the files of a folder, and kept."""
+
+    def load(spark: SparkSession, sf_dir: str):
+        at = (fn.__name__, spark.sparkContext.applicationId, sf_dir, *table(spark, sf_dir, "embeddings").inputFiles())
+        if at not in _made:
+            _made[at] = fn(spark, sf_dir)
+        return _made[at]
+
+    load.__name__, load.__doc__ = fn.__name__, fn.__doc__
+    return load
+
+
+@once
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, embedding, label, split."""
-    return splits.stratified(table(spark, sf_dir, "embeddings"), 0.2, "pool")
+    """vec_id, embedding, label, split; written once, as every other query asks for it."""
+    return graphs.written(splits.stratified(table(spark, sf_dir, "embeddings"), 0.2, "pool"), "items")
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +72,7 @@ def support(spark: SparkSession, sf_dir: str, k: int = 4, seed: int = 1) -> Data
     return splits.support(pool(spark, sf_dir), k, seed)
 
 
+@once
 def texts(spark: SparkSession, sf_dir: str) -> pd.DataFrame:
     """class, vec: normalised means of a support set of 8; one row for each class."""
     means = vec.mean_vector(support(spark, sf_dir, 8, 0), ["label"], "embedding", DIM)
@@ -267,12 +285,10 @@ def support_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + ITEMS + ", " + ", ".join(support_sql(f"s{k}_{s}", k, s) for k in (1, 2, 4, 8) for s in (1, 2, 3)) + " " + " UNION ALL ".join(f"SELECT {k} k, {s} seed, vec_id, label FROM s{k}_{s}" for k in (1, 2, 4, 8) for s in (1, 2, 3)))
 def support_all_k_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pool(spark, sf_dir)
-    parts = [splits.support(p, k, s).select(F.lit(k).alias("k"), F.lit(s).alias("seed"), "vec_id", "label") for k in (1, 2, 4, 8) for s in (1, 2, 3)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
+    draws = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("seed")) for k in (1, 2, 4, 8) for s in (1, 2, 3)]))
+    p = pool(spark, sf_dir).select("vec_id", "label", draws.alias("d")).select("vec_id", "label", "d.*")
+    w = Window.partitionBy("k", "seed", "label").orderBy(splits.draw(F.concat_ws(".", "k", "seed"), "vec_id"), "vec_id")
+    return p.withColumn("n", F.row_number().over(w)).filter("n <= k").select("k", "seed", "vec_id", "label")
 
 
 @query("WITH " + ITEMS + ", " + support_sql("sup", 4, 1) + f", v AS (SELECT * FROM pool WHERE vec_id NOT IN (SELECT vec_id FROM sup)), l AS (SELECT DISTINCT v.vec_id FROM v, sup WHERE list_inner_product(v.e, sup.e) >= {SAME}) SELECT vec_id, label FROM v WHERE vec_id NOT IN (SELECT vec_id FROM l)")
@@ -324,9 +340,7 @@ def cache_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + CACHE + ", f AS (SELECT vec_id, label, class, 100 * list_inner_product(q.e, t.t) + 2e0 * zc.z z FROM test q JOIN zc USING (vec_id, label) JOIN texts t USING (class)), b AS (SELECT vec_id, label, class pred FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, class) = 1) SELECT vec_id, label, pred FROM b")
 def few_shot_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tests(spark, sf_dir)
-    zero, cached = similarity.scores(t, texts(spark, sf_dir)), similarity.cache_scores(t, support_rows(spark, sf_dir), name="c")
-    both = zero.join(cached, ["vec_id", "class"]).withColumn("z", F.col("z") + 2e0 * F.col("c"))
+    both = similarity.score_parts(tests(spark, sf_dir), texts(spark, sf_dir), support_rows(spark, sf_dir)).withColumn("z", F.col("text") + 2e0 * F.col("cache"))
     return labelled(evaluation.predicted(both), spark, sf_dir).select("vec_id", "label", "pred")
 
 
@@ -338,12 +352,11 @@ def cache_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy on validation of each weight and sharpness of the cache."""
     s = support(spark, sf_dir)
     valid = pool(spark, sf_dir).join(s.select("vec_id"), "vec_id", "left_anti")
-    rows, zero = support_rows(spark, sf_dir), similarity.scores(valid, texts(spark, sf_dir))
-    parts = None
+    rows, parts = support_rows(spark, sf_dir), None
     for b in (1.0, 5.0, 9.0):
-        x = similarity.cache_scores(valid, rows, b, name="c").withColumn("b", F.lit(b))
+        x = similarity.score_parts(valid, texts(spark, sf_dir), rows, b).withColumn("b", F.lit(b))
         parts = x if parts is None else parts.union(x)
-    all_z = zero.join(parts, ["vec_id", "class"]).withColumn("a", F.explode(F.array(F.lit(0.5), F.lit(2.0), F.lit(8.0)))).withColumn("z", F.col("z") + F.col("a") * F.col("c"))
+    all_z = parts.withColumnsRenamed({"text": "z", "cache": "c"}).withColumn("a", F.explode(F.array(F.lit(0.5), F.lit(2.0), F.lit(8.0)))).withColumn("z", F.col("z") + F.col("a") * F.col("c"))
     best = all_z.groupBy("vec_id", "a", "b").agg(F.max(F.struct("z", (-F.col("class")).alias("c"))).alias("m")).select("vec_id", "a", "b", (-F.col("m.c")).alias("pred"))
     return labelled(best, spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 6).alias("acc"))
 
@@ -590,8 +603,7 @@ def class_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + CACHE + ", pa AS (SELECT vec_id, class, 100 * list_inner_product(q.e, t) text_part, 2e0 * zc.z cache_part FROM test q JOIN zc USING (vec_id) JOIN texts USING (class)) SELECT vec_id, class, round(text_part, 6) text_part, round(cache_part, 6) cache_part, round(text_part + cache_part, 6) z, round(text_part - avg(text_part) OVER (PARTITION BY vec_id), 6) text_centred FROM pa")
 def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score as the sum of its parts, and a part less its mean over the classes."""
-    t = tests(spark, sf_dir)
-    both = similarity.scores(t, texts(spark, sf_dir), name="text_part").join(similarity.cache_scores(t, support_rows(spark, sf_dir), name="c"), ["vec_id", "class"]).withColumn("cache_part", 2e0 * F.col("c"))
+    both = similarity.score_parts(tests(spark, sf_dir), texts(spark, sf_dir), support_rows(spark, sf_dir)).select("vec_id", "class", F.col("text").alias("text_part"), (2e0 * F.col("cache")).alias("cache_part"))
     centred = F.col("text_part") - F.avg("text_part").over(Window.partitionBy("vec_id"))
     return both.select("vec_id", "class", r6("text_part"), r6("cache_part"), F.round(F.col("text_part") + F.col("cache_part"), 6).alias("z"), F.round(centred, 6).alias("text_centred"))
 
