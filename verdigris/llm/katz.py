@@ -318,7 +318,7 @@ def _spread(bounds: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.repeat(bounds[:-1][order] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
 
 
-def tables(dealt: DataFrame, u: Unigrams) -> DataFrame:
+def tables(dealt: DataFrame, u: Unigrams, parts: int) -> DataFrame:
     """The stored tables: for each part its bigrams, their counts in training, their words' counts, and their uses."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +358,8 @@ def tables(dealt: DataFrame, u: Unigrams) -> DataFrame:
         return pd.DataFrame([dict.fromkeys(_NAMES) | row])[_NAMES]
 
     alone = F.when(F.col("part") < 0, F.col("block")).otherwise(F.lit(0))
-    return dealt.withColumn("alone", alone).groupBy("part", "alone").applyInPandas(merge, TABLE)
+    # as many partitions as parts, whatever the session's setting: a task reads about one part at any size
+    return dealt.withColumn("alone", alone).repartition(parts, "part", "alone").groupBy("part", "alone").applyInPandas(merge, TABLE)
 
 
 @dataclass
@@ -459,7 +460,7 @@ def contexts(table: DataFrame, m: Model, parts: int) -> DataFrame:
             value = np.zeros(len(uv))
         return sums_of(*np.unique(ub, return_inverse=True), ud, value, None, None)
 
-    return table.filter("part >= 0").select("v", "c", "cw", "uses", "use_block", "use_doc", "use_n").mapInArrow(run, schema).groupBy("part").applyInPandas(lambda pdf: meet(pdf), SUMS)
+    return table.filter("part >= 0").select("v", "c", "cw", "uses", "use_block", "use_doc", "use_n").mapInArrow(run, schema).repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: meet(pdf), SUMS)
 
 
 #: Sums of a block's documents: their numbers (null: all, in order) and what is to be added to each.
@@ -472,8 +473,13 @@ def sums_of(names: np.ndarray, at: np.ndarray, doc: np.ndarray, *each: np.ndarra
     number = doc >> 1
     stride = int(number.max()) + 1 if len(number) else 1
     cell = at.astype(np.int64) * stride + number
-    used = np.flatnonzero(np.bincount(cell, minlength=len(names) * stride))
-    totals = [np.zeros(len(used)) if x is None else np.bincount(cell, weights=x, minlength=len(names) * stride)[used] for x in each]
+    size = len(names) * stride
+    if size > 4 * len(cell) + (1 << 20):  # a table of all cells would be larger than the uses: only those that are used
+        used, cell = np.unique(cell, return_inverse=True)
+        size, kept = len(used), slice(None)
+    else:
+        used = kept = np.flatnonzero(np.bincount(cell, minlength=size))
+    totals = [np.zeros(len(used)) if x is None else np.bincount(cell, weights=x, minlength=size)[kept] for x in each]
     block, docs = used // stride, (used % stride).astype(np.uint32)
     edges = np.searchsorted(block, np.arange(len(names) + 1))
     rows = [(int(n), packed(docs[i:j]), *(packed(t[i:j]) for t in totals)) for n, i, j in zip(names, edges, edges[1:]) if i < j]
@@ -549,7 +555,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mod: int = 7
     at = scratch(spark, "bigrams")
     # rows are large and packed already: small row groups, or a writer would gather many of them in memory
     packed_rows = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false", "compression": "none"}
-    tables(blocks(rows, u, parts), u).write.options(**packed_rows).parquet(at)
+    tables(blocks(rows, u, parts), u, parts).write.options(**packed_rows).parquet(at)
     released(spark)
     table = spark.read.schema(TABLE).parquet(at)
     model = finish(u, pairs, table)
