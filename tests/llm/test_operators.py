@@ -635,6 +635,22 @@ def test_katz_with_many_blocks_and_parts(spark, docs, monkeypatch):
         assert (got.loc[key].base_score, got.loc[key].score) == pytest.approx(w[4:], rel=1e-9, abs=1e-9)
 
 
+def test_katz_sums_of_few_uses_in_many_blocks():
+    """The same sums whether all cells fit or only the used ones are kept."""
+    rng = np.random.default_rng(0)
+    for blocks, n in ((3, 5000), (4000, 60)):
+        names, at, doc, x = np.arange(blocks) * 7, rng.integers(0, blocks, n), rng.integers(0, 2000, n).astype(np.uint32) * 2 + 1, rng.normal(size=n)
+        want = collections.defaultdict(float)
+        for a, d, v in zip(at, doc, x):
+            want[int(names[a]), int(d) >> 1] += v
+        got = {}
+        for r in katz.sums_of(names, at, doc, x, None, x * 2).itertuples():
+            for d, v, w in zip(katz.unpacked(r.docs, np.uint32), katz.unpacked(r.score, np.float64), katz.unpacked(r.known, np.float64)):
+                got[r.block, int(d)] = v
+                assert w == pytest.approx(2 * v)
+        assert got == pytest.approx(want)
+
+
 def test_katz_odd(spark, odd, none):
     rows = katz.score(odd).toPandas()
     assert len(rows) == odd.count() and np.isfinite(rows.score).all() and rows.doc_id.isna().sum() == 1

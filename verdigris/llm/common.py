@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators.graphs import workspace as scratch
+from verdigris.operators.joins import common_values, spread_join  # noqa: F401
 
 #: Bytes of one Arrow batch handed to Python; bounds what a worker holds, whatever the rows' lengths.
 BATCH_BYTES = 2 << 20
@@ -54,22 +55,6 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, common: DataFrame) -> DataFrame:
-    """left with the columns of right (one row for each value of on, null where there is none).
-
-    common has the values of on that so many rows of left share that one task should not have them all; there must be
-    a proven bound of their number, as their rows of right are broadcast. Rows of other values are dealt by value.
-    """
-    values = [c for c in right.columns if c != on]
-    top = right.join(F.broadcast(common), on, "left_semi").select(on, F.struct(*values).alias("_top"))
-    marked = left.join(F.broadcast(common.withColumn("_common", F.lit(True))), on, "left").join(F.broadcast(top), on, "left")
-    # a null meets nothing, and the number beside it spreads the rows that have one
-    marked = marked.withColumn("_on", F.when(F.col("_common").isNull(), F.col(on))).withColumn("_deal", F.when(F.col("_on").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(9973))).otherwise(0).cast("int"))
-    rest = right.join(F.broadcast(common), on, "left_anti").select(F.col(on).alias("_on"), F.struct(*values).alias("_rest"), F.lit(0).alias("_deal"))
-    both = F.coalesce("_top", "_rest")
-    return marked.join(rest, ["_on", "_deal"], "left").select(*left.columns, *[both[c].alias(c) for c in values])
-
-
 def remainder(col: str, mod: int) -> Column:
     """crc32 of a column's text form, modulo mod; null counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod).cast("int")

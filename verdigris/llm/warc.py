@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import delete, scratch, spread_join, staged, tune
+from verdigris.llm.common import common_values, delete, scratch, spread_join, staged, tune
 
 #: Bytes of a block's part in one record; of an archive; of an HTTP chunk.
 SEGMENT, ARCHIVE, CHUNK = 16 << 10, 16 << 20, 4096
@@ -157,12 +157,6 @@ def file_system(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
-def common(digests: DataFrame) -> DataFrame:
-    """sha of the payloads that a thousandth of the rows or more have: a thousand at most."""
-    rows = digests.agg(F.sum("n")).first()[0] or 0
-    return digests.filter((F.col("n") > 1) & (F.col("n") * 1000 >= rows)).select("sha")
-
-
 def plan(pages: DataFrame, key: str, uri: str, payload: str, least_bytes: int) -> DataFrame:
     """key, uri, payload, sha and refers_to (null: a response) of each page.
 
@@ -175,7 +169,7 @@ def plan(pages: DataFrame, key: str, uri: str, payload: str, least_bytes: int) -
     digests = staged(digests, "digests", pages.count())
     firsts = digests.filter("n > 1 and first is not null").select("sha", "first")
     rows = pages.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("uri"), body.alias("payload"), F.unhex(F.sha1(body)).alias("sha"))
-    return spread_join(rows, firsts, "sha", common(digests)).withColumn("refers_to", F.expr("if(key <=> first, null, first)")).drop("first")
+    return spread_join(rows, firsts, "sha", common_values(digests, "sha")).withColumn("refers_to", F.expr("if(key <=> first, null, first)")).drop("first")
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = 0, segment: int = SEGMENT, archive: int = ARCHIVE) -> int:
@@ -324,7 +318,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     responses = whole.filter("kind <> 'revisit'").unionByName(segments)
     target = responses.groupBy(F.col("payload_digest").alias("sha")).agg(F.first("payload_bytes").alias("n")).filter("sha is not null")
     revisits = whole.filter("kind = 'revisit'").select("kind", "key", "uri", "refers_key", "sha")
-    revisits = spread_join(revisits, target, "sha", common(revisits.groupBy("sha").agg(F.count("*").alias("n"))))
+    revisits = spread_join(revisits, target, "sha", common_values(revisits.groupBy("sha").agg(F.count("*").alias("n")), "sha"))
     missing = F.col("n").isNull()
     revisits = revisits.select("kind", "key", "uri", "refers_key", "sha", F.lit(None).cast("binary").alias("payload"), F.col("n").alias("payload_bytes"), F.when(~missing, F.col("sha")).alias("payload_digest"), F.when(missing, F.lit("no such response")).alias("error"))
     return responses.unionByName(revisits).select("key", "uri", F.col("kind").alias("record_type"), F.col("refers_key").alias("refers_to"), "payload", "payload_bytes", "payload_digest", "error")
