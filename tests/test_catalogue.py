@@ -69,6 +69,13 @@ def test_method_query(spark, duck, name):
     assert (got.pred.to_numpy() == p.argmax(1)).mean() > 0.995 and np.allclose(got.conf, p.max(1), atol=2e-3)
 
 
+def test_methods_tune_on_a_bounded_set(spark, monkeypatch):
+    """Beyond the bound methods still predict every row."""
+    monkeypatch.setattr(catalogue, "TUNED_ON", 20)
+    for name in ("method_trained_cache", "method_patch_graph"):
+        assert catalogue.QUERIES[name](spark, DATA).count() == catalogue.tests(spark, DATA).count()
+
+
 def test_calibration_query(spark, duck):
     """No temperature or bias nearby makes the pool likelier."""
     got = catalogue.QUERIES["calibration_fit"](spark, DATA).toPandas().sort_values("class")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import vec
 from verdigris.operators import classifiers as cl
-from verdigris.operators import curation, evaluation, graphmethods, graphnet, graphs, ordering, regions, reports, sampling, similarity, splits
+from verdigris.operators import curation, evaluation, graphmethods, graphnet, graphs, joins, ordering, regions, reports, sampling, similarity, splits
 from verdigris.operators.gradients import Var
-from verdigris.plans import runs
-from verdigris.sources import readers
+from verdigris.plans import costs, runs
+from verdigris.sources import domains, encoders, models, readers
 from verdigris.streaming import logs
 
 
@@ -347,3 +347,139 @@ def test_numbered(spark):
 def test_balanced_draws():
     labels = np.array([0] * 90 + [1] * 10)
     assert labels[sampling.balanced_draws(labels, 4000)].mean() == pytest.approx(0.5, abs=0.05)
+
+
+def test_encoders_and_store(spark, tmp_path):
+    """Modes, boxes, texts, the store by requested kinds, and what is refused."""
+    items = spark.createDataFrame([("a", "aab bb"), ("b", None), ("c", "")], "path string, content string")
+    whole = encoders.encoded(items, encoders.Letters(), encoders.whole(), "global").collect()
+    got = {r["path"]: np.array(r["vecs"][0]) for r in whole}
+    assert np.allclose(got["a"][:2], np.array([2, 3]) / np.sqrt(13), atol=1e-6) and not got["b"].any() and not got["c"].any()
+    many = encoders.encoded(items, encoders.Letters(), encoders.drawn_crops(F.col("path"), 7), "aug", batch=2).collect()
+    assert all(len(r["vecs"]) == 7 and len(r["vecs"][0]) == 26 for r in many)
+    boxes = items.select(encoders.drawn_crops(F.col("path"), 50).alias("b")).first()["b"]
+    assert all(0 <= b["x0"] < b["x1"] <= 1 + 1e-12 and b["x1"] - b["x0"] >= 0.5 - 1e-12 and 0 <= b["y0"] < b["y1"] <= 1 + 1e-12 for b in boxes)
+    with pytest.raises(ValueError):
+        encoders.encoded(items, encoders.Letters(), encoders.whole(), "other")
+    silent = type("Silent", (), {"name": "silent", "dim": 1, "text": None})()
+    with pytest.raises(ValueError):
+        encoders.encoded_texts(items, silent, "content", "path")
+    at = f"file://{tmp_path}/store"
+    readers.save_features(encoders.encoded(items, encoders.Letters(), encoders.whole(), "global").select("path", F.col("vecs")[0].alias("vec"), "backbone", "mode"), at)
+    store = domains.Store(spark, at, "letters", need=("global",), optional=("grid",), second="letters")
+    assert store.modes == ("global",) and set(store.batch(items.select("path")).columns) == {"path", "global", "second"}
+    with pytest.raises(KeyError):
+        domains.Store(spark, at, "letters", need=("grid",)).modes
+    with pytest.raises(KeyError):
+        store.batch(spark.createDataFrame([("z",)], "path string")).count()
+
+
+def test_item_regions_against_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    kinds = {"o": "object", "i": "instance", "s": "spot"}
+    rows = [(n, [(str(rng.choice(list("ois"))), *(float(x) for x in rng.uniform(0, 1, 2)), *(float(x) for x in rng.uniform(0.02, 1.2, 2)), float(rng.uniform(0, 0.5))) for _ in range(9)]) for n in range(40)]
+    df = spark.createDataFrame(rows, "id int, raw array<struct<prompt:string,cx:double,cy:double,w:double,h:double,score:double>>")
+    got = {r["id"]: r["r"] for r in df.select("id", encoders.item_regions(F.col("raw"), kinds, F.lit(100), F.lit(80)).alias("r")).collect()}
+    for n, raw in rows:
+        boxes = [(p, s, *(min(max(v * 100, 0), side) for v, side in ((x - w / 2, 100), (y - h / 2, 80), (x + w / 2, 100), (y + h / 2, 80)))) for p, x, y, w, h, s in raw]
+        area = lambda b: max(0, b[4] - b[2]) * max(0, b[5] - b[3])
+
+        def kept(prompt, least, most):
+            out = []
+            for b in sorted((b for b in boxes if b[0] == prompt and b[1] >= least and 0.002 < area(b) / 8000 < most), key=lambda b: -b[1]):  # noqa: B023
+                both = [max(0, min(b[4], k[4]) - max(b[2], k[2])) * max(0, min(b[5], k[5]) - max(b[3], k[3])) for k in out]
+                if all(c / max(area(b) + area(k) - c, 1e-6) <= 0.3 for c, k in zip(both, out)):  # noqa: B023
+                    out.append(b)
+            return out
+
+        o = kept("o", 0.2, 0.85) or kept("o", 0.2, 0.98)
+        i, s = kept("i", 0.06, 0.85), kept("s", 0.05, 0.12)
+        take = min(len(i), max(2, 4 - len(s)))
+        assert (got[n]["object"] and got[n]["object"]["score"]) == (o[0][1] if o else None)
+        assert [(r["kind"], r["score"]) for r in got[n]["regions"]] == [("instance", b[1]) for b in i[:take]] + [("spot", b[1]) for b in s[: 4 - take]]
+
+
+def test_models_domains_and_files(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    m = models.CacheModel(rng.normal(size=(3, 4)), rng.normal(size=(5, 4)), np.array([0, 0, 1, 2, 2]), 3.0, 7.0, 1.5, np.array([0.1, 0, -0.1]), 0.2, 0.6, {"acc": 0.5})
+    at = f"file://{tmp_path}/m"
+    models.save(m, spark, at)
+    models.save(m, spark, at)
+    back = models.load(spark, at)
+    assert all(np.array_equal(getattr(m, k), getattr(back, k)) for k in ("text", "keys", "labels", "bias")) and (back.weight, back.sharpness, back.tau, back.facts) == (3.0, 7.0, 1.5, {"acc": 0.5})
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(6)], "vec_id bigint, embedding array<double>")
+    told = back.explain(df).toPandas()
+    assert np.allclose(told.text_part + told.cache_part + told.bias_part, told.z) and np.allclose(told.groupby("vec_id").p.sum(), 1) and np.allclose(told.groupby("vec_id").text_part_centred.sum(), 0)
+    path = f"file://{tmp_path}/j/x.json"
+    for value in ({"a": "é"}, {"a": "b"}):
+        readers.write_json(spark, value, path)
+    assert [r["a"] for r in readers.read_json(spark, path, "a string").collect()] == ["b"] and sorted(p.name for p in (tmp_path / "j").iterdir() if not p.name.endswith("crc")) == ["x.json"]
+    made = []
+    for _ in range(2):
+        readers.cached(spark, f"file://{tmp_path}/c", lambda: made.append(1) or df)
+    assert len(made) == 1
+    with pytest.raises(FileNotFoundError):
+        domains.Domain.open(spark, "none", f"file://{tmp_path}").items(spark)
+
+
+def test_lanes_and_costs(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 2) for i in range(40)], "vec_id bigint, embedding array<double>, label int").cache()
+    todo = runs.plan(spark, ["zero_shot", "cache", "broken"], (1, 2), (1,))
+    text, failed = np.eye(2, 4), []
+    done = runs.run(todo, f"file://{tmp_path}/log", lambda m: cl.METHODS[m](text), lambda k, s: (splits.support(df, k, s), df), df, 2, failed=lambda n, e: failed.append(n), lanes=3)
+    log = readers.run_log(spark, f"file://{tmp_path}/log")
+    assert done == 4 == log.count() and len(failed) == 2 and {r["method"] for r in log.collect()} == {"zero_shot", "cache"}
+    assert runs.run(todo, f"file://{tmp_path}/log", lambda m: cl.METHODS[m](text), lambda k, s: (splits.support(df, k, s), df), df, 2, failed=lambda n, e: None, lanes=2) == 0
+    calls = []
+    t = costs.table(spark, [("one", lambda: calls.append(1), 7)], reps=3, warm_up=2).first()
+    assert len(calls) == 5 and t["reps"] == 3 and t["params"] == 7 and t["median_ms"] >= t["least_ms"]
+    b = cl.Batch(rng.normal(size=(6, 4)), np.arange(6) % 2, None)
+    assert set(costs.fits({"cache": cl.METHODS["cache"]}, text, b, b)) == {"cache"} and costs.values_of(cl.METHODS["cache"](text).fit(b, b)) == 24 + 12
+
+
+def test_pairs_by_any_similarity(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 3))
+    df = spark.createDataFrame([(i, x[i].tolist(), i % 2 if i < 28 else None) for i in range(30)], "vec_id bigint, embedding array<double>, label int")
+    near = lambda a, b: -np.abs(a[:, None] - b[None]).sum(2)
+    label = lambda i: i % 2 if i < 28 else None
+    for block in (4, 100):
+        got = {(r["a"], r["b"]) for r in similarity.similar_pairs(df, -1.5, block=block, score=near).collect()}
+        assert got == {(i, j) for i in range(30) for j in range(i + 1, 30) if label(i) == label(j) is not None and np.abs(x[i] - x[j]).sum() <= 1.5} | {(i, j) for i, j in [(28, 29)] if np.abs(x[28] - x[29]).sum() <= 1.5 and (28, 29) in got}
+
+
+def test_independent_set_in_rounds_and_tasks(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (150, 2)) if a != b]
+    nodes, edges_ = spark.range(120).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "a bigint, b bigint")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(max(a, b), set()).add(min(a, b))
+    kept, twin = set(), {}
+    for n in range(120):
+        hit = sorted(near.get(n, set()) & kept)
+        if hit:
+            twin[n] = hit[0]
+        else:
+            kept.add(n)
+    for most in (1_000_000, 3, 0):
+        rows = graphs.first_independent_set(nodes, edges_, most).collect()
+        assert {r["node"] for r in rows if r["kept"]} == kept and {r["node"]: r["twin"] for r in rows if r["twin"] is not None} == twin
+
+
+def test_refusals_come_first(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(5)], "vec_id bigint, embedding array<double>, label int")
+    with pytest.raises(ValueError):
+        graphs.linkage_clusters(df, 0.5, most=4)
+    with pytest.raises(ValueError):
+        graphs.communities(df.select("label", F.col("vec_id").alias("node")), spark.createDataFrame([(0, 1, 2, 1.0)], "label int, a bigint, b bigint, weight double"), most=4)
+
+
+def test_spread_join(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("x", 1), ("y", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("hot", "H"), ("x", "X"), ("z", "Z")], "k string, w string")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    for common in (joins.common_values(counts, "k"), counts.filter("false").select("k")):
+        got = {(r["k"], r["v"]): r["w"] for r in joins.spread_join(left, right, "k", common).collect()}
+        assert len(got) == 53 and got["x", 1] == "X" and got["y", 2] is None and got[None, 3] is None and all(got["hot", i] == "H" for i in range(50))

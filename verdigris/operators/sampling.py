@@ -16,6 +16,11 @@ def per_stratum(df: DataFrame, n: int, seed: str, key: str, by: list[str]) -> Da
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
+def at_most(df: DataFrame, most: int, seed: str, key: str) -> DataFrame:
+    """df, or its first most rows in the order of draw() if it has more: a bounded set to tune on."""
+    return df.orderBy(draw(seed, key), key).limit(most)
+
+
 def band(value: Column, edges: list[float]) -> Column:
     """The number of the band [edge, next edge) that a value is in; null outside."""
     out = F.lit(None).cast("int")

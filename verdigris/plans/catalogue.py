@@ -413,10 +413,20 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.round(1e0 / F.greatest(F.lit(1), F.count("*")), 6).alias("weight"))
 
 
+#: Rows of the validation set that methods are tuned on at most: all, or so many drawn by hash. Predictions are for all rows.
+TUNED_ON = 50_000
+
+
+def tuning(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
+    """The pool without the support set, as far as methods are tuned on it."""
+    rest = pool(spark, sf_dir).join(s.select("vec_id"), "vec_id", "left_anti")
+    return sampling.at_most(rest, TUNED_ON, "validation", "vec_id")
+
+
 def fitted(spark: SparkSession, sf_dir: str, name: str, k: int = 4, seed: int = 1) -> classifiers.Method:
     t = texts(spark, sf_dir).sort_values("class")
     s = support(spark, sf_dir, k, seed)
-    valid = pool(spark, sf_dir).join(s.select("vec_id"), "vec_id", "left_anti")
+    valid = tuning(spark, sf_dir, s)
     second = F.reverse("embedding")
     return classifiers.METHODS[name](np.stack(t["vec"].to_list())).fit(classifiers.batch(s.withColumn("second", second), second="second"), classifiers.batch(valid.withColumn("second", second), second="second"))
 
@@ -476,7 +486,7 @@ def parts(pdf: pd.DataFrame) -> graphmethods.Parts:
 def graph_method(name: str, make: Callable[[np.ndarray], graphmethods.RegionGraph | graphmethods.PatchGraph]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t, s = texts(spark, sf_dir).sort_values("class"), support(spark, sf_dir)
-        valid = pool(spark, sf_dir).join(s.select("vec_id"), "vec_id", "left_anti")
+        valid = tuning(spark, sf_dir, s)
         small = lambda df: parts(similarity.held(df, "vec_id", "embedding", "label").sort_values("vec_id"))
         method = spark.sparkContext.broadcast(make(np.stack(t["vec"].to_list())).fit(small(s), small(valid)))
 

@@ -422,3 +422,12 @@ def crowded_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = evaluation.predicted(z, "crop").select(F.floor(F.col("crop") / 8).cast("bigint").alias("vec_id"), F.col("pred").alias("class"))
     n = pred.groupBy("vec_id", "class").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("vec_id")), 6))
+
+
+@query("SELECT doc_id, len(text)::INT n, CASE WHEN doc_id <= (SELECT max(doc_id) FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50)) THEN 1 ELSE 2 END go FROM documents")
+def resumed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extraction that first does fifty items, then in batches what is left; go tells in which each item was done."""
+    docs, at = table(spark, sf_dir, "documents").select("doc_id", "text"), graphs.workspace(spark, "extracted")
+    make = lambda go: lambda df: df.select("doc_id", F.length("text").alias("n"), F.lit(go).alias("go"))
+    readers.resumed(docs, at, make(1), "doc_id", limit=50)
+    return readers.resumed(docs, at, make(2), "doc_id", batch=60)
