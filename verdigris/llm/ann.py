@@ -29,9 +29,9 @@ from verdigris.llm.common import staged, tune
 #: Vectors that centroids are fitted on at most; lists at most; lists of a boundary vector at most.
 SAMPLE, LISTS, REPLICAS = 20_000, 8192, 3
 #: How many times as far as the nearest a vector's other centroids, and a query's, may be.
-REPLICATE, RATIO = 1.08, 1.13
+REPLICATE, RATIO = 1.08, 1.14
 #: Vectors in the lists of a query at least; entries of a bundle, bundles at least, queries of a block.
-LEAST, BUNDLE, BUNDLES, QUERIES = 400, 200_000, 12, 50_000
+LEAST, BUNDLE, BUNDLES, QUERIES = 500, 200_000, 12, 50_000
 #: Neighbours of a centroid in the graph, and random ones besides.
 DEGREE, FAR = 16, 4
 
