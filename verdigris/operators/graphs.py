@@ -32,7 +32,9 @@ def written(df: DataFrame, name: str = "step", rows: int | None = None) -> DataF
     if rows is not None:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)))
     df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
 
 
 #: Edges that one task ties together at once; more are contracted in rounds. Rows of a file of a written table.

@@ -42,11 +42,12 @@ _made: dict[tuple, object] = {}
 
 
 def once(fn: Callable) -> Callable:
-    """A loader that is worked out once for a session and the files of a folder, and kept."""
+    """A loader that is worked out once for a session and the files of a folder, and kept; again if what it wrote is gone."""
 
     def load(spark: SparkSession, sf_dir: str):
         at = (fn.__name__, spark.sparkContext.applicationId, sf_dir, *table(spark, sf_dir, "embeddings").inputFiles())
-        if at not in _made:
+        path = getattr(_made.get(at), "written_at", None)
+        if at not in _made or (path and not readers.exists(spark, path)):
             _made[at] = fn(spark, sf_dir)
         return _made[at]
 

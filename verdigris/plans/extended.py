@@ -14,6 +14,7 @@ from verdigris.operators.gradients import Var
 from verdigris.plans import catalogue
 from verdigris.plans.catalogue import BOXES, CACHE, DIM, GRID, ITEMS, METRICS, OTHER, PAIRS, PROBS, RUNS, SAME, TEXTS, boxes, edges, labelled, pool, query, r6, run_log, support, support_rows, support_sql, table, tests, texts, unit_sql
 from verdigris.sources import domains, encoders, models, readers
+from verdigris.streaming import logs
 
 LETTERS = encoders.Letters()
 
@@ -431,3 +432,43 @@ def resumed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = lambda go: lambda df: df.select("doc_id", F.length("text").alias("n"), F.lit(go).alias("go"))
     readers.resumed(docs, at, make(1), "doc_id", limit=50)
     return readers.resumed(docs, at, make(2), "doc_id", batch=60)
+
+
+# ---- streams, run until what is there has been read
+def drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+    """What a stream has given once all that is there is read, as a table."""
+    at = graphs.workspace(spark, "stream")
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("WITH e AS (SELECT event_type, value, ts, time_bucket(INTERVAL '1 hour', ts) \"start\" FROM events), w AS (SELECT \"start\", event_type, count(*) n, round(sum(value), 4) total FROM e GROUP BY ALL) SELECT strftime(\"start\", '%Y-%m-%d %H:%M') \"start\", event_type, n, total FROM w WHERE \"start\" + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted in windows of an hour as they arrive; only windows that the watermark has passed are there."""
+    at = graphs.workspace(spark, "events")
+    events = table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    events.coalesce(4).write.parquet(at)
+    got = drained(logs.event_windows(spark.readStream.schema(events.schema).parquet(at), "1 hour"), spark)
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("WITH " + RUNS + " SELECT method, K, count(DISTINCT seed) n FROM runs GROUP BY ALL")
+def stream_run_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log read as a stream: of runs that are there several times one is left."""
+    at = graphs.workspace(spark, "tailed")
+    log = run_log(spark, sf_dir).select("method", "K", F.col("seed").cast("int").alias("seed"), F.col("score").alias("acc"), F.lit("last-epoch").alias("variant"))
+    readers.append_runs(log.coalesce(2), at)
+    got = drained(logs.tail(spark, at).select("method", "K", "seed"), spark)
+    return got.groupBy("method", "K").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + ITEMS + f" SELECT t.vec_id, p.vec_id near_id, round(list_inner_product(t.e, p.e), 6) cos FROM test t, pool p WHERE list_inner_product(t.e, p.e) >= {SAME} QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY list_inner_product(t.e, p.e) DESC, p.vec_id) = 1")
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving rows, batch by batch, that are linked to a reference set."""
+    at = graphs.workspace(spark, "arrivals")
+    rows = tests(spark, sf_dir).select("vec_id", "embedding")
+    rows.coalesce(3).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    logs.check_arrivals(stream, pool(spark, sf_dir), SAME, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint").awaitTermination()
+    found = spark.read.schema("vec_id bigint, near_id bigint, cos double").parquet(f"{at}/out")
+    return found.select("vec_id", "near_id", r6("cos"))
