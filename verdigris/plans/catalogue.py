@@ -203,12 +203,6 @@ def cosine_pairs_two_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(table(spark, sf_dir, "embeddings"), SAME, OTHER).select("a", "b", F.round("cos", 4).alias("cos"), "same_class")
 
 
-@query("WITH h AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) s FROM embeddings) SELECT a.vec_id a, b.vec_id b, len(list_filter(list_zip(a.s, b.s), lambda x: x[1] <> x[2]))::INT bits FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE len(list_filter(list_zip(a.s, b.s), lambda x: x[1] <> x[2])) <= 18")
-def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", vec.sign_bits(F.col("embedding"), 32).alias("high"), vec.sign_bits(F.col("embedding"), 0).alias("low"))
-    return similarity.close_hashes(df, 18)
-
-
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(table(spark, sf_dir, "embeddings"), SAME, OTHER)
 

@@ -220,14 +220,29 @@ def reason_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEX = "hx AS (SELECT vec_id, label, list_transform(embedding[1:16], lambda x: floor(abs(x) * 8)::INT % 16) d FROM embeddings), hs AS (SELECT vec_id, label, array_to_string(list_transform(d, lambda i: substr('0123456789abcdef', i + 1, 1)), '') h, list_concat(list_transform(d, lambda i: i & 1), list_concat(list_transform(d, lambda i: (i >> 1) & 1), list_concat(list_transform(d, lambda i: (i >> 2) & 1), list_transform(d, lambda i: (i >> 3) & 1)))) s FROM hx)"
 
 
-@query("WITH " + HEX + ", p AS (SELECT a.vec_id a, b.vec_id b, len(list_filter(list_zip(a.s, b.s), lambda x: x[1] <> x[2]))::INT bits FROM hs a JOIN hs b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, bits FROM p WHERE bits <= 3")
-def hex_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a class whose 64-bit hashes, given as hexadecimal text, differ in at most three bits. Coarse components play the hash."""
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label, h: coarse components as a hash of 16 hexadecimal digits, and its halves high and low."""
     digit = lambda x: F.substring(F.lit("0123456789abcdef"), (F.floor(F.abs(x.cast("double")) * 8) % 16).cast("int") + 1, F.lit(1))
-    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.array_join(F.transform(F.slice("embedding", 1, 16), digit), "").alias("h"))
     half = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("bigint")
-    near = similarity.close_hashes(df.select("vec_id", "label", half(1).alias("high"), half(9).alias("low")), 3)
-    h = df.select("vec_id", "h")
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.array_join(F.transform(F.slice("embedding", 1, 16), digit), "").alias("h"))
+    return df.withColumns({"high": half(1), "low": half(9)})
+
+
+def hash_pairs_sql(most: int) -> str:
+    return f"WITH {HEX}, p AS (SELECT a.vec_id a, b.vec_id b, len(list_filter(list_zip(a.s, b.s), lambda x: x[1] <> x[2]))::INT bits FROM hs a JOIN hs b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, bits FROM p WHERE bits <= {most}"
+
+
+@query(hash_pairs_sql(4))
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a class whose 64-bit hashes differ in at most four bits: five bands, of which one is the same."""
+    return similarity.close_hashes(hashes(spark, sf_dir), 4)
+
+
+@query(hash_pairs_sql(3))
+def hex_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a class whose hashes, given as hexadecimal text, differ in at most three bits, counted on the text."""
+    df = hashes(spark, sf_dir)
+    near, h = similarity.close_hashes(df, 3), df.select("vec_id", "h")
     both = near.join(h.select(F.col("vec_id").alias("a"), F.col("h").alias("x")), "a").join(h.select(F.col("vec_id").alias("b"), F.col("h").alias("y")), "b")
     return both.select("a", "b", vec.hex_hamming(F.col("x"), F.col("y")).alias("bits"))
 
