@@ -31,6 +31,8 @@ from verdigris.llm.common import mix64, texts, tune
 
 #: Shares of the rows that a term of the lexicon occurs in.
 LEAST, MOST = 0.0005, 0.1
+#: Terms that a lexicon, which every task holds, may have at most; a corpus of more is refused.
+TERMS = 20_000_000
 #: Levels of sub-lexicons; sub-lexicons used of a level; levels that likeness looks at, from the fitting one on.
 LEVELS, GROUPS, FINER = 60, 16, 2
 #: Fewer terms than this in the band tell nothing: such a document is fingerprinted by all its terms instead.
@@ -63,7 +65,7 @@ def terms(text: str) -> set[str]:
 def lexicon(df: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> np.ndarray:
     """Sorted hashes of the terms in the band, from all rows. Counted in every task, then added up by range of hashes.
 
-    A term must occur in two rows at least, and terms in two rows are in the band however few rows there are.
+    A lexicon of more than TERMS terms is refused by the tasks. A term must occur in two rows at least, and terms in two rows are in the band however few rows there are.
     """
     spark = df.sparkSession
     tune(spark)
@@ -97,7 +99,10 @@ def lexicon(df: DataFrame, text: str = "text", least: float = LEAST, most: float
         c = np.frombuffer(b"".join(pdf["counts"]), np.uint32)
         h, at = np.unique(h, return_inverse=True)
         c = np.bincount(at, weights=c, minlength=len(h))
-        return pd.DataFrame({"hashes": [h[(c >= low) & (c <= high)].tobytes()]})
+        band = h[(c >= low) & (c <= high)]
+        if len(band) * parts > 4 * TERMS:  # hashes are even, so the whole is about so many times a part
+            raise ValueError(f"the lexicon has more than {TERMS} terms; raise the least share of the rows")
+        return pd.DataFrame({"hashes": [band.tobytes()]})
 
     got = rows.mapInArrow(count, "part int, hashes binary, counts binary").groupBy("part").applyInPandas(add, "hashes binary").collect()
     return np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in got), np.uint64))
