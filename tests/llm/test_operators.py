@@ -735,6 +735,12 @@ def test_lexicon_is_the_band(spark, docs):
     assert imatch.lexicon(spark.read.parquet(f"{DATA}/documents.parquet")).tolist() == want
 
 
+def test_lexicon_is_refused_beyond_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "TERMS", 50)
+    with pytest.raises(Exception, match="more than 50 terms"):
+        imatch.lexicon(spark.read.parquet(f"{DATA}/documents.parquet"))
+
+
 def test_fingerprint_ranges_and_odd(spark, odd, none, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE", 4)
     texts = [f"text {i} " + "abc def " * (i % 7) for i in range(50)]
