@@ -39,3 +39,32 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("_part", "_at", "_before")
+
+
+def running(df: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """df with new columns {name: column}: each the sum of a column over the rows before a row in an order, 0 before the first.
+
+    Rows are sorted into ranges, added up within each range, and the totals of the ranges before are added; only those, a
+    row for each range, meet in one task. Rows of equal order come in any order and share a range, so group them first.
+    """
+    rows = written(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "running")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside, across = earlier(Window.partitionBy("_part").orderBy("_at")), earlier(Window.orderBy("_part"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = rows.groupBy("_part").agg(*[zero(F.sum(c)).alias(f"_{name}") for name, c in sums.items()])  # a row for each range
+    before = totals.select("_part", *[zero(F.sum(f"_{name}").over(across)).alias(f"_{name}") for name in sums])
+    both = rows.withColumns({f"_in_{name}": zero(F.sum(c).over(inside)) for name, c in sums.items()}).join(F.broadcast(before), "_part")
+    return both.select(*df.columns, *[(F.col(f"_in_{name}") + F.col(f"_{name}")).alias(name) for name in sums])
+
+
+def previous(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """df with the value of the row before in the order of its key, null at the first; (key, order) is unique.
+
+    Keys of any number of rows are spread over ranges of (key, order); only the last row of each range meets the others.
+    """
+    rows = written(df.orderBy(key, order).withColumn("_part", F.spark_partition_id()), "previous")
+    w = Window.partitionBy("_part", key).orderBy(order)
+    last = rows.groupBy("_part").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), F.struct(key, order)).alias("_tail"))
+    before = last.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_tail"))  # a row for each range
+    seen = rows.withColumns({"_first": F.row_number().over(w) == 1, "_lag": F.lag(value).over(w)}).join(F.broadcast(before), "_part", "left")
+    return seen.select(*df.columns, F.when(~F.col("_first"), F.col("_lag")).when(F.col("_tail.k").eqNullSafe(F.col(key)), F.col("_tail.v")).alias(name))
