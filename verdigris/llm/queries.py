@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import licenses, warc
+from verdigris.llm import licenses, quantize, undo, warc
 from verdigris.llm.common import table
 
 
@@ -82,6 +82,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by codebooks of integers that all of them have fitted."""
+    return quantize.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of a transaction log: the states of the store, and what was undone by what."""
+    return undo.digest(undo.as_log(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_imatch": op9_imatch,
     "op10_toxicity": op10_toxicity,
+    "op11_codes": op11_codes,
+    "op13_undo": op13_undo,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": warc.oracle(), "op6_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op2_warc": warc.oracle(), "op6_licenses": licenses.oracle(), "op11_codes": quantize.oracle(), "op13_undo": undo.oracle()}
