@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import licenses, quantize, undo, warc
+from verdigris.llm import jaccard, licenses, quantize, undo, warc
 from verdigris.llm.common import table
 
 
@@ -87,6 +87,11 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantize.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op12_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by links of nine tenths of the three-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records of a transaction log: the states of the store, and what was undone by what."""
     return undo.digest(undo.as_log(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels").select("doc_id", "toxic")))
@@ -104,7 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_imatch": op9_imatch,
     "op10_toxicity": op10_toxicity,
     "op11_codes": op11_codes,
+    "op12_join": op12_join,
     "op13_undo": op13_undo,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": warc.oracle(), "op6_licenses": licenses.oracle(), "op11_codes": quantize.oracle(), "op13_undo": undo.oracle()}
+ORACLES: dict[str, str] = {"op2_warc": warc.oracle(), "op6_licenses": licenses.oracle(), "op11_codes": quantize.oracle(), "op12_join": jaccard.oracle(), "op13_undo": undo.oracle()}
