@@ -70,7 +70,11 @@ def test_linked_sets_share_prefix_elements(seed, least, longest):
         return
     found = [jaccard.prefix(x, table, 3.0, least, longest) for x in (a, b)]
     if jaccard.linked(a, b, least):
-        assert len(np.intersect1d(found[0][1], found[1][1])) >= min(found[0][0], found[1][0])
+        shared = len(np.intersect1d(found[0][1], found[1][1]))
+        assert shared >= min(found[0][0], found[1][0])
+        front = jaccard.Front(np.array([len(a), len(b)]), np.array([f[0] for f in found]), [f[1] for f in found], np.array([f[2] for f in found]))
+        for i in (0, 1):
+            assert front.possible(i, np.array([1 - i]), np.array([shared]), least).all()
     both = len(np.intersect1d(a, b))
     assert jaccard.common(a, b) == both and jaccard.linked(a, b, least) == (100 * both >= least * (len(a) + len(b) - both))
 
@@ -80,8 +84,8 @@ def test_common_shingles_lengthen_the_prefix():
     h = np.sort(np.random.default_rng(1).integers(0, 2**63, 100, dtype=np.uint64) * np.uint64(2))
     rare, often = np.ones(jaccard.CELLS, np.int64), np.full(jaccard.CELLS, 1000)
     assert jaccard.prefix(h, rare, 0.0)[0] == 1 and len(jaccard.prefix(h, rare, 0.0)[1]) == 11
-    l, first = jaccard.prefix(h, often, 0.0)
-    assert l == jaccard.LONGEST and len(first) == 10 + l
+    l, first, edge = jaccard.prefix(h, often, 0.0)
+    assert l == jaccard.LONGEST and len(first) == 10 + l and edge == 1000
     few = rare.copy()
     few[jaccard.cells(h[:90])] = 1000
     assert set(jaccard.prefix(h, few, 0.0)[1]) >= set(h[90:])  # rare ones come first
@@ -145,3 +149,18 @@ def test_query_equals_sql(spark):
     rows = sorted(map(tuple, QUERIES["op12_join"](spark, DATA).select("doc_id", "n_shingles", "component_id").collect()))
     assert rows == sorted(c.sql(f"SELECT doc_id, n_shingles, component_id FROM ({ORACLES['op12_join']})").fetchall())
     assert sorted(rows, key=str) == plain(c.sql("SELECT doc_id, text FROM documents").fetchall())
+
+
+def test_counts_in_few_bytes():
+    for top in (1, 255, 256, 65_535, 65_536, 2**40):
+        n = np.array([0, 1, top])
+        assert (jaccard.widened(jaccard.narrow(n)) == n).all()
+
+
+def test_frequencies_count_documents(spark):
+    df = frame(spark, [(i, f"a b c d a b c x{i % 3} y z") for i in range(50)] + [(99, None)])
+    table, known = jaccard.frequencies(df.repartition(6), "text"), jaccard.Words()
+    want = np.zeros(jaccard.CELLS, np.int64)
+    for r in df.collect():
+        np.add.at(want, jaccard.cells(jaccard.elements(r.text or "", known)), 1)
+    assert (table == want).all()

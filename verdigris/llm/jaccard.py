@@ -9,11 +9,12 @@ that it shares more. Of two documents, the smaller l holds.
    cell grows with the square root of the data only, so common shingles stand out at every size. Cell count and hash are
    the global order; any order gives the same links, this one keeps postings short.
 2. Equal sets are one node. A node's l is the one, of 1 to LONGEST, of the least estimated cost.
-3. The nodes of a prefix shingle are a bucket. Every member meets the bucket's smallest node: as many pairs as rows.
-   Pairs are verified exactly if sizes allow a link and their prefixes share the smaller l. Links make components.
-4. Buckets that still hold several components are worked through in block pairs; pairs of one component need no look. In a
-   block the shared prefix shingles of all pairs are counted through postings, and only links that join components become
-   rows.
+3. The nodes of a prefix shingle are a bucket. Every member meets the bucket's smallest node: as many pairs as rows. A pair
+   is a candidate if sizes allow a link, the prefixes share the smaller l, and what they share, with all that may follow
+   after the prefix that ends first, can still make a link. Only candidates' sets are fetched and compared exactly.
+4. Links make components. Buckets that still hold several are worked through in block pairs, in which the shared prefix
+   shingles of all pairs of different components are counted through postings: first to find the nodes that have a
+   candidate, then, with their sets, to compare. Only links that join components become rows.
 
 So pairs are never written out within a bucket, and no link between components is missed.
 """
@@ -68,6 +69,16 @@ def cells(h: np.ndarray) -> np.ndarray:
     return (h >> _SHIFT).astype(np.int64)
 
 
+def narrow(n: np.ndarray) -> bytes:
+    """Counts as bytes: the number of bytes that the largest takes, then all of them in as many."""
+    size = next(b for b in (1, 2, 4, 8) if n.max() < 1 << 8 * b - (b == 8))
+    return bytes([size]) + n.astype(f"u{size}").tobytes()
+
+
+def widened(n: bytes) -> np.ndarray:
+    return np.frombuffer(n, f"u{n[0]}", offset=1).astype(np.int64)
+
+
 def frequencies(df: DataFrame, text: str, words: int = WORDS) -> np.ndarray:
     """[CELLS] how many documents' shingles fall into each cell, over all rows of df.
 
@@ -88,26 +99,26 @@ def frequencies(df: DataFrame, text: str, words: int = WORDS) -> np.ndarray:
         for c in range(0, CELLS, CHUNK):
             at = np.flatnonzero(total[c : c + CHUNK])
             if len(at):
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c // CHUNK], pa.int32()), "at": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([total[c + at].tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c // CHUNK], pa.int32()), "at": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([narrow(total[c + at])], pa.binary())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
         for at, n in zip(pdf["at"], pdf["n"]):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+            total[np.frombuffer(at, np.uint16)] += widened(n)
         at = np.flatnonzero(total)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "deal": 0, "at": [at.astype(np.uint16).tobytes()], "n": [total[at].tobytes()]})
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "deal": 0, "at": [at.astype(np.uint16).tobytes()], "n": [narrow(total[at])]})
 
     schema = "chunk int, deal int, at binary, n binary"
     rows = df.select(F.col(text).alias("text")).mapInArrow(count, "chunk int, at binary, n binary").withColumn("deal", F.spark_partition_id() % 64)
     sums = rows.groupBy("chunk", "deal").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
     out = np.zeros(CELLS, np.int64)
     for r in sums.toLocalIterator():
-        out[r["chunk"] * CHUNK + np.frombuffer(r["at"], np.uint16).astype(np.int64)] = np.frombuffer(r["n"], np.int64)
+        out[r["chunk"] * CHUNK + np.frombuffer(r["at"], np.uint16).astype(np.int64)] = widened(r["n"])
     return out
 
 
-def prefix(h: np.ndarray, table: np.ndarray, noise: float, least: int = LEAST, longest: int = LONGEST) -> tuple[int, np.ndarray]:
-    """l, and the first elements of a set in the global order that it asks for.
+def prefix(h: np.ndarray, table: np.ndarray, noise: float, least: int = LEAST, longest: int = LONGEST) -> tuple[int, np.ndarray, int]:
+    """l, the first elements of a set in the global order that it asks for, and the cell count of the last of them.
 
     A prefix of l is estimated to meet one document for each posting that its cells have above the noise. They must all be
     gone through, and a document that shares l of them is met l times, so at most an l-th is compared.
@@ -118,11 +129,12 @@ def prefix(h: np.ndarray, table: np.ndarray, noise: float, least: int = LEAST, l
     sizes = np.minimum(len(h) - shared + np.arange(1, min(longest, shared) + 1), len(h))
     met = np.cumsum(np.maximum(0.0, count[order[: sizes[-1]]] - 1 - noise))[sizes - 1]
     l = int(np.argmin(sizes + met + COMPARISON * met / np.arange(1, len(sizes) + 1))) + 1
-    return l, h[order[: sizes[l - 1]]]
+    first = order[: sizes[l - 1]]
+    return l, h[first], int(count[first[-1]])
 
 
 def prefixes(df: DataFrame, key: str, text: str, table: np.ndarray, words: int = WORDS, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """key, told (hash of the text), same (identity of the set, null of an empty one), size, l, prefix of every row."""
+    """key, told (hash of the text), same (identity of the set, null of an empty one), size, l, prefix, edge (the cell count of its last element) of every row."""
     noise = float(table.mean() + 2 * np.sqrt(table.mean()))
     held = df.sparkSession.sparkContext.broadcast(table)
     rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("told"), F.col(text).alias("text"))
@@ -131,27 +143,26 @@ def prefixes(df: DataFrame, key: str, text: str, table: np.ndarray, words: int =
         known, counts = Words(), held.value
         for b in batches:
             sets = [elements(t, known, words) for t in texts(b)]
-            found = [prefix(h, counts, noise, least, longest) if len(h) else (0, h) for h in sets]
+            found = [prefix(h, counts, noise, least, longest) if len(h) else (0, h, 0) for h in sets]
             yield pa.RecordBatch.from_pydict({
                 "key": b.column("key"), "told": b.column("told"), "same": pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary()), "size": pa.array([len(h) for h in sets], pa.int32()),
-                "l": pa.array([l for l, _ in found], pa.int32()), "prefix": pa.array([p.view(np.int64) for _, p in found], pa.list_(pa.int64())),
+                "l": pa.array([l for l, _, _ in found], pa.int32()), "prefix": pa.array([p.view(np.int64) for _, p, _ in found], pa.list_(pa.int64())), "edge": pa.array([e for *_, e in found], pa.int64()),
             })
 
-    return rows.mapInArrow(run, "key " + rows.schema["key"].dataType.simpleString() + ", told bigint, same binary, size int, l int, prefix array<bigint>")
+    return rows.mapInArrow(run, "key " + rows.schema["key"].dataType.simpleString() + ", told bigint, same binary, size int, l int, prefix array<bigint>, edge bigint")
 
 
 def sets_of(df: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """node, elements, l, first (its prefix, sorted) of the nodes (node, rep, told, l, prefix), from the row that stands for each."""
+    """node, elements of the nodes (node, rep, told), from the row that stands for each. Where that row is repeated, so is the node."""
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("text"))
     rows = rows.join(small(nodes), F.col("__key").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("told")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
-            first = [np.sort(p.values.to_numpy().view(np.uint64)).tobytes() for p in b.column("prefix")]
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "elements": pa.array([elements(t, known, words).tobytes() for t in texts(b)], pa.binary()), "l": b.column("l"), "first": pa.array(first, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "elements": pa.array([elements(t, known, words).tobytes() for t in texts(b)], pa.binary())})
 
-    return rows.select("node", "l", "prefix", "text").mapInArrow(run, "node bigint, elements binary, l int, first binary")
+    return rows.select("node", "text").mapInArrow(run, "node bigint, elements binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -170,78 +181,154 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     return 100 * both >= least * (low + high - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """The linked ones of pairs (a, b). a may recur any number of times: its set goes to as many places as hold FAN pairs each."""
+class Front:
+    """Sizes, l and prefixes of nodes, for the test by prefixes."""
+
+    def __init__(self, size: np.ndarray, l: np.ndarray, first: list[np.ndarray], edge: np.ndarray):
+        self.size, self.l, self.first, self.edge = size.astype(np.int64), l, first, edge
+        self.rest = self.size - np.array([len(x) for x in first], np.int64)
+        self.last = np.array([x[-1] for x in first], np.uint64)
+
+    def possible(self, i: int | np.ndarray, j: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+        """Which of the nodes i and j, whose prefixes share so many elements, may be linked.
+
+        All that two sets share up to the end of the prefix that ends first is in both prefixes; beyond it they share no
+        more than the set of that prefix has left.
+        """
+        n, m = self.size[i], self.size[j]
+        ends_first = (self.edge[i] < self.edge[j]) | ((self.edge[i] == self.edge[j]) & (self.last[i] <= self.last[j]))
+        most = shared + np.where(ends_first, self.rest[i], self.rest[j])
+        fits = 100 * np.minimum(n, m) >= least * np.maximum(n, m)
+        return fits & (shared >= np.minimum(self.l[i], self.l[j])) & ((100 + least) * most >= least * (n + m))
+
+
+def both_ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of side (node, ...) for each end, a_ and b_ before their names.
+
+    a may recur any number of times: its row goes to as many places as hold FAN pairs each.
+    """
+    names = [c for c in side.columns if c != "node"]
     fans = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans")), "fans", 0)
-    left = sets.join(fans, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("elements").alias("ea"), F.col("l").alias("la"), F.col("first").alias("fa"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("l").alias("lb"), F.col("first").alias("fb"))
-    wide = small(fans.filter("fans > 1"))
-    dealt = pairs.join(wide, "a", "left").withColumn("fan", F.coalesce(F.pmod(F.xxhash64("b"), F.col("fans")).cast("int"), F.lit(0))).drop("fans")
+    left = side.join(fans, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = side.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
+    dealt = pairs.join(small(fans.filter("fans > 1")), "a", "left").withColumn("fan", F.coalesce(F.pmod(F.xxhash64("b"), F.col("fans")).cast("int"), F.lit(0))).drop("fans")
+    return dealt.join(right, "b").join(left, ["a", "fan"]).drop("fan")
+
+
+def candidates(pairs: DataFrame, fronts: DataFrame, least: int = LEAST) -> DataFrame:
+    """The pairs (a, b) that may be linked by their prefixes; fronts: node, size, l, prefix, edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            first = [x.values.to_numpy().view(np.uint64) for c in ("a_prefix", "b_prefix") for x in b.column(c)]
+            front = Front(*(np.concatenate([b.column(f"{e}_{c}").to_numpy() for e in "ab"]) for c in ("size", "l")), first, np.concatenate([b.column(f"{e}_edge").to_numpy() for e in "ab"]))
+            shared = np.array([common(np.sort(x), np.sort(y)) for x, y in zip(first[:n], first[n:])], np.int64)
+            keep = front.possible(np.arange(n), np.arange(n, 2 * n), shared, least)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both_ends(pairs, fronts).select("a", "b", *[f"{e}_{c}" for e in "ab" for c in ("size", "l", "prefix", "edge")]).mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
+    """The linked ones of pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = lambda x: np.frombuffer(x.as_py(), np.uint64)
         for b in batches:
-            keep = []
-            for ea, la, fa, eb, lb, fb in zip(*(b.column(c) for c in ("ea", "la", "fa", "eb", "lb", "fb"))):
-                keep.append(common(array(fa), array(fb)) >= min(la.as_py(), lb.as_py()) and linked(array(ea), array(eb), least))
+            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least) for x, y in zip(b.column("a_elements"), b.column("b_elements"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.join(right, "b").join(left, ["a", "fan"]).select("a", "b", "ea", "la", "fa", "eb", "lb", "fb").mapInArrow(run, "a bigint, b bigint")
-
-
-def links_in_block(pdf: pd.DataFrame, least: int = LEAST) -> list[tuple[int, int]]:
-    """Links that join components among the nodes of a block pair of minhash.unresolved(), with the columns of sets_of()."""
-    side, node, here = pdf["side"].to_numpy(), pdf["node"].to_numpy(), int(pdf["band"].iloc[0])
-    alone = pdf["x"].iloc[0] == pdf["y"].iloc[0]
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["elements"]]
-    size, l = np.array(list(map(len, sets))), pdf["l"].to_numpy()
-    label = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
-    opened = [{x["band"] for x in own} for own in pdf["open"]]
-    # postings of the prefix shingles: rows of equal shingles are next to each other
-    first = [np.frombuffer(x, np.uint64) for x in pdf["first"]]
-    row = np.repeat(np.arange(len(node)), list(map(len, first)))
-    order = np.argsort(np.concatenate(first), kind="stable")
-    token, row = np.concatenate(first)[order], row[order]
-    out = []
-    for i in range(len(node)):
-        other = (np.arange(len(node)) > i) if alone else (side > side[i])
-        other &= (label != label[i]) & (100 * np.minimum(size, size[i]) >= least * np.maximum(size, size[i]))
+    return both_ends(pairs, sets).select("a", "b", "a_elements", "b_elements").mapInArrow(run, "a bigint, b bigint")
+
+
+class Block:
+    """The nodes of a block pair of minhash.unresolved(), with size, l, prefix and edge."""
+
+    def __init__(self, pdf: pd.DataFrame, least: int):
+        self.node, self.side, self.here, self.least = pdf["node"].to_numpy(), pdf["side"].to_numpy(), int(pdf["band"].iloc[0]), least
+        self.alone = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+        self.label = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+        self.opened = [{x["band"] for x in own} for own in pdf["open"]]
+        first = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["prefix"]]
+        self.front = Front(pdf["size"].to_numpy(), pdf["l"].to_numpy(), first, pdf["edge"].to_numpy())
+        # postings of the prefix shingles: rows of equal shingles are next to each other
+        row = np.repeat(np.arange(len(first)), list(map(len, first)))
+        order = np.argsort(np.concatenate(first), kind="stable")
+        self.token, self.row = np.concatenate(first)[order], row[order]
+
+    def partners(self, i: int) -> np.ndarray:
+        """Nodes of other components that may be linked with i, each pair once and in the first bucket that both have open."""
+        n = len(self.node)
+        other = (np.arange(n) > i) if self.alone else (self.side > self.side[i])
+        other &= self.label != self.label[i]
         if not other.any():
-            continue
-        a, z = np.searchsorted(token, first[i], "left"), np.searchsorted(token, first[i], "right")
-        met = np.concatenate([row[x:y] for x, y in zip(a, z)])
-        shared = np.bincount(met[other[met]], minlength=len(node))
-        for j in np.flatnonzero((shared >= np.minimum(l, l[i])) & (shared > 0)):
-            if label[i] != label[j] and min(opened[i] & opened[j]) == here and linked(sets[i], sets[j], least):
-                out.append((int(node[i]), int(node[j])))
-                label[label == label[j]] = label[i]
-    return out
+            return np.zeros(0, np.int64)
+        a, z = (np.searchsorted(self.token, self.front.first[i], side) for side in ("left", "right"))
+        met = np.concatenate([self.row[x:y] for x, y in zip(a, z)])
+        shared = np.bincount(met[other[met]], minlength=n)
+        j = np.flatnonzero(shared)
+        j = j[self.front.possible(i, j, shared[j], self.least)]
+        return np.array([k for k in j if min(self.opened[i] & self.opened[k]) == self.here], np.int64)
+
+    def touched(self) -> np.ndarray:
+        """The nodes that have a partner."""
+        out = np.zeros(len(self.node), bool)
+        for i in range(len(self.node)):
+            j = self.partners(i)
+            out[j] = True
+            out[i] |= len(j) > 0
+        return self.node[out]
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that join components."""
+        out = []
+        for i in range(len(self.node)):
+            for j in self.partners(i):
+                if self.label[i] != self.label[j] and linked(sets[i], sets[j], self.least):
+                    out.append((int(self.node[i]), int(self.node[j])))
+                    self.label[self.label == self.label[j]] = self.label[i]
+        return out
 
 
 def links(df: DataFrame, nodes: DataFrame, key: str, text: str, words: int, least: int, n: int) -> DataFrame:
-    """node, root of the nodes (node, rep, told, size, l, prefix) that are linked to another; n: the rows of df."""
+    """node, root of the nodes (node, rep, told, size, l, prefix, edge) that are linked to another; n: the rows of df."""
     postings = nodes.select("node", "size", F.explode("prefix").alias("band"))
-    hubs = postings.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("size").alias("low"), F.max("size").alias("high")).filter("n > 1")
+    # most prefix shingles are of one node, and go before anything else is asked of them
+    several = postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    met = staged(postings.join(several, "band", "left_semi"), "met", n)
+    hubs = met.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"))
     # buckets of the same nodes are one bucket
     hubs = staged(hubs.groupBy("hub", "n", "mark").agg(F.min("band").alias("band")).drop("mark"), "hubs", n)
-    members = staged(postings.join(small(hubs), "band"), "members", n)
-    near = 100 * F.least("size", "hub.size") >= least * F.greatest("size", "hub.size")
-    pairs = staged(members.filter(F.col("node") != F.col("hub.node")).filter(near).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs", n)
-    involved = staged(members.select("node").distinct().join(nodes.select("node", "rep", "told", "l", "prefix"), "node"), "involved", n)
-    sets = sets_of(df, involved, key, text, words)
-    sets = staged(sets.dropDuplicates(["node"]) if repeated(df.select(key)) else sets, "sets", n)
-    found = staged(verified(pairs, sets, least), "links", n)
+    members = staged(met.join(small(hubs), "band"), "members", n)
+    fits = 100 * F.least("size", "hub.size") >= least * F.greatest("size", "hub.size")
+    pairs = staged(members.filter(F.col("node") != F.col("hub.node")).filter(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs", n)
+    fronts = nodes.select("node", "size", "l", "prefix", "edge")
+    possible = staged(candidates(pairs, fronts, least), "candidates", n)
+    once = repeated(df.select(key))
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        sets = sets_of(df, wanted.join(nodes.select("node", "rep", "told"), "node"), key, text, words)
+        return staged(sets.dropDuplicates(["node"]) if once else sets, "sets", n)
+
+    sets = fetched(possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct())
+    found = staged(verified(possible, sets, least), "links", n)
     roots = staged(components(found), "roots", n)
-    release(hubs, pairs, involved)
+    release(met, hubs, pairs, possible)
+
+    def touched(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"band": key[0], "x": key[1], "y": key[2], "node": Block(pdf, least).touched()})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(links_in_block(pdf, least), columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(Block(pdf, least).links([np.frombuffer(x, np.uint64) for x in pdf["elements"]]), columns=["a", "b"]).astype("int64")
 
-    rest = unresolved(members.filter("n > 2").select("band", F.lit(0).alias("pos"), "node", "size"), roots, n)
-    more = staged(rest.join(sets, "node").groupBy("band", "x", "y").applyInPandas(run, "a bigint, b bigint"), "links", n)
+    rest = staged(unresolved(members.filter("n > 2").select("band", F.lit(0).alias("pos"), "node", "size"), roots, n), "dealt", n).join(fronts, "node")
+    seen = staged(rest.groupBy("band", "x", "y").applyInPandas(touched, "band bigint, x int, y int, node bigint"), "touched", n)
+    other = fetched(seen.select("node").distinct().join(sets.select("node"), "node", "left_anti"))
+    whole = rest.join(seen, ["band", "x", "y", "node"], "left_semi").join(sets.union(other), "node")
+    more = staged(whole.groupBy("band", "x", "y").applyInPandas(run, "a bigint, b bigint"), "links", n)
     if not more.isEmpty():
         roots = staged(components(found.union(more)), "roots", n)
-    release(members, sets, found, more)
+    release(members, sets, other, seen, found, more)
     return roots
 
 
@@ -258,8 +345,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     n = df.count()
     rows = staged(prefixes(df, key, text, frequencies(df, text, words), words, least, longest), "prefixes", n)
     order = F.struct(F.col("key").isNull(), F.col("key"), F.col("told"))
-    nodes = rows.filter("same is not null").groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "l", "prefix")])
-    nodes = staged(nodes.select("same", F.col("first.key").alias("rep"), F.col("first.told").alias("told"), "copies", "size", "l", "prefix").withColumn("node", F.monotonically_increasing_id()), "nodes", n)
+    nodes = rows.filter("same is not null").groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "l", "prefix", "edge")])
+    nodes = staged(nodes.select("same", F.col("first.key").alias("rep"), F.col("first.told").alias("told"), "copies", "size", "l", "prefix", "edge").withColumn("node", F.monotonically_increasing_id()), "nodes", n)
     roots = links(df, nodes, key, text, words, least, n)
     of = nodes.select("node", "same", "rep", "copies").join(roots, "node", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     named = staged(of.join(of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("same", "copies", "component_id"), "named", n)
