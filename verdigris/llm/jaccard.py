@@ -9,7 +9,7 @@ that it shares more. Of two documents, the smaller l holds.
    cell grows with the square root of the data only, so common shingles stand out at every size. Cell count and hash are
    the global order; any order gives the same links, this one keeps postings short.
 2. Equal sets are one node. A node's l is the one, of 1 to LONGEST, of the least estimated cost.
-3. The nodes of a prefix shingle are a bucket. Every member meets the bucket's smallest node: as many pairs as rows. A pair
+3. The nodes of like size that have a shingle in their shortest prefixes are a bucket. Every member meets the bucket's smallest node: as many pairs as rows. A pair
    is a candidate if sizes allow a link, the prefixes share the smaller l, and what they share, with all that may follow
    after the prefix that ends first, can still make a link. Only candidates' sets are fetched and compared exactly.
 4. Links make components. Buckets that still hold several are worked through in block pairs, in which the shared prefix
@@ -40,6 +40,8 @@ WORDS, LEAST = 3, 90
 CELLS, CHUNK = 1 << 21, 1 << 14
 #: Largest l; what one exact comparison costs, in postings.
 LONGEST, COMPARISON = 4, 8
+#: Width of a class of sizes, in steps of the largest ratio that links. Rows of block pairs that go to a task at once, about.
+STEPS, BATCH = 3, 512
 _SHIFT = np.uint64(64 - CELLS.bit_length() + 1)
 
 
@@ -189,6 +191,11 @@ class Front:
         self.rest = self.size - np.array([len(x) for x in first], np.int64)
         self.last = np.array([x[-1] for x in first], np.uint64)
 
+    def fits(self, i: int | np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+        """Which pairs are of sizes that allow a link."""
+        n, m = self.size[i], self.size[j]
+        return 100 * np.minimum(n, m) >= least * np.maximum(n, m)
+
     def possible(self, i: int | np.ndarray, j: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
         """Which of the nodes i and j, whose prefixes share so many elements, may be linked.
 
@@ -198,8 +205,7 @@ class Front:
         n, m = self.size[i], self.size[j]
         ends_first = (self.edge[i] < self.edge[j]) | ((self.edge[i] == self.edge[j]) & (self.last[i] <= self.last[j]))
         most = shared + np.where(ends_first, self.rest[i], self.rest[j])
-        fits = 100 * np.minimum(n, m) >= least * np.maximum(n, m)
-        return fits & (shared >= np.minimum(self.l[i], self.l[j])) & ((100 + least) * most >= least * (n + m))
+        return self.fits(i, j, least) & (shared >= np.minimum(self.l[i], self.l[j])) & ((100 + least) * most >= least * (n + m))
 
 
 def both_ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
@@ -242,25 +248,37 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame
 
 
 class Block:
-    """The nodes of a block pair of minhash.unresolved(), with size, l, prefix and edge."""
-
-    def __init__(self, pdf: pd.DataFrame, least: int):
-        self.node, self.side, self.here, self.least = pdf["node"].to_numpy(), pdf["side"].to_numpy(), int(pdf["band"].iloc[0]), least
-        self.alone = pdf["x"].iloc[0] == pdf["y"].iloc[0]
-        self.label = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
-        self.opened = [{x["band"] for x in own} for own in pdf["open"]]
-        first = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["prefix"]]
-        self.front = Front(pdf["size"].to_numpy(), pdf["l"].to_numpy(), first, pdf["edge"].to_numpy())
+    """The nodes of a block pair of minhash.unresolved(), with size, l, prefix and edge: arrays and lists by column."""
+
+    def __init__(self, of: dict, least: int):
+        self.node, self.side, self.here, self.least = of["node"], of["side"], of["band"][0], least
+        self.alone, self.opened = of["x"][0] == of["y"][0], of["open"]
+        self.label = np.unique(of["root"], return_inverse=True)[1]
+        first = [x.view(np.uint64) for x in of["prefix"]]
+        self.front = Front(of["size"], of["l"], first, of["edge"])
         # postings of the prefix shingles: rows of equal shingles are next to each other
         row = np.repeat(np.arange(len(first)), list(map(len, first)))
         order = np.argsort(np.concatenate(first), kind="stable")
         self.token, self.row = np.concatenate(first)[order], row[order]
 
+    @staticmethod
+    def of_table(pdf: pd.DataFrame, least: int) -> Iterator[tuple[Block, np.ndarray]]:
+        """The block pairs of a table of many, with the places of their rows; without those in which no sizes allow a link."""
+        order = np.lexsort((pdf["node"], pdf["y"], pdf["x"], pdf["band"]))
+        columns = {c: pdf[c].to_numpy()[order] for c in ("band", "x", "y", "node", "side", "root", "open", "size", "l", "prefix", "edge")}
+        new = np.zeros(len(pdf), bool)
+        for c in ("band", "x", "y"):
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        for a, z in zip(np.r_[0, np.flatnonzero(new)], np.r_[np.flatnonzero(new), len(pdf)]):
+            size = np.sort(columns["size"][a:z].astype(np.int64))
+            if (100 * size[:-1] >= least * size[1:]).any():
+                yield Block({c: x[a:z] for c, x in columns.items()}, least), order[a:z]
+
     def partners(self, i: int) -> np.ndarray:
         """Nodes of other components that may be linked with i, each pair once and in the first bucket that both have open."""
         n = len(self.node)
         other = (np.arange(n) > i) if self.alone else (self.side > self.side[i])
-        other &= self.label != self.label[i]
+        other &= (self.label != self.label[i]) & self.front.fits(i, np.arange(n), self.least)
         if not other.any():
             return np.zeros(0, np.int64)
         a, z = (np.searchsorted(self.token, self.front.first[i], side) for side in ("left", "right"))
@@ -268,16 +286,16 @@ class Block:
         shared = np.bincount(met[other[met]], minlength=n)
         j = np.flatnonzero(shared)
         j = j[self.front.possible(i, j, shared[j], self.least)]
-        return np.array([k for k in j if min(self.opened[i] & self.opened[k]) == self.here], np.int64)
+        return np.array([k for k in j if np.intersect1d(self.opened[i], self.opened[k])[0] == self.here], np.int64)
 
     def touched(self) -> np.ndarray:
-        """The nodes that have a partner."""
+        """Which nodes have a partner."""
         out = np.zeros(len(self.node), bool)
         for i in range(len(self.node)):
             j = self.partners(i)
             out[j] = True
             out[i] |= len(j) > 0
-        return self.node[out]
+        return out
 
     def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         """Links that join components."""
@@ -290,9 +308,24 @@ class Block:
         return out
 
 
+def buckets_of(nodes: DataFrame, least: int) -> DataFrame:
+    """node, size, band: the buckets of each node, one for each element of its shortest prefix and class of sizes.
+
+    Linked sets share an element of the prefixes for l = 1, as well. Of two linked sizes n <= m, m is n * 100 / least at
+    most; classes are a few such steps wide, and a node is in that of its size and in that of the largest size it may be
+    linked with, so linked nodes have the class of the larger in common.
+    """
+    step = float(np.log(100 / least)) * STEPS if least < 100 else 1.0
+    of = lambda size: F.floor(F.log(size) / step + 1e-9)
+    classes = F.array_distinct(F.array(of(F.col("size")), of(F.floor(F.col("size") * 100 / least))))
+    elements_ = F.slice("prefix", 1, F.col("size") - F.ceil(F.col("size") * least / 100).cast("int") + 1)
+    rows = nodes.select("node", "size", F.explode(classes).alias("class"), elements_.alias("own"))
+    return rows.select("node", "size", F.explode("own").alias("e"), "class").select("node", "size", F.xxhash64("e", "class").alias("band"))
+
+
 def links(df: DataFrame, nodes: DataFrame, key: str, text: str, words: int, least: int, n: int) -> DataFrame:
     """node, root of the nodes (node, rep, told, size, l, prefix, edge) that are linked to another; n: the rows of df."""
-    postings = nodes.select("node", "size", F.explode("prefix").alias("band"))
+    postings = buckets_of(nodes, least)
     # most prefix shingles are of one node, and go before anything else is asked of them
     several = postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     met = staged(postings.join(several, "band", "left_semi"), "met", n)
@@ -315,20 +348,26 @@ def links(df: DataFrame, nodes: DataFrame, key: str, text: str, words: int, leas
     roots = staged(components(found), "roots", n)
     release(met, hubs, pairs, possible)
 
-    def touched(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"band": key[0], "x": key[1], "y": key[2], "node": Block(pdf, least).touched()})
+    def touched(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = [at[block.touched()] for block, at in Block.of_table(pdf, least)]
+        return pdf.loc[pdf.index[np.concatenate(keep) if keep else []], ["band", "x", "y", "node"]]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(Block(pdf, least).links([np.frombuffer(x, np.uint64) for x in pdf["elements"]]), columns=["a", "b"]).astype("int64")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["elements"]]
+        out = [link for block, at in Block.of_table(pdf, least) for link in block.links([sets[i] for i in at])]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    rest = staged(unresolved(members.filter("n > 2").select("band", F.lit(0).alias("pos"), "node", "size"), roots, n), "dealt", n).join(fronts, "node")
-    seen = staged(rest.groupBy("band", "x", "y").applyInPandas(touched, "band bigint, x int, y int, node bigint"), "touched", n)
+    rest = staged(unresolved(members.filter("n > 2").select("band", F.lit(0).alias("pos"), "node", "size"), roots, n).withColumn("open", F.array_sort("open.band")), "dealt", n)
+    # most block pairs are small, and many of them go together
+    batch = F.pmod(F.xxhash64("band", "x", "y"), F.lit(max(1, rest.count() // BATCH))).alias("batch")
+    dealt = rest.join(fronts, "node")
+    seen = staged(dealt.groupBy(batch).applyInPandas(touched, "band bigint, x int, y int, node bigint"), "touched", n)
     other = fetched(seen.select("node").distinct().join(sets.select("node"), "node", "left_anti"))
-    whole = rest.join(seen, ["band", "x", "y", "node"], "left_semi").join(sets.union(other), "node")
-    more = staged(whole.groupBy("band", "x", "y").applyInPandas(run, "a bigint, b bigint"), "links", n)
+    whole = dealt.join(seen, ["band", "x", "y", "node"], "left_semi").join(sets.union(other), "node")
+    more = staged(whole.groupBy(batch).applyInPandas(run, "a bigint, b bigint"), "links", n)
     if not more.isEmpty():
         roots = staged(components(found.union(more)), "roots", n)
-    release(members, sets, other, seen, found, more)
+    release(members, sets, other, rest, seen, found, more)
     return roots
 
 
