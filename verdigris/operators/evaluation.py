@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.ordering import running
+
 
 def softmax(df: DataFrame, key: str = "vec_id", z: str = "z", name: str = "p", tau: float | Column = 1.0) -> DataFrame:
     """df with a probability for each class of a key."""
@@ -58,13 +60,15 @@ def summary(cells: DataFrame) -> DataFrame:
 def auroc(df: DataFrame, truth: str = "label", score: str = "z") -> DataFrame:
     """class, auroc of each class against the rest by rank sums, ties at their mean rank; null without both kinds.
 
-    Ranks come from counts of equal scores, so a hot score is one row, and are added up over the distinct ones.
+    Ranks come from counts of equal scores, added up over ranges of (class, score): neither a hot score nor a class is in
+    one task.
     """
     counts = df.groupBy("class", F.col(score).alias("s")).agg(F.sum((F.col(truth) == F.col("class")).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy("class").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
-    sums = ranked.groupBy("class").agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"))
-    return sums.select("class", ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0e0))).alias("auroc"))
+    ranked = running(counts, ["class", "s"], {"before": "n"})
+    # ranks are those of all classes, so each class's are less by what lies before its first
+    sums = ranked.groupBy("class").agg(F.sum((F.col("before") + (F.col("n") + 1) / 2) * F.col("pos")).alias("r"), F.min("before").alias("start"), F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"))
+    r = F.col("r") - F.col("start") * F.col("p")
+    return sums.select("class", ((r - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0e0))).alias("auroc"))
 
 
 def calibration_bins(df: DataFrame, bins: int = 10, conf: str = "conf", right: str = "right") -> DataFrame:

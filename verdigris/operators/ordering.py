@@ -68,3 +68,31 @@ def previous(df: DataFrame, key: str, order: str, value: str, name: str) -> Data
     before = last.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_tail"))  # a row for each range
     seen = rows.withColumns({"_first": F.row_number().over(w) == 1, "_lag": F.lag(value).over(w)}).join(F.broadcast(before), "_part", "left")
     return seen.select(*df.columns, F.when(~F.col("_first"), F.col("_lag")).when(F.col("_tail.k").eqNullSafe(F.col(key)), F.col("_tail.v")).alias(name))
+
+
+def quantiles(df: DataFrame, value: str, at: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, n and q0, q1, ... of each group: the exact quantiles of value at the given shares, between neighbours linear.
+
+    Equal values are one row, ranked by running(), so a group of any size is spread over all tasks; no buffer has a
+    group's values. Nulls count for nothing: a group of nulls only gives no row, a whole table of them one of nulls.
+    """
+    by = by or []
+    keys = [f"_k{i}" for i in range(len(by))] or ["_k"]
+    rows = df.select(*([F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_k")]), F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    ranked = running(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), [*keys, "_v"], {"_before": "_n"})
+    groups = ranked.groupBy(*keys).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all")).select(*[F.col(k).alias(f"{k}g") for k in keys], "_start", "_all")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}g"))
+    first = F.col("_before") - F.col("_start")
+    here = lambda r: F.max(F.when((first <= r) & (r < first + F.col("_n")), F.col("_v")))
+    place = lambda p: F.lit(p) * (F.col("_all") - 1)
+    ends = [x for i, p in enumerate(at) for x in (here(F.floor(place(p))).alias(f"_l{i}"), here(F.ceil(place(p))).alias(f"_h{i}"))]
+    got = ranked.join(groups, same).groupBy(*keys).agg(F.max("_all").alias("n"), *ends)
+    n = F.col("n") - 1
+    values = [(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (F.lit(p) * n - F.floor(F.lit(p) * n))).alias(f"q{i}") for i, p in enumerate(at)]
+    out = got.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n", *values)
+    if by:
+        return out
+    none = df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_zero"))
+    return none.join(out, F.lit(True), "left").select(F.coalesce("n", "_zero").alias("n"), *[f"q{i}" for i in range(len(at))])

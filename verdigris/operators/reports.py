@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.ordering import quantiles
+
 #: The order of support sizes in tables.
 SIZES = ("1", "2", "4", "8", "16", "full")
 
@@ -57,14 +59,22 @@ def pending(plan: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def examples(df: DataFrame, right: int = 3, wrong: int = 1, by: str = "label", conf: str = "conf", key: str = "vec_id") -> DataFrame:
-    """For each class the surest right rows and the surest wrong ones."""
-    w = Window.partitionBy(by, "right").orderBy(F.desc(conf), key)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.when(F.col("right"), right).otherwise(wrong)).drop("_n")
+    """For each class the surest right rows and the surest wrong ones.
+
+    The limits are literal, so each task keeps no more than those of a class before any row is shuffled.
+    """
+
+    def surest(rows: DataFrame, most: int) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(conf), key))).filter(F.col("_n") <= F.lit(most)).drop("_n")
+
+    return surest(df.filter(F.col("right")), right).unionByName(surest(df.filter(~F.col("right")), wrong))
 
 
 def described(df: DataFrame, value: str) -> DataFrame:
     """n, mean, std, lo, q25, q50, q75, hi; quartiles exact, between neighbours linear."""
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lo"), F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.5).alias("q50"), F.percentile(value, 0.75).alias("q75"), F.max(value).alias("hi"))
+    rest = df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75]).select("n", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    return rest.join(q, F.lit(True)).select("n", "mean", "std", "lo", "q25", "q50", "q75", "hi")  # a row each
 
 
 def winner(df: DataFrame, score: str, order: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ exact, no task holds more than two blocks, and no pair below the threshold ever
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators.graphs import written
+
 #: Rows of a block; rows of a reference side that every task may hold (a broadcast).
 BLOCK, SIDE = 4096, 100_000
 
@@ -23,11 +26,70 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def similar_pairs(df: DataFrame, same: float, other: float | None = None, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK, score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links [n, 2] that hold together what the symmetric matrix hit ties, one fewer than the rows of each component, and the components' numbers."""
+    label, links = np.full(len(hit), -1), []
+    for start in range(len(hit)):
+        if label[start] >= 0:
+            continue
+        label[start], front = start, [start]
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(hit[i] & (label < 0))
+            label[new] = start
+            links.append(np.stack([np.full(len(new), i), new], 1))
+            front.extend(new.tolist())
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64), label
+
+
+def bridging(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Links [n, 2] of rows and columns of hit that join the components that they have on either side, each once."""
+    names, at = np.unique(np.r_[left, right + len(left)], return_inverse=True)
+    root, links = np.arange(len(names)), []
+    left, right = at[: len(left)], at[len(left) :]
+    for i in np.flatnonzero(hit.any(1)):
+        to = np.flatnonzero(hit[i])
+        for j in to[np.unique(root[right[to]], return_index=True)[1]]:
+            if root[left[i]] != root[right[j]]:
+                links.append((i, j))
+                root[root == root[right[j]]] = root[left[i]]
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
+Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _links(left: pd.DataFrame, right: pd.DataFrame, alone: bool, same: float, other: float | None, score: Score, forest: bool) -> pd.DataFrame:
+    """a, b, cos, same_class of the pairs of two blocks (id, v, l), or within one if alone; with forest, only as many as
+    tie together what the pairs of the two and within each tie, and of those within a block none but alone."""
+    out = pd.DataFrame(columns=["a", "b", "cos", "same_class"])
+    if not len(left) or not len(right):
+        return out
+    x, y = _matrix(left["v"]), _matrix(right["v"])
+
+    def hits(p: np.ndarray, q: np.ndarray, of: pd.Series, to: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s, equal = score(p, q), of.to_numpy()[:, None] == to.to_numpy()[None, :]
+        return s, equal, ((s >= same) & equal) | ((s >= other) & ~equal if other is not None else False)
+
+    s, equal, hit = hits(x, y, left["l"], right["l"])
+    ids, jds = left["id"].to_numpy(), right["id"].to_numpy()
+    hit &= ids[:, None] != jds[None, :]
+    if not forest:
+        i, j = np.nonzero(hit & (ids[:, None] < jds[None, :]) if alone else hit)
+    elif alone:
+        i, j = spanning(hit)[0].T
+    else:
+        inner = [spanning(hits(m, m, side["l"], side["l"])[2])[1] if hit.any() else np.arange(len(m)) for m, side in ((x, left), (y, right))]
+        i, j = bridging(hit, *inner).T
+    return pd.DataFrame({"a": np.minimum(ids[i], jds[j]), "b": np.maximum(ids[i], jds[j]), "cos": s[i, j], "same_class": equal[i, j]})
+
+
+def similar_pairs(df: DataFrame, same: float, other: float | None = None, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK, score: Score | None = None, forest: bool = False) -> DataFrame:
     """a, b, cos, same_class of pairs a < b with a cosine of same or more in one class, other or more across (None: no such pairs).
 
     Vectors are taken as unit vectors: cos is their inner product, or what score gives of two matrices of vectors (a
-    symmetric similarity of any kind). Null vectors take no part.
+    symmetric similarity of any kind). Null vectors take no part. With forest, only pairs that hold together the same
+    components: fewer than two for a row, and one for two blocks of a group of copies.
     """
     score = score or (lambda a, b: a @ b.T)
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("l")).filter("id is not null and v is not null")
@@ -43,23 +105,117 @@ def similar_pairs(df: DataFrame, same: float, other: float | None = None, key: s
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         left = pdf[pdf["own"] == key[1]]
-        right = left if key[1] == key[2] else pdf[pdf["own"] == key[2]]
-        out = pd.DataFrame(columns=["a", "b", "cos", "same_class"])
-        if not len(left) or not len(right):
-            return out
-        s = score(_matrix(left["v"]), _matrix(right["v"]))
-        ids, jds = left["id"].to_numpy(), right["id"].to_numpy()
-        equal = left["l"].to_numpy()[:, None] == right["l"].to_numpy()[None, :]
-        hit = (s >= same) & equal
-        if other is not None:
-            hit |= (s >= other) & ~equal
-        hit &= (ids[:, None] < jds[None, :]) if key[1] == key[2] else (ids[:, None] != jds[None, :])
-        i, j = np.nonzero(hit)
-        return pd.DataFrame({"a": np.minimum(ids[i], jds[j]), "b": np.maximum(ids[i], jds[j]), "cos": s[i, j], "same_class": equal[i, j]})
+        return _links(left, left if key[1] == key[2] else pdf[pdf["own"] == key[2]], key[1] == key[2], same, other, score, forest)
 
     return dealt.groupBy("of", "x", "y").applyInPandas(multiply, "a bigint, b bigint, cos double, same_class boolean")
 
 
+@dataclass
+class Tables:
+    """Hash tables of sign projections: tables of bits signs each; a row asks at its own code and, of the bits whose
+    projections are smallest, at those with one of flips bits turned."""
+
+    tables: int
+    bits: int
+    flips: int
+    dim: int
+    seed: int = 0
+
+    def planes(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).normal(size=(self.dim, self.tables * self.bits))
+
+    def codes(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[rows, tables] own codes and [rows, tables, 1 + flips] codes asked for, the own first."""
+        p = (v @ self.planes()).reshape(len(v), self.tables, self.bits)
+        own = ((p > 0) << np.arange(self.bits)).sum(2)
+        weak = np.argsort(np.abs(p), axis=2, kind="stable")[:, :, : self.flips]
+        return own, np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << weak)], 2)
+
+    @classmethod
+    def plan(cls, rows: int, dim: int, least: float, recall: float, flips: int = 6, seed: int = 0) -> Tables:
+        """Bits by the number of rows, and as many tables as find a pair of cosine least with probability recall; measured
+        on pairs of random directions of exactly that cosine (the chance depends on the angle alone)."""
+        bits = int(np.clip(np.ceil(np.log2(max(rows, 2) / 16)), 4, 40))
+        flips = min(flips, bits)
+        rng = np.random.default_rng(seed + 1)
+        x = np.linalg.qr(rng.normal(size=(4096, max(dim, 2), 2)))[0]
+        a, b = x[:, :, 0], least * x[:, :, 0] + np.sqrt(max(0.0, 1 - least * least)) * x[:, :, 1]
+        one = cls(1, bits, flips, max(dim, 2), seed + 2)
+        found = np.mean((one.codes(a)[1][:, 0] == one.codes(b)[0]).any(1) | (one.codes(b)[1][:, 0] == one.codes(a)[0]).any(1))
+        found = max(float(found) - 2 * np.sqrt(found * (1 - found) / 4096), 1e-4)
+        return cls(max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - found)))) if found < 1 else 1, bits, flips, dim, seed)
+
+
+#: Rows that a task works through together where buckets are smaller.
+BATCH = 4096
+
+
+def hashed_pairs(df: DataFrame, same: float, other: float | None = None, recall: float = 0.999, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK, tables: Tables | None = None, forest: bool = False) -> DataFrame:
+    """The pairs of similar_pairs(), each with a probability of recall or more; none that similar_pairs() does not give.
+
+    Rows are kept in hash tables of sign projections under their code, and asked for under it and a few codes near it, so
+    what is shuffled grows with the rows and not with their square: rows times tables times (1 + flips). Within a bucket
+    cosines are exact. A bucket of more than block rows is dealt in block pairs. Worth its tables where same and other
+    are high (0.8 and more); low thresholds need as many tables as similar_pairs() has blocks. Copies of one vector and
+    class are one row in the tables; without forest all their pairs are given, with it one link each.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l")).filter("id is not null and v is not null")
+    one = written(rows.groupBy("v", "l").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
+    size = one.agg(F.count("*"), F.max(F.size("v"))).first()
+    empty = rows.sparkSession.createDataFrame([], "a bigint, b bigint, cos double, same_class boolean")
+    if not size[0]:
+        return empty
+    t = tables or Tables.plan(size[0], size[1], min(x for x in (same, other) if x is not None), recall)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = 1 + t.flips
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                c = b.slice(a, 256)
+                v = np.stack(c.column("v").to_numpy(zero_copy_only=False))
+                codes = t.codes(v)[1] + (np.arange(t.tables) << t.bits)[None, :, None]
+                at = pa.array(np.repeat(np.arange(c.num_rows), t.tables * ask))
+                own = np.tile(np.arange(ask) == 0, c.num_rows * t.tables)
+                yield pa.RecordBatch.from_pydict({n: c.column(n).take(at) for n in ("id", "v", "l")} | {"code": pa.array(codes.reshape(-1)), "home": pa.array(own)})
+
+    told = written(one.select("id", "v", "l").mapInArrow(hashed, "id bigint, v array<double>, l string, code bigint, home boolean"), "hashed")
+    bucket = F.xxhash64("code", "l") if other is None else F.col("code")
+    told = told.withColumn("bucket", bucket)
+    counts = told.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).filter("n > 1 and homes > 0").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("n"))
+    kept = told.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
+    dealt = kept.withColumn("at", F.explode(blocks)).select("bucket", "id", "v", "l", "home", "own", "at.x", "at.y")
+    batch = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(max(1, size[0] * t.tables * (1 + t.flips) // BATCH)))
+    score = lambda a, b: a @ b.T
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "x", "y", "own", "id"])
+        place = pdf[["bucket", "x", "y"]].to_numpy()
+        cuts = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1, len(pdf)]
+        out = []
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            part = pdf.iloc[a:z]
+            x, y = part["x"].iloc[0], part["y"].iloc[0]
+            left = part[part["own"] == x]
+            out.append(_links(left, left if x == y else part[part["own"] == y], x == y, same, other, score, forest))
+        return pd.concat([o for o in out if len(o)] or [pd.DataFrame(columns=["a", "b", "cos", "same_class"])])
+
+    found = dealt.groupBy(batch.alias("batch")).applyInPandas(multiply, "a bigint, b bigint, cos double, same_class boolean").dropDuplicates(["a", "b"])
+    copies = rows.join(one.filter("n > 1").select(F.col("id").alias("first"), F.col("v").alias("_v"), F.col("l").alias("_l")), (F.col("v") == F.col("_v")) & F.col("l").eqNullSafe(F.col("_l")))
+    norm = F.aggregate("v", F.lit(0e0), lambda s, x: s + x * x)
+    if forest:
+        own = copies.filter(F.col("first") != F.col("id")).filter(norm >= same)
+        return found.unionByName(own.select(F.col("first").alias("a"), F.col("id").alias("b"), norm.alias("cos"), F.lit(True).alias("same_class")))
+    copies = written(copies.select("first", "id", norm.alias("norm")), "copies")
+    ends = found
+    for end in ("a", "b"):  # each end once for each of its copies
+        all_of = copies.select(F.col("first").alias(end), F.col("id").alias("_as"))
+        ends = ends.join(all_of, end, "left").withColumn(end, F.coalesce("_as", end)).drop("_as")
+    ends = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos", "same_class")
+    within = copies.filter(F.col("norm") >= same).alias("x").join(copies.alias("y"), (F.col("x.first") == F.col("y.first")) & (F.col("x.id") < F.col("y.id")))
+    return ends.unionByName(within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.norm").alias("cos"), F.lit(True).alias("same_class")))
+
+
 def close_hashes(df: DataFrame, most: int, key: str = "vec_id", high: str = "high", low: str = "low", label: str = "label", bands: int | None = None) -> DataFrame:
     """a, b, bits: pairs a < b of one class whose 64-bit hashes differ in at most most bits.
 

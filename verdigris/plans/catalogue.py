@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import vec
-from verdigris.operators import classifiers, curation, evaluation, graphmethods, graphnet, graphs, regions, reports, sampling, similarity, splits
+from verdigris.operators import classifiers, curation, evaluation, graphmethods, graphnet, graphs, linkage, ordering, probe, regions, reports, sampling, similarity, splits
 from verdigris.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,12 +203,36 @@ def cosine_pairs_two_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(table(spark, sf_dir, "embeddings"), SAME, OTHER).select("a", "b", F.round("cos", 4).alias("cos"), "same_class")
 
 
+VIEWS = "vw AS (SELECT vec_id * 3 id, embedding::DOUBLE[] e, label FROM embeddings UNION ALL SELECT vec_id * 3 + k, list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), lambda x: x[1] + s * x[2]), label FROM embeddings, (VALUES (1, 0.3e0), (2, -0.3e0)) t(k, s)), u AS (SELECT id, label, " + unit_sql("e") + " e FROM vw)"
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, embedding, label: each item, and two altered views of it, as near copies."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), "label")
+    mixed = F.array(*[F.struct(F.lit(k).alias("k"), vec.normalized(vec.plus(F.col("e"), F.reverse("e"), w) if w else F.col("e")).alias("v")) for k, w in enumerate((0.0, 0.3, -0.3))])
+    return e.select("vec_id", "label", F.explode(mixed).alias("m")).select((F.col("vec_id") * 3 + F.col("m.k")).alias("vec_id"), F.col("m.v").alias("embedding"), "label")
+
+
+@query("WITH " + VIEWS + " SELECT x.id a, y.id b, round(list_inner_product(x.e, y.e), 4) cos, x.label IS NOT DISTINCT FROM y.label same_class FROM u x JOIN u y ON x.id < y.id WHERE list_inner_product(x.e, y.e) >= 0.8e0")
+def hashed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all items and views of them by hash tables, each with a probability of 0.99999 or more."""
+    return similarity.hashed_pairs(views(spark, sf_dir), 0.8, 0.8, recall=0.99999).select("a", "b", F.round("cos", 4).alias("cos"), "same_class")
+
+
+@query("WITH RECURSIVE " + VIEWS + ", t AS (SELECT x.id a, y.id b FROM u x JOIN u y ON x.id <> y.id WHERE list_inner_product(x.e, y.e) >= 0.8e0), reach AS (SELECT id node, id root FROM u UNION SELECT t.b, reach.root FROM reach JOIN t ON t.a = reach.node) SELECT node, min(root) root FROM reach GROUP BY node")
+def hashed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies: components of the few links that hold them together."""
+    v = views(spark, sf_dir)
+    return graphs.components(similarity.hashed_pairs(v, 0.8, 0.8, recall=0.99999, forest=True), v.select(F.col("vec_id").alias("node")))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(table(spark, sf_dir, "embeddings"), SAME, OTHER)
 
 
 def component_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.components(edges(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node")))
+    links = similarity.similar_pairs(table(spark, sf_dir, "embeddings"), SAME, OTHER, forest=True)
+    return graphs.components(links, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node")))
 
 
 @query(COMPONENTS + " SELECT node, root FROM comp")
@@ -247,9 +271,15 @@ def audit_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.audit(table(spark, sf_dir, "documents").withColumn("m", F.md5(F.col("text").cast("binary"))), "lang", "m", "source")
 
 
+@query()
+def linkage_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of linkage_clusters, with no class in one task."""
+    return linkage.linkage_in_rounds(table(spark, sf_dir, "embeddings"), SAME)
+
+
 @query()
 def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.linkage_clusters(table(spark, sf_dir, "embeddings"), SAME)
+    return linkage.clusters(table(spark, sf_dir, "embeddings"), SAME)
 
 
 @query()
@@ -328,6 +358,14 @@ def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.softmax(zero_shot_scores(spark, sf_dir)).select("vec_id", "class", r6("z"), r6("p"))
 
 
+@query()
+def probe_whole_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear probe with all pool rows as support, a fifth of them held out for the penalty; classes of all test rows."""
+    split = splits.stratified(pool(spark, sf_dir), 0.8, "probe")
+    w, c = probe.fit_tuned(split.filter("split = 'pool'"), split.filter("split = 'test'"), 10)
+    return probe.predict(tests(spark, sf_dir), w).select("vec_id", "pred", r6("conf"), F.lit(c).alias("c"))
+
+
 @query("WITH " + CACHE + " SELECT vec_id, class, round(z, 6) z FROM zc")
 def cache_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cache_scores(tests(spark, sf_dir), support_rows(spark, sf_dir)).select("vec_id", "class", r6("z"))
@@ -508,7 +546,8 @@ def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos, neg = similarity.nearest(t, p.filter("label < 5")), similarity.nearest(t, p.filter("label >= 5")).withColumnRenamed("cos", "neg")
     m = labelled(pos.join(neg.select("vec_id", "neg"), "vec_id"), spark, sf_dir).select((F.col("label") < 5).alias("pos"), (F.col("cos") - F.col("neg")).alias("m"))
     shares = (10, 30, 50, 70, 90)
-    levels = m.agg(F.percentile("m", [x / 100 for x in shares])).first()[0]
+    m = graphs.written(m, "margins")
+    levels = ordering.quantiles(m, "m", [x / 100 for x in shares]).drop("n").first()
     options = m.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("pct"), F.lit(v).alias("t")) for i, v in zip(shares, levels)])))
     hit = F.col("m") >= F.col("o.t")
     s = options.groupBy("o.pct", "o.t").agg(F.count_if(F.col("pos") & hit).alias("tp"), F.count_if(~F.col("pos") & hit).alias("fp"), F.count_if(F.col("pos") & ~hit).alias("fn"), F.count_if(~F.col("pos") & ~hit).alias("tn"))
@@ -579,8 +618,8 @@ def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(quantile_cont(value, 0.05), 6) q05, round(quantile_cont(value, 0.5), 6) q50, round(quantile_cont(value, 0.95), 6) q95, round(quantile_cont(value, 0.99), 6) q99 FROM events")
 def quantiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p, n: F.round(F.percentile("value", p), 6).alias(n)
-    return table(spark, sf_dir, "events").agg(q(0.05, "q05"), q(0.5, "q50"), q(0.95, "q95"), q(0.99, "q99"))
+    got = ordering.quantiles(table(spark, sf_dir, "events"), "value", [0.05, 0.5, 0.95, 0.99])
+    return got.select(*[r6(f"q{i}", n) for i, n in enumerate(("q05", "q50", "q95", "q99"))])
 
 
 @query("SELECT count(value) n, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, round(min(value), 6) lo, round(quantile_cont(value, 0.25), 6) q25, round(quantile_cont(value, 0.5), 6) q50, round(quantile_cont(value, 0.75), 6) q75, round(max(value), 6) hi FROM events")
@@ -623,7 +662,7 @@ def familiarity_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearness to the support set, and whether it reaches the fifth percentile of validation."""
     s = support(spark, sf_dir)
     valid = pool(spark, sf_dir).join(s.select("vec_id"), "vec_id", "left_anti")
-    limit = similarity.nearest(valid, s).agg(F.percentile("cos", 0.05)).first()[0]
+    limit = ordering.quantiles(similarity.nearest(valid, s), "cos", [0.05]).first()["q0"]
     return similarity.nearest(tests(spark, sf_dir), s).select("vec_id", r6("cos", "familiarity"), (F.col("cos") >= F.lit(limit)).alias("familiar"))
 
 
@@ -753,7 +792,10 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) median, count(*) n FROM events GROUP BY 1")
 def timing_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.count("*").alias("n"))
+    events = table(spark, sf_dir, "events")
+    medians = ordering.quantiles(events, "value", [0.5], ["event_type"]).select(F.col("event_type").alias("_e"), r6("q0", "median"))
+    counts = events.groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.join(medians, F.col("event_type").eqNullSafe(F.col("_e")), "left").select("event_type", "median", "n")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) n, round(avg(l_quantity), 6) mean, round(stddev_samp(l_quantity), 6) std, round(avg((l_discount >= 0.05)::INT), 6) share FROM lineitem GROUP BY ALL")
