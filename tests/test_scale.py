@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from verdigris.operators import evaluation, graphs, linkage, ordering, probe, reports, similarity
+from verdigris.operators import communities, evaluation, graphs, linkage, ordering, probe, regions, reports, similarity, splits
 from verdigris.plans import catalogue
 
 ITEMS = "vec_id bigint, embedding array<double>, label int"
@@ -215,3 +215,75 @@ def test_classes_beyond_a_task_go_in_rounds(spark):
 def test_linkage_queries_agree(spark):
     one, two = (catalogue.QUERIES[q](spark, DATA).toPandas().sort_values("vec_id") for q in ("linkage_clusters", "linkage_in_rounds"))
     assert (one[["label", "vec_id", "cluster"]].to_numpy() == two[["label", "vec_id", "cluster"]].to_numpy()).all()
+
+
+# ---- communities
+def modularity(of, edges):
+    total, degree, mass = sum(w for *_, w in edges), {}, {}
+    for a, b, w in edges:
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+    for n, k in degree.items():
+        mass[of[n]] = mass.get(of[n], 0) + k
+    return sum(w for a, b, w in edges if of[a] == of[b]) / total - sum((m / (2 * total)) ** 2 for m in mass.values())
+
+
+def test_communities_in_rounds(spark):
+    """As good as one node after the other, within one in a hundred; classes apart, nodes without edges alone, pieces whole."""
+    rng = np.random.default_rng(11)
+    edges = {}
+    for label, (n, inside) in enumerate(((60, 0.5), (90, 0.3))):
+        for a in range(n):
+            for b in range(a):
+                if rng.random() < (inside if a % 5 == b % 5 else 0.03):
+                    edges[label * 1000 + b, label * 1000 + a] = float(rng.integers(1, 4))
+    rows = [(a // 1000, a, b, w / 2) for (a, b), w in edges.items()] + [(a // 1000, b, a, w / 2) for (a, b), w in edges.items()] + [(0, 5, 5, 9.0)]
+    nodes = [(0, i) for i in range(60)] + [(1, 1000 + i) for i in range(90)] + [(None, 5000), (0, 70)]
+    n, e = spark.createDataFrame(nodes, "label int, node bigint"), spark.createDataFrame(rows, "label int, a bigint, b bigint, weight double").repartition(3)
+    got = communities.communities_in_rounds(n, e).toPandas()
+    assert len(got) == len(nodes) and got[got.node == 5000].community.tolist() == [0]
+    for label, low, high in ((0, 0, 60), (1, 1000, 1090)):
+        own = got[got.label == label].set_index("node").community.to_dict()
+        mine = [(a, b, w) for (a, b), w in edges.items() if low <= a < high]
+        plain = graphs.louvain(list(range(low, high)), mine)
+        assert modularity(own, mine) >= 0.99 * modularity(plain, mine)
+        assert sorted(set(own.values())) == list(range(len(set(own.values()))))
+        assert list(dict.fromkeys(own[k] for k in sorted(own))) == sorted(set(own.values()))
+    large = communities.communities(n, e, most=70).toPandas()
+    assert len(large) == len(nodes) and len(large[large.label == 1].community.unique()) < 30
+
+
+# ---- trials, range joins
+def test_best_assignment_of_many_groups(spark):
+    """More groups and counts than any task holds as a rule, against the sums of whole trials."""
+    rng = np.random.default_rng(12)
+    rows = [(f"g{int(g)}", int(l)) for g, l in zip(rng.integers(0, 300, 4000), rng.integers(0, 4, 4000))] + [(None, 1), ("g1", None)]
+    df = spark.createDataFrame(rows, "grp string, label int").repartition(9)
+    got = {r.grp: r for r in splits.best_assignment(df, 0.3, "grp", tries=150).collect()}
+    names = sorted({g for g, l in rows if g and l is not None})
+    m = np.array([[sum(1 for r in rows if r == (g, c)) for c in range(4)] for g in names], float)
+    target, best = m.sum(0) * 0.3, None
+    for t in range(150):
+        mask = splits.chosen(t, names)
+        error = np.abs(mask @ m / target - 1).max()
+        if not (mask @ m > target * 1.25).any() and (best is None or error < best[0]):
+            best = (error, mask)
+    assert [got[g].in_pool for g in names] == best[1].tolist() and got["g1"].error == pytest.approx(best[0])
+    assert not any(r.in_pool for r in splits.best_assignment(df, 1e-9, "grp", tries=5).collect())
+
+
+@pytest.mark.parametrize("dense", [20_000, 7])
+def test_points_in_boxes(spark, dense):
+    """Boxes of all sizes, points on edges and at one place, negative ones, nulls and numbers that are none."""
+    rng = np.random.default_rng(13)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.normal(0, 20, (300, 2)), 1))] + [(1000 + i, 1.0, 1.0) for i in range(60)]
+    boxes = []
+    for i in range(120):
+        x, y, w, h = *np.round(rng.normal(0, 20, 2), 1), *np.round(rng.choice([0.0, 0.1, 1.0, 8.0, 64.0, 900.0], 2) * rng.random(2), 1)
+        boxes.append((i, float(x), float(y), float(x + w), float(y + h)))
+    boxes += [(500, 1.0, 1.0, 1.0, 1.0), (501, 2.0, 0.0, 1.0, 9.0)]
+    odd_points, odd_boxes = [(None, 1.0, 1.0), (9, None, 1.0), (10, float("nan"), 1.0), (11, float("inf"), 1.0)], [(None, 0.0, 0.0, 9.0, 9.0), (600, 0.0, None, 9.0, 9.0), (601, float("nan"), 0.0, 9.0, 9.0), (602, 0.0, 0.0, float("inf"), 9.0)]
+    p = spark.createDataFrame(points + odd_points, "point int, x double, y double")
+    b = spark.createDataFrame(boxes + odd_boxes, "box int, x0 double, y0 double, x1 double, y1 double")
+    want = sorted((i, j) for i, x, y in points for j, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1)
+    assert sorted(map(tuple, regions.points_in_boxes(p, b, dense=dense).collect())) == want and len(want) > 1000
+    assert regions.points_in_boxes(p.limit(0), b).collect() == [] and regions.points_in_boxes(p, b.limit(0)).collect() == []

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.graphs import written
 from verdigris.operators.joins import common_values, spread_join
 from verdigris.operators.ordering import first_by_hash
 from verdigris.operators.similarity import linked
@@ -90,34 +91,47 @@ def chosen(trial: int, groups: list, seed: str = "") -> np.ndarray:
     return np.array([uniform(f"{seed}in|{trial}|{g}") < share for g in groups], bool)
 
 
-def best_assignment(df: DataFrame, share: float, group: str, label: str = "label", tries: int = 20_000, tolerance: float = 1.25, seed: str = "", most: int = 100_000) -> DataFrame:
+def best_assignment(df: DataFrame, share: float, group: str, label: str = "label", tries: int = 20_000, tolerance: float = 1.25, seed: str = "") -> DataFrame:
     """group, in_pool, error: of drawn subsets of the groups, the one whose class totals come relatively nearest to a share of all.
 
     Subsets that exceed a class's target tolerance times are out; the first of equal ones stays. error is its largest
-    relative error (null, and no group in the pool, if every subset was out). Trials are dealt over the tasks, which
-    hold a count for each group and class; more than most groups are refused.
+    relative error (null, and no group in the pool, if every subset was out). Groups, of any number, are dealt over the
+    tasks; each adds up what every trial draws of its own, a number for each trial and class, and Spark adds up those.
+    Rows without a group or label do not count.
     """
     spark = df.sparkSession
-    counts = df.groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count("*").alias("n")).limit(most * 100 + 1).toPandas()
-    wide = counts.pivot(index="g", columns="l", values="n").fillna(0).sort_index()
-    if len(wide) > most:
-        raise ValueError(f"more than {most} groups")
-    names, m = wide.index.tolist(), wide.to_numpy(float)
-    target = np.maximum(m.sum(0) * share, 1e-9)
+    counts = written(df.groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count("*").alias("n")).filter("g is not null and l is not null"), "counts")
+    target = counts.groupBy("l").agg(F.greatest(F.sum("n") * F.lit(share), F.lit(1e-9)).alias("target"))
+    classes = target.count()
 
     def run(pdfs):
+        total: dict = {}
         for pdf in pdfs:
-            rows = []
-            for t in pdf["id"]:
-                got = chosen(t, names, seed) @ m
-                if not (got > target * tolerance).any():
-                    rows.append((t, float(np.abs(got / target - 1).max())))
-            yield pd.DataFrame(rows, columns=["trial", "error"])
-
-    best = spark.range(tries).mapInPandas(run, "trial bigint, error double").orderBy("error", "trial").first()
-    mask = chosen(best["trial"], names, seed) if best else np.zeros(len(names), bool)
-    kind = df.schema[group].dataType.simpleString()
-    return spark.createDataFrame([(g, bool(x), best["error"] if best else None) for g, x in zip(names, mask)], f"{group} {kind}, in_pool boolean, error double")
+            names, at = np.unique(pdf["g"], return_inverse=True)
+            wide = pd.DataFrame({"at": at, "l": pdf["l"], "n": pdf["n"]}).pivot(index="at", columns="l", values="n").fillna(0)
+            m = wide.to_numpy(float)
+            got = np.stack([chosen(t, names.tolist(), seed) @ m for t in range(tries)]) if tries else np.zeros((0, m.shape[1]))
+            for i, l in enumerate(wide.columns):
+                total[l] = total.get(l, 0) + got[:, i]
+        for l, got in total.items():
+            t = np.flatnonzero(got)
+            yield pd.DataFrame({"trial": t, "l": l, "n": got[t]})
+
+    kind = {c: counts.schema[c].dataType.simpleString() for c in ("g", "l")}
+    drawn = counts.mapInPandas(run, f"trial bigint, l {kind['l']}, n double").groupBy("trial", "l").agg(F.sum("n").alias("n")).join(target, "l")
+    ratio = F.col("n") / F.col("target")
+    errors = drawn.groupBy("trial").agg(F.max(F.abs(ratio - 1)).alias("error"), F.count("*").alias("seen"), F.max(F.col("n") > F.col("target") * tolerance).alias("out"))
+    # a class of which a trial has nothing is off by its whole target
+    each = spark.range(tries).withColumnRenamed("id", "trial").join(errors, "trial", "left").filter(~F.coalesce("out", F.lit(False)))
+    each = each.select("trial", F.when(F.coalesce("seen", F.lit(0)) < classes, F.greatest(F.coalesce("error", F.lit(0e0)), F.lit(1e0))).otherwise(F.col("error")).alias("error"))
+    best = each.orderBy("error", "trial").first() if classes else None
+
+    def mark(pdfs):
+        for pdf in pdfs:
+            yield pdf.assign(in_pool=chosen(best["trial"], pdf["g"].tolist(), seed) if best else False)
+
+    groups = counts.select("g").distinct().mapInPandas(mark, f"g {kind['g']}, in_pool boolean")
+    return groups.select(F.col("g").alias(group), "in_pool", F.lit(best["error"] if best else None).cast("double").alias("error"))
 
 
 def violations(pool: DataFrame, test: DataFrame, group: str, label: str = "label") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import vec
-from verdigris.operators import classifiers, curation, evaluation, graphmethods, graphnet, graphs, linkage, ordering, probe, regions, reports, sampling, similarity, splits
+from verdigris.operators import classifiers, communities, curation, evaluation, graphmethods, graphnet, graphs, linkage, ordering, probe, regions, reports, sampling, similarity, splits
 from verdigris.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,8 +285,18 @@ def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
-    e = similarity.similar_pairs(df, 0.25).join(df.select(F.col("vec_id").alias("a"), "label"), "a").select("label", "a", "b", F.col("cos").alias("weight"))
-    return graphs.communities(df.select("label", F.col("vec_id").alias("node")), e)
+    return communities.communities(df.select("label", F.col("vec_id").alias("node")), class_edges(df))
+
+
+def class_edges(df: DataFrame) -> DataFrame:
+    return similarity.similar_pairs(df, 0.25).join(df.select(F.col("vec_id").alias("a"), "label"), "a").select("label", "a", "b", F.col("cos").alias("weight"))
+
+
+@query()
+def louvain_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of each class by moves that do not touch each other, with no class in one task."""
+    df = table(spark, sf_dir, "embeddings")
+    return communities.communities_in_rounds(df.select("label", F.col("vec_id").alias("node")), class_edges(df))
 
 
 @query()

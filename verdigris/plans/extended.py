@@ -267,6 +267,16 @@ def best_group_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("grp", "in_pool", r6("error"))
 
 
+# ---- points of one table in boxes of another
+@query("WITH p AS (SELECT o_orderkey point, o_totalprice / 1000 x, (o_custkey % 1000)::DOUBLE y FROM orders), b AS (SELECT p_partkey box, p_retailprice % 500 x0, (p_partkey * 7 % 1000)::DOUBLE y0, p_size s FROM part) SELECT point, box FROM p JOIN b ON x >= x0 AND x <= x0 + s / 5e0 AND y >= y0 AND y <= y0 + s")
+def spots_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a spot (price and customer), every part as a box of its price, number and size."""
+    spots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point"), (F.col("o_totalprice") / 1000).alias("x"), (F.col("o_custkey") % 1000).alias("y"))
+    x0, y0 = F.col("p_retailprice") % 500, (F.col("p_partkey") * 7 % 1000).cast("double")
+    boxes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("box"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("p_size") / F.lit(5e0)).alias("x1"), (y0 + F.col("p_size")).alias("y1"))
+    return regions.points_in_boxes(spots, boxes)
+
+
 # ---- winners and formatted reports
 @query("WITH " + GRID.replace(", cn AS", ", valid AS (SELECT * FROM pool WHERE vec_id NOT IN (SELECT vec_id FROM sup)), cn AS") + ", w AS (SELECT unnest([0.5e0, 2e0, 8e0]) a), f AS (SELECT zc.vec_id, zc.label, class, a, b, 100 * list_inner_product(q.e, t) + a * zc.z z FROM zc JOIN valid q USING (vec_id) JOIN texts USING (class), w), p AS (SELECT a, b, label, class pred FROM f QUALIFY row_number() OVER (PARTITION BY vec_id, a, b ORDER BY z DESC, class) = 1), g AS (SELECT a, b, round(avg((label = pred)::INT), 6) acc FROM p GROUP BY ALL) SELECT a, b, acc FROM g ORDER BY acc DESC, a, b LIMIT 1")
 def grid_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
