@@ -287,3 +287,15 @@ def test_points_in_boxes(spark, dense):
     want = sorted((i, j) for i, x, y in points for j, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1)
     assert sorted(map(tuple, regions.points_in_boxes(p, b, dense=dense).collect())) == want and len(want) > 1000
     assert regions.points_in_boxes(p.limit(0), b).collect() == [] and regions.points_in_boxes(p, b.limit(0)).collect() == []
+
+
+def test_independent_set_of_long_chains(spark):
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").alias("early"), (F.col("id") + 1).alias("late"))
+    spent = []
+    lost = {r["node"]: r["twin"] for r in graphs._in_prefixes(graphs.written(chain), 1000, spent).collect()}
+    assert lost == {i: i - 1 for i in range(1, n + 1, 2)} and len(spent) <= 40, spent
+    # a node with more earlier neighbours than a task takes, and one that all others lose to
+    star = spark.createDataFrame([(i, 500) for i in range(500)] + [(0, i) for i in range(501, 900)] + [(500, 900), (499, 901)], "early bigint, late bigint")
+    lost = {r["node"]: r["twin"] for r in graphs._in_prefixes(graphs.written(star), 40).collect()}
+    assert lost == {500: 0, **{i: 0 for i in range(501, 900)}, 901: 499}

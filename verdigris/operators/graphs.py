@@ -105,46 +105,64 @@ def _in_order(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(list(lost), np.int64), np.array(list(lost.values()), np.int64)
 
 
-def _in_rounds(pairs: DataFrame) -> DataFrame:
-    """node, twin of the nodes that are lost, of components of any size: each round decides every node whose earlier
-    neighbours are all decided, so there are as many rounds as the longest decreasing chain."""
-    touched = pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct()
-    kept = written(touched.join(pairs.select(F.col("late").alias("node")), "node", "left_anti").select("node"))
-    gone = written(pairs.join(kept.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct())
-    while True:
-        decided = kept.union(gone)
-        open_nodes = touched.join(decided, "node", "left_anti")
-        if open_nodes.isEmpty():
-            break
-        waits = pairs.join(open_nodes.select(F.col("node").alias("late")), "late", "left_semi").join(gone.select(F.col("node").alias("early")), "early", "left_anti")
-        more = written(open_nodes.join(waits.select(F.col("late").alias("node")), "node", "left_anti").select("node"))
-        hit = pairs.join(more.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct()
-        gone = gone.union(written(hit.join(decided, "node", "left_anti")))
-        kept = kept.union(more)
-    twins = pairs.join(kept.select(F.col("node").alias("early")), "early", "left_semi").groupBy(F.col("late").alias("node")).agg(F.min("early").alias("twin"))
-    return twins.join(gone, "node", "left_semi")
+def _in_prefixes(pairs: DataFrame, most: int, spent: list[int] | None = None) -> DataFrame:
+    """node, twin of the nodes that are lost, of components of any size, by beginnings of the order.
+
+    A round takes the open edges of the first late ends, about most of them at first and twice as many after each round
+    that went well. What they hold together is decided piece by piece, a piece of up to 2 most edges in one task in
+    order; nodes beyond that lose to a kept one close with it. Of larger pieces, only nodes without an earlier open
+    neighbour are decided, and the next beginning is half as long. So rounds follow the logarithm of the edges, or the
+    edges of one piece by most, and not the longest chain. spent takes the open edges before each round.
+    """
+    room, now, lost = most, pairs, None
+    while n := now.count():
+        if spent is not None:
+            spent.append(n)
+        cut = None if room >= n else now.agg(F.percentile_approx("late", room / n, max(10_000, 10 * n // room))).first()[0]
+        first = now if cut is None else now.filter(F.col("late") <= cut)
+        roots = written(components(first.select(F.col("early").alias("a"), F.col("late").alias("b"))))
+        pieces = written(first.join(roots.select(F.col("node").alias("early"), "root"), "early"), "pieces")
+        big = pieces.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * most).select("root")
+        waits = written(roots.join(big, "root", "left_semi").select("node"))
+        done = pieces.join(big, "root", "left_anti").groupBy("root").applyInPandas(_decided, "node bigint, twin bigint").select("node")
+        # kept: what no piece decided against, what begins a large piece, and what no open edge of this beginning touches
+        nodes = now.select(F.col("early").alias("node")).union(now.select("late")).distinct()
+        begins = now.select(F.col("early").alias("node")).distinct().join(now.select(F.col("late").alias("node")), "node", "left_anti")
+        here = nodes if cut is None else nodes.filter(F.col("node") <= cut)
+        done = written(done)
+        kept = written(here.join(waits, "node", "left_anti").join(done, "node", "left_anti").union(begins).distinct())
+        hit = now.join(kept.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node"))
+        gone = written(done.union(hit).distinct())
+        lost = gone if lost is None else lost.union(gone)
+        over = kept.union(gone)
+        now = now.join(over.select(F.col("node").alias("early")), "early", "left_anti").join(over.select(F.col("node").alias("late")), "late", "left_anti")
+        now = written(now.select("early", "late"), rows=n)
+        room = 2 * room if waits.isEmpty() else max(most, room // 2)
+    stays = pairs.join(lost.select(F.col("node").alias("early")), "early", "left_anti")
+    return stays.groupBy(F.col("late").alias("node")).agg(F.min("early").alias("twin")).join(lost, "node", "left_semi")
+
+
+def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
+    """_in_order of one piece's rows (early, late)."""
+    node, twin = _in_order(pdf[["early", "late"]].to_numpy(np.int64))
+    return pd.DataFrame({"node": node, "twin": twin})
 
 
 def first_independent_set(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """node, kept, twin of nodes taken in order, each kept unless an earlier kept node is its neighbour (twin: the first such).
 
-    Components of at most most edges are each decided in one task, in order; larger ones in rounds over all tasks.
+    Components of at most most edges are each decided in one task, in order; larger ones by beginnings of the order, over all tasks.
     """
     pairs = written(edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).filter("early <> late").distinct())
     roots = written(components(pairs.select(F.col("early").alias("a"), F.col("late").alias("b"))))
     labelled = pairs.join(roots.select(F.col("node").alias("early"), "root"), "early")
     large = labelled.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("root")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, twin = _in_order(pdf[["early", "late"]].to_numpy(np.int64))
-        return pd.DataFrame({"node": node, "twin": twin})
-
     # many components share a task; none that is large
-    lost = labelled.join(large, "root", "left_anti").groupBy("root").applyInPandas(run, "node bigint, twin bigint")
+    lost = labelled.join(large, "root", "left_anti").groupBy("root").applyInPandas(_decided, "node bigint, twin bigint")
     rest = written(labelled.join(large, "root", "left_semi").select("early", "late"))
     lost = written(lost)
     if not rest.isEmpty():
-        lost = lost.unionByName(_in_rounds(rest))
+        lost = lost.unionByName(_in_prefixes(rest, max(1, most)))
     return nodes.select("node").join(lost, "node", "left").select("node", F.col("twin").isNull().alias("kept"), "twin")
 
 
