@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions import vec
+from verdigris.functions import tables, vec
 from verdigris.operators import classifiers, curation, evaluation, graphmethods, graphs, regions, reports, sampling, similarity, splits
 from verdigris.operators.gradients import Var
 from verdigris.plans import catalogue
@@ -459,6 +459,23 @@ def resumed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.resumed(docs, at, make(2), "doc_id", batch=60)
 
 
+# ---- table functions, called from SQL
+@query(catalogue.ORACLES["nms"])
+def nms_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppression as a table function over the boxes of all items, partitioned by item."""
+    tables.register(spark)
+    rows = boxes(spark, sf_dir).select(F.col("vec_id").alias("item"), F.posexplode("boxes").alias("k", "b")).select("item", "k", "b.*")
+    return spark.sql("SELECT item vec_id, count(*)::INT n, round(max(score), 6) best FROM suppressed(TABLE(SELECT * FROM {rows}) PARTITION BY item) GROUP BY item", rows=rows)
+
+
+@query("WITH e AS (SELECT vec_id, 300 + (vec_id % 400) w, 200 + (vec_id % 90) h FROM embeddings), x AS (SELECT vec_id, w, h, greatest(0, floor((w - 224) / 112)) + 1 nx, greatest(0, floor((h - 224) / 112)) + 1 ny FROM e), t AS (SELECT vec_id, w, h, nx, c, r FROM x, range(8) a(c), range(8) b(r) WHERE c < nx AND r < ny) SELECT vec_id, (r * nx + c)::INT place, round(least(1, c * 112 / w), 6) x0, round(least(1, (r * 112 + 224) / h), 6) y1 FROM t")
+def tiles_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of items of differing sizes from a table function."""
+    tables.register(spark)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), (300 + F.col("vec_id") % 400).alias("width"), (200 + F.col("vec_id") % 90).alias("height"))
+    return spark.sql("SELECT item vec_id, place, round(x0, 6) x0, round(y1, 6) y1 FROM tiles(TABLE(SELECT * FROM {rows}), 224, 112)", rows=rows)
+
+
 # ---- streams, run until what is there has been read
 def drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """What a stream has given once all that is there is read, as a table."""
