@@ -205,6 +205,18 @@ def test_close_hashes(spark):
     assert {(r["a"], r["b"], r["bits"]) for r in got} == {(a[0], b[0], bits(a, b)) for a, b in itertools.combinations(rows, 2) if bits(a, b) <= 6}
 
 
+@pytest.mark.parametrize("crowd", [3, 5_000])
+def test_close_hashes_of_copies_and_crowds(spark, crowd):
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, int(rng.integers(0, 64)), i % 2) for i in range(150)] + [(200 + i, 7, 7, 0) for i in range(20)] + [(300, None, 0, 0), (301, 0, None, 0), (302, 0, 0, None), (None, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, high bigint, low bigint, label int")
+    got = similarity.close_hashes(df.withColumn("own", F.lit(1)), 2, crowd=crowd).collect()
+    bits = lambda a, b: bin(a[1] ^ b[1]).count("1") + bin(a[2] ^ b[2]).count("1")
+    want = sorted((a[0], b[0], bits(a, b)) for a, b in itertools.combinations(rows[:170], 2) if a[3] == b[3] and bits(a, b) <= 2)
+    assert sorted((r["a"], r["b"], r["bits"]) for r in got) == want
+    assert similarity.close_hashes(df.filter("false"), 2, crowd=crowd).count() == 0
+
+
 def test_nearest_of_nothing(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
     assert similarity.nearest(q, q.filter("false")).first()["near_id"] is None

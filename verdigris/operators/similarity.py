@@ -216,17 +216,11 @@ def hashed_pairs(df: DataFrame, same: float, other: float | None = None, recall:
     return ends.unionByName(within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.norm").alias("cos"), F.lit(True).alias("same_class")))
 
 
-def close_hashes(df: DataFrame, most: int, key: str = "vec_id", high: str = "high", low: str = "low", label: str = "label", bands: int | None = None) -> DataFrame:
-    """a, b, bits: pairs a < b of one class whose 64-bit hashes differ in at most most bits.
-
-    Hashes within most bits agree in one of most + 1 bands at least, so equal bands (and the class) are join keys
-    and nothing is lost; a pair is kept in the first band it shares only.
-    """
-    bands = bands or most + 1
+def hash_bands(high: str, low: str, bands: int) -> list[Column]:
+    """The bands of a 64-bit hash (two numbers of 32 bits) as text; band i has the bits round(64 i / bands) and on, low ones first."""
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
 
-    def band(i: int) -> Column:
-        a, z = edges[i], edges[i + 1]
+    def band(a: int, z: int) -> Column:
         parts = []
         for name, start in ((low, 0), (high, 32)):
             x, y = max(a, start) - start, min(z, start + 32) - start
@@ -234,13 +228,42 @@ def close_hashes(df: DataFrame, most: int, key: str = "vec_id", high: str = "hig
                 parts.append(F.shiftright(F.col(name), x).bitwiseAND(F.lit((1 << (y - x)) - 1)))
         return F.concat_ws(":", *[p.cast("string") for p in parts])
 
-    rows = df.select(F.col(key).alias("id"), F.col(label).alias("l"), F.col(high).alias("h"), F.col(low).alias("w"), F.array(*map(band, range(bands))).alias("bands"))
-    one = rows.select("id", "l", "h", "w", "bands", F.posexplode("bands").alias("n", "band"))
-    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
-    same = (F.col("l") == F.col("l2")) & (F.col("n") == F.col("n2")) & (F.col("band") == F.col("band2")) & (F.col("id") < F.col("id2"))
+    return [band(a, z) for a, z in zip(edges, edges[1:])]
+
+
+#: Different hashes of a class and band value that meet in one task at most, about.
+CROWD = 5_000
+
+
+def close_hashes(df: DataFrame, most: int, key: str = "vec_id", high: str = "high", low: str = "low", label: str = "label", bands: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """a, b, bits: pairs a < b of one class whose 64-bit hashes differ in at most most bits.
+
+    Hashes within most bits agree in one of most + 1 bands at least, so equal bands (and the class) are join keys
+    and nothing is lost; a pair is kept in the first band it shares only. Equal hashes of a class are one entry in the
+    bands, joined with the rows that have them afterwards. A band value of more than crowd different hashes is cut into
+    parts by their hash, and every two parts meet in a task of their own. Rows with a null are in no pair.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(label).alias("l"), F.col(high).alias("h"), F.col(low).alias("w")).dropna()
+    entries = rows.groupBy("l", "h", "w").agg(F.count("*").alias("m"), F.min("id").alias("of"))
+    one = entries.withColumn("bands", F.array(*hash_bands("h", "w", bands or most + 1))).select("*", F.posexplode("bands").alias("n", "band"))
+    at = ["l", "n", "band"]
+    crowded = one.groupBy(*at).agg(F.ceil(F.count("*") / crowd).cast("int").alias("parts")).filter("parts > 1")
+    one = one.join(crowded, at, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h", "w"), F.col("parts").cast("bigint")).cast("int"))
+    # a part is on the left of itself and of those after it, on the right of itself and of those before it
+    left = one.withColumn("to", F.explode(F.sequence("own", F.col("parts") - 1)))
+    right = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns]).withColumn("from", F.explode(F.sequence(F.lit(0), "own2")))
+    same = (F.col("l") == F.col("l2")) & (F.col("n") == F.col("n2")) & (F.col("band") == F.col("band2")) & (F.col("own") == F.col("from")) & (F.col("to") == F.col("own2"))
+    once = (F.col("own") < F.col("own2")) | (F.col("of") < F.col("of2"))
     bits = F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))) + F.bit_count(F.col("w").bitwiseXOR(F.col("w2")))
     first = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) - 1
-    return one.join(two, same).filter(bits <= most).filter(first == F.col("n")).select(F.col("id").alias("a"), F.col("id2").alias("b"), bits.alias("bits"))
+    near = left.join(right, same).filter(once & (bits <= most) & (first == F.col("n"))).select("l", "h", "w", "h2", "w2", bits.alias("bits"))
+    # entries of several rows are near themselves
+    itself = entries.filter("m > 1").select("l", "h", "w", F.col("h").alias("h2"), F.col("w").alias("w2"), F.lit(0).alias("bits"))
+    a = rows.withColumnRenamed("id", "a")
+    b = rows.select(F.col("l"), F.col("h").alias("h2"), F.col("w").alias("w2"), F.col("id").alias("b"))
+    both = near.withColumn("own", F.lit(False)).union(itself.withColumn("own", F.lit(True))).join(a, ["l", "h", "w"]).join(b, ["l", "h2", "w2"])
+    both = both.filter(~F.col("own") | (F.col("a") < F.col("b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
 
 
 def held(df: DataFrame, *columns: str, most: int = SIDE) -> pd.DataFrame:

@@ -3,6 +3,8 @@ cleaning chain, winners and formatted reports, tiles, and what is written and re
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +15,8 @@ from verdigris.operators import classifiers, curation, evaluation, graphmethods,
 from verdigris.operators.gradients import Var
 from verdigris.plans import catalogue
 from verdigris.plans.catalogue import BOXES, CACHE, DIM, GRID, ITEMS, METRICS, OTHER, PAIRS, PROBS, RUNS, SAME, TEXTS, boxes, edges, labelled, pool, query, r6, run_log, support, support_rows, support_sql, table, tests, texts, unit_sql
-from verdigris.sources import domains, encoders, models, readers
-from verdigris.streaming import logs
+from verdigris.sources import domains, encoders, formats, models, readers
+from verdigris.streaming import arrivals, logs
 
 LETTERS = encoders.Letters()
 
@@ -459,6 +461,30 @@ def resumed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.resumed(docs, at, make(2), "doc_id", batch=60)
 
 
+# ---- data sources
+@query("WITH " + RUNS + " SELECT method, K, count(*) n, round(sum(score), 4) acc, count(DISTINCT seed) seeds FROM runs WHERE method IS NOT NULL GROUP BY ALL")
+def run_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs appended to a log by two appends at once, as two drivers would, and read back by format."""
+    at = graphs.workspace(spark, "log")
+    log = run_log(spark, sf_dir).select("method", "K", F.col("seed").cast("int").alias("seed"), F.col("score").alias("acc"), "run_id")
+    with ThreadPoolExecutor(2) as both:
+        list(both.map(lambda rest: formats.append_runs(log.filter(F.pmod("run_id", F.lit(2)) == rest).drop("run_id"), at), (0, 1)))
+    back = spark.read.format("run_log").load(at)
+    return back.groupBy("method", "K").agg(F.count("*").alias("n"), F.round(F.sum("acc"), 4).alias("acc"), F.countDistinct("seed").alias("seeds"))
+
+
+@query("SELECT 'p' || l_orderkey AS path, count(*) n, round(sum(l_quantity), 6) total FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1")
+def ground_truth_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all line items written as text and read by format, the label's filter pushed to the lines; boxes of a path added up."""
+    at = graphs.workspace(spark, "lines")
+    fields = [F.concat(F.lit("p"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"), F.lit("0"), F.lit("1"), F.lit("1")]
+    table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", *fields)).write.text(at)
+    formats.register(spark)
+    got = spark.read.format("ground_truth").load(at).filter(F.col("label").isin(1, 2))
+    total = F.aggregate("boxes", F.lit(0e0), lambda s, b: s + b[0])
+    return got.groupBy("path").agg(F.sum(F.size("boxes")).alias("n"), F.round(F.sum(total), 6).alias("total"))
+
+
 # ---- table functions, called from SQL
 @query(catalogue.ORACLES["nms"])
 def nms_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,3 +540,14 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs.check_arrivals(stream, pool(spark, sf_dir), SAME, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint").awaitTermination()
     found = spark.read.schema("vec_id bigint, near_id bigint, cos double").parquet(f"{at}/out")
     return found.select("vec_id", "near_id", r6("cos"))
+
+
+@query("WITH RECURSIVE " + hash_pairs_sql(4)[5:].split(" SELECT a, b, bits")[0] + ", e AS (SELECT a, b FROM p WHERE bits <= 4), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a node, a root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b) SELECT node vec_id, least(node, min(root)) root FROM r GROUP BY node")
+def stream_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving rows, file by file, whose hash differs in at most four bits from that of another arrival of their class, and the smallest row that each hangs together with."""
+    at = graphs.workspace(spark, "arrivals")
+    rows = hashes(spark, sf_dir).select("vec_id", "label", "high", "low", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("vec_id"), F.lit(600))).alias("ts"))
+    rows.repartition(3).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    found = drained(arrivals.links(stream, 4), spark)
+    return graphs.components(found.select(F.col("late").alias("a"), F.col("early").alias("b"))).select(F.col("node").alias("vec_id"), "root")

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.operators import classifiers, evaluation, reports
-from verdigris.sources import readers
+from verdigris.sources import formats, readers
 
 #: Support sizes with the whole pool last; seeds.
 SIZES, SEEDS = (1, 2, 4, 8, 16), (1, 2, 3)
@@ -25,7 +25,7 @@ def run(todo: DataFrame, log: str, make: Callable[[str], classifiers.Method], dr
     """Runs of todo that the log (a folder of JSON lines) lacks; how many were made.
 
     draw(size, seed) gives support and validation. Each finished run is appended at once, so that a stopped grid goes
-    on where it was. With failed, a run that raises is reported and the grid goes on. Runs go through so many lanes at
+    on where it was; other drivers may append to the log at the same time. With failed, a run that raises is reported and the grid goes on. Runs go through so many lanes at
     once, each a thread with a scheduler pool of its own, so that one lane's fit does not wait for another's jobs.
     """
     spark = todo.sparkSession
@@ -49,11 +49,9 @@ def run(todo: DataFrame, log: str, make: Callable[[str], classifiers.Method], dr
                 raise
             failed(f"{r['method']} {r['K']} {r['seed']}", e)
             return 0
-        with appending:
-            readers.append_runs(spark.createDataFrame([row], "method string, variant string, K string, seed int, n_support int, fit_s double, acc double, macro_f1 double"), log)
+        formats.append_runs(spark.createDataFrame([row], "method string, variant string, K string, seed int, n_support int, fit_s double, acc double, macro_f1 double"), log)
         return 1
 
-    appending = threading.Lock()
     rows = todo.orderBy("method", "variant", reports.size_rank(), "seed").collect()  # a plan is small: methods x sizes x seeds
     if lanes <= 1:
         return sum(map(one, rows))

@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The fields of the run log.
-RUN_LOG = "method string, K string, seed int, n_support int, fit_s double, acc double, macro_f1 double, params bigint, layers int, ab_train array<double>, key_cos_to_start double, best_epoch int, alpha double, beta double, val_macro_f1 double, a2 double, b2 double, variant string, epochs int, hardware string"
+from verdigris.sources import formats
+from verdigris.sources.formats import RUN_LOG
+
 FEATURES = "path string, vec array<float>, backbone string, mode string"
 PREDICTIONS = "path string, probs array<float>, method string, K string, seed int"
 ITEMS = "path string, label int, class_name string, md5 string, group int"
@@ -66,8 +67,12 @@ def name_parts(name: Column, pattern: str, names: list[str]) -> list[Column]:
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log of one JSON object a line, under the fixed schema: missing fields are null, whole numbers are doubles where they may be either."""
-    return spark.read.schema(RUN_LOG).json(path)
+    """A log of one JSON object a line, under the fixed schema: missing fields are null, whole numbers are doubles where they
+    may be either. A log that formats.append_runs added to is read by its format."""
+    if not exists(spark, f"{path}/{formats.COMMITS}"):
+        return spark.read.schema(RUN_LOG).json(path)
+    formats.register(spark)
+    return spark.read.format("run_log").load(path)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
