@@ -179,3 +179,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_split_follows_a_rewritten_table(spark, tmp_path):
+    rows = lambda n: pd.DataFrame({"vec_id": range(n), "embedding": [[1.0, 0.0]] * n, "label": 0})
+    rows(20).to_parquet(tmp_path / "embeddings.parquet")
+    first = catalogue.items(spark, str(tmp_path))
+    assert first.count() == 20 and catalogue.items(spark, str(tmp_path)) is first
+    rows(35).to_parquet(tmp_path / "embeddings.parquet")
+    assert catalogue.items(spark, str(tmp_path)).count() == 35

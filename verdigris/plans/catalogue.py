@@ -42,10 +42,11 @@ _made: dict[tuple, object] = {}
 
 
 def once(fn: Callable) -> Callable:
-    """A loader that is worked out once for a session and the files of a folder, and kept; again if what it wrote is gone."""
+    """A loader that is worked out once for a session and the files of a folder, and kept; again if what it wrote is gone or
+    the table was written anew: its files' names, and the length and time of what is at its path, are part of the key."""
 
     def load(spark: SparkSession, sf_dir: str):
-        at = (fn.__name__, spark.sparkContext.applicationId, sf_dir, *table(spark, sf_dir, "embeddings").inputFiles())
+        at = (fn.__name__, spark.sparkContext.applicationId, sf_dir, *readers.stamp(spark, f"{sf_dir}/embeddings.parquet"), *table(spark, sf_dir, "embeddings").inputFiles())
         path = getattr(_made.get(at), "written_at", None)
         if at not in _made or (path and not readers.exists(spark, path)):
             _made[at] = fn(spark, sf_dir)

@@ -39,10 +39,10 @@ def encode_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("path").cast("bigint").alias("doc_id"), F.round(F.col("vec")[4].cast("double"), 5).alias("e"), F.round(F.col("vec")[19].cast("double"), 5).alias("t"), F.size("vec").alias("dim"))
 
 
-@query("WITH d AS (SELECT doc_id, lower(text) t FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 0), g AS (SELECT range::INT cell, range // 3 r, range % 3 c FROM range(9)), y AS (SELECT doc_id, cell, c, substr(t, 1 + floor(r / 3 * len(t))::BIGINT, floor((r + 1) / 3 * len(t))::BIGINT - floor(r / 3 * len(t))::BIGINT) t FROM d, g), x AS (SELECT doc_id, cell, substr(t, 1 + floor(c / 3 * len(t))::BIGINT, floor((c + 1) / 3 * len(t))::BIGINT - floor(c / 3 * len(t))::BIGINT) t FROM y), v AS (SELECT doc_id, cell, " + letters_sql("t") + " v FROM x) SELECT doc_id, cell, round(v[1]::FLOAT::DOUBLE, 5) a, round(v[5]::FLOAT::DOUBLE, 5) e FROM v")
+@query("WITH d AS (SELECT doc_id, lower(text) t FROM documents WHERE text IS NOT NULL), g AS (SELECT range::INT cell, range // 3 r, range % 3 c FROM range(9)), y AS (SELECT doc_id, cell, c, substr(t, 1 + floor(r / 3 * len(t))::BIGINT, floor((r + 1) / 3 * len(t))::BIGINT - floor(r / 3 * len(t))::BIGINT) t FROM d, g), x AS (SELECT doc_id, cell, substr(t, 1 + floor(c / 3 * len(t))::BIGINT, floor((c + 1) / 3 * len(t))::BIGINT - floor(c / 3 * len(t))::BIGINT) t FROM y), v AS (SELECT doc_id, cell, " + letters_sql("t") + " v FROM x) SELECT doc_id, cell, round(v[1]::FLOAT::DOUBLE, 5) a, round(v[5]::FLOAT::DOUBLE, 5) e FROM v")
 def encode_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nine cells of a sample of documents, each encoded on its own."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id % 50 = 0").select("doc_id", "text")
+    """The nine cells of each document, each encoded on its own."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
     got = encoders.encoded(docs, LETTERS, encoders.grid_cells(3), "grid", "doc_id", "text")
     cells = got.select(F.col("path").cast("bigint").alias("doc_id"), F.posexplode("vecs").alias("cell", "v"))
     return cells.select("doc_id", "cell", F.round(F.col("v")[0].cast("double"), 5).alias("a"), F.round(F.col("v")[4].cast("double"), 5).alias("e"))
@@ -320,13 +320,13 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(text.splitlines())), "n int, line string")
 
 
-@query("WITH " + RUNS + " SELECT method, K, count(*) n, round(sum(score), 4) acc, count(DISTINCT seed) seeds FROM runs WHERE run_id % 10 = 0 GROUP BY ALL")
+@query("WITH " + RUNS + " SELECT method, K, count(*) n, round(sum(score), 4) acc, count(DISTINCT seed) seeds FROM runs GROUP BY ALL")
 def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs appended to a log of JSON lines in two goes and read back under its schema."""
     at = graphs.workspace(spark, "log")
-    log = run_log(spark, sf_dir).filter("run_id % 10 = 0").select("method", "K", F.col("seed").cast("int").alias("seed"), F.col("score").alias("acc"), "run_id")
+    log = run_log(spark, sf_dir).select("method", "K", F.col("seed").cast("int").alias("seed"), F.col("score").alias("acc"), "run_id")
     for rest in (0, 1):
-        readers.append_runs(log.filter(F.col("run_id") / 10 % 2 == rest).drop("run_id"), at)
+        readers.append_runs(log.filter(F.pmod("run_id", F.lit(2)) == rest).drop("run_id"), at)
     back = readers.run_log(spark, at)
     return back.groupBy("method", "K").agg(F.count("*").alias("n"), F.round(F.sum("acc"), 4).alias("acc"), F.countDistinct("seed").alias("seeds"))
 
@@ -365,10 +365,10 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.splits(spark, at, "support", "4", 1).select("vec_id", "label")
 
 
-@query("SELECT vec_id, array_to_string(list_transform(range(10), lambda c: (c = label)::INT), '') one_hot, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END kind FROM embeddings WHERE vec_id % 10 = 0")
+@query("SELECT vec_id, array_to_string(list_transform(range(10), lambda c: (c = label)::INT), '') one_hot, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END kind FROM embeddings")
 def one_hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-hot labels, and the kind of a node: 1 for the object's, 2 for the rest."""
-    df = table(spark, sf_dir, "embeddings").filter("vec_id % 10 = 0")
+    df = table(spark, sf_dir, "embeddings")
     return df.select("vec_id", F.array_join(vec.one_hot(F.col("label"), 10).cast("array<string>"), "").alias("one_hot"), F.when(F.col("vec_id") % 4 == 0, 1).otherwise(2).alias("kind"))
 
 

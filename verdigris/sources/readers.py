@@ -122,6 +122,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Length and modification time of a file or folder."""
+    files, where = _file(spark, path)
+    status = files.getFileStatus(where)
+    return status.getLen(), status.getModificationTime()
+
+
 def text_of(spark: SparkSession, path: str) -> str | None:
     """The text of a small file, or None if it is not there."""
     return "\n".join(r[0] for r in spark.read.text(path).coalesce(1).collect()) if exists(spark, path) else None
