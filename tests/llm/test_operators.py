@@ -310,6 +310,41 @@ def test_neighbours_of_copies_and_clusters(spark):
     assert np.mean([len(set(g.vec_id) & set(want[q])) / 10 for q, g in got.groupby("query_id")]) >= 0.9
 
 
+def test_neighbours_beyond_a_scan(spark):
+    """On clustered vectors the index finds nine tenths with fewer than a quarter of a scan's products, the walk among centroids counted."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 32))
+    x = (centres[rng.integers(0, 300, 20_000)] + rng.normal(size=(20_000, 32)) * 0.4).astype(np.float32)
+    x[1000:1010] = x[0]  # repeated rows, and so ties
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": [r.tolist() for r in x]}), "vec_id bigint, embedding array<float>")
+    got = ann.search(df, k=20, step=50).toPandas()
+    want = brute_neighbours(list(range(len(x))), x.astype(float), 50, 20)
+    by = {q: g.sort_values("rank") for q, g in got.groupby("query_id")}
+    assert set(by) == set(want) and all(g["rank"].tolist() == list(range(1, 21)) for g in by.values())
+    recall = np.mean([len(set(by[q].vec_id) & set(w)) / 20 for q, w in want.items()])
+    each = got.drop_duplicates("query_id")
+    print(f"recall {recall:.3f}, lists asked {each.asked.mean():.1f}, centroids met {each.visited.mean():.1f}, products {each.products.mean():.1f} of {len(x)}")
+    assert recall >= 0.9 and (each.visited + each.products).mean() < len(x) / 4
+    assert by[0].vec_id.head(10).tolist() == list(range(1000, 1010)) and by[1000].vec_id.head(10).tolist() == [0, *range(1001, 1010)]
+
+
+@pytest.mark.parametrize("lists", [1, 40, 700])
+def test_walks_among_centroids(lists):
+    """A walk for all centroids has them all in order; one for a few finds nearly all of them and holds no more than its beam."""
+    rng = np.random.default_rng(lists)
+    centres = rng.normal(size=(60, 16)) * 2
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.5
+    index = ann.train(x, float(np.linalg.norm(x, axis=1).max()), lists)
+    q = index.aimed(x[:50])
+    d = ((q[:, None, :] - index.centroids) ** 2).sum(2)
+    near, cost, met = index.search(q, lists)
+    assert np.allclose(cost, np.sort(d, axis=1)) and all(sorted(r) == list(range(lists)) for r in near.tolist()) and (met >= lists).all()
+    near, cost, met = index.search(q, 12)
+    true = np.argsort(d, axis=1, kind="stable")[:, :12]
+    assert near.shape == (50, min(12, lists)) and np.allclose(cost, np.take_along_axis(d, near, 1))
+    assert np.mean([len(set(a) & set(b)) / len(b) for a, b in zip(near.tolist(), true.tolist())]) >= 0.95
+
+
 # ---- 5
 def brute_classes(texts, threshold=0.8):
     known, sets = minhash.Words(), []
@@ -763,6 +798,11 @@ def test_toxicity(spark, docs, odd, none):
     assert len(got) == pq.read_table(f"{larger}/documents.parquet").num_rows and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
     merged = got.merge(labels, on="doc_id")
     assert (merged[~merged.held_out].toxic == merged[~merged.held_out].predicted).mean() > 0.9
+    # on labels it has not learned from, where there are enough of them
+    largest = DATA.replace("sf0.001", "sf0.1")
+    aside = queries.op10_toxicity(spark, largest).toPandas().merge(pq.read_table(f"{largest}/labels.parquet").to_pandas(), on="doc_id")
+    aside = aside[aside.held_out & aside.toxic.notna()]
+    assert (aside.toxic == 1).sum() >= 30 and aside[aside.toxic == 1].predicted.mean() >= 0.85 and aside[aside.toxic == 0].predicted.mean() <= 0.01
     marks = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (8, None), (6, 0), (6, 1)], "doc_id bigint, toxic int")
     rows = toxicity.assess(odd, marks).toPandas()
     assert len(rows) == odd.count() and rows.score.between(0, 1).all()
