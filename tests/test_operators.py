@@ -331,6 +331,32 @@ def test_event_windows(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in spark.sql("SELECT * FROM windows").collect()] == [(2, 3.0)]
 
 
+def test_dots(spark):
+    log = spark.createDataFrame([("a", "1", 0.5), ("a", "1", 0.7), ("b", "1", 0.6004), ("b", "1", None), ("b", "2", 0.01), ("c", "2", None)], "method string, K string, f1 double").withColumn("place", F.lit("x"))
+    got = {(r["method"], r["K"]): r for r in reports.dots(log, "f1").collect()}
+    assert set(got) == {("a", "1"), ("b", "1"), ("b", "2")}  # a method without a value has no dot
+    assert got["a", "1"]["lo"] == 0.5 and got["a", "1"]["hi"] == 0.7 and got["a", "1"]["start"] == pytest.approx(0.45)
+    assert got["a", "1"]["best"] and got["b", "1"]["best"]  # equal as shown
+    assert got["b", "2"]["start"] == 0 and [got[k]["place"] for k in sorted(got)] == [1, 2, 2]
+    assert reports.dots(log.filter("false"), "f1").count() == 0
+
+
+def test_verdicts(spark):
+    one_, two = [spark.createDataFrame(r, "vec_id bigint, label int, pred int, conf double") for r in ([(1, 0, 0, 0.9), (2, 0, 1, 0.8), (3, None, 1, 0.5), (4, 1, 1, None)], [(1, 0, 1, 0.1), (2, 0, 0, 0.1), (3, None, None, 0.1), (9, 1, 1, 0.1)])]
+    v = reports.verdicts([("m", one_), ("n", two)], "m")
+    assert {r["vec_id"]: (r["right"], r["n_right"], r["models"]) for r in v.collect()} == {1: (True, 1, 2), 2: (False, 1, 2), 3: (False, 0, 2), 4: (True, 1, 1)}
+    assert [r["vec_id"] for r in reports.first_of_class(v, 1).orderBy("vec_id").collect()] == [1, 3, 4]  # null is a class
+
+
+def test_pointing_game(spark):
+    box = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    rows = [("a", [0.0, 2.0, 2.0, 1.0], [(0.5, 0.0, 0.9, 0.3)]), ("a", [0.0, 0.0, None, 1.0], [(0.0, 0.0, 0.1, 0.1), (0.75, 0.75, 0.75, 0.75)]), ("a", [3.0, 0.0, 0.0, 0.0], [(0.9, 0.9, 0.9, 0.9)]),
+            ("a", None, [(0.0, 0.0, 0.9, 0.9)]), ("a", [1.0, 0.0, 0.0, 0.0], []), ("a", [1.0, 0.0, 0.0, 0.0], None), ("b", [None] * 4, [(0.0, 0.0, 0.9, 0.9)]), ("c", [1.0, 0.0, 0.0, 0.0], [(None, 0.0, 0.9, 0.9)])]
+    maps = spark.createDataFrame(rows, f"model string, heat array<double>, boxes {box}").withColumn("x", F.lit(9))
+    got = regions.pointing_game(maps.withColumn("at", regions.hottest(F.col("heat"), 2)))
+    assert {r["model"]: (round(r["on_box"], 6), r["n"]) for r in got.collect()} == {"a": (0.666667, 3), "c": (0.0, 1)}
+
+
 def test_half_even(spark):
     r = one(spark, reports.cell(F.lit(0.8125), F.lit(0.0255)).alias("c"))
     assert r["c"] == "0.812 ± 0.026" or r["c"].startswith("0.812")

@@ -107,3 +107,35 @@ def bars(log: DataFrame, value: str) -> DataFrame:
     """method, K, mean, gain over the size's mean of means, place within the size."""
     m = mean_std(log, ["method", "K"], value).select("method", "K", "mean")
     return m.withColumns({"gain": F.col("mean") - F.avg("mean").over(Window.partitionBy("K")), "place": F.row_number().over(Window.partitionBy("K").orderBy(F.desc("mean"), "method"))})
+
+
+def dots(log: DataFrame, value: str, places: int = 3) -> DataFrame:
+    """The data behind a chart of dots with a panel for each K: method, K, mean, lo, hi of the runs, place, start, best.
+
+    place is the method's order by its average of means, the same in every panel; start the panel's left bound, below the
+    least run on a twentieth and not below 0; best whether the mean, as shown, is the panel's largest, so that ties all are.
+    Null values are no runs; a method without any at a size has no row there. A row for each method and size.
+    """
+    m = mean_std(log.filter(F.col(value).isNotNull()), ["method", "K"], value).select("method", "K", "mean", "lo", "hi")
+    panel = Window.partitionBy("K")
+    of = m.groupBy("method").agg(F.avg("mean").alias("_avg")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("_avg"), "method"))).drop("_avg")
+    shown = half_even(F.col("mean"), places)
+    m = m.withColumns({"start": F.greatest(F.lit(0e0), F.floor((F.min("lo").over(panel) - 0.02) * 20) / 20), "best": shown == F.max(shown).over(panel)})
+    return m.join(of, "method").select("method", "K", "mean", "lo", "hi", "place", "start", "best")
+
+
+def verdicts(models: list[tuple[str, DataFrame]], final: str, key: str = "vec_id") -> DataFrame:
+    """key, label, pred, conf and right of the final model, and n_right, models: how many models are right, of how many.
+
+    models are (name, key, label, pred; the final one's with conf too) on the same items, a row for each; an item that the
+    final model lacks is left out, a model that lacks an item is not counted there. A null label or pred is not right.
+    """
+    right = F.coalesce(F.col("pred") == F.col("label"), F.lit(False))
+    votes = reduce(DataFrame.unionByName, [df.select(key, right.cast("int").alias("_r")) for _, df in models])
+    counts = votes.groupBy(key).agg(F.sum("_r").cast("int").alias("n_right"), F.count("*").cast("int").alias("models"))
+    return dict(models)[final].select(key, "label", "pred", "conf", right.alias("right")).join(counts, key)
+
+
+def first_of_class(df: DataFrame, most: int, by: str = "label", key: str = "vec_id") -> DataFrame:
+    """The rows of the smallest keys of each class, at most most; a task keeps no more than those before rows are shuffled."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(key))).filter(F.col("_n") <= F.lit(most)).drop("_n")

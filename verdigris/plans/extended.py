@@ -313,6 +313,43 @@ def figure_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.bars(run_log(spark, sf_dir), "score").select("method", "K", r6("mean"), r6("gain"), "place")
 
 
+@query("WITH " + RUNS + ", m AS (SELECT method, K, avg(score) mean, min(score) lo, max(score) hi FROM runs WHERE score IS NOT NULL GROUP BY ALL), o AS (SELECT method, row_number() OVER (ORDER BY avg(mean) DESC, method)::INT place FROM m GROUP BY 1) SELECT method, K, round(mean, 6) mean, round(lo, 6) lo, round(hi, 6) hi, place, greatest(0e0, floor((min(lo) OVER (PARTITION BY K) - 0.02) * 20) / 20) \"start\", round(mean, 3) = max(round(mean, 3)) OVER (PARTITION BY K) best FROM m JOIN o USING (method)")
+def figure_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data behind a comparison by dots: mean and range of each method at a size, its row, the panel's bound and best."""
+    return reports.dots(run_log(spark, sf_dir), "score").select("method", "K", r6("mean"), r6("lo"), r6("hi"), "place", "start", "best")
+
+
+#: Verdicts of three models on the test items; the final one is zero-shot.
+VERDICTS = CACHE + ", ff AS (SELECT vec_id, label, class pred FROM (SELECT vec_id, label, class, 100 * list_inner_product(q.e, t.t) + 2e0 * zc.z z FROM test q JOIN zc USING (vec_id, label) JOIN texts t USING (class)) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, class) = 1), zt AS (SELECT vec_id, class, 100 * list_inner_product(e, t) z FROM test, texts), zp AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) x FROM zt), zq AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) p FROM zp), zs AS (SELECT vec_id, class pred, p conf FROM zq QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class) = 1), nn AS (SELECT t.vec_id, p.label pred FROM test t, pool p QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY list_inner_product(t.e, p.e) DESC, p.vec_id) = 1), vd AS (SELECT vec_id, label, zs.pred, round(conf, 6) conf, zs.pred = label AS right_, ((zs.pred = label)::INT + (nn.pred = label)::INT + (ff.pred = label)::INT)::INT n_right, 3 models FROM ff JOIN zs USING (vec_id) JOIN nn USING (vec_id))"
+
+
+def three_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = [("zero_shot", catalogue.zero_shot_predictions(spark, sf_dir)), ("one_nn", catalogue.one_nn_classify(spark, sf_dir)), ("few_shot", catalogue.few_shot_predictions(spark, sf_dir))]
+    return reports.verdicts(models, "zero_shot").withColumn("conf", r6("conf"))
+
+
+@query("WITH " + VERDICTS + ' SELECT vec_id, label, pred, conf, right_ AS "right", n_right, models FROM vd')
+def figure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data behind a grid of models and items: how many of three models are right on every test item."""
+    return three_models(spark, sf_dir)
+
+
+@query("WITH " + VERDICTS + " SELECT vec_id, label, conf, n_right, models FROM vd WHERE right_ QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 6")
+def figure_right_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data behind a plate of items: the first six of each class that the final model has right, with all verdicts."""
+    return reports.first_of_class(three_models(spark, sf_dir).filter("right"), 6).select("vec_id", "label", "conf", "n_right", "models")
+
+
+@query("WITH " + BOXES + ", m AS (SELECT 'signed' model, vec_id, embedding::DOUBLE[] h FROM embeddings UNION ALL SELECT 'absolute', vec_id, list_transform(embedding::DOUBLE[], lambda x: abs(x)) FROM embeddings), hot AS (SELECT model, vec_id, list_position(h, list_max(h)) - 1 i FROM m), xy AS (SELECT model, vec_id, (i % 8 + 0.5e0) / 8 * 0.6e0 x, (i // 8 + 0.5e0) / 8 * 0.5e0 y FROM hot), hit AS (SELECT model, vec_id, bool_or(x >= x0 AND x <= x1 AND y >= y0 AND y <= y1) hit FROM xy JOIN ba USING (vec_id) GROUP BY ALL) SELECT model, round(avg(hit::INT), 6) on_box, count(*) n FROM hit GROUP BY 1")
+def heat_on_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pointing game: how often the hottest of 8 x 8 patches lies in one of the item's boxes, for two ways to read a map."""
+    e = F.col("embedding").cast("array<double>")
+    maps = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.create_map(F.lit("signed"), e, F.lit("absolute"), F.transform(e, F.abs))).alias("model", "heat"))
+    maps = maps.select("model", "vec_id", regions.hottest(F.col("heat"), 8).alias("at"))
+    maps = maps.withColumn("at", F.struct((F.col("at.x") * 0.6).alias("x"), (F.col("at.y") * 0.5).alias("y")))
+    return regions.pointing_game(maps.join(boxes(spark, sf_dir), "vec_id")).select("model", r6("on_box"), "n")
+
+
 @query("SELECT * FROM (VALUES (0, '| region | name |'), (1, '|-|-|')) h(n, line) UNION ALL SELECT 2 + r_regionkey, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region")
 def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small table as the lines of a Markdown table."""
