@@ -98,7 +98,8 @@ class Index:
 
     def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The REPLICAS nearest centroids of each vector, and their distances in units of the nearest's."""
-        near, d, _ = self.search(lifted(v, self.largest), REPLICAS)
+        parts = [self.search(lifted(v[i : i + 256], self.largest), REPLICAS)[:2] for i in range(0, max(1, len(v)), 256)]
+        near, d = (np.concatenate(x) for x in zip(*parts))
         return near, np.sqrt((d + 1e-12) / (d[:, :1] + 1e-12))
 
     def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
