@@ -299,3 +299,57 @@ def test_independent_set_of_long_chains(spark):
     star = spark.createDataFrame([(i, 500) for i in range(500)] + [(0, i) for i in range(501, 900)] + [(500, 900), (499, 901)], "early bigint, late bigint")
     lost = {r["node"]: r["twin"] for r in graphs._in_prefixes(graphs.written(star), 40).collect()}
     assert lost == {500: 0, **{i: 0 for i in range(501, 900)}, 901: 499}
+
+
+# ---- products in slices
+def test_tables_are_taken_where_they_cost_less():
+    """Few copies of a row where all rows are multiplied; hash tables, with fewer copies than before, where that costs more."""
+    assert similarity.Tables.cheapest(300_000, 64, 0.8, 0.99999, 8) is None
+    many = similarity.Tables.cheapest(20_000_000, 64, 0.9, 0.99, 160)
+    assert many.copies < similarity.Tables.plan(20_000_000, 64, 0.9, 0.99).copies / 4
+
+
+def test_blocks_of_a_self_join_do_not_grow_with_the_rows(spark):
+    """A row goes to as many block pairs as there are blocks: the same number from 32,768 rows to a million of 64 numbers."""
+    got = spark.createDataFrame([(5,), (5000,), (40_000,), (1_000_000,), (4_000_000,)], "n long").select(similarity.blocks_of(F.col("n"), F.lit(64))).collect()
+    assert [r[0] for r in got] == [1, 2, 8, 8, 31]
+
+
+@pytest.mark.parametrize("forest", [False, True])
+def test_tables_given_find_what_all_products_find(spark, forest):
+    x = clustered(np.random.default_rng(2), 60, 600, 0.35)
+    df, t = items(spark, x), similarity.Tables.plan(600, x.shape[1], 0.85, 0.9999)
+    for other in (None, 0.9):
+        got, want = (f(df, 0.85, other, forest=forest, **a) for f, a in ((similarity.hashed_pairs, {"tables": t}), (similarity.similar_pairs, {})))
+        assert roots(got) == roots(want) and (forest or got.select("a", "b").exceptAll(want.select("a", "b")).isEmpty())
+
+
+def test_products_are_never_of_a_whole_batch(monkeypatch):
+    """Nearest rows, kernel sums and near pairs by slices of few cells are those of one product."""
+    rng = np.random.default_rng(3)
+    v, m = rng.normal(size=(700, 8)), rng.normal(size=(900, 8))
+    m[500] = m[20]
+    monkeypatch.setattr(similarity, "CELLS", 1000)
+    assert (similarity._best(v, m) == (v @ m.T).argmax(1)).all()
+    w = rng.random((900, 3))
+    assert np.allclose(similarity._kernel_sums(v, m, 2.0, w), np.exp(-2 * (1 - v @ m.T)) @ w)
+    x, y = (similarity.Rows(np.arange(len(a)), a / np.linalg.norm(a, axis=1, keepdims=True), rng.integers(0, 3, len(a))) for a in (v, m))
+    y.ids += 10_000
+    parts = list(similarity._hits(x, y, 0.5, 0.7, None))
+    s, equal = x.v @ y.v.T, x.of[:, None] == y.of[None, :]
+    assert {(i, j) for p in parts for i, j in zip(p[0], p[1])} == set(zip(*np.nonzero(np.where(equal, s >= 0.5, s >= 0.7))))
+
+
+def test_nearest_in_little_memory(spark):
+    """A batch of 10,000 rows against 50,000 took 4,000 MB for their product."""
+    side = spark.range(50_000).select(F.col("id").alias("vec_id"), F.array(*[F.randn(i) for i in range(4)]).alias("embedding"))
+    asked = side.filter("vec_id < 10000").coalesce(1)
+
+    def peak(batches):
+        import resource
+
+        for b in batches:
+            yield b.assign(mb=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+
+    near = similarity.nearest(asked, side)
+    assert near.mapInPandas(peak, "vec_id bigint, near_id bigint, cos double, mb bigint").agg({"mb": "max"}).first()[0] < 1500
