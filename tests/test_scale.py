@@ -10,6 +10,7 @@ from tests.conftest import DATA
 from verdigris.functions import vec
 from verdigris.operators import communities, evaluation, graphs, linkage, ordering, probe, regions, reports, similarity, splits
 from verdigris.plans import catalogue
+from verdigris.sources import readers
 
 ITEMS = "vec_id bigint, embedding array<double>, label int"
 
@@ -365,3 +366,29 @@ def test_norm_is_worked_out_once_for_a_vector(spark):
     got = v.select(vec.normalized(F.col("v")).alias("n")).agg(F.avg(vec.dot(F.col("n"), F.col("n")))).first()[0]
     assert abs(got - 1) < 1e-9 and time.time() - began < 20
     assert spark.range(1).select(vec.normalized(F.lit(None).cast("array<double>")).alias("n")).first()["n"] is None
+
+
+# ---- keypoints, batches, classes
+def test_keypoints_of_many_pairs_at_once():
+    """The matches pair by pair; of few points each four is solved once, not 500 times."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=2, keepdims=True)
+    a, b = unit(rng.normal(size=(50, 8, 8))), unit(rng.normal(size=(50, 6, 8)))
+    hit, near = graphs.all_matches(a, b, 0.95)
+    assert [[(int(i), int(near[k, i])) for i in np.flatnonzero(hit[k])] for k in range(50)] == [graphs.mutual_matches(x, y, 0.95) for x, y in zip(a, b)]
+    assert len(graphs.samples(4, 500, 0)) == 1 and len(graphs.samples(6, 500, 0)) == 15
+
+
+def test_resumed_batches_are_bounded(spark, tmp_path):
+    """Each batch reads the whole table: 3,000 rows by tens were 300 readings of it."""
+    goes = []
+    make = lambda df: goes.append(1) or df.select("id", F.lit(1).alias("n"))
+    got = readers.resumed(spark.range(3000), f"{tmp_path}/out", make, "id", batch=10)
+    assert len(goes) == readers.BATCHES < 300 and got.count() == got.select("id").distinct().count() == 3000
+
+
+def test_square_of_a_class_is_small():
+    """What average linkage of the largest class that one task works out keeps, at 8 bytes a cell: 3,200 MB before."""
+    import inspect
+
+    assert 8 * inspect.signature(linkage.clusters).parameters["most"].default ** 2 < 2**28
