@@ -40,6 +40,8 @@ FINENESS = (1, 2, 4)
 RECALL, ASKED, SIZED = 0.97, 256, 5000
 #: Entries of a bundle, bundles at least, queries of a block.
 BUNDLE, BUNDLES, QUERIES = 200_000, 12, 50_000
+#: Queries that a task scans a bundle for at once.
+SCANNED = 256
 #: Neighbours of a centroid in the graph, and random ones besides; centroids that a walk starts from and leaves in a step.
 DEGREE, FAR, STARTS, STEP = 16, 4, 16, 4
 
@@ -340,7 +342,7 @@ def search(df: DataFrame, k: int = 20, step: int = 20, key: str = "vec_id", embe
         v, of = matrix(left["vec"], kind, dim), left["list"].to_numpy()
         ids = left["ids"].to_list()
         edges = {x: (int(np.searchsorted(of, x)), int(np.searchsorted(of, x, side="right"))) for x in np.unique(of)}
-        parts = [top(right.iloc[i : i + 2000], v, ids, edges) for i in range(0, len(right), 2000)]
+        parts = [top(right.iloc[i : i + SCANNED], v, ids, edges) for i in range(0, len(right), SCANNED)]
         return pd.concat([found, *parts])
 
     def top(queries: pd.DataFrame, v: np.ndarray, ids: list, edges: dict) -> pd.DataFrame:
@@ -364,7 +366,7 @@ def search(df: DataFrame, k: int = 20, step: int = 20, key: str = "vec_id", embe
         if not who:
             return pd.DataFrame(columns=["query_id", "ids", "scores", *effort])
         who, what = np.concatenate(who), np.concatenate(what)
-        exact = np.einsum("ij,ij->i", q[who], v[what])
+        exact = np.concatenate([np.einsum("ij,ij->i", q[who[i : i + 32768]], v[what[i : i + 32768]]) for i in range(0, len(who), 32768)])
         order = np.lexsort((-exact, who))
         who, what, exact = who[order], what[order], exact[order]
         starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
