@@ -84,7 +84,7 @@ def linkage_in_rounds(df: DataFrame, least: float, key: str = "vec_id", vector:
     return roots.join(numbers, "root").select("label", F.col("node").alias(key), "cluster")
 
 
-def clusters(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", label: str = "label", most: int = 20_000) -> DataFrame:
+def clusters(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", label: str = "label", most: int = 2 * BLOCK) -> DataFrame:
     """linkage_in_rounds() of classes of more than most rows, a class in a task of the others: the same clusters."""
     rows = df.filter(F.col(vector).isNotNull())
     sizes = written(rows.groupBy(F.col(label).alias("_of")).agg((F.count("*") > most).alias("_large")), "sizes")
