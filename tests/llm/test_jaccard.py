@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -164,3 +165,15 @@ def test_frequencies_count_documents(spark):
     for r in df.collect():
         np.add.at(want, jaccard.cells(jaccard.elements(r.text or "", known)), 1)
     assert (table == want).all()
+
+
+def test_shuffled_bytes(spark):
+    """To find who else has an element, a shuffle of all elements takes less than 10 bytes of each (about 15 by whole elements and classes)."""
+    rng = random.Random(5)
+    df = frame(spark, [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500))) for i in range(400)])
+    shuffled = lambda: time.sleep(1) or spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    nodes = jaccard.staged(jaccard.prefixes(df, "doc_id", "text", np.zeros(jaccard.CELLS, np.int64)).withColumnRenamed("key", "node"), "nodes")
+    before = shuffled()
+    assert jaccard.shared_elements(nodes, 90).count() == 0
+    elements = sum(r.size - -(-90 * r.size // 100) + 1 for r in nodes.collect())
+    assert shuffled() - before < 10 * elements

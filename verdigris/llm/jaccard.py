@@ -40,6 +40,8 @@ WORDS, LEAST = 3, 90
 CELLS, CHUNK = 1 << 21, 1 << 14
 #: Largest l; what one exact comparison costs, in postings.
 LONGEST, COMPARISON = 4, 8
+#: Tables of counts that each cell is added up from in the second step. Bits of an element by which it is counted who else has it.
+DEALS, SHORT = 8, 40
 #: Width of a class of sizes, in steps of the largest ratio that links. Rows of block pairs that go to a task at once, about.
 STEPS, BATCH = 3, 512
 _SHIFT = np.uint64(64 - CELLS.bit_length() + 1)
@@ -111,7 +113,7 @@ def frequencies(df: DataFrame, text: str, words: int = WORDS) -> np.ndarray:
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "deal": 0, "at": [at.astype(np.uint16).tobytes()], "n": [narrow(total[at])]})
 
     schema = "chunk int, deal int, at binary, n binary"
-    rows = df.select(F.col(text).alias("text")).mapInArrow(count, "chunk int, at binary, n binary").withColumn("deal", F.spark_partition_id() % 64)
+    rows = df.select(F.col(text).alias("text")).mapInArrow(count, "chunk int, at binary, n binary").withColumn("deal", F.spark_partition_id() % DEALS)
     sums = rows.groupBy("chunk", "deal").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
     out = np.zeros(CELLS, np.int64)
     for r in sums.toLocalIterator():
@@ -308,8 +310,21 @@ class Block:
         return out
 
 
-def buckets_of(nodes: DataFrame, least: int) -> DataFrame:
-    """node, size, band: the buckets of each node, one for each element of its shortest prefix and class of sizes.
+def shared_elements(nodes: DataFrame, least: int) -> DataFrame:
+    """node, size, e: the elements of each node's shortest prefix, without most of those that no other node's prefix has.
+
+    Some that are alone stay, as they are told apart by SHORT bits: most elements are alone, and all go through a shuffle
+    to be counted and through one to be kept, so neither has more of an element than it needs.
+    """
+    own = F.slice("prefix", 1, F.col("size") - F.ceil(F.col("size") * least / 100).cast("int") + 1)
+    rows = nodes.select("node", "size", F.explode(own).alias("e"))
+    short = F.col("e").bitwiseAND(F.lit((1 << SHORT) - 1))
+    several = rows.groupBy(short.alias("short")).agg(F.count("*").alias("n")).filter("n > 1").select("short")
+    return rows.join(several, short == F.col("short"), "left_semi")
+
+
+def buckets_of(rows: DataFrame, least: int) -> DataFrame:
+    """node, size, band: the buckets of each node, one for each of its elements (node, size, e) and class of sizes.
 
     Linked sets share an element of the prefixes for l = 1, as well. Of two linked sizes n <= m, m is n * 100 / least at
     most; classes are a few such steps wide, and a node is in that of its size and in that of the largest size it may be
@@ -318,18 +333,14 @@ def buckets_of(nodes: DataFrame, least: int) -> DataFrame:
     step = float(np.log(100 / least)) * STEPS if least < 100 else 1.0
     of = lambda size: F.floor(F.log(size) / step + 1e-9)
     classes = F.array_distinct(F.array(of(F.col("size")), of(F.floor(F.col("size") * 100 / least))))
-    elements_ = F.slice("prefix", 1, F.col("size") - F.ceil(F.col("size") * least / 100).cast("int") + 1)
-    rows = nodes.select("node", "size", F.explode(classes).alias("class"), elements_.alias("own"))
-    return rows.select("node", "size", F.explode("own").alias("e"), "class").select("node", "size", F.xxhash64("e", "class").alias("band"))
+    return rows.select("node", "size", "e", F.explode(classes).alias("class")).select("node", "size", F.xxhash64("e", "class").alias("band"))
 
 
 def links(df: DataFrame, nodes: DataFrame, key: str, text: str, words: int, least: int, n: int) -> DataFrame:
     """node, root of the nodes (node, rep, told, size, l, prefix, edge) that are linked to another; n: the rows of df."""
-    postings = buckets_of(nodes, least)
     # most prefix shingles are of one node, and go before anything else is asked of them
-    several = postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    met = staged(postings.join(several, "band", "left_semi"), "met", n)
-    hubs = met.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+    met = staged(buckets_of(shared_elements(nodes, least), least), "met", n)
+    hubs = met.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("n > 1")
     # buckets of the same nodes are one bucket
     hubs = staged(hubs.groupBy("hub", "n", "mark").agg(F.min("band").alias("band")).drop("mark"), "hubs", n)
     members = staged(met.join(small(hubs), "band"), "members", n)
