@@ -254,6 +254,25 @@ def test_communities_in_rounds(spark):
     assert len(large) == len(nodes) and len(large[large.label == 1].community.unique()) < 30
 
 
+def test_communities_in_blocks(spark):
+    """Blocks, rounds of moves and few Spark jobs: 130 nodes whose 1,900 edges no task has at once, within one in a hundred of one task."""
+    rng = np.random.default_rng(14)
+    edges = [(0, a, b, float(rng.integers(1, 4))) for a in range(130) for b in range(a) if rng.random() < (0.7 if a % 5 == b % 5 else 0.13)]
+    plain = graphs.louvain(list(range(130)), [x[1:] for x in edges])
+    n, e = spark.createDataFrame([(0, i) for i in range(130)] + [(None, 999)], "label int, node bigint"), spark.createDataFrame(edges, "label int, a bigint, b bigint, weight double")
+    for part, most in ((100, 700), (10_000, 60)):
+        spark.sparkContext.setJobGroup(f"blocks{part}", "")
+        got = communities.communities_in_rounds(n, e, part=part).toPandas()
+        own = got[got.label == 0].set_index("node").community.to_dict()
+        assert len(got) == 131 and len(own) == 130 and modularity(own, [x[1:] for x in edges]) >= 0.99 * modularity(plain, [x[1:] for x in edges])
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks{part}"))
+        print(part, jobs)
+        assert jobs <= most
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # degrees in a larger graph: two nodes that hang together by less than chance stay apart
+    assert graphs.louvain([0, 1], [(0, 1, 1.0)], [9.0, 9.0], 20.0) == {0: 0, 1: 1} and graphs.louvain([0, 1], [(0, 1, 1.0)]) == {0: 0, 1: 0}
+
+
 # ---- trials, range joins
 def test_best_assignment_of_many_groups(spark):
     """More groups and counts than any task holds as a rule, against the sums of whole trials."""
