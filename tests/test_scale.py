@@ -255,7 +255,7 @@ def test_communities_in_rounds(spark):
 
 
 def test_communities_in_blocks(spark):
-    """Blocks, rounds of moves and few Spark jobs: 130 nodes whose 1,900 edges no task has at once, within one in a hundred of one task."""
+    """Blocks, rounds of moves and few Spark jobs: 130 nodes whose 2,024 edges no task has at once, within one in a hundred of one task."""
     rng = np.random.default_rng(14)
     edges = [(0, a, b, float(rng.integers(1, 4))) for a in range(130) for b in range(a) if rng.random() < (0.7 if a % 5 == b % 5 else 0.13)]
     plain = graphs.louvain(list(range(130)), [x[1:] for x in edges])
