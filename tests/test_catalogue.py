@@ -76,6 +76,23 @@ def test_methods_tune_on_a_bounded_set(spark, monkeypatch):
         assert catalogue.QUERIES[name](spark, DATA).count() == catalogue.tests(spark, DATA).count()
 
 
+def test_graph_methods_judge_in_tasks(spark, monkeypatch):
+    """Only support sets come to the driver; options are judged on the validation table, and predictions are in as many tasks
+    as their work asks for."""
+    held, sizes = similarity.held, []
+    monkeypatch.setattr(similarity, "held", lambda *a, **k: sizes.append(len(out := held(*a, **k))) or out)
+    monkeypatch.setattr(catalogue, "GRAPHS", 50)
+    monkeypatch.setattr(catalogue, "JUDGED", 30)
+    got = catalogue.QUERIES["method_patch_graph"](spark, DATA)
+    assert sizes and max(sizes) <= 40 and got.rdd.getNumPartitions() > 4
+    s, t = catalogue.support(spark, DATA), catalogue.texts(spark, DATA).sort_values("class")
+    local = [catalogue.parts(df.select("vec_id", "embedding", "label").toPandas().sort_values("vec_id")) for df in (s, catalogue.tuning(spark, DATA, s), catalogue.tests(spark, DATA))]
+    p = graphmethods.probabilities(graphmethods.PatchGraph(np.stack(t["vec"].to_list())).fit(*local[:2]), local[2])
+    rows = got.toPandas().sort_values("vec_id")
+    assert rows.pred.tolist() == p.argmax(1).tolist() and np.allclose(rows.conf, p.max(1), atol=1e-6)
+    assert catalogue.judge(s.filter("false"), 10)(lambda b: b.y[None]) is None and catalogue.judge(s, 10)(lambda b: np.stack([b.y, 9 - b.y])).tolist() == [1.0, 0.0]
+
+
 def test_calibration_query(spark, duck):
     """No temperature or bias nearby makes the pool likelier."""
     got = catalogue.QUERIES["calibration_fit"](spark, DATA).toPandas().sort_values("class")

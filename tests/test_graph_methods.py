@@ -145,6 +145,17 @@ def test_masked_nodes_do_not_matter():
     assert few.kind.shape[1] == 1 + 2 + len(text) and not few.live[:, 1:3][few.kind[:, 1:3] != gn.OBJECT].any()
 
 
+@pytest.mark.parametrize("make", [lambda t: gm.RegionGraph(t, hidden=8, heads=2, epochs=11, second=True), lambda t: gm.PatchGraph(t, epochs=5)])
+def test_judged_slice_by_slice(make):
+    """Counts of slices, as tasks add them up, choose what the items at once choose."""
+    text, s = toy(24)
+    valid = toy(30, seed=5)[1]
+    sliced = lambda answers: gm.f1_of(sum(gm.counted(answers(x), x.y, 3) for x in valid.cut(7)))
+    one, other = make(text).fit(s, valid), make(text).fit(s, sliced)
+    assert np.allclose(one.logits(valid), other.logits(valid)) and one.f1(valid) == pytest.approx(cl.macro_f1(one.logits(valid).argmax(1), valid.y, 3))
+    assert np.isfinite(make(text).fit(s, gm.Parts(valid.x[:0], valid.y[:0], valid.nodes[:0], valid.mask[:0], valid.geometry[:0], valid.x2[:0])).logits(valid)).all()
+
+
 @pytest.mark.parametrize("make", [lambda t: gm.RegionGraph(t, hidden=8, heads=2, epochs=15), lambda t: gm.PatchGraph(t, epochs=5), lambda t: gm.PatchGraph(t, epochs=5, graph=False)])
 def test_they_learn(make):
     text, s = toy(30)
