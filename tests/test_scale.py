@@ -310,6 +310,19 @@ def test_points_in_boxes(spark, dense):
     assert regions.points_in_boxes(p.limit(0), b).collect() == [] and regions.points_in_boxes(p, b.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("dense", [8192, 20])
+def test_boxes_meet_few_other_points(spark, dense):
+    """Of the points that boxes meet about a third lie in them, though they are slim, and the join is dealt to many tasks."""
+    rng = np.random.default_rng(3)
+    p = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 50, (4000, 2)))]
+    b = [(i, float(x), float(y), float(x + s / 5), float(y + s)) for i, (x, y, s) in enumerate(zip(*rng.uniform(0, 50, (2, 300)), rng.integers(1, 20, 300)))]
+    sides = spark.createDataFrame(p, "point int, x double, y double"), spark.createDataFrame(b, "box int, x0 double, y0 double, x1 double, y1 double")
+    want = {(i, j) for i, x, y in p for j, x0, y0, x1, y1 in b if x0 <= x <= x1 and y0 <= y <= y1}
+    met, found = regions.meetings(*sides, dense=dense), regions.points_in_boxes(*sides, dense=dense).collect()
+    assert set(map(tuple, found)) == want and len(found) == len(want)
+    assert met.count() < 4 * len(want) and met.rdd.getNumPartitions() >= 16
+
+
 def test_independent_set_of_long_chains(spark):
     n = 10_000
     chain = spark.range(n).select(F.col("id").alias("early"), (F.col("id") + 1).alias("late"))
