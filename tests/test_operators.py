@@ -217,6 +217,20 @@ def test_close_hashes_of_copies_and_crowds(spark, crowd):
     assert similarity.close_hashes(df.filter("false"), 2, crowd=crowd).count() == 0
 
 
+@pytest.mark.parametrize("crowd, block", [(1, 7), (4, 3), (256, 8192)])
+def test_close_hashes_of_crowds_in_blocks(spark, crowd, block):
+    """Few different band values: all pairs once each, highest bits and names as ids too, in tasks for the work and not for its bytes."""
+    rng = np.random.default_rng(4)
+    half = lambda: [int(x) for x in (rng.integers(0, 4, 90) << 30) | rng.integers(0, 2, 90) << 13 | rng.integers(0, 4, 90)]
+    rows = [(f"{i:03}", h, w, "xy"[i % 2]) for i, (h, w) in enumerate(zip(half(), half()))]
+    df = spark.createDataFrame(rows, "vec_id string, high bigint, low bigint, label string")
+    got = similarity.close_hashes(df, 4, crowd=crowd, block=block)
+    bits = lambda a, b: bin(a[1] ^ b[1]).count("1") + bin(a[2] ^ b[2]).count("1")
+    want = sorted((a[0], b[0], bits(a, b)) for a, b in itertools.combinations(rows, 2) if a[3] == b[3] and bits(a, b) <= 4)
+    assert sorted((r["a"], r["b"], r["bits"]) for r in got.collect()) == want and len(want) > 500
+    assert got.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
 def test_nearest_of_nothing(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
     assert similarity.nearest(q, q.filter("false")).first()["near_id"] is None
