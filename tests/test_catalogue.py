@@ -76,6 +76,23 @@ def test_methods_tune_on_a_bounded_set(spark, monkeypatch):
         assert catalogue.QUERIES[name](spark, DATA).count() == catalogue.tests(spark, DATA).count()
 
 
+def test_methods_tune_on_all_validation_rows(spark, monkeypatch):
+    """A validation set that the driver does not take is judged in tasks, all of it, with the same choices."""
+    s = catalogue.support(spark, DATA)
+    rows = catalogue.pool(spark, DATA).count() - s.count()
+    small = {name: catalogue.fitted(spark, DATA, name) for name in classifiers.METHODS}
+    monkeypatch.setattr(catalogue, "TUNED_ON", 20)
+    monkeypatch.setattr(catalogue, "SEEN", 30)
+    assert rows > 40 and catalogue.tuning(spark, DATA, s).count() == rows
+    x = np.stack(catalogue.tests(spark, DATA).toPandas().embedding.to_list()).astype(float)
+    for name, method in small.items():
+        assert np.allclose(catalogue.fitted(spark, DATA, name).logits(x, x[:, ::-1]), method.logits(x, x[:, ::-1])), name
+    valid = catalogue.judge(catalogue.tuning(spark, DATA, s), 10, catalogue.seen, 30)
+    best = classifiers.METHODS["task_residual"](small["zero_shot"].text)
+    best.pick = True
+    assert best.fit(classifiers.batch(s), valid).f1(valid) > 0
+
+
 def test_graph_methods_judge_in_tasks(spark, monkeypatch):
     """Only support sets come to the driver; options are judged on the validation table, and predictions are in as many tasks
     as their work asks for."""
