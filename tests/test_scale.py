@@ -411,6 +411,41 @@ def test_keypoints_of_many_pairs_at_once():
     assert len(graphs.samples(4, 500, 0)) == 1 and len(graphs.samples(6, 500, 0)) == 15
 
 
+def test_inliers_of_many_pairs_at_once():
+    """Those of one pair at a time: points that fit, some that do not, in line, at one place, far apart and near the border."""
+    rng = np.random.default_rng(8)
+    for n in (3, 4, 5, 7, 9):
+        p, q = rng.normal(size=(2, 60, n, 2))
+        q[10:20] = p[10:20] * 2 + 1
+        q[20:30, :4] = p[20:30, :4] * 3
+        q[20:30, 4:] = 1e4
+        p[30:40], q[30:35] = np.round(p[30:40]), np.round(q[30:35])
+        p[40:45] = p[40:45, :1]
+        p[45:60] *= 40
+        q[45:60] *= 40
+        assert graphs.all_inliers(p, q).tolist() == [graphs.homography_inliers(x, y) for x, y in zip(p, q)]
+
+
+@pytest.mark.parametrize("block", [None, 7])
+def test_pairs_verified_where_they_are_found(spark, block):
+    """Pairs and their matches one by one, items of several numbers of keypoints; no stage shuffles keypoints by pairs."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows = [(i, unit(rng.normal(size=4)).tolist(), i % 2, rng.normal(size=(k, 2)).tolist(), unit(rng.normal(size=(k, 3))).tolist()) for i, k in enumerate(rng.choice([0, 1, 5, 6], 40))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, xy array<array<double>>, desc array<array<double>>").repartition(3)
+    got = similarity.verified_pairs(df, 0.2, 0.3, least=2, ratio=0.9, block=block)
+    want = []
+    for a, v, l, xa, da in rows:
+        for b, w, m, xb, db in rows[a + 1 :]:
+            if np.dot(v, w) >= (0.2 if l == m else 0.3):
+                at = graphs.mutual_matches(np.array(da), np.array(db), 0.9) if da else []
+                if len(at) >= 2:
+                    i, j = np.array(at).T
+                    want.append((a, b, len(at), graphs.homography_inliers(np.array(xa)[i], np.array(xb)[j])))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20 and any(x[3] for x in want)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
 def test_resumed_batches_are_bounded(spark, tmp_path):
     """Each batch reads the whole table: 3,000 rows by tens were 300 readings of it."""
     goes = []
