@@ -323,6 +323,23 @@ def test_boxes_meet_few_other_points(spark, dense):
     assert met.count() < 4 * len(want) and met.rdd.getNumPartitions() >= 16
 
 
+def test_boxes_shuffle_few_copies(spark):
+    """A point is shuffled once and a box a few times, however many grids boxes of all sizes would need; same pairs."""
+    rng = np.random.default_rng(5)
+    p = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (3000, 2)))]
+    b = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(np.c_[rng.uniform(0, 100, (200, 2)), 2.0 ** rng.integers(-4, 4, (200, 2))])]
+    sides = spark.createDataFrame(p, "point int, x double, y double"), spark.createDataFrame(b, "box string, x0 double, y0 double, x1 double, y1 double")
+    for dense in (32_768, 500):
+        met = regions.points_in_boxes(*sides, dense=dense)
+        got = sorted((r.point, int(r.box)) for r in met.collect())
+        assert got == sorted((i, j) for i, x, y in p for j, x0, y0, x1, y1 in b if x0 <= x <= x1 and y0 <= y <= y1) and len(got) > 100
+        assert "Join" not in met._jdf.queryExecution().executedPlan().toString()
+    # dealt rows: each point once, and of boxes fewer than three copies
+    tiles = regions._tiles(sides[0], 2.0, 2.0, 500, 1)
+    at, tile = tiles.met(*(np.array([r[k] for r in b]) for k in (1, 2, 3, 4)))
+    assert len(tiles.ys) * tiles.high >= 6 and len(at) < 3 * len(b) and len(set(zip(at, tile))) == len(at)
+
+
 def test_independent_set_of_long_chains(spark):
     n = 10_000
     chain = spark.range(n).select(F.col("id").alias("early"), (F.col("id") + 1).alias("late"))
