@@ -61,6 +61,20 @@ def test_forest_of_thousands_of_copies(spark):
     assert hashed.count() < 10_000 and len(roots(hashed)) == 5000
 
 
+def test_forest_multiplies_each_pair_of_rows_once(monkeypatch):
+    """Two blocks are multiplied with each other and not with themselves again, and still give few links."""
+    seen, hits = [], similarity._hits
+    monkeypatch.setattr(similarity, "_hits", lambda x, y, *a: seen.append((len(x), len(y))) or hits(x, y, *a))
+    rng = np.random.default_rng(2)
+    v = np.repeat(clustered(rng, 5, 5, 0.0), 60, 0)[rng.permutation(300)]
+    left, right = (similarity.Rows(np.arange(a, z), v[a:z], np.zeros(z - a, int)) for a, z in ((0, 180), (180, 300)))
+    for score in (None, lambda x, y: x @ y.T):
+        links = [b for b in similarity._links(left, right, False, 0.9, None, score, True)]
+        assert sum(b.num_rows for b in links) == len(np.unique(v.round(9), axis=0))
+    assert seen == [(180, 120)] * 2
+    assert not list(similarity._links(left[:0], right, False, 0.9, None, None, True))
+
+
 @pytest.mark.parametrize("other", [None, 0.45])
 def test_forest_has_the_components_of_all_pairs(spark, other):
     df = items(spark, clustered(np.random.default_rng(5), 60, 500, 0.9))
