@@ -120,3 +120,23 @@ def test_near_copies_in_different_batches(spark, tmp_path):
     assert set(drain(spark, tmp_path, 2)) - set(want) == {(12, 11, 0), (15, 12, 0)}
     with pytest.raises(ValueError):
         arrivals.links(spark.createDataFrame([], ARRIVING), 2, keep="5 minutes")
+
+
+def test_links_that_hold_arrivals_together(spark, tmp_path):
+    """With forest far fewer links, all of them links without it, and the same groups, over batches and repeated hashes."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(c), 0, int(sum(1 << int(b) for b in rng.choice(6, 2))) | int(g) << 16, int(m)) for i, (c, g, m) in enumerate(zip(rng.integers(0, 2, 240), rng.integers(0, 3, 240) * 21, rng.integers(0, 9, 240)))]
+    for n in range(3):
+        arrive(spark, tmp_path / "one", str(n), rows[n::3])
+        arrive(spark, tmp_path / "two", str(n), rows[n::3])
+    whole, few = drain(spark, tmp_path / "one", 2), drain(spark, tmp_path / "two", 2, forest=True)
+
+    def groups(links):
+        root = {i: i for i in range(240)}
+        for a, b, _ in links:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+        return root
+
+    assert set(few) <= set(whole) and len(few) < len(whole) / 2 and groups(few) == groups(whole) and len(set(groups(few).values())) < 200
+    assert len(few) < 3 * 3 * len(rows)

@@ -17,7 +17,7 @@ LINK = "late bigint, early bigint, bits int, at timestamp"
 SEEN = "highs array<bigint>, lows array<bigint>, ids array<bigint>, times array<bigint>"
 
 
-def links(items: DataFrame, most: int, keep: str = "1 hour", late: str = "10 minutes", key: str = "vec_id", high: str = "high", low: str = "low", label: str = "label", at: str = "ts") -> DataFrame:
+def links(items: DataFrame, most: int, keep: str = "1 hour", late: str = "10 minutes", key: str = "vec_id", high: str = "high", low: str = "low", label: str = "label", at: str = "ts", forest: bool = False) -> DataFrame:
     """late, early, bits, at of a stream: arrivals with an item of their class that came within keep before them (or, in
     event time, up to late after) and whose 64-bit hash differs in at most most bits.
 
@@ -29,6 +29,7 @@ def links(items: DataFrame, most: int, keep: str = "1 hour", late: str = "10 min
     newest are late and dropped, as are those with a null key, hash or time; null classes are one class. From one
     batch, rows are taken by time, then key; a batch's rows of one class and band value are in one task, so the source must
     bound its batches (maxFilesPerTrigger and the like). late must not exceed keep, as an entry's last item hides earlier ones.
+    With forest, of the links of a batch's rows in one state only those that hold the same items together: fewer than rows and entries.
     """
     keep_us, late_us = (_microseconds(items, x) for x in (keep, late))
     if late_us > keep_us:
@@ -44,7 +45,7 @@ def links(items: DataFrame, most: int, keep: str = "1 hour", late: str = "10 min
         if not state.hasTimedOut:
             new = pd.concat(list(pdfs))
             new["us"] = new["at"].astype("datetime64[us]").astype("int64")
-            out = _links(new.sort_values(["us", "id"]), seen, int(name[1]), most, keep_us, edges)
+            out = _links(new.sort_values(["us", "id"]), seen, int(name[1]), most, keep_us, edges, forest)
             if len(out):
                 yield out
         seen = {h: x for h, x in seen.items() if x[1] + keep_us >= mark}
@@ -69,7 +70,7 @@ def _entries(state: GroupState) -> tuple[list, list]:
     return list(zip(highs, lows)), list(zip(ids, times))
 
 
-def _links(rows: pd.DataFrame, seen: dict, band: int, most: int, keep: int, edges: list[int]) -> pd.DataFrame:
+def _links(rows: pd.DataFrame, seen: dict, band: int, most: int, keep: int, edges: list[int], forest: bool = False) -> pd.DataFrame:
     """Links of the rows, in order, to the entries of one band value, which take the rows up."""
     names = list(seen)
     place = {h: i for i, h in enumerate(names)}
@@ -78,23 +79,35 @@ def _links(rows: pd.DataFrame, seen: dict, band: int, most: int, keep: int, edge
     ids, times = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
     for i, (who, when) in enumerate(seen.values()):
         ids[i], times[i] = who, when
-    before = [((1 << (z - a)) - 1) << a for a, z in zip(edges[:band], edges[1 : band + 1])]
+    before = [np.uint64(((1 << (z - a)) - 1) << a) for a, z in zip(edges[:band], edges[1 : band + 1])]
+    # the items that entries stand for, those that were there and the rows, and what stands for what they are tied with
+    node, root = np.arange(len(hashes)), np.arange(len(hashes) + len(rows))
     out = []
-    for r in rows.itertuples(index=False):
-        h = (int(r.high), int(r.low))
-        n, whole = len(place), _whole(h)
+    for k, (high, low, who, when) in enumerate(zip(rows["high"].tolist(), rows["low"].tolist(), rows["id"].tolist(), rows["us"].tolist())):
+        h = (high, low)
+        n, whole, own = len(place), _whole(h), len(hashes) + k
         apart = hashes[:n] ^ np.uint64(whole)
         bits = np.bitwise_count(apart)
-        near = (bits <= most) & (np.abs(r.us - times[:n]) <= keep) & (ids[:n] != r.id)
+        near = np.flatnonzero(bits <= most)
+        near = near[(np.abs(when - times[near]) <= keep) & (ids[near] != who)]
         for mask in before:  # those that share an earlier band meet there
-            near &= (apart & np.uint64(mask)) != 0
-        out += [(r.id, int(ids[i]), int(bits[i]), r.at) for i in np.flatnonzero(near)]
+            near = near[(apart[near] & mask) != 0]
+        if forest and len(near):
+            roots, first = np.unique(root[node[near]], return_index=True)
+            near, root[own] = near[first], roots[0]
+            for r in roots[1:]:
+                root[root == r] = roots[0]
+        if len(near):
+            out.append((np.full(len(near), k), ids[near], bits[near]))
         i = place.setdefault(h, n)
-        if i == n or r.us >= times[i]:
-            hashes[i], ids[i], times[i] = whole, r.id, r.us
+        if i == n or when >= times[i]:
+            hashes[i], ids[i], times[i], node[i] = whole, who, when, own
     for h, i in place.items():
         seen[h] = (int(ids[i]), int(times[i]))
-    return pd.DataFrame(out, columns=["late", "early", "bits", "at"])
+    if not out:
+        return pd.DataFrame([], columns=["late", "early", "bits", "at"])
+    late, early, bits = (np.concatenate(x) for x in zip(*out))
+    return pd.DataFrame({"late": rows["id"].to_numpy()[late], "early": early, "bits": bits.astype(np.int32), "at": rows["at"].array.take(late)})
 
 
 def _whole(h: tuple[int, int]) -> int:
