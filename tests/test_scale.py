@@ -287,6 +287,15 @@ def test_communities_in_blocks(spark):
     assert graphs.louvain([0, 1], [(0, 1, 1.0)], [9.0, 9.0], 20.0) == {0: 0, 1: 1} and graphs.louvain([0, 1], [(0, 1, 1.0)]) == {0: 0, 1: 0}
 
 
+def test_edges_of_a_node_lie_together(spark):
+    """In both directions, repeated ones added up, in one shuffle, each node's in one partition."""
+    rows = [(a, b, 0.5) for a in range(40) for b in range(40) if a <= b] + [(3, 2, 1.0), (1, 2, -1.0)]
+    both = communities._both_ways(spark.createDataFrame(rows, "a bigint, b bigint, weight double").repartition(5))
+    got = both.withColumn("part", F.spark_partition_id()).toPandas()
+    assert {(r.a, r.b): r.w for r in got.itertuples()} == {(a, b): 1.5 if {a, b} == {2, 3} else 0.5 for a in range(40) for b in range(40) if a != b}
+    assert len(got) == 40 * 39 and (got.groupby("a").part.nunique() == 1).all()
+
+
 # ---- trials, range joins
 def test_best_assignment_of_many_groups(spark):
     """More groups and counts than any task holds as a rule, against the sums of whole trials."""
